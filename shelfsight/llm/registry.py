@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, simhash
 
-MODULES = [exact_dedup]
+MODULES = [exact_dedup, simhash, mixing]
 
 
 def queries():
