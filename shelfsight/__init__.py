@@ -1 +1,8 @@
 """shelfsight: market-gap analytics and corpus preparation as PySpark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the task, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
