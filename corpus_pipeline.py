@@ -1,11 +1,24 @@
-"""The corpus pipeline: stages that each apply one operator to what the stage before kept."""
+"""The corpus pipeline: five stages, each one operator applied to all that the stage before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next
+one's docs. All but the last return the columns of `documents`, the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfsight.llm.base import staged
+from shelfsight.llm.base import staged, table
 from shelfsight.llm.exact_dedup import drop_copies
+from shelfsight.llm.mixing import mixed_documents
+from shelfsight.llm.packing import pack_documents
+from shelfsight.llm.simhash import drop_near_copies
+from shelfsight.llm.toxicity import drop_toxic, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5 stay; the classifier is trained on the labelled rows of `docs`."""
+    return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,13 +26,37 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by fingerprints within two bits, the one with the smallest doc_id stays."""
+    return drop_near_copies(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that sources come near their target words."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences, every token of every document once."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: A trained classifier and a tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's result is written and read again."""
+    """All stages over `documents`; every stage but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    *first, (_, last) = STAGES
+    for name, stage in first:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return last(spark, docs, sf_dir)

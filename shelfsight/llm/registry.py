@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, simhash
+from . import exact_dedup, mixing, packing, simhash, toxicity
 
-MODULES = [exact_dedup, simhash, mixing]
+MODULES = [exact_dedup, simhash, mixing, packing, toxicity]
 
 
 def queries():
