@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, simhash, toxicity
+from . import exact_dedup, mixing, packing, simhash, substring, toxicity
 
-MODULES = [exact_dedup, simhash, mixing, packing, toxicity]
+MODULES = [exact_dedup, simhash, mixing, packing, toxicity, substring]
 
 
 def queries():
