@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding, simhash, substring, toxicity
+from . import exact_dedup, mixing, packing, quality, sharding, simhash, substring, toxicity
 
-MODULES = [exact_dedup, simhash, mixing, packing, toxicity, substring, sharding]
+MODULES = [exact_dedup, simhash, mixing, packing, toxicity, substring, sharding, quality]
 
 
 def queries():
