@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, sharding, simhash, substring, toxicity
+from . import exact_dedup, mixing, packing, pii, quality, secrets, sharding, simhash, substring, toxicity
 
-MODULES = [exact_dedup, simhash, mixing, packing, toxicity, substring, sharding, quality]
+MODULES = [secrets, simhash, mixing, pii, exact_dedup, toxicity, substring, sharding, packing, quality]
 
 
 def queries():
