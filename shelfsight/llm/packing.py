@@ -14,7 +14,6 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,6 @@ from .base import table
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 ID_BYTES = 4
-CACHE_PIECES = 400_000
 CHUNK_TOKENS = 4_000_000
 STEP_TOKENS = 1 << 15
 
@@ -35,48 +33,14 @@ def token_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Pieces:
-    """Ids of texts as little-endian 32-bit bytes, by way of the ids of a space and a word, kept as words are met."""
-
-    #: Stands between words that are encoded together. No word holds a space, so this is never in one.
-    BREAK = "  "
-
-    def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        self.mark = len(ranks)
-        self.bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={self.BREAK: self.mark})
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        if "" in words:  # a space at the end of a text
-            self.known[""] = self.whole(" ")
-            words.discard("")
-        ids = self.bpe.encode_to_numpy("".join([f" {w}{self.BREAK}" for w in words]), allowed_special="all").astype("<u4")
-        ends = (np.flatnonzero(ids == self.mark) * ID_BYTES).tolist()
-        raw, at = ids.tobytes(), 0
-        for word, end in zip(words, ends, strict=True):
-            self.known[word] = raw[at:end]
-            at = end + ID_BYTES
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a text. No token crosses from a word to the space after it, so single spaces split the work."""
-        if not text:
-            return b""
-        if self.BREAK in text:
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        known = self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        if new := {w for w in rest if w not in known}:
-            self.learn(new)
-        return (self.whole(first) if first else b"") + b"".join([known[w] for w in rest])
+def encoder(path: str):
+    """Text -> its ids as little-endian 32-bit bytes, by the vocabulary of a tiktoken rank file."""
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def pack(lengths: list[int], tiers=TIERS) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
@@ -174,12 +138,12 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, tiers=TIERS, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pieces = Pieces(path)
+        ids_of = encoder(path)
         base, keys, ids, n = TaskContext.get().partitionId() << 16, [], [], 0
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 keys.append(key)
-                ids.append(pieces.ids(text or "") + mark)
+                ids.append(ids_of(text or "") + mark)
                 n += len(ids[-1]) // ID_BYTES
                 if n >= chunk_tokens:
                     yield packed(keys, ids, base)
