@@ -84,22 +84,17 @@ def exact_groups(docs: DataFrame, *, keep: str = "smallest", fan_in: int = 8, se
 
 
 def drop_copies(docs: DataFrame, *, keep: str = "smallest") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; only keys of rows to be dropped are joined."""
+    """The rows of `docs` that stay, with all their columns, whatever their names; keys of rows to be dropped are joined."""
     groups = exact_groups(docs, keep=keep)
-    gone = groups.where(~F.col("kept")).select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_same")
-    )
+    gone = groups.where(~F.col("kept")).select("doc_id", "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("same"))
     gone = staged(gone, "copies")
-    key = F.struct(F.col("doc_id"), F.sha2(text_or_empty(), 256))
-    rest = docs.join(
-        gone.where(~F.col("_same")),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(text_or_empty(), 256) == F.col("_sha")),
-        "left_anti",
-    )
-    if gone.where("_same").limit(1).count():  # whole rows repeated: the row that stays has the same key
-        first = Window.partitionBy(key).orderBy(F.lit(1))
-        rest = rest.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return rest
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.sha2(text_or_empty(), 256).alias("sha"))
+    others = gone.where(~F.col("same"))
+    rows = rows.join(others, rows["id"].eqNullSafe(others["doc_id"]) & (rows["sha"] == others["text_sha256"]), "left_anti")
+    if gone.where("same").limit(1).count():  # whole rows repeated: the row that stays has the same key
+        first = Window.partitionBy("id", "sha").orderBy(F.lit(1))
+        rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1")
+    return rows.select("row.*")
 
 
 def op5_exact_dedup(spark, sf_dir):

@@ -134,17 +134,14 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, block
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with every row as often as the mix takes it (taken over size, rounded), same columns; rows taken less than half are left out."""
-    counts = (
-        mix(docs, **options)["documents"]
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .agg((F.sum("taken") / F.sum("size")).alias("_times"))
-        .select("_id", "_hash", F.round("_times").cast("int").alias("_times"))
-        .where("_times > 0")
-    )
-    counts = staged(counts, "copies-taken")
-    joined = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    """`docs` with every row as often as the mix takes it (taken over size, rounded); rows taken less than half are left out.
+
+    All columns stay, whatever their names. Of whole rows that repeat each gets the mean of what they are taken."""
+    counts = mix(docs, **options)["documents"].groupBy("doc_id", "text_hash").agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("times"))
+    counts = staged(counts.where("times > 0"), "copies-taken")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    joined = rows.join(counts, rows["id"].eqNullSafe(counts["doc_id"]) & (rows["hash"] == counts["text_hash"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def op3_mixing(spark, sf_dir):

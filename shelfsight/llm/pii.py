@@ -209,16 +209,15 @@ def replace_pii(docs: DataFrame, *, key: str = KEY) -> DataFrame:
         .agg(F.map_from_entries(F.collect_set(F.struct("mention", "shown"))).alias("shown"))
     )
     shown = staged(shown, "shown")
-    keyed = docs.select(*columns, F.xxhash64("text").alias("_d1"), F.xxhash64(F.lit(1), "text").alias("_d2"))
-    shown = shown.withColumnsRenamed({"d1": "_d1", "d2": "_d2", "shown": "_shown"})
-    with_mentions = keyed.where(hinted).join(shown, ["_d1", "_d2"], "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"))
+    joined = rows.where(hinted).join(shown, ["d1", "d2"], "left")
     between = F.split(text, PATTERN, -1)
-    within = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.try_element_at("_shown", m))
-    joined = F.array_join(F.zip_with(between, within, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    swapped = F.when(F.col("_shown").isNull(), text).otherwise(joined)
-    count = F.when(F.col("_shown").isNull(), 0).otherwise(F.size(between) - 1)
-    out = lambda c, t: t.alias("text") if c == "text" else F.col(f"`{c}`")
-    changed = with_mentions.select(*[out(c, swapped) for c in columns], count.cast("long").alias("n_entities"))
+    within = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.try_element_at("shown", m))
+    swapped = F.array_join(F.zip_with(between, within, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    joined = joined.withColumn("swapped", F.when(F.col("shown").isNull(), text).otherwise(swapped))
+    count = F.when(F.col("shown").isNull(), 0).otherwise(F.size(between) - 1)
+    out = [F.col("swapped").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
+    changed = joined.select(*out, count.cast("long").alias("n_entities"))
     same = docs.where(~hinted).select(*[F.col(f"`{c}`") for c in columns], F.lit(0).cast("long").alias("n_entities"))
     return changed.unionByName(same)
 

@@ -105,14 +105,17 @@ def links(prints: DataFrame, *, max_bits: int = MAX_BITS, pair_limit: int = 64)
 
 
 def _links_through_neighbours(prints: DataFrame, max_bits: int) -> DataFrame:
-    """A star for every point that has two or more of `prints` within half of `max_bits`; joins what all their pairs would."""
-    flips = [0, *(_signed(1 << i) for i in range(64))]
-    at = prints.select("fp", F.explode(F.array(*[F.lit(x) for x in flips])).alias("flip"))
-    if max_bits == 1:  # meet at the one of two that lacks the bit
-        at = at.where((F.col("flip") == 0) | (F.col("fp").bitwiseAND(F.col("flip")) != 0))
-    at = at.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    hub = at.groupBy("point").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1")
-    return at.join(hub, "point").where("fp <> u").select("u", F.col("fp").alias("v"))
+    """Stars that join what all pairs would. Within two bits are those that have a point within one bit in common;
+    within one bit those that are equal with the same bit cleared."""
+    bits = F.array(*[F.lit(_signed(1 << i)) for i in range(64)])
+    at = prints.select("fp", F.explode(bits).alias("bit"))
+    if max_bits == 2:
+        at = at.select("fp", F.lit(0).cast("long").alias("bit"), F.col("fp").bitwiseXOR(F.col("bit")).alias("point"))
+        at = at.unionByName(prints.select("fp", F.lit(0).cast("long").alias("bit"), F.col("fp").alias("point")))
+    else:
+        at = at.select("fp", "bit", F.col("fp").bitwiseAND(F.bitwise_not("bit")).alias("point"))
+    hub = at.groupBy("point", "bit").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1")
+    return at.join(hub, ["point", "bit"]).where("fp <> u").select("u", F.col("fp").alias("v"))
 
 
 def near_groups(docs: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
@@ -144,13 +147,11 @@ def near_groups(docs: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of `docs` that stay, one a component, with all their columns."""
-    gone = near_groups(docs, max_bits=max_bits).where(~F.col("kept")).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
-    )
-    return docs.join(
-        staged(gone, "near-copies"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti"
-    )
+    """The rows of `docs` that stay, one a component, with all their columns, whatever their names."""
+    gone = staged(near_groups(docs, max_bits=max_bits).where(~F.col("kept")).select("doc_id", "text_hash"), "near-copies")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    same = rows["id"].eqNullSafe(gone["doc_id"]) & (rows["hash"] == gone["text_hash"])
+    return rows.join(gone, same, "left_anti").select("row.*")
 
 
 def op2_simhash(spark, sf_dir):
