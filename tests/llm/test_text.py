@@ -1,0 +1,183 @@
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from shelfsight.llm import pii, quality, secrets, toxicity
+
+INSULTS = ("blockhead", "numbskull")
+
+
+def test_toxicity_learns_words_and_beginnings(spark):
+    rng = np.random.default_rng(2)
+    plain = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    rows = []
+    for i in range(600):
+        words = list(rng.choice(plain, 30))
+        toxic = i % 4 == 0
+        if toxic:
+            words[7] = "zorgl" + "".join(rng.choice(list("xyz"), 3)) if i % 8 else INSULTS[i % 2]
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int"))
+    wrong = [r for r in rows if (toxicity.score(r[1], model.bias, model.weights) >= 0.5) != bool(r[2])]
+    assert len(wrong) < 6
+    assert toxicity.score("", model.bias, model.weights) < 0.5
+
+
+def test_swapping_keeps_group_mentions_neutral():
+    """A group named in most toxic texts and few others gains much less weight with the penalty."""
+    rows = [(1, [0, 1], [1, 2])] * 40 + [(0, [3], [3])] * 40 + [(0, [0, 3], [2, 3])] * 4
+    free, bound = (toxicity.fit_weights(rows, 4, counterfactual=c)[:3] for c in (0.0, 50.0))
+    assert abs(bound[0] - bound[2]) < 0.3 * abs(free[0] - free[2])
+    assert bound[1] > 0
+    assert toxicity.swapped({"muslim", "tree"}) == {"christian", "tree"}
+
+
+@pytest.mark.parametrize("labels", [[], [(2, 1), (3, 1)], [(2, 0), (None, 1), (3, None)]])
+def test_toxicity_without_both_labels(spark, edge, labels):
+    model = toxicity.train(edge, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scores = edge.select("doc_id", toxicity.toxicity_score(edge, model).alias("score")).collect()
+    assert len(scores) == edge.count() and all(0 <= r.score <= 1 for r in scores)
+
+
+def test_toxicity_edges(edge, clashing, empty, spark):
+    labels = spark.createDataFrame([(3, 1), (8, 0), (9, 0), (12, 1)], "doc_id long, toxic int")
+    for docs in (edge, clashing, empty):
+        kept = toxicity.drop_toxic(docs, toxicity.train(docs, labels))
+        assert kept.columns == docs.columns and kept.count() <= docs.count()
+
+
+def test_crf_against_brute_force():
+    """Viterbi finds the best of all labellings."""
+    rng = np.random.default_rng(4)
+    for n in range(1, 8):
+        unary, pair = rng.normal(size=len(quality.SIGNS) + 1), rng.normal(size=(2, 2))
+        signs = rng.integers(0, 1 << len(quality.SIGNS), n).tolist()
+        on = quality._bits(np.array(signs)) @ unary
+        value = lambda y: sum(o for o, s in zip(on, y) if s) + sum(pair[a, b] for a, b in zip(y, y[1:]))
+        best = max(range(1 << n), key=lambda k: value([k >> i & 1 for i in range(n)]))
+        got = quality.viterbi(signs, unary, pair)
+        assert value(list(map(int, got))) == pytest.approx(value([best >> i & 1 for i in range(n)]))
+    assert quality.viterbi([], unary, pair) == []
+
+
+def test_field_learns_a_chain():
+    rng = np.random.default_rng(6)
+    lines = [[(1 if y == 0 else 1 << 11, y) for y in rng.integers(0, 2, 12).tolist()] for _ in range(60)]
+    field = quality.fit_field(lines)
+    right = sum(int(a) == y for s in lines for a, (_, y) in zip(quality.viterbi([x for x, _ in s], field.unary, field.pair), s))
+    assert right > 0.97 * 720
+    assert quality.fit_field([]) is quality.NO_LABELS
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+@pytest.mark.parametrize("name", ["edge", "small", "clashing", "empty"])
+def test_quality_counts(request, spark, name):
+    docs = request.getfixturevalue(name)
+    labels = spark.createDataFrame([(8, 1), (13, 0), (12, 0), (None, 1)], "doc_id long, quality int")
+    found = quality.judge(docs, quality.train_field(docs, labels)).collect()
+    by_hand = Counter()
+    for r in docs.select("doc_id", "text").collect():
+        ws = words_of(r.text)
+        windows = Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
+        again = len({k for i in range(len(ws) - 7) if windows[tuple(ws[i : i + 8])] > 1 for k in range(i, i + 8)})
+        lines = [x for x in (r.text or "").split("\n") if words_of(x)]
+        failed = len(ws) < 20 or 100 * again > 30 * len(ws)
+        by_hand[r.doc_id, len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", r.text or "")), len(lines) - len(set(lines)), again, failed] += 1
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found) == by_hand
+    assert not any(r.kept and r.base_failed for r in found)
+
+
+PRIVATE = [
+    (1, "mail bo.b7@mail8.example.com or BO.B7@MAIL8.EXAMPLE.COM!! ip 10.2.3.44, +1 (988) 555-2485 and +1 988 555 2485"),
+    (2, "card 4111 1111 1111 1111 / 4111111111111111. SSN 123-45-6789; Mr. John Smith met Mrs Smith, Anna Schmidt and Анна Петрова"),
+    (3, "Mr. John Smith again; version 9.9.9.9.9, 12 apples, x@foo-bar.co.uk"),
+    (4, "Frau Maria Berg und Иван Берг, DE89370400440532013000"),
+]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10
+
+
+def test_surrogates(spark):
+    docs = spark.createDataFrame(PRIVATE, "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace_pii(docs).collect()}
+    texts = "\n".join(out[i].text for i in (1, 2, 3, 4))
+    for value in ("bo.b7", "BO.B7", "10.2.3.44", "555-2485", "555 2485", "4111", "123-45-6789", "Smith", "Schmidt", "Петрова", "foo-bar", "Berg", "8937"):
+        assert value not in texts
+    assert "9.9.9.9.9" in texts and "12 apples" in texts
+    mail = re.search(r"mail (\S+) or (\S+)!!", out[1].text)
+    assert mail[1].upper() == mail[2] and mail[1].endswith("@mail8.example.com") and re.fullmatch(r"[a-z]{2}\.[a-z]\d@.*", mail[1])
+    phones = re.search(r"(\+1 \(\d{3}\) \d{3}-\d{4}) and (\+1 \d{3} \d{3} \d{4})$", out[1].text)
+    assert re.sub(r"\D", "", phones[1]) == re.sub(r"\D", "", phones[2])
+    cards = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) / (\d{16})", out[2].text)
+    assert cards[1].replace(" ", "") == cards[2] and luhn(cards[2]) == 0
+    man, surname = re.search(r"Mr\. (\S+) (\S+) met Mrs (\S+),", out[2].text).group(1, 2)
+    assert f"Mrs {surname}," in out[2].text and f"Mr. {man} {surname} again" in out[3].text
+    assert man in pii.GIVEN_NAMES["latin", "m"]
+    assert re.search(r"(\S+) \S+$", out[2].text)[1] in pii.GIVEN_NAMES["cyrillic", "f"]
+    assert len(out[1].text) == len(PRIVATE[0][1]) + len(re.search(r"ip (\S+),", out[1].text)[1]) - len("10.2.3.44")
+    again = {r.doc_id: r.text for r in pii.replace_pii(docs).collect()}
+    assert again == {i: r.text for i, r in out.items()}
+    assert {r.text for r in pii.replace_pii(docs, key="other").collect()}.isdisjoint(again.values())
+
+
+def test_surrogates_are_distinct(spark):
+    """Short forms, nearly all taken: every value gets one of its own, and none is a real value."""
+    rows = [("email", f"{a}@h.org") for a in "bcdfghjklmnp"] + [("ssn", f"{i:09d}") for i in range(500)] + [("ip", f"10.0.{i}.1") for i in range(100)]
+    found = pii.surrogates(spark.createDataFrame(rows, "kind string, value string")).collect()
+    assert sorted((r.kind, r.value) for r in found) == sorted(rows)
+    assert len({(r.kind, r.surrogate) for r in found}) == len(rows) and not {(r.kind, r.surrogate) for r in found} & set(rows)
+
+
+def test_given_names_cycle():
+    names = pii.given_names("k")
+    assert sorted(n.lower() for n in names.values()) == sorted(names) and all(a != b.lower() for a, b in names.items())
+
+
+@pytest.mark.parametrize("name", ["edge", "clashing", "empty"])
+def test_pii_edges(request, name):
+    docs = request.getfixturevalue(name)
+    out = pii.replace_pii(docs)
+    assert set(out.columns) == set(docs.columns) | {"n_entities"} and out.count() == docs.count()
+    rows = Counter((r.doc_id, r.text) for r in out.where("doc_id is null or doc_id <> 14").select("doc_id", "text").collect())
+    assert rows == Counter((r.doc_id, r.text) for r in docs.where("doc_id is null or doc_id <> 14").select("doc_id", "text").collect())
+
+
+def secret_docs(spark):
+    rng = np.random.default_rng(9)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    caps = lambda: "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16))
+    rows = []
+    for i in range(200):
+        body = [f'it has token = "{hexes(40)}" set', f"order 41{i:014d} was paid", f"use {caps()} there", "WHATALONGWORDITISINDEED is said"][i % 4]
+        rows.append((i, f"some plain words stand here {body} and more words follow", "src/a.py"))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_secrets(spark):
+    found = secrets.scan_secrets(secret_docs(spark)).collect()
+    by_kind = {k: [r.is_secret for r in found if r.doc_id % 4 == k] for k in range(4)}
+    assert sum(by_kind[0]) + sum(by_kind[2]) >= 97 and sum(by_kind[1]) + sum(by_kind[3]) <= 2
+    assert [len(v) for v in by_kind.values()] == [50] * 4
+
+
+def test_secrets_with_given_labels(spark):
+    """With labels that say otherwise, digits are what is looked for."""
+    docs = secret_docs(spark)
+    given = secrets.candidates(docs)
+    given = given.withColumn("label", given["value"].rlike(r"^\d+$").cast("double"))
+    found = secrets.scan_secrets(docs, findings=given).collect()
+    assert all(r.is_secret == bool(re.fullmatch(r"\d+", r.value)) for r in found)
+
+
+@pytest.mark.parametrize("name", ["edge", "clashing", "empty"])
+def test_secrets_edges(request, name):
+    found = secrets.scan_secrets(request.getfixturevalue(name)).collect()
+    assert all(r.probability == 1.0 and r.is_secret for r in found)
