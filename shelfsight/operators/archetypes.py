@@ -25,57 +25,67 @@ def linkage(vocabulary: DataFrame, edges: DataFrame, *, method: str = "average",
     """(label, root) and the merges (distance, a, b) with distance at most `threshold`.
 
     vocabulary: label; edges: a < b, distance below 1. From a threshold of 1 on all labels are one cluster.
+    An edge carries its clusters' sizes, so a round needs no other table.
     """
-    members = written(vocabulary.select("label", F.col("label").alias("root"), F.lit(1).cast("long").alias("size")), "members")
-    now = written(edges.select("a", "b", (1 - F.col("distance")).alias("s")), "edges")
-    merges = None
+    one = F.lit(1).cast("long")
+    now = written(edges.select("a", "b", (1 - F.col("distance")).alias("s"), one.alias("na"), one.alias("nb")), "edges")
+    rounds: list[DataFrame] = []
     while True:
-        sizes = members.groupBy("root").agg(F.max("size").alias("size"))
-        na, nb = (sizes.select(F.col("root").alias(k), F.col("size").alias(f"n{k}")) for k in "ab")
         near = F.col("s") / (F.col("na") * F.col("nb")) if method == "average" else F.col("s")
-        pair = now.join(na, "a").join(nb, "b").select(F.struct(F.round(1 - near, TOLERANCE_PLACES).alias("distance"), "a", "b").alias("p"))
-        pair = pair.where(F.col("p.distance") <= threshold)
-        nearest = pair.select(F.explode(F.array("p.a", "p.b")).alias("node"), "p").groupBy("node").agg(F.min("p").alias("p"))
-        mutual = nearest.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.distance", "p.a", "p.b")
-        mutual = written(mutual, "merges")
+        pair = now.select(F.struct(F.round(1 - near, TOLERANCE_PLACES).alias("distance"), "a", "b", (F.col("na") + F.col("nb")).alias("size")).alias("p"))
+        nearest = (
+            pair.where(F.col("p.distance") <= threshold)
+            .select(F.explode(F.array("p.a", "p.b")).alias("node"), "p")
+            .groupBy("node")
+            .agg(F.min("p").alias("p"))
+        )
+        mutual = written(nearest.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.*"), "merges")
         if mutual.limit(1).count() == 0:
             break
-        merges = mutual if merges is None else merges.unionByName(mutual)
-        renamed = mutual.select(F.col("b").alias("old"), F.col("a").alias("new"))
-        parts = mutual.select(F.col("a").alias("node"))
-        members = members.join(renamed, members["root"] == renamed["old"], "left").select("label", F.coalesce("new", "root").alias("root"))
-        members = written(members.withColumn("size", F.count("*").over(Window.partitionBy("root"))), "members")
-        now = written(_merged_edges(now, renamed, parts, method), "edges")
+        rounds.append(mutual)
+        now = written(_merged_edges(now, mutual, method), "edges")
+    merges = rounds[0] if rounds else mutual
+    for more in rounds[1:]:
+        merges = merges.unionByName(more)
+    merges = merges.select("distance", "a", "b")
+    members = _roots(vocabulary, merges)
     if threshold >= 1:
         left = members.select("root").distinct()
         first = left.agg(F.min("root").alias("_first"))
         rest = left.crossJoin(F.broadcast(first)).where("root <> _first").select(F.lit(1.0).alias("distance"), F.col("_first").alias("a"), F.col("root").alias("b"))
-        merges = rest if merges is None else merges.unionByName(rest)
+        merges = merges.unionByName(rest)
         members = members.drop("root").crossJoin(F.broadcast(first)).withColumnRenamed("_first", "root")
-    if merges is None:
-        merges = mutual
     return members.select("label", "root"), merges
 
 
-def _merged_edges(edges: DataFrame, renamed: DataFrame, parts: DataFrame, method: str) -> DataFrame:
+def _merged_edges(edges: DataFrame, mutual: DataFrame, method: str) -> DataFrame:
+    """Edges between the clusters after a round. Which parts an edge had decides how many edges a new one is made of."""
+    new = mutual.select(F.explode(F.array("a", "b")).alias("old"), F.col("a").alias("new"), "size")
     out = edges
     for k in "ab":
-        names = renamed.select(F.col("old").alias(f"_o{k}"), F.col("new").alias(f"_n{k}"))
-        out = out.join(names, out[k] == names[f"_o{k}"], "left").withColumn(k, F.coalesce(f"_n{k}", k)).drop(f"_o{k}", f"_n{k}")
-    out = out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s")
-    if method == "average":  # s is the sum of similarities of the labels
-        return out.groupBy("a", "b").agg(F.sum("s").alias("s"))
-    if method == "single":
-        return out.groupBy("a", "b").agg(F.max("s").alias("s"))
-    for k in "ab":  # a cluster merged in this round stands for two
-        two = parts.select(F.col("node").alias(k), F.lit(2).alias(f"two_{k}"))
-        out = out.join(two, k, "left")
-    halves = F.coalesce("two_a", F.lit(1)) * F.coalesce("two_b", F.lit(1))
-    out = out.withColumn("expected", halves)
-    if method == "weighted":
-        return out.groupBy("a", "b").agg(F.sum(F.col("s") / F.col("expected")).alias("s"))
-    grouped = out.groupBy("a", "b").agg(F.min("s").alias("s"), F.count("*").alias("n"), F.max("expected").alias("expected"))
-    return grouped.where("n = expected").select("a", "b", "s")
+        names = new.select(F.col("old").alias(f"o{k}"), F.col("new").alias(f"m{k}"), F.col("size").alias(f"s{k}"))
+        out = out.join(names, F.col(k) == F.col(f"o{k}"), "left")
+        out = out.withColumn(k, F.coalesce(f"m{k}", k)).withColumn(f"n{k}", F.coalesce(f"s{k}", f"n{k}")).withColumn(f"p{k}", F.when(F.col(f"o{k}").isNull(), 1).otherwise(2))
+    ends = F.array_sort(F.array(*[F.struct(F.col(k).alias("node"), F.col(f"n{k}").alias("size")) for k in "ab"]))
+    out = out.where("a <> b").select(ends.alias("e"), "s", (F.col("pa") * F.col("pb")).alias("parts"))
+    total = {
+        "average": F.sum("s"),  # s is the sum of similarities of the labels
+        "single": F.max("s"),
+        "weighted": F.sum(F.col("s") / F.col("parts")),
+        "complete": F.when(F.count("*") == F.max("parts"), F.min("s")),  # a part without an edge is at distance 1
+    }[method]
+    grouped = out.groupBy("e").agg(total.alias("s")).where("s is not null")
+    return grouped.select(*[F.col("e")[i]["node"].alias(k) for i, k in enumerate("ab")], "s", *[F.col("e")[i]["size"].alias(f"n{k}") for i, k in enumerate("ab")])
+
+
+def _roots(vocabulary: DataFrame, merges: DataFrame) -> DataFrame:
+    """(label, root) from merges of b into a, each b once: parents of parents until none has one."""
+    now = written(vocabulary.join(merges, vocabulary["label"] == merges["b"], "left").select("label", F.coalesce("a", "label").alias("root")), "roots")
+    while True:
+        up = now.where("label <> root").select(F.col("label").alias("root"), F.col("root").alias("_up"))
+        if now.join(up, "root", "left_semi").limit(1).count() == 0:
+            return now
+        now = written(now.join(up, "root", "left").select("label", F.coalesce("_up", "root").alias("root")), "roots")
 
 
 def numbered(members: DataFrame) -> DataFrame:

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from ..params import MONTH_DAYS, PLAY_MODES, AnalysisParams
 
 
-def seconds(c: Column) -> Column:
-    """Seconds since 1970 of a date or timestamp."""
-    return F.unix_micros(c.cast("timestamp")) / 1e6
+def micros(c: Column) -> Column:
+    """Microseconds since 1970 of a date or timestamp; whole numbers, so that edges of windows are exact."""
+    return F.unix_micros(c.cast("timestamp"))
 
 
-def window_start(as_of: str, months: int) -> Column:
-    return seconds(F.lit(as_of)) - months * MONTH_DAYS * 86400
+def span_micros(months: int) -> int:
+    return round(months * MONTH_DAYS * 86_400_000_000)
 
 
 def trailing(items: DataFrame, as_of: str, months: int) -> DataFrame:
     """Rows released no earlier than `months` of 30.44 days before; no upper bound; null dates drop."""
-    return items.where(seconds(F.col("released")) >= window_start(as_of, months))
+    return items.where(micros(F.col("released")) >= micros(F.lit(as_of)) - span_micros(months))
 
 
 def simple_cut(items: DataFrame, quantile: float, *, approximate: bool = False) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..params import MONTH_DAYS
-from .scoring import seconds
+from .scoring import micros, span_micros
 
 SUB_WINDOWS = 4
 
@@ -18,15 +17,15 @@ def trend_windows(items: DataFrame, *, months: int, as_of: str | None = None, pa
     """
     if months % parts:
         raise ValueError(f"months must divide by {parts}")
-    width = months // parts * MONTH_DAYS * 86400
+    width = span_micros(months // parts)
     if as_of is None:
-        end = items.agg(F.max(seconds(F.col("released"))).alias("_end"))
+        end = items.agg(F.max(micros(F.col("released"))).alias("_end"))
     else:
-        end = items.sparkSession.range(1).select(seconds(F.lit(as_of)).alias("_end"))
-    at = items.crossJoin(F.broadcast(end)).withColumn("sub_window", F.floor((F.col("_end") - seconds(F.col("released"))) / width).cast("int"))
+        end = items.sparkSession.range(1).select(micros(F.lit(as_of)).alias("_end"))
+    at = items.crossJoin(F.broadcast(end)).withColumn("sub_window", F.floor((F.col("_end") - micros(F.col("released"))) / width).cast("int"))
     kept = at.where((F.col("sub_window") >= 0) & (F.col("sub_window") < parts))
     grouped = kept.groupBy("cluster_id", "sub_window", "_end").agg(F.count("*").alias("n_items"), F.median("sales_mid").alias("median_sales"))
-    edge = lambda k: F.timestamp_micros(((F.col("_end") - (F.col("sub_window") + k) * width) * 1e6).cast("long"))
+    edge = lambda k: F.timestamp_micros(F.col("_end") - (F.col("sub_window") + k) * F.lit(width).cast("long"))
     return grouped.select("cluster_id", "sub_window", edge(1).alias("starts"), edge(0).alias("ends"), "n_items", "median_sales")
 
 

@@ -25,8 +25,8 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 MONTHS = 48
 AN = AnalysisParams(min_cluster_size=2)
-WINDOW_FROM = f"epoch(TIMESTAMP '{D.AS_OF}') - {MONTHS} * 30.44 * 86400"
-WIDTH = MONTHS // 4 * 30.44 * 86400
+WINDOW_FROM = f"epoch_us(TIMESTAMP '{D.AS_OF}') - {S.span_micros(MONTHS)}"
+WIDTH = S.span_micros(MONTHS // 4)
 
 
 def query(sql: str | None = None):
@@ -80,7 +80,7 @@ scored AS (SELECT normal.*, {", ".join(f"{_VALUE[f]} * {D.PARAMS.weights[f]!r}::
   [x FOR x IN [{", ".join(f"CASE WHEN {_ABSENT[f]} THEN '{f}' END" for f in X.FEATURES)}] IF x IS NOT NULL] AS imputed FROM normal, medians),
 finished AS (SELECT *, CASE WHEN len(imputed) / 10.0 <= 0.4 AND n_platform_count IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, {" + ".join(f"part_{f}" for f in X.FEATURES)})) END AS complexity FROM scored)"""
 WITH = f"WITH {SCORED}"
-RECENT = f"{SCORED}, recent AS (SELECT * FROM finished WHERE epoch(released) >= {WINDOW_FROM})"
+RECENT = f"{SCORED}, recent AS (SELECT * FROM finished WHERE epoch_us(released) >= {WINDOW_FROM})"
 
 
 def scored(spark, d) -> DataFrame:
@@ -160,9 +160,9 @@ def label_summary(spark, d):
 
 # ---- trends ----
 
-TRENDS = f"""{SCORED}, e AS (SELECT max(epoch(released)) AS last FROM finished),
-bucketed AS (SELECT cluster_id, CAST(floor((last - epoch(released)) / {WIDTH!r}) AS INT) AS sub_window, last, sales_mid FROM finished, e WHERE released IS NOT NULL),
-windows AS (SELECT cluster_id, sub_window, make_timestamp(CAST(trunc((last - (sub_window + 1) * {WIDTH!r}) * 1000000) AS BIGINT)) AS starts, make_timestamp(CAST(trunc((last - sub_window * {WIDTH!r}) * 1000000) AS BIGINT)) AS ends, count(*) AS n_items, round(median(sales_mid), 6) AS median_sales
+TRENDS = f"""{SCORED}, e AS (SELECT max(epoch_us(released)) AS last FROM finished),
+bucketed AS (SELECT cluster_id, CAST(floor((last - epoch_us(released)) / {WIDTH}) AS INT) AS sub_window, last, sales_mid FROM finished, e WHERE released IS NOT NULL),
+windows AS (SELECT cluster_id, sub_window, make_timestamp(last - (sub_window + 1) * {WIDTH}) AS starts, make_timestamp(last - sub_window * {WIDTH}) AS ends, count(*) AS n_items, round(median(sales_mid), 6) AS median_sales
   FROM bucketed WHERE sub_window BETWEEN 0 AND 3 GROUP BY cluster_id, sub_window, last),
 slopes AS (SELECT cluster_id, round(regr_slope(median_sales, sub_window), 6) AS slope, count(median_sales) AS n_points FROM windows GROUP BY 1)"""
 
