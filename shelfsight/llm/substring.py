@@ -158,7 +158,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> dict[str, DataFr
     rows = staged(
         keyed.mapInArrow(_seed_rows(window), f"doc_id {id_type}, d1 long, d2 long, n_words long, whole string, seeds array<long>, places array<int>"), "seeds"
     )
+    # written, so that the joins below have nothing but a shuffle on either side, which Spark can split where a seed or window is hot
     again = rows.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    again = staged(again, "again")
     at = rows.select("doc_id", "d1", "d2", F.explode(F.arrays_zip("seeds", "places")).alias("s"))
     at = at.select("doc_id", "d1", "d2", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
     hits = at.join(again, "seed").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.collect_set("place").alias("again"))
@@ -171,7 +173,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> dict[str, DataFr
     each = windows.select("d1", "d2", F.explode(F.arrays_zip("starts", "w1", "w2")).alias("w")).select(
         "d1", "d2", F.col("w.starts").alias("start"), F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2")
     )
-    shared = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    shared = staged(each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "shared")
     starts = staged(each.join(shared, ["w1", "w2"]).groupBy("d1", "d2").agg(F.collect_set("start").alias("starts")), "starts")
     cut = (
         windows.select("d1", "d2", "text")
