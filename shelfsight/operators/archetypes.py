@@ -147,6 +147,12 @@ def cluster_names(clusters: DataFrame, popular: DataFrame, *, shown: int = 3) ->
     return grouped.select("cluster_id", "members", F.array_join(top, " / ").alias("name"))
 
 
+def cluster_statistics(clusters: DataFrame) -> DataFrame:
+    """One row: how many clusters, and the median of their labels."""
+    sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("clusters"), F.median("n").alias("median_members"))
+
+
 @dataclass(frozen=True)
 class Archetypes:
     assignments: DataFrame

@@ -19,6 +19,7 @@ from ..operators.select import case_rows, diverse_top
 from ..params import AnalysisParams, FeatureParams, FilterParams, canonical
 from ..sources import driver_tables as D
 from ..sources import tables as B
+from ..streaming import streams as Z
 from . import composites as Q
 
 QUERIES: dict = {}
@@ -676,3 +677,70 @@ def event_validity(spark, d):
 @query()
 def info_throttle(spark, d):
     return N.throttle_info(D.event_log(spark, d), gap_seconds=36_000)
+
+
+# ---- composites ----
+
+RUN = AnalysisParams(generic_share=0.3, distance_threshold=0.95, min_votes=-100, min_cluster_size=2)
+
+
+@query()
+def enrichment_run(spark, d):
+    """Payloads to enriched items, all steps in order."""
+    catalog, details, reviews, listed = part_payloads(spark, d)
+    maps = D.labels(spark, d).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "votes"))).alias("labels"))
+    items, _ = Q.enrich(catalog, details, reviews, maps.join(listed, "item_id", "left_semi"), D.PARAMS)
+    return items.select("item_id", "bucket", "sales_mid", "revenue_net", "complexity", "imputed", "effort_return")
+
+
+@query()
+def report_run(spark, d):
+    """Analysis and report: the example items."""
+    items = scored(spark, d)
+    found = Q.analyse(items.drop("cluster_id"), D.labels(spark, d), D.AS_OF, RUN)
+    return Q.report(found, items, X.rank_labels(D.labels(spark, d), 20), items.agg(F.count("*").alias("catalog")))["cases"]
+
+
+@query()
+def analysis_counts(spark, d):
+    items = scored(spark, d).drop("cluster_id")
+    found = Q.analyse(items, D.labels(spark, d), D.AS_OF, RUN)
+    return Q.analysis_report(items, found["simple"], found["assignments"], found["demand"], RUN)
+
+
+@query(f"WITH {GIVEN}, s AS (SELECT cluster_id, count(*) AS n FROM given GROUP BY 1) SELECT count(*) AS clusters, median(n) AS median_members FROM s")
+def cluster_stats(spark, d):
+    return C.cluster_statistics(given(spark, d)[1])
+
+
+@query(f"{WITH}, c AS (SELECT quantile_cont(complexity, 0.4) AS cut FROM finished) SELECT count(*) AS candidates, count(*) FILTER (complexity <= cut) AS simple_size FROM finished, c")
+def funnel_with_simple_size(spark, d):
+    items = scored(spark, d)
+    return U.with_simple_size(items.agg(F.count("*").alias("candidates")), S.simple_tally(items, 0.4))
+
+
+# ---- streams over the event table ----
+
+
+def event_stream(spark, d):
+    schema = D.table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)  # a stream reads folders
+
+
+@query("SELECT event_id, user_id AS run_id FROM events WHERE event_type = 'error'")
+def event_tail_stream(spark, d):
+    return Z.settled(event_stream(spark, d).where("event_type = 'error'").select("event_id", F.col("user_id").alias("run_id")), "tail")
+
+
+@query()
+def info_throttle_stream(spark, d):
+    level = F.when(F.col("event_type") == "error", "error").otherwise("info")
+    log = event_stream(spark, d).select("event_id", F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), level.alias("level"))
+    return Z.settled(Z.throttled(log, gap_seconds=36_000), "throttle")
+
+
+@query(f"WITH {STATE} SELECT run_id, stage, status, attempt FROM state")
+def stage_state_stream(spark, d):
+    status = F.when(F.col("value") < 10, "running").when(F.col("value") < 25, "succeeded").otherwise("failed")
+    log = event_stream(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), status.alias("status"), "ts", F.col("event_id").alias("seq"))
+    return Z.settled(Z.stage_states(log).select("run_id", "stage", "status", "attempt"), "states", mode="complete")

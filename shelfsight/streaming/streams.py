@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.runs import LEVELS, stage_state
+from ..sources.scratch import scratch_dir
 from ..sources.tables import EVENT, PAYLOAD, append_payloads
 
 
@@ -54,3 +56,19 @@ def throttled(events: DataFrame, *, gap_seconds: float = 2.0) -> DataFrame:
 def stage_states(log: DataFrame) -> DataFrame:
     """Stage state of a streaming stage log, for update or complete mode."""
     return stage_state(log)
+
+
+def settled(stream: DataFrame, label: str, *, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there now and return what it gave, from the shared folder.
+
+    append: rows of all batches; complete: those of the last batch.
+    """
+    spark = stream.sparkSession
+    folder = f"{scratch_dir(spark)}/shelfsight/{label}-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{folder}/rows")
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
