@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,7 +73,7 @@ def score(text: str, bias: float, weights: dict[str, float]) -> float:
     return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def fit_weights(rows: list[tuple[int, list[int], list[int]]], n: int, *, ridge: float = 2.0, counterfactual: float = 4.0, steps: int = 400) -> np.ndarray:
+def fit_weights(rows: list[tuple[int, Sequence[int], Sequence[int]]], n: int, *, ridge: float = 2.0, counterfactual: float = 4.0, steps: int = 400) -> np.ndarray:
     """Weights (n features, bias last) of (label, active, active after the swap) rows, classes weighing alike.
 
     Minimises mean log loss + ridge |w|^2 / rows + counterfactual * mean (z(x) - z(swapped x))^2 by
@@ -85,10 +85,13 @@ def fit_weights(rows: list[tuple[int, list[int], list[int]]], n: int, *, ridge:
         w = np.zeros(n + 1)
         w[n] = 0.0 if not len(y) else (3.0 if y.all() else -3.0)
         return w
-    at = np.concatenate([np.full(len(r[1]), i) for i, r in enumerate(rows)]).astype(np.int64)
-    col = np.concatenate([np.asarray(r[1], np.int64) for r in rows])
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
+    col = np.concatenate([np.asarray(r[1], np.int32) for r in rows])
     d_at, d_col, d_sign = [], [], []
     for i, (_, now, then) in enumerate(rows):
+        if then is now:
+            continue
+        now, then = list(map(int, now)), list(map(int, then))
         for c, s in [(c, 1.0) for c in set(now) - set(then)] + [(c, -1.0) for c in set(then) - set(now)]:
             d_at.append(i), d_col.append(c), d_sign.append(s)
     d_at, d_col, d_sign = np.array(d_at, np.int64), np.array(d_col, np.int64), np.array(d_sign)
@@ -139,16 +142,22 @@ def fit(labelled: DataFrame, *, max_rows: int = MAX_ROWS, max_features: int = MA
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {"toxic": [], "now": [], "then": []}
+            toxic, now, then = [], [], []
+            active = lambda w: np.array(sorted(place[f] for f in place.keys() & features(w)), np.uint16).tobytes()
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(text or "")
-                for k, w in (("now", words), ("then", swapped(words, kinds))):
-                    out[k].append(np.array(sorted(place[f] for f in place.keys() & features(w)), np.uint16).tobytes())
-                out["toxic"].append(y)
-            yield pa.RecordBatch.from_pydict(out)
-
-    data = [(r[0], np.frombuffer(r[1], np.uint16).tolist(), np.frombuffer(r[2], np.uint16).tolist()) for r in rows.mapInArrow(encoded, "toxic long, now binary, then binary").collect()]
-    data.sort()
+                other = swapped(words, kinds)
+                toxic.append(y)
+                now.append(active(words))
+                then.append(None if other == words else active(other))
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int64()), pa.array(now, pa.binary()), pa.array(then, pa.binary())], names=["toxic", "now", "then"])
+
+    # two bytes a feature: a bounded sample stays small on the driver
+    taken = sorted((r[0], bytes(r[1]), bytes(r[2] or b""), r[2] is not None) for r in rows.mapInArrow(encoded, "toxic long, now binary, then binary").toLocalIterator())
+    data = []
+    for y, now, then, differs in taken:
+        active = np.frombuffer(now, np.uint16)
+        data.append((y, active, np.frombuffer(then, np.uint16) if differs else active))
     w = fit_weights(data, len(names))
     return Model(float(w[-1]), {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-4})
 
