@@ -14,7 +14,7 @@ DETAIL_DATA = (
     " pc_requirements struct<minimum:string,recommended:string>, developers array<string>, publishers array<string>,"
     " price_overview struct<currency:string,initial:bigint,final:bigint>, platforms map<string,boolean>,"
     " categories array<struct<id:string,description:string>>, genres array<struct<id:string,description:string>>,"
-    " achievements struct<total:string>, release_date struct<coming_soon:boolean,date:string>, steam_deck_compat struct<compat_category:string>"
+    " achievements struct<total:string>, release_date struct<coming_soon:boolean,date:string>, deck_compat struct<compat_category:string>"
 )
 DETAIL = f"success boolean, data struct<{DETAIL_DATA.replace(' string', ':string').replace(' boolean', ':boolean').replace(' array<', ':array<').replace(' struct<', ':struct<').replace(' map<', ':map<')}>"
 REVIEWS = "success int, query_summary struct<total_positive:bigint,total_negative:bigint,total_reviews:bigint>"

@@ -54,7 +54,7 @@ def normalize_items(catalog: DataFrame, details: DataFrame, reviews: DataFrame,
         F.when(ok, F.coalesce(F.size(x("dlc")), F.lit(0))).alias("addon_count"),
         early.alias("is_early_access"),
         F.lit(None).cast("int").alias("early_access_days"),
-        x("steam_deck_compat.compat_category").alias("handheld"),
+        x("deck_compat.compat_category").alias("handheld"),
         T.lenient_date(x("release_date.date")).alias("released"),
         genres.alias("genres"),
         P.names_of(x("categories")).alias("categories"),
