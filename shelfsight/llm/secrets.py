@@ -23,15 +23,20 @@ MAX_ROWS = 20_000
 LEAST_COUNT = 5
 NEIGHBOUR_CHARS = 60
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*\d|[A-Z]{16}|[A-Za-z]*[a-z][A-Z])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])"
-#: Words that name a secret, and words of examples.
+#: Words that name a secret, and words of examples: as whole words of a name or path (parts between signs or capitals
+#: count), and in a value, where words of four letters must be whole.
 NAMING = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private|client[_-]?id|signature)"
-EXAMPLE = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|fixture|mock)"
+EXAMPLE = r"((?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:examples?|sample|dummy|placeholder|changeme|your|x{4,}|tests?|fixtures?|mock)(?![a-z]|(?<=[A-Z])[A-Z])"
+EXAMPLE_VALUE = rf"(?i:example|sample|dummy|placeholder|changeme|your[_-]|xxxx|fixture)|{EXAMPLE}"
 ASSIGNED = r"""["']?\s*[=:]\s*["'`]?$"""
+#: The name that a value is assigned to; an address is none.
+NAME = r"(?<![@\w-])([\w-]+)" + ASSIGNED
 #: Prefixes by which issuers mark their keys.
+ISSUED_TEST = "^sk_test_"
 ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^xox[abpr]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{30,}$"
 FEATURES = (
     "length", "digit_share", "upper_share", "distinct_share", "class_changes", "hex_only", "transitions", "coverage",
-    "path_example", "path_depth", "named", "assigned", "quoted", "example_beside", "words_beside",
+    "path_example", "path_depth", "named", "assigned", "quoted", "example_named", "words_beside",
 )
 
 
@@ -82,6 +87,12 @@ def transition_logs(words: DataFrame) -> Column:
     return F.create_map(*[F.lit(x) for pair in logs.items() for x in pair])
 
 
+def is_example() -> Column:
+    """The value itself, or the name it is assigned to, says that it is an example. Other words nearby say nothing of it."""
+    value = F.regexp_replace("value", ISSUED_TEST, "")
+    return value.rlike(EXAMPLE_VALUE) | F.regexp_extract("left", NAME, 1).rlike(EXAMPLE)
+
+
 def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     """`found` with the columns of FEATURES. `words` is the dictionary."""
     logs = transition_logs(words)
@@ -112,16 +123,16 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         left.rlike(NAMING).cast("double").alias("named"),
         left.rlike(ASSIGNED).cast("double").alias("assigned"),
         (left.rlike("""["'`]$""") & right.rlike("""^["'`]""")).cast("double").alias("quoted"),
-        F.concat(left, right).rlike(EXAMPLE).cast("double").alias("example_beside"),
+        is_example().cast("double").alias("example_named"),
         F.regexp_count(F.concat(left, right), F.lit(r"\p{L}{2,}")).cast("double").alias("words_beside"),
     )
 
 
 def label_findings(found: DataFrame) -> DataFrame:
     """`found` with label 1.0 (an issuer's format, or assigned to a secret's name), 0.0 (digits only, letters only,
-    one character over and over, an example) or null."""
+    one character over and over, an example by its own text or its name) or null."""
     value, left = F.col("value"), F.col("left")
-    example = F.concat(left, "value", "right").rlike(EXAMPLE)
+    example = is_example()
     named = left.rlike(NAMING + r"\w*" + ASSIGNED)
     plain = value.rlike(r"^\d+$") | value.rlike(r"^[A-Za-z_/+-]+$") | value.rlike(r"^(.{1,2})\1+$")
     label = F.when(value.rlike(ISSUED) & ~example, 1.0).when(plain | example, 0.0).when(named, 1.0)
