@@ -42,6 +42,6 @@ def trend_rows(windows: DataFrame, slopes: DataFrame) -> DataFrame:
     return windows.unionByName(slopes, allowMissingColumns=True)
 
 
-def trend_pivot(windows: DataFrame, clusters: list[int]) -> DataFrame:
-    """ends, and the median sales of each listed cluster as a column."""
+def trend_pivot(windows: DataFrame, clusters: list[int] | None = None) -> DataFrame:
+    """ends, and the median sales of each cluster as a column; of the listed ones only, if there is a list."""
     return windows.groupBy("ends").pivot("cluster_id", clusters).agg(F.first("median_sales"))

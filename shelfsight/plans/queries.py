@@ -194,6 +194,14 @@ def trend_pivot(spark, d):
     return wide.select(F.floor(F.unix_micros("ends") / 1_000_000).cast("long").alias("ends"), *[F.col(str(k)).alias(f"c{k}") for k in (1, 2, 3)])
 
 
+@query()
+def trend_pivot_all(spark, d):
+    """A column for every cluster that the windows have; which those are depends on the data, so there is no SQL."""
+    wide = W.trend_pivot(windows(spark, d))
+    clusters = [c for c in wide.columns if c != "ends"]
+    return wide.select(F.floor(F.unix_micros("ends") / 1_000_000).cast("long").alias("ends"), *[F.col(c).alias(f"c{c}") for c in clusters])
+
+
 # ---- landing and catalog: orders as payloads of customers ----
 
 
