@@ -51,8 +51,8 @@ def lenient_date(text: Column) -> Column:
 
 
 def rationale(reviews: Column, share: Column, price: Column, size: Column, titles: Column, label: Column) -> Column:
-    """One sentence of the signals that put an item on the list; unknown ones are left out."""
-    positivity = F.when(share.isNotNull(), F.concat(F.lit(" ("), F.format_string("%.0f", share * 100), F.lit("% positive)")))
+    """One sentence of the signals that put an item on the list; unknown ones are left out. Ties of the percentage go to the even one."""
+    positivity = F.when(share.isNotNull(), F.concat(F.lit(" ("), F.format_string("%.0f", F.bround(share * 100)), F.lit("% positive)")))
     cost = F.when(price == 0, F.lit("free")).when(price.isNotNull(), F.concat(F.lit("$"), F.format_string("%.2f", price)))
     gigabytes = F.concat(F.format_string("%.1f", size / 1e9), F.lit("GB on disk"))
     megabytes = F.concat(F.format_string("%.0f", size / 1e6), F.lit("MB on disk"))

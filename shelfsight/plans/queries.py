@@ -312,6 +312,17 @@ def page_trim(spark, d):
     return U.pages_to_keep(pages, max_pages=2000).select("run_id", "page")
 
 
+@query("""WITH p AS (SELECT o_custkey % 200 AS run_id, year(o_orderdate) AS page, list_sort(list_distinct(list(o_orderkey % 3 + 3 * ((year(o_orderdate) + o_custkey % 200) // 3)))) AS ids FROM orders GROUP BY 1, 2),
+s AS (SELECT *, ids = lag(ids) OVER w AS stop FROM p WINDOW w AS (PARTITION BY run_id ORDER BY page)),
+t AS (SELECT *, max(coalesce(stop, false)::INT) OVER (PARTITION BY run_id ORDER BY page) AS stopped FROM s) SELECT run_id, page::BIGINT AS page FROM t WHERE stopped = 0""")
+def page_trim_all(spark, d):
+    """Pages of all orders; their ids move on every third year, so that some pages repeat and others do not."""
+    run, year = F.col("o_custkey") % 200, F.year("o_orderdate").cast("long")
+    ids = F.col("o_orderkey") % 3 + 3 * F.floor((year + run) / 3)
+    pages = D.table(spark, d, "orders").groupBy(run.alias("run_id"), year.alias("page")).agg(F.collect_set(ids).alias("ids"))
+    return U.pages_to_keep(pages).select("run_id", "page")
+
+
 @query("SELECT year(o_orderdate)::BIGINT AS page, o_orderkey AS item_id FROM orders WHERE o_orderkey % 2 = 0")
 def page_flatten(spark, d):
     """Orders of a customer and year as a page keyed by order id, every second key no number."""
@@ -612,6 +623,14 @@ def rationale_text(spark, d):
     return items.select("item_id", T.rationale(c("review_count"), c("positive_share"), c("price"), c("size_bytes"), none, c("maker")).alias("sentence"), T.item_link("item", c("item_id")).alias("link"))
 
 
+@query(f"WITH {D.ITEMS} SELECT item_id, concat_ws(', ', 'In ' || maker || ': ' || review_count || ' reviews' || coalesce(' (' || printf('%.0f', positive_share * 100) || '% positive)', ''), '$' || printf('%.2f', price), CASE WHEN size_bytes >= 1000000000 THEN printf('%.1f', size_bytes / 1e9) || 'GB on disk' WHEN size_bytes >= 0 THEN printf('%.0f', size_bytes / 1e6) || 'MB on disk' END, 'which may point to a small scope.') AS sentence FROM items")
+def rationale_all(spark, d):
+    """All items, those without reviews too."""
+    c = F.col
+    none = F.lit(None).cast("int")
+    return D.items(spark, d).select("item_id", T.rationale(c("review_count"), c("positive_share"), c("price"), c("size_bytes"), none, c("maker")).alias("sentence"))
+
+
 @query(f"WITH {D.ITEMS} SELECT item_id, left(sha256('{canonical(AN)}' || item_id), 12) AS version FROM items")
 def param_version(spark, d):
     return D.items(spark, d).select("item_id", T.text_version(F.concat(F.lit(canonical(AN)), F.col("item_id").cast("string"))).alias("version"))
