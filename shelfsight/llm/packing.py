@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ END_ID = 1
 ID_BYTES = 4
 CHUNK_TOKENS = 4_000_000
 STEP_TOKENS = 1 << 15
+#: Added tokens of byte_bpe_50k.json: they stand for themselves inside texts, as in `tokenizers` by default.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 def token_file() -> str:
@@ -33,14 +36,17 @@ def token_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(path: str):
-    """Text -> its ids as little-endian 32-bit bytes, by the vocabulary of a tiktoken rank file."""
+def encoder(path: str, special: dict[str, int] | None = None):
+    """Text -> its ids as little-endian 32-bit bytes, by the vocabulary of a tiktoken rank file.
+
+    Names in `special` become their one id; without it they are ordinary text.
+    """
     import public_tokenizers
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+    bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special or {})
+    return lambda text: bpe.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4").tobytes()
 
 
 def pack(lengths: list[int], tiers=TIERS) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
@@ -110,12 +116,13 @@ OUT = (
 )
 
 
-def pack_documents(docs: DataFrame, *, path: str | None = None, tiers=TIERS, end_id: int = END_ID, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, *, path: str | None = None, tiers=TIERS, end_id: int = END_ID, chunk_tokens: int = CHUNK_TOKENS, special: dict[str, int] = SPECIAL) -> DataFrame:
     """Pieces of the packed sequences of `docs` (doc_id, text; other columns are not read).
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group. Null text
-    is an empty text, one end id. Repeated rows, and null doc_ids, are packed as rows of their own. Special
-    tokens' names in a text are ordinary text. A step group is a chunk's sequences of one tier, STEP_TOKENS tokens of them at most.
+    is an empty text, one end id. Repeated rows, and null doc_ids, are packed as rows of their own. `special`
+    names tokens that are one id inside a text. A chunk's sequences of one tier are split into the fewest step groups of STEP_TOKENS
+    tokens at most, whose numbers of sequences differ by one at most.
     An empty table gives no pieces. `path` is a tiktoken rank file.
     """
     path = path or token_file()
@@ -125,9 +132,12 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, tiers=TIERS, end
     def packed(keys: list, ids: list[bytes], base: int) -> pa.RecordBatch:
         rows: list[tuple] = []
         filled: dict[int, int] = {}
-        for k, (tier, sequence) in enumerate(pack([len(x) // ID_BYTES for x in ids], tiers)):
+        sequences = list(pack([len(x) // ID_BYTES for x in ids], tiers))
+        total = Counter(tier for tier, _ in sequences)
+        groups = {tier: -(-n // max(1, STEP_TOKENS // tier)) for tier, n in total.items()}
+        for k, (tier, sequence) in enumerate(sequences):
             filled[tier] = filled.get(tier, 0) + 1
-            group = (base << 24) + (tier << 12) + (filled[tier] - 1) * tier // STEP_TOKENS
+            group = (base << 24) + (tier << 12) + (filled[tier] - 1) * groups[tier] // total[tier]
             at = 0
             for doc, start, n in sequence:
                 crc = zlib.crc32(memoryview(ids[doc])[start * ID_BYTES : (start + n) * ID_BYTES])
@@ -138,7 +148,7 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, tiers=TIERS, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of = encoder(path)
+        ids_of = encoder(path, special)
         base, keys, ids, n = TaskContext.get().partitionId() << 16, [], [], 0
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -152,3 +152,29 @@ def test_pack_covers_each_token_once():
             for d, a, k in s:
                 seen.update((d, x) for x in range(a, a + k))
         assert seen == Counter((d, x) for d, k in enumerate(lengths) for x in range(k))
+
+
+def test_end_of_text_inside_a_text_is_one_id(spark):
+    """As in a Tokenizer with default settings."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  b", "x<|endoftext|><|endoftext|>\n\ny", "<|endoftext|", "don't <|ENDOFTEXT|> \n<|endoftext|>'s 12", "é <|endoftext|>\u00a0"]
+    wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    ids = packing.encoder(packing.token_file(), packing.SPECIAL)
+    assert [np.frombuffer(ids(t), "<u4").tolist() for t in texts] == wanted and wanted[0] == [50256]
+    pieces = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {p.doc_id: p.doc_tokens for p in pieces} == {i: len(w) + 1 for i, w in enumerate(wanted)}
+
+
+def test_step_groups_are_balanced(spark):
+    docs = spark.range(40).selectExpr("id as doc_id", "repeat('a b c d ', 1300) as text").coalesce(1)
+    pieces = packing.pack_documents(docs).select("tier", "step_group", "sequence_id").distinct().collect()
+    sizes = defaultdict(Counter)
+    for p in pieces:
+        sizes[p.tier][p.step_group] += 1
+    assert len(sizes[2048]) > 1
+    for tier, groups in sizes.items():
+        assert max(groups.values()) - min(groups.values()) <= 1 and max(groups.values()) * tier <= packing.STEP_TOKENS
+        assert len(groups) == -(-sum(groups.values()) // (packing.STEP_TOKENS // tier))
