@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import STAGES
+from ..sources.scratch import written
 
 LEVELS = ("debug", "info", "warning", "error")
 SOURCES = ("catalog", "details", "reviews", "labels")
@@ -74,27 +75,61 @@ def events_after(events: DataFrame, run_id, since: int = 0) -> DataFrame:
 def throttle_info(events: DataFrame, *, gap_seconds: float = 2.0) -> DataFrame:
     """Events without info events less than the gap after the last info event kept in their run; other levels all stay.
 
-    Info events of the same kept chain depend on each other, so they are folded in order. A run's info events are first
-    split where two neighbours are a gap apart, as the chain starts anew there.
+    A kept time's successor is the first time of its run at least a gap later. Those kept are what a run's first
+    time reaches, found by joins that double the steps; no run or burst is held in one task's memory. Of equal times
+    the smallest event_id stands for all; events without a time are all kept.
     """
+    gap = int(gap_seconds * 1e6)
+    if gap <= 0:
+        return events.where(F.col("level").isNotNull())
     info = F.col("level") == "info"
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = int(gap_seconds * 1e6)
-    order = Window.partitionBy("run_id").orderBy("ts", "event_id")
-    at = events.where(info).withColumn("_at", micros)
-    at = at.withColumn("_new", F.coalesce(F.col("_at") - F.lag("_at").over(order) >= gap, F.lit(True)).cast("int"))
-    at = at.withColumn("_burst", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = at.groupBy("run_id", "_burst").agg(F.array_sort(F.collect_list(F.struct("_at", "event_id"))).alias("rows"))
-
-    def keep(acc, r):
-        last = F.get(acc, F.size(acc) - 1)
-        return F.when((F.size(acc) == 0) | (r["_at"] - last["_at"] >= gap), F.concat(acc, F.array(r))).otherwise(acc)
-
-    kept = rows.select(F.explode(F.aggregate("rows", F.filter("rows", lambda _: F.lit(False)), keep)).alias("k"))
-    ids = kept.select(F.col("k.event_id").alias("event_id"))
+    lone = events.where(info & F.col("ts").isNull()).select("event_id")
+    at = events.where(info & F.col("ts").isNotNull()).groupBy("run_id", micros.alias("_at")).agg(F.min("event_id").alias("event_id"))
+    at = written(at, "throttle-times")
+    kept = _reached(_successors(at, gap), at.groupBy("run_id").agg(F.min("_at").alias("_at")))
+    same = at["run_id"].eqNullSafe(kept["run_id"]) & (at["_at"] == kept["_at"])
+    ids = at.join(kept, same, "left_semi").select("event_id").unionByName(lone)
     return events.where(info).join(ids, "event_id", "left_semi").unionByName(events.where(~info))
 
 
+def _successors(at: DataFrame, gap: int) -> DataFrame:
+    """run_id, _at, _next: the run's first time at least `gap` later, where there is one.
+
+    Times and times + gap are sorted together and cut into ranges; what is not found in the own range is the first time of
+    the run's next range that has any. Only ranges, not rows, of a run come together.
+    """
+    both = at.select("run_id", F.col("_at").alias("_when"), F.col("_at").alias("_time")).unionByName(
+        at.select("run_id", (F.col("_at") + gap).alias("_when"), F.lit(None).cast("long").alias("_time"))
+    )
+    parts = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = written(both.repartitionByRange(parts, "run_id", "_when").withColumn("_range", F.spark_partition_id()), "throttle-ranges")
+    # from the latest down, a time before the queries for it, so that the frame is a running one
+    later = Window.partitionBy("run_id", "_range").orderBy(F.col("_when").desc(), F.col("_time").desc_nulls_last())
+    found = cut.withColumn("_next", F.min("_time").over(later.rowsBetween(Window.unboundedPreceding, 0))).where("_time is null")
+    ranges = cut.groupBy("run_id", "_range").agg(F.min("_time").alias("_first"))
+    above = Window.partitionBy("run_id").orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col("run_id").alias("_run"), F.col("_range").alias("_of"), F.min("_first").over(above).alias("_first"))
+    joined = found.join(ranges, found["run_id"].eqNullSafe(F.col("_run")) & (F.col("_range") == F.col("_of")))
+    return joined.select("run_id", (F.col("_when") - gap).alias("_at"), F.coalesce("_next", "_first").alias("_next")).where("_next is not null")
+
+
+def _reached(steps: DataFrame, first: DataFrame) -> DataFrame:
+    """run_id, _at of all that `first` reaches by `steps`. After k rounds these are the first 2^k of each chain."""
+    # only a run's first time and what is a successor can be on a chain
+    nodes = steps.select("run_id", F.col("_next").alias("_at")).unionByName(first).distinct()
+    match = lambda a, b, left: a["run_id"].eqNullSafe(b["_run"]) & (a[left] == b["_from"])
+    keys = nodes.select(F.col("run_id").alias("_run"), F.col("_at").alias("_from"))
+    steps = written(steps.join(keys, match(steps, keys, "_at"), "left_semi"), "throttle-steps")
+    reached = written(first, "throttle-reached")
+    while steps.limit(1).count():
+        to = steps.select(F.col("run_id").alias("_run"), F.col("_at").alias("_from"), F.col("_next").alias("_to"))
+        more = reached.join(to, match(reached, to, "_at")).select("run_id", F.col("_to").alias("_at"))
+        reached = written(reached.unionByName(more), "throttle-reached")
+        steps = written(steps.join(to, match(steps, to, "_next")).select("run_id", "_at", F.col("_to").alias("_next")), "throttle-steps")
+    return reached
+
+
 def usage(payloads: DataFrame, sources: tuple[str, ...] = SOURCES[1:]) -> DataFrame:
     """run_id, requests: distinct (source, item) of the sources that cost a request each."""
     counted = payloads.where(F.col("source").isin(*sources)).select("run_id", "source", "item_id").distinct()

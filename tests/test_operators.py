@@ -317,6 +317,19 @@ def test_throttle(spark):
     assert {r.event_id for r in runs.throttle_info(events.drop("at"), gap_seconds=2).collect()} == throttle_by_hand(rows, 2)
 
 
+def test_throttle_has_no_fold_of_a_burst(spark):
+    """One run with nearly all rows, never a gap apart, ties, a run without an id, events without a time."""
+    rng = random.Random(3)
+    rows = [(i, 7 if i % 10 else None, rng.randrange(4000) / 8, "error" if i % 13 == 0 else "info") for i in range(3000)]
+    rows += [(5000, 8, 1.0, "info"), (5001, 9, 1.0, "error")]
+    frame = spark.createDataFrame(rows + [(6000, 7, None, "info"), (6001, 7, None, "info")], "event_id long, run_id long, at double, level string")
+    events = frame.withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).drop("at")
+    for gap in (0.125, 2, 61, 1000):
+        found = runs.throttle_info(events, gap_seconds=gap)
+        assert sorted(r.event_id for r in found.collect()) == sorted(throttle_by_hand(rows, gap) | {6000, 6001})
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
 def test_stages(spark):
     log = [("r", "acquisition", "running", 1), ("r", "acquisition", "failed", 2), ("r", "acquisition", "running", 3), ("r", "enrichment", "succeeded", 4)]
     frame = spark.createDataFrame([(*r[:3], datetime.datetime(2020, 1, 1, 0, 0, r[3]), r[3]) for r in log], "run_id string, stage string, status string, ts timestamp, seq long")
