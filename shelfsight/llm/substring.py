@@ -1,10 +1,10 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by winnowed seeds and window hashes.
 
 Seeds: runs of `SEED_WORDS` words, winnowed so that every window of `window` words selects exactly one, the one with
-the least hash, and equal windows select the same. Seeds that occur once are dropped. Around each seed that
-occurs again, its match is extended both ways one word at a time for as long as the window that
-selects it still occurs elsewhere; the union of what matches is the maximal repeat. Windows are
-compared by two 64-bit hashes, grouped by value: a passage in m documents costs m rows, never m * m pairs.
+the least hash, and equal windows select the same. Seeds that occur once are dropped. Nothing is
+extended pair by pair: every window that selects a seed which occurs again is hashed, and windows are grouped by two 64-bit
+hashes. This finds the words that an extension of `window` words or more would cover, and a passage in m documents
+costs m rows, never m * m pairs. A reported span is a union of covered words; where different repeats touch or overlap, it joins them.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> dict[str, DataFr
     """Words of `docs` (doc_id, text) covered by a window of `window` words that also starts elsewhere.
 
     {"documents": doc_id, n_words, n_removed, kept_sha256 for every input row; "texts": d1, d2, n_removed,
-    kept_text, repeats (word spans of maximal repeats) for each distinct text that shares a window with another or itself}.
+    kept_text, repeats (word spans that repeated windows cover) for each distinct text that shares a window with another or itself}.
     d1, d2 are xxhash64 of the text, and of 1 and the text. Null and empty texts have no words. Copies of a
     text are handled once, and lose all their words when they have `window` or more; a text that
     is shorter than that loses none. Repeated rows count as copies. Other columns are not read.
