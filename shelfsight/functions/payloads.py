@@ -9,22 +9,37 @@ CATALOG_ITEM = (
     "item_id string, name string, developer string, publisher string, positive string, negative string, owners_low string,"
     " owners_high string, price string, initialprice string, discount string, tags map<string,bigint>"
 )
-DETAIL_DATA = (
-    "type string, name string, is_free boolean, dlc array<string>, supported_languages string,"
-    " pc_requirements struct<minimum:string,recommended:string>, developers array<string>, publishers array<string>,"
-    " price_overview struct<currency:string,initial:bigint,final:bigint>, platforms map<string,boolean>,"
-    " categories array<struct<id:string,description:string>>, genres array<struct<id:string,description:string>>,"
-    " achievements struct<total:string>, release_date struct<coming_soon:boolean,date:string>, deck_compat struct<compat_category:string>"
+DETAIL = (
+    "success boolean, data struct<type:string, name:string, is_free:boolean, dlc:array<string>, supported_languages:string,"
+    " pc_requirements:struct<minimum:string,recommended:string>, developers:array<string>, publishers:array<string>,"
+    " price_overview:struct<currency:string,initial:bigint,final:bigint>, platforms:map<string,boolean>,"
+    " categories:array<struct<id:string,description:string>>, genres:array<struct<id:string,description:string>>,"
+    " achievements:struct<total:string>, release_date:struct<coming_soon:boolean,date:string>>"
 )
-DETAIL = f"success boolean, data struct<{DETAIL_DATA.replace(' string', ':string').replace(' boolean', ':boolean').replace(' array<', ':array<').replace(' struct<', ':struct<').replace(' map<', ':map<')}>"
 REVIEWS = "success int, query_summary struct<total_positive:bigint,total_negative:bigint,total_reviews:bigint>"
 LABEL_SOURCE = "tags map<string,bigint>"
 
 
-def unwrap(payload: Column, item_id: Column, schema: str) -> Column:
-    """A payload keyed by its item's id gives the inner object, any other is taken as it is."""
+def inner_object(payload: Column, item_id: Column) -> Column:
+    """A payload keyed by its item's id gives the inner object, any other is taken as it is; as JSON text."""
     inner = F.try_element_at(F.from_json(payload, "map<string,string>"), item_id.cast("string"))
-    return F.from_json(F.coalesce(inner, payload), schema)
+    return F.coalesce(inner, payload)
+
+
+def unwrap(payload: Column, item_id: Column, schema: str) -> Column:
+    return F.from_json(inner_object(payload, item_id), schema)
+
+
+def handheld_category(payload: Column, item_id: Column, key_ending: str) -> Column:
+    """compat_category of the block of a detail payload's data whose key ends in `key_ending`; null without one."""
+    data = F.from_json(F.get_json_object(inner_object(payload, item_id), "$.data"), "map<string,string>")
+    blocks = F.map_values(F.map_filter(data, lambda k, _: k.endswith(key_ending)))
+    return F.get_json_object(F.get(blocks, 0), "$.compat_category")
+
+
+def payload_hash(payload: Column) -> Column:
+    """SHA-256 of a landed payload's text, as hex."""
+    return F.sha2(payload, 256)
 
 
 def dollars(cents: Column) -> Column:
@@ -61,9 +76,13 @@ def whole_count(text: Column) -> Column:
     return F.when(n >= 0, n)
 
 
+#: Fixed value: the mark of a language with full audio.
+AUDIO_MARK = "<strong>*</strong>"
+
+
 def language_count(listed: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(listed, r"<br>.*$", ""), r"<[^>]*>|\*", "")
-    n = F.size(F.filter(F.split(plain, ","), lambda x: F.trim(x) != ""))
+    """How many names a comma-separated list has, audio marks taken out; null for none."""
+    n = F.size(F.filter(F.split(F.replace(listed, F.lit(AUDIO_MARK), F.lit("")), ","), lambda x: F.trim(x) != ""))
     return F.when(n > 0, n)
 
 

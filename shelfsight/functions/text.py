@@ -5,29 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bytes of a unit, decimal unless the unit says otherwise.
+# Bytes of a unit, the names of a disk requirement, and the memory that is not the system's.
 UNIT_BYTES = {"kb": 1e3, "mb": 1e6, "gb": 1e9, "tb": 1e12, "mib": 1024.0**2, "gib": 1024.0**3}
-STORAGE = r"(?i)(?:storage|(?:hard|free) *dis[ck]|hard *drive|disk *space|available *space|\bhdd\b|hard ?disk|install(?:ation)? *size)"
-MEMORY = r"(?i)(?<!video )(?<!graphics )(?<!dedicated )(?<![a-z])(?:system +)?(?:memory|ram)\s*:"
-_AMOUNT = r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*(tb|gib|mib|gb|mb|kb)\b"
+STORAGE_NAMES = (
+    "storage", "hard disk", "harddisk", "hard drive", "harddrive", "disk space", "diskspace", "free disk", "available space",
+    "hdd", "install size", "installation size",
+)
+OTHER_MEMORY = ("video", "graphics", "dedicated")
 
 
-def labelled_bytes(html: Column, label: str) -> Column:
-    """Bytes of the first size after `label` on a line of requirement HTML, the first that is above 0; else null."""
-    lines = F.split(F.coalesce(html, F.lit("")), r"(?i)<br *\/?>|<\/li>|\n")
-    plain = F.transform(lines, lambda line: F.regexp_replace(line, "<[^>]+>", " "))
-    after = F.transform(F.filter(plain, lambda p: p.rlike(label)), lambda p: F.split(p, label, 2)[1])
+def requirement_lines(html: Column) -> Column:
+    """The lines of requirement HTML: lower case, tags as spaces, runs of white space as one space."""
+    broken = F.replace(F.replace(F.lower(F.coalesce(html, F.lit(""))), F.lit("</li>"), F.lit("\n")), F.lit("<br"), F.lit("\n<br"))
+    return F.transform(F.split(broken, "\n"), lambda line: F.trim(F.regexp_replace(F.regexp_replace(line, "<[^>]+>", " "), r"\s+", " ")))
+
+
+def after_storage_name(line: Column) -> Column:
+    """What follows the first name of a disk requirement in a line; null without one."""
+    found = [F.when(F.instr(line, name) > 0, F.struct(F.instr(line, name).alias("at"), F.lit(len(name)).alias("n"))) for name in STORAGE_NAMES]
+    first = F.array_min(F.array_compact(F.array(*found)))
+    return F.substring(line, first["at"] + first["n"], F.length(line))
+
+
+def after_memory_name(line: Column) -> Column:
+    """What follows the first "memory:" or "ram:" of the system in a line; null without one. Words before the colon tell whose it is."""
+    parts = F.split(line, ":")
+    words = F.transform(parts, lambda part: F.split(F.trim(F.regexp_replace(part, "[^a-z]+", " ")), " "))
+    names = lambda w: F.element_at(w, -1).isin("memory", "ram") & ~F.coalesce(F.try_element_at(w, F.lit(-2)).isin(*OTHER_MEMORY), F.lit(False))
+    before_colon = F.slice(words, F.lit(1), F.size(words) - 1)
+    at = F.array_position(F.transform(before_colon, names), F.lit(True))
+    return F.when(at > 0, F.array_join(F.slice(parts, (at + 1).cast("int"), F.size(parts)), ":"))
+
+
+def first_size(text: Column) -> Column:
+    """Bytes of the first number that a unit follows, with or without a space; a comma is a decimal point. Null without one."""
+    spaced = F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9.,_]+", " "), "(?<=[0-9])(?=[a-z])", " ")
+    tokens = F.split(F.trim(spaced), " ")
     units = F.create_map(*[F.lit(x) for pair in UNIT_BYTES.items() for x in pair])
 
-    def size(p: Column) -> Column:
-        amount = F.replace(F.regexp_extract(p, _AMOUNT, 1), F.lit(","), F.lit(".")).try_cast("double")
-        return F.floor(amount * F.try_element_at(units, F.lower(F.regexp_extract(p, _AMOUNT, 2)))).cast("long")
+    def size(token: Column, i: Column) -> Column:
+        amount = F.replace(F.regexp_extract(token, "[0-9]+([.,][0-9]+)?$", 0), F.lit(","), F.lit("."))
+        unit = F.rtrim(F.get(tokens, i + 1), F.lit(".,"))
+        return F.floor(amount.try_cast("double") * F.try_element_at(units, unit)).cast("long")
+
+    return F.get(F.filter(F.transform(tokens, size), lambda b: b.isNotNull()), 0)
+
+
+def _first_above_zero(html: Column, after) -> Column:
+    sizes = F.transform(requirement_lines(html), lambda line: first_size(after(line)))
+    return F.get(F.filter(sizes, lambda b: b > 0), 0)
+
 
-    return F.get(F.filter(F.transform(after, size), lambda b: b > 0), 0)
+def storage_bytes(minimum: Column, recommended: Column) -> Column:
+    """Install size of the minimum requirements, or else of the recommended: the first line that names one above 0; else null."""
+    return F.coalesce(_first_above_zero(minimum, after_storage_name), _first_above_zero(recommended, after_storage_name))
 
 
-def required_bytes(minimum: Column, recommended: Column, label: str) -> Column:
-    return F.coalesce(labelled_bytes(minimum, label), labelled_bytes(recommended, label))
+def memory_bytes(minimum: Column, recommended: Column) -> Column:
+    """System memory, read like `storage_bytes`."""
+    return F.coalesce(_first_above_zero(minimum, after_memory_name), _first_above_zero(recommended, after_memory_name))
 
 
 def lenient_date(text: Column) -> Column:
@@ -37,7 +73,7 @@ def lenient_date(text: Column) -> Column:
     q = F.regexp_extract(t, r"^[Qq]([1-4]) +((?:19|20)\d\d)$", 1).try_cast("int")
     q_year = F.regexp_extract(t, r"^[Qq]([1-4]) +((?:19|20)\d\d)$", 2).try_cast("int")
     quarter = F.when(q.isNotNull() & (q_year > 1900), F.make_date(q_year, (q - 1) * 3 + 1, F.lit(1)))
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd"))
+    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd"))
     named = [
         F.when(t.rlike(shape), F.try_to_date(t, fmt))
         for shape, fmt in (

@@ -88,10 +88,10 @@ def _roots(vocabulary: DataFrame, merges: DataFrame) -> DataFrame:
         now = written(now.join(up, "root", "left").select("label", F.coalesce("_up", "root").alias("root")), "roots")
 
 
-def numbered(members: DataFrame) -> DataFrame:
-    """label, cluster_id: 1 up by the smallest label of the cluster."""
-    ids = members.select("root").distinct().withColumn("cluster_id", F.row_number().over(Window.orderBy("root")))
-    return members.join(F.broadcast(ids), "root").select("label", "cluster_id")
+def numbered(members: DataFrame, *, first: int = 1) -> DataFrame:
+    """label, cluster_id: `first` up by the smallest label of the cluster."""
+    ids = members.select("root").distinct().withColumn("cluster_id", F.row_number().over(Window.orderBy("root")) + (first - 1))
+    return members.join(ids, "root").select("label", "cluster_id")
 
 
 def vote(labels: DataFrame, clusters: DataFrame, *extra: str) -> DataFrame:
@@ -164,7 +164,9 @@ class Archetypes:
 
 
 def cluster_labels(labels: DataFrame, items: DataFrame, params: AnalysisParams) -> Archetypes:
-    """Archetypes of the items: restrict labels, link, cut at the threshold (or search one), vote, name."""
+    """Archetypes of the items: restrict labels, link, cut at the threshold (or search one), vote, name.
+
+    A single label is cluster 0, without a threshold; no labels give no clusters."""
     own = labels.join(items.select("item_id").distinct(), "item_id", "left_semi")
     seen = written(clustering_labels(own, min_votes=params.min_votes, generic_share=params.generic_share, most=params.max_labels), "labels")
     vocabulary = seen.select("label").distinct()
@@ -179,6 +181,6 @@ def cluster_labels(labels: DataFrame, items: DataFrame, params: AnalysisParams)
         _, merges = linkage(vocabulary, edges, method=params.linkage)
         threshold, source = search_threshold(seen, merges, most_share=params.max_cluster_share)
         members, _ = linkage(vocabulary, edges, method=params.linkage, threshold=threshold)
-    clusters = written(numbered(members), "clusters")
+    clusters = written(numbered(members, first=0 if source == "none" else 1), "clusters")
     assignments = written(vote(seen, clusters), "assignments")
     return Archetypes(assignments, clusters, cluster_names(clusters, popularity(seen)), mode_shares(assignments, own), threshold, source)

@@ -19,7 +19,11 @@ def normalize_items(catalog: DataFrame, details: DataFrame, reviews: DataFrame,
     catalog: see `build_catalog`; the others: item_id, payload. An item is in scope when its details succeeded,
     it is a game, it is in the label source and none of its genres is software.
     """
-    d = details.select("item_id", P.unwrap(F.col("payload"), F.col("item_id"), P.DETAIL).alias("d"))
+    d = details.select(
+        "item_id",
+        P.unwrap(F.col("payload"), F.col("item_id"), P.DETAIL).alias("d"),
+        P.handheld_category(F.col("payload"), F.col("item_id"), params.handheld_key_ending).alias("_handheld"),
+    )
     r = reviews.select("item_id", F.from_json("payload", P.REVIEWS).alias("r"))
     known = label_source.select("item_id").distinct().withColumn("labelled", F.lit(True))
     joined = catalog.join(d, "item_id", "left").join(r, "item_id", "left").join(known, "item_id", "left")
@@ -31,7 +35,7 @@ def normalize_items(catalog: DataFrame, details: DataFrame, reviews: DataFrame,
     count = P.review_count(total, reviewed, pos, neg)
     positive = F.when(reviewed & total.isNotNull(), F.col("r.query_summary.total_positive")).otherwise(pos)
     needs = (F.col("d.data.pc_requirements.minimum"), F.col("d.data.pc_requirements.recommended"))
-    size, ram = (F.when(ok, T.required_bytes(*needs, label)) for label in (T.STORAGE, T.MEMORY))
+    size, ram = F.when(ok, T.storage_bytes(*needs)), F.when(ok, T.memory_bytes(*needs))
     early = P.early_access(x("genres"))
     typed = joined.select(
         "item_id",
@@ -54,7 +58,7 @@ def normalize_items(catalog: DataFrame, details: DataFrame, reviews: DataFrame,
         F.when(ok, F.coalesce(F.size(x("dlc")), F.lit(0))).alias("addon_count"),
         early.alias("is_early_access"),
         F.lit(None).cast("int").alias("early_access_days"),
-        x("deck_compat.compat_category").alias("handheld"),
+        F.when(ok, F.col("_handheld")).alias("handheld"),
         T.lenient_date(x("release_date.date")).alias("released"),
         genres.alias("genres"),
         P.names_of(x("categories")).alias("categories"),

@@ -13,7 +13,8 @@ SUB_WINDOWS = 4
 def trend_windows(items: DataFrame, *, months: int, as_of: str | None = None, parts: int = SUB_WINDOWS) -> DataFrame:
     """cluster_id, sub_window, starts, ends, n_items, median_sales; sub-window 0 is the newest.
 
-    A sub-window excludes its start and includes its end; the end of all is `as_of`, or the last release.
+    A sub-window excludes its start and includes its end; the end of all is `as_of`, or the last release. Those without known
+    sales are left out.
     """
     if months % parts:
         raise ValueError(f"months must divide by {parts}")
@@ -24,7 +25,7 @@ def trend_windows(items: DataFrame, *, months: int, as_of: str | None = None, pa
         end = items.sparkSession.range(1).select(micros(F.lit(as_of)).alias("_end"))
     at = items.crossJoin(F.broadcast(end)).withColumn("sub_window", F.floor((F.col("_end") - micros(F.col("released"))) / width).cast("int"))
     kept = at.where((F.col("sub_window") >= 0) & (F.col("sub_window") < parts))
-    grouped = kept.groupBy("cluster_id", "sub_window", "_end").agg(F.count("*").alias("n_items"), F.median("sales_mid").alias("median_sales"))
+    grouped = kept.groupBy("cluster_id", "sub_window", "_end").agg(F.count("*").alias("n_items"), F.median("sales_mid").alias("median_sales")).where("median_sales is not null")
     edge = lambda k: F.timestamp_micros(F.col("_end") - (F.col("sub_window") + k) * F.lit(width).cast("long"))
     return grouped.select("cluster_id", "sub_window", edge(1).alias("starts"), edge(0).alias("ends"), "n_items", "median_sales")
 

@@ -73,6 +73,7 @@ class FeatureParams:
     most_missing: float = 0.4
     max_labels: int = 20
     min_votes: int = 0
+    handheld_key_ending: str = "deck_compat"
 
     def __post_init__(self):
         if abs(sum(self.weights.values()) - 1) > 1e-9 or min(self.weights.values()) < 0:

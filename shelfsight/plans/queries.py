@@ -164,7 +164,7 @@ def label_summary(spark, d):
 TRENDS = f"""{SCORED}, e AS (SELECT max(epoch_us(released)) AS last FROM finished),
 bucketed AS (SELECT cluster_id, CAST(floor((last - epoch_us(released)) / {WIDTH}) AS INT) AS sub_window, last, sales_mid FROM finished, e WHERE released IS NOT NULL),
 windows AS (SELECT cluster_id, sub_window, make_timestamp(last - (sub_window + 1) * {WIDTH}) AS starts, make_timestamp(last - sub_window * {WIDTH}) AS ends, count(*) AS n_items, round(median(sales_mid), 6) AS median_sales
-  FROM bucketed WHERE sub_window BETWEEN 0 AND 3 GROUP BY cluster_id, sub_window, last),
+  FROM bucketed WHERE sub_window BETWEEN 0 AND 3 GROUP BY cluster_id, sub_window, last HAVING median(sales_mid) IS NOT NULL),
 slopes AS (SELECT cluster_id, round(regr_slope(median_sales, sub_window), 6) AS slope, count(median_sales) AS n_points FROM windows GROUP BY 1)"""
 
 
@@ -303,12 +303,14 @@ def funnel_summary(spark, d):
     return both_filters(spark, d)["summary"]
 
 
-@query("""WITH p AS (SELECT o_custkey % 200 AS run_id, year(o_orderdate) AS page, list_sort(list_distinct(list(o_orderkey % 3))) AS ids FROM orders WHERE o_orderkey % 5 = o_custkey % 5 GROUP BY 1, 2),
+@query("""WITH p AS (SELECT o_custkey % 200 AS run_id, year(o_orderdate) AS page, list_sort(list_distinct(list(o_orderkey % 3 + 3 * (year(o_orderdate) % 5)))) AS ids FROM orders GROUP BY 1, 2),
 s AS (SELECT *, ids = lag(ids) OVER w OR page >= 2000 AS stop FROM p WINDOW w AS (PARTITION BY run_id ORDER BY page)),
 t AS (SELECT *, max(coalesce(stop, false)::INT) OVER (PARTITION BY run_id ORDER BY page) AS stopped FROM s) SELECT run_id, page::BIGINT AS page FROM t WHERE stopped = 0""")
 def page_trim(spark, d):
-    orders = D.table(spark, d, "orders").where("o_orderkey % 5 = o_custkey % 5")
-    pages = orders.groupBy((F.col("o_custkey") % 200).alias("run_id"), F.year("o_orderdate").cast("long").alias("page")).agg(F.collect_set(F.col("o_orderkey") % 3).alias("ids"))
+    """Pages of all orders, up to the year 2000; a page repeats the one before only where few orders fall in a year."""
+    year = F.year("o_orderdate").cast("long")
+    ids = F.col("o_orderkey") % 3 + 3 * (year % 5)
+    pages = D.table(spark, d, "orders").groupBy((F.col("o_custkey") % 200).alias("run_id"), year.alias("page")).agg(F.collect_set(ids).alias("ids"))
     return U.pages_to_keep(pages, max_pages=2000).select("run_id", "page")
 
 
@@ -390,14 +392,14 @@ def size_text(spark, d):
     html = F.when(k == 0, F.concat(F.lit("<b>OS:</b> 64 GB<br/><b>Hard Drive:</b> "), size, F.lit(" GB"))).when(k == 1, F.concat(F.lit("Storage: "), size, F.lit(" MiB space")))
     html = html.when(k == 2, F.concat(F.lit("<li>Install size "), (F.col("p_size") * 3 / 2).cast("decimal(10,1)").cast("string"), F.lit(" mb</li>"))).otherwise(F.lit("Memory: 8 GB"))
     html = F.when(k == 2, F.replace(html, F.lit("."), F.lit(","))).otherwise(html)
-    return D.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), T.labelled_bytes(html, T.STORAGE).alias("bytes"))
+    return D.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), T.storage_bytes(html, F.lit(None).cast("string")).alias("bytes"))
 
 
 @query("SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 <> 0 THEN p_size * 1000000000::BIGINT END AS bytes FROM part")
 def ram_text(spark, d):
     size = F.col("p_size").cast("string")
     html = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Video Memory: "), size, F.lit(" GB"))).otherwise(F.concat(F.lit("Dedicated Memory: 2 GB\n<strong>Memory:</strong> "), size, F.lit(" GB RAM")))
-    return D.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), T.required_bytes(F.lit(""), html, T.MEMORY).alias("bytes"))
+    return D.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), T.memory_bytes(F.lit(""), html).alias("bytes"))
 
 
 @query("""SELECT o_orderkey AS item_id, CASE o_orderkey % 8 WHEN 5 THEN make_date(year(o_orderdate), 1, 1) WHEN 6 THEN make_date(year(o_orderdate), 3 * quarter(o_orderdate) - 2, 1) WHEN 7 THEN NULL ELSE o_orderdate::DATE END AS released FROM orders""")

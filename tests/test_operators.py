@@ -30,18 +30,25 @@ def one(spark, column):
         ("Storage: 0 GB\nHDD 3 tb", 3 * 10**12),
         ("", None),
         (None, None),
+        ("<li>Hard Disk Space: ~1.5GB, or 2 GB", 1_500_000_000),
+        ("HARDDISK : 16gb/32gb", 16 * 10**9),
+        ("DirectX 11 (Storage)\t3\u00a0 x 40 GB.", 40 * 10**9),
+        ("Storage: 4 gbit<BR />Install   size: 5 MiB", 5 * 1024**2),
     ],
 )
 def test_storage(spark, html, expected):
-    assert one(spark, T.labelled_bytes(F.lit(html).cast("string"), T.STORAGE)) == expected
+    none = F.lit(None).cast("string")
+    assert one(spark, T.storage_bytes(F.lit(html).cast("string"), none)) == expected
+    assert one(spark, T.storage_bytes(none, F.lit(html).cast("string"))) == expected
 
 
 @pytest.mark.parametrize(
     "html, expected",
-    [("<b>Memory:</b> 8 GB RAM", 8 * 10**9), ("Video Memory: 2 GB", None), ("System RAM: 512 MB", 512 * 10**6), ("Dedicated Memory: 1 GB<br>RAM: 4 GB", 4 * 10**9)],
+    [("<b>Memory:</b> 8 GB RAM", 8 * 10**9), ("Video Memory: 2 GB", None), ("System RAM: 512 MB", 512 * 10**6), ("Dedicated Memory: 1 GB<br>RAM: 4 GB", 4 * 10**9),
+        ("Video Memory: 2 GB, Memory: 6 GB", 6 * 10**9), ("program: 4 GB", None), ("Graphics: 2 GB Memory", None), ("DDR4-RAM : 8gb", 8 * 10**9), ("Storage: 9 GB", None)],
 )
 def test_memory(spark, html, expected):
-    assert one(spark, T.required_bytes(F.lit(None).cast("string"), F.lit(html), T.MEMORY)) == expected
+    assert one(spark, T.memory_bytes(F.lit(None).cast("string"), F.lit(html))) == expected
 
 
 @pytest.mark.parametrize(
@@ -50,6 +57,7 @@ def test_memory(spark, html, expected):
         ("2020-01-15", (2020, 1, 15)), ("Jan 5, 2020", (2020, 1, 5)), ("January 15, 2020", (2020, 1, 15)), ("15 Jan 2020", (2020, 1, 15)),
         ("15 January 2020", (2020, 1, 15)), ("2020", (2020, 1, 1)), ("Q3 2021", (2021, 7, 1)), ("May 3, 2019", (2019, 5, 3)),
         ("01 Jan, 2023", None), ("Coming soon", None), ("", None), (None, None), ("Q5 2020", None), ("2020-13-01", None), ("1900", None),
+        ("2020-01-15 maybe later", None),
     ],
 )
 def test_dates(spark, text, expected):
@@ -100,7 +108,7 @@ def test_normalized_items(spark):
     data = {
         "type": "game", "name": "", "developers": [""], "publishers": [], "price_overview": {"final": 1234}, "pc_requirements": [],
         "achievements": {"total": 0}, "supported_languages": "English<strong>*</strong>, French", "platforms": {"windows": True, "mac": False},
-        "genres": [{"id": "70", "description": "Early Access"}], "release_date": {"date": "Q2 2020"}, "dlc": [1, 2],
+        "genres": [{"id": "70", "description": "Early Access"}], "release_date": {"date": "Q2 2020"}, "dlc": [1, 2], "some_deck_compat": {"compat_category": "3"},
     }
     details = spark.createDataFrame([(1, json.dumps({"1": {"success": True, "data": data}})), (2, json.dumps({"2": {"success": False}}))], "item_id long, payload string")
     reviews = spark.createDataFrame([(1, json.dumps({"success": 1, "query_summary": {"total_reviews": 8, "total_positive": 6}}))], "item_id long, payload string")
@@ -108,7 +116,7 @@ def test_normalized_items(spark):
     a, b = features.normalize_items(catalog, details, reviews, labelled, FeatureParams()).orderBy("item_id").collect()
     assert (a.name, a.maker, a.publisher, a.price, a.review_count, a.positive_share) == ("cat", "", "P", 12.34, 8, 0.75)
     assert (a.achievement_count, a.language_count, a.platform_count, a.addon_count, a.is_early_access, a.in_scope) == (0, 2, 1, 2, True, True)
-    assert a.released == datetime.date(2020, 4, 1) and "size_bytes" in a.missing
+    assert a.released == datetime.date(2020, 4, 1) and "size_bytes" in a.missing and (a.handheld, b.handheld) == ("3", None)
     assert b.review_count is None and b.price is None and not b.in_scope and b.addon_count is None
 
 
@@ -232,7 +240,7 @@ def test_vote_names_and_search(spark):
 def test_clusters_of_nothing_and_of_one(spark):
     labels = spark.createDataFrame([(1, "a", 1)], "item_id long, label string, votes long")
     single = archetypes.cluster_labels(labels, labels, AnalysisParams(generic_share=1.0))
-    assert single.threshold is None and [tuple(r) for r in single.assignments.collect()] == [(1, 1)]
+    assert single.threshold is None and [tuple(r) for r in single.assignments.collect()] == [(1, 0)]
     none = archetypes.cluster_labels(labels.limit(0), labels.limit(0), AnalysisParams())
     assert none.assignments.count() == 0 and none.assignments.columns == ["item_id", "cluster_id"]
 
@@ -259,7 +267,7 @@ def test_trends(spark):
     items = spark.createDataFrame(rows, "cluster_id int, released timestamp, sales_mid double")
     windows = trends.trend_windows(items, months=12)
     found = {(r.cluster_id, r.sub_window): (r.n_items, r.median_sales) for r in windows.collect()}
-    assert found == {(1, 0): (2, 15.0), (1, 1): (1, 30.0), (2, 0): (1, None), (2, 1): (1, 5.0)}
+    assert found == {(1, 0): (2, 15.0), (1, 1): (1, 30.0), (2, 1): (1, 5.0)}
     slopes = {r.cluster_id: (r.slope, r.n_points) for r in trends.trend_slopes(windows).collect()}
     assert slopes == {1: (15.0, 2), 2: (None, 1)}
     with pytest.raises(ValueError):
