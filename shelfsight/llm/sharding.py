@@ -1,115 +1,168 @@
-"""Minimax contiguous partition of documents into shards, by DataFrame expressions only.
-
-Documents of equal text are one atomic group. Groups are ordered by text hash, and those of one of `ATOMS` hash
-ranges make one atom, so that the list to be cut is bounded at every size (65,536 long numbers);
-where there are fewer groups than ranges an atom is a group. Atoms that would fill half of an even shard come
-first, by size, so that a huge group gets a shard of its own. The smallest feasible capacity is found by binary search, each
-candidate checked greedily over prefix sums; shards are then cut at the even share of what is left,
-moved only as far as the capacity demands.
+"""Minimax contiguous partition of documents into shards; every row is handled by DataFrame expressions only.
+
+Documents of equal text are one atomic group. Groups are ordered by text hash; those that would fill half
+of an even shard come first, by size, so that a huge group gets a shard of its own. Prefix sums of the
+group sizes stay distributed. The smallest feasible capacity is found by binary search, each candidate checked
+greedily over a bounded list of prefix sums: at first one every `CELLS`-th of the total, so that a cut is known to
+lie in some cells. Only cells that a cut may lie in are then split further, level by level, until the cells
+in question are single groups. The capacity is then exact over all groups, at every size, and so are the cuts, which
+are placed at the even share of what is left, moved only as far as the capacity demands.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import chunk_count, running_start, staged, table, text_or_empty
 
 SHARDS = 40
-ATOMS = 1 << 16
+CELLS = 1 << 16
 ROW_BYTES = 16
-_ATOM_STEPS = 17  # halvings of ATOMS + 1 places
-_SIZE_STEPS = 62
-
-
-def _at(prefix: Column, i: Column) -> Column:
-    return F.element_at(prefix, (i + 1).cast("int"))
-
-
-def _last_within(prefix: Column, first: Column, limit: Column, n: Column) -> Column:
-    """The largest place from `first` up whose prefix sum is at most `limit`."""
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
-        fits = _at(prefix, mid) <= limit
-        return F.struct(F.when(fits, mid).otherwise(s["lo"]).alias("lo"), F.when(fits, s["hi"]).otherwise(mid - 1).alias("hi"))
-
-    start = F.struct(first.alias("lo"), n.alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_ATOM_STEPS)), start, halve)["lo"]
-
-
-def _first_within(prefix: Column, last: Column, limit: Column) -> Column:
-    """The smallest place up to `last` whose prefix sum is at least `limit`."""
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        fits = _at(prefix, mid) >= limit
-        return F.struct(F.when(fits, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(fits, mid).otherwise(s["hi"]).alias("hi"))
-
-    start = F.struct(F.lit(0).alias("lo"), last.alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_ATOM_STEPS)), start, halve)["lo"]
-
-
-def smallest_capacity(prefix: Column, n: Column, largest: Column, shards: int) -> Column:
-    """The least capacity with which `shards` contiguous shards hold all atoms; `prefix` starts with 0 and has n + 1 sums."""
-    total = _at(prefix, n)
-    turns = F.sequence(F.lit(1), F.lit(shards))
-
-    def halve(s: Column, _: Column) -> Column:
-        capacity = F.floor((s["lo"] + s["hi"]) / 2).cast("long")
-        reached = F.aggregate(turns, F.lit(0), lambda i, _: _last_within(prefix, i, _at(prefix, i) + capacity, n))
-        return F.when(reached == n, F.struct(s["lo"].alias("lo"), capacity.alias("hi"))).otherwise(
-            F.struct((capacity + 1).alias("lo"), s["hi"].alias("hi"))
-        )
-
-    low = F.greatest(largest, F.ceil(total / shards)).cast("long")
-    start = F.struct(low.alias("lo"), total.cast("long").alias("hi"))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(_SIZE_STEPS)), start, lambda s, i: F.when(s["lo"] < s["hi"], halve(s, i)).otherwise(s)
-    )["lo"]
-
-
-def shard_ends(prefix: Column, n: Column, capacity: Column, shards: int) -> Column:
-    """Where each shard ends: at the even share of what is left, within `capacity` and so that the rest can hold the rest."""
-    turns = F.sequence(F.lit(1), F.lit(shards))
-    # latest[k + 1]: from here on, k shards are enough
-    enough = F.aggregate(
-        turns,
-        F.array(n),
-        lambda acc, _: F.concat(
-            acc, F.array(_first_within(prefix, F.element_at(acc, -1), _at(prefix, F.element_at(acc, -1)) - capacity))
-        ),
-    )
-
-    def cut(acc: Column, k: Column) -> Column:
-        first = F.element_at(acc, -1)
-        share = F.ceil((_at(prefix, n) - _at(prefix, first)) / (F.lit(shards + 1) - k))
-        even = F.greatest(_last_within(prefix, first, _at(prefix, first) + share, n), F.least(first + 1, n))
-        return F.concat(acc, F.array(F.greatest(even, F.element_at(enough, F.lit(shards + 1) - k)).cast("int")))
-
-    return F.slice(F.aggregate(turns, F.array(F.lit(0)), cut), 2, shards)
-
-
-def shard_of_atoms(atoms: DataFrame, *, shards: int = SHARDS) -> DataFrame:
-    """atom, shard for at most `ATOMS` rows (atom, size); shard numbers start at 0."""
-    size, every = F.col("size"), Window.partitionBy()
-    heavy = size * (2 * shards) > F.sum("size").over(every)
-    listed = atoms.withColumn("heavy", heavy).withColumn(
-        "place", F.row_number().over(Window.orderBy(F.col("heavy").desc(), F.when(F.col("heavy"), -size), "atom"))
-    )
-    listed = listed.withColumn("sum", F.sum("size").over(Window.orderBy("place")))
-    one = listed.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "sum"))), lambda s: s["sum"]).alias("sums"),
-        F.max("size").alias("largest"),
-    ).select(F.concat(F.array(F.lit(0).cast("long")), "sums").alias("prefix"), F.size("sums").alias("n"), "largest")
-    found = one.where("n > 0").withColumn("capacity", smallest_capacity(F.col("prefix"), F.col("n"), F.col("largest"), shards))
-    found = staged(found, "capacity").withColumn("ends", shard_ends(F.col("prefix"), F.col("n"), F.col("capacity"), shards))
-    row = found.select("ends").first()  # `shards` numbers
-    ends = F.array(*[F.lit(int(e)) for e in (row[0] if row else [])]) if row else F.array().cast("array<int>")
-    return listed.select("atom", F.size(F.filter(ends, lambda e: e < F.col("place"))).alias("shard"))
-
-
-def shard_documents(docs: DataFrame, *, shards: int = SHARDS, row_bytes: int = ROW_BYTES) -> DataFrame:
+KEY = ["text_hash", "text_crc32", "size"]
+
+
+class Cells:
+    """Known prefix sums: cell i is the groups that end in (ends[i], ends[i + 1]]; inner[i] is how many they are."""
+
+    def __init__(self, rows: Iterable[tuple[int, int, int]]):
+        """rows: end, inner, key of each cell; the key names the cell to Spark."""
+        self.ends, self.inner, self.keys = [0], [], []
+        for end, n, key in sorted(rows):
+            self.ends.append(end)
+            self.inner.append(n)
+            self.keys.append(key)
+        self.total = self.ends[-1]
+
+    def last_within(self, limit: int) -> tuple[int, int]:
+        """Bounds of the last prefix sum that is at most `limit`; equal where the cell is known."""
+        i = bisect_right(self.ends, limit) - 1
+        if i == len(self.inner) or self.ends[i] == limit or self.inner[i] == 1:
+            return self.ends[i], self.ends[i]
+        return self.ends[i], limit
+
+    def first_within(self, limit: int) -> tuple[int, int]:
+        """Bounds of the first prefix sum that is at least `limit`."""
+        j = bisect_left(self.ends, max(0, limit))
+        if self.ends[j] == max(0, limit) or self.inner[j - 1] == 1:
+            return self.ends[j], self.ends[j]
+        return limit, self.ends[j]
+
+    def after(self, low: int, high: int) -> tuple[int, int]:
+        """Bounds of the prefix sum that follows one between `low` and `high`."""
+        i, j = (min(bisect_right(self.ends, x), len(self.inner)) for x in (low, high))
+        known = self.ends[bisect_right(self.ends, low) - 1] == low and i <= len(self.inner) and (low == self.total or self.inner[i - 1] == 1)
+        return (self.ends[i] if known else min(low + 1, self.total)), self.ends[j]
+
+    def capacity(self, low: int, shards: int, side: int) -> int:
+        """The least capacity, `low` or more, with which greedy cuts reach the end; by the lower (0) or upper (1) bounds of every cut."""
+        high = self.total
+        while low < high:
+            mid, at = (low + high) // 2, 0
+            for _ in range(shards):
+                at = self.last_within(at + mid)[side]
+            low, high = (low, mid) if at == self.total else (mid + 1, high)
+        return low
+
+    def cuts(self, largest: int, shards: int) -> tuple[tuple[int, int], list[tuple[int, int]], list[tuple[int, int]]]:
+        """Bounds of the capacity, of the ends of all shards, and of every place that these were found by."""
+        least = max(largest, -(-self.total // shards))
+        most = self.capacity(least, shards, 0)
+        least = min(most, self.capacity(least, shards, 1))
+        seen, at = [], (0, 0)
+        for _ in range(shards):  # greedy cuts of all capacities that are still possible
+            at = self.last_within(at[0] + least)[0], self.last_within(at[1] + most)[1]
+            seen.append(at)
+        enough = [(self.total, self.total)]  # enough[k]: from here on, k shards are enough
+        for _ in range(shards):
+            low, high = enough[-1]
+            enough.append((self.first_within(low - most)[0], self.first_within(high - least)[1]))
+        ends, at = [], (0, 0)
+        for k in range(shards):
+            left = shards - k
+            even = [self.last_within(x - (x - self.total) // left)[side] for side, x in enumerate(at)]
+            one = self.after(*at)
+            at = tuple(max(even[side], one[side], enough[left - 1][side]) for side in (0, 1))
+            ends.append(at)
+        return (least, most), ends, seen + enough + ends
+
+    def unclear(self, places: list[tuple[int, int]]) -> list[int]:
+        """The cells of more than one group that a place between these bounds may lie in."""
+        found = set()
+        for low, high in places:
+            if low < high:
+                found |= {i for i in range(bisect_right(self.ends, low) - 1, bisect_left(self.ends, high)) if self.inner[i] > 1}
+        return sorted(found)
+
+
+def _cell_sums(groups: DataFrame) -> list[tuple[int, int, int]]:
+    """(end, groups, cell) of the parts of every cell: its first group, and the others. Two parts a cell reach the driver."""
+    sums = groups.groupBy("cell").agg(F.min("end").alias("first"), F.max("end").alias("last"), F.count("*").alias("n")).collect()
+    return [(r["first"], 1, r["cell"]) for r in sums] + [(r["last"], r["n"] - 1, r["cell"]) for r in sums if r["n"] > 1]
+
+
+def shard_ends(groups: DataFrame, total: int, largest: int, *, shards: int = SHARDS, cells: int = CELLS) -> tuple[int, list[int]]:
+    """The least capacity and the prefix sums that end the shards. groups: end, the sum of sizes up to and with the group.
+
+    The driver gets at most 2 * `cells` sums a level, and a level divides what is unclear by `cells` over a few thousand.
+    """
+    if not total:
+        return 0, [0] * shards
+    groups = groups.select("end", F.floor((F.col("end") - 1) / -(-total // cells)).alias("cell"))
+    known = Cells(_cell_sums(groups))
+    while True:
+        capacity, ends, places = known.cuts(largest, shards)
+        unclear = known.unclear(places)
+        if not unclear:
+            return capacity[0], [end for end, _ in ends]
+        parts = max(2, cells // len(unclear))
+        listed = [(known.keys[i], k, known.ends[i], known.ends[i + 1]) for k, i in enumerate(unclear)]
+        bounds = groups.sparkSession.createDataFrame(listed, "cell long, place long, low long, high long")  # fewer than 2 * cells
+        part = F.floor((F.col("end") - 1 - F.col("low")) * parts / (F.col("high") - F.col("low")))
+        inside = groups.join(F.broadcast(bounds), "cell").where("end > low and end <= high")
+        groups = staged(inside.select("end", (F.col("place") * (parts + 1) + part).alias("cell")), "cells")
+        split = set(unclear)
+        clear = [(known.ends[i + 1], n, -1) for i, n in enumerate(known.inner) if i not in split]
+        known = Cells(clear + _cell_sums(groups))
+
+
+def prefix_sums(groups: DataFrame, n_groups: int) -> DataFrame:
+    """KEY and end, the sum of weights up to and with the group, in the order of KEY: sums of hash ranges, of their chunks, of rows."""
+    bits = max(12, (chunk_count(n_groups) - 1).bit_length())
+    cut = groups.withColumn("range", F.shiftright("text_hash", 52)).withColumn("chunk", F.shiftright("text_hash", 64 - bits))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cut.groupBy("range").agg(F.sum("weight").alias("sum")).select("range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    within = running_start(cut, "range", "chunk", KEY, "weight", "start")
+    return within.join(F.broadcast(ranges), "range").select(*KEY, (F.col("base") + F.col("start") + F.col("weight")).alias("end"))  # 4096 ranges
+
+
+def with_shard(rows: DataFrame, *, shards: int = SHARDS, cells: int = CELLS) -> DataFrame:
+    """`rows` (with the columns of KEY) and shard, 0 up; rows of equal KEY are one group."""
+    groups = staged(rows.groupBy(*KEY).agg((F.count("*") * F.col("size")).alias("weight")), "groups")
+    total, largest, n_groups = groups.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.max("weight"), F.lit(0)), F.count("*")).first()
+    is_heavy = F.col("weight") * (2 * shards) > total
+    heavy, sum_ = [], 0  # fewer than 2 * shards groups
+    for r in groups.where(is_heavy).orderBy(F.col("weight").desc(), *KEY).collect():
+        sum_ += r["weight"]
+        heavy.append((*(r[k] for k in KEY), sum_))
+    light = staged(prefix_sums(groups.where(~is_heavy), n_groups).withColumn("end", F.col("end") + sum_), "sums")
+    ends = light.select("end").unionByName(rows.sparkSession.createDataFrame([(h[-1],) for h in heavy], "end long"))
+    _, cuts = shard_ends(ends, total, largest, shards=shards, cells=cells)
+    shard_of_end = lambda end: bisect_left(cuts, end)
+    key = F.struct(*KEY)
+    literal = lambda r: F.struct(*[F.lit(r[i]).cast("long").alias(k) for i, k in enumerate(KEY)])
+    last = light.where(F.col("end").isin(*cuts)).orderBy("end").collect()  # the last groups of `shards` shards at most
+    passed = F.size(F.filter(F.array(*[literal(r) for r in last]), lambda k: k < key)) if last else F.lit(0)
+    shard = F.lit(sum(c <= sum_ for c in cuts)) + passed
+    for r in heavy:
+        shard = F.when(key == literal(r), shard_of_end(r[-1])).otherwise(shard)
+    return rows.withColumn("shard", shard.cast("int"))
+
+
+def shard_documents(docs: DataFrame, *, shards: int = SHARDS, row_bytes: int = ROW_BYTES, cells: int = CELLS) -> DataFrame:
     """doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null under this law), a row for every row of `docs`.
 
     Size is the text's UTF-8 bytes plus `row_bytes`. Documents of equal text share a shard; null counts as the empty text. Slots
@@ -122,12 +175,10 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, row_bytes: int = R
         (F.octet_length(text) + row_bytes).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
-    ).withColumn("atom", F.shiftrightunsigned("text_hash", 48).cast("int"))
+    )
     rows = staged(rows, "rows")
-    atoms = staged(rows.groupBy("atom").agg(F.sum("size").alias("size")), "atoms")
-    placed = rows.join(F.broadcast(shard_of_atoms(atoms, shards=shards)), "atom")  # at most ATOMS rows
-    chunk = F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(chunk_count(rows.count())))
-    placed = staged(placed.withColumn("chunk", chunk).withColumn("one", F.lit(1)), "placed")
+    chunk = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("slot")), F.lit(chunk_count(rows.count())))
+    placed = with_shard(rows, shards=shards, cells=cells).withColumn("chunk", chunk).withColumn("one", F.lit(1))
     return running_start(placed, "shard", "chunk", ["text_hash", "doc_id"], "one", "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

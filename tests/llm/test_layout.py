@@ -71,27 +71,42 @@ def smallest_by_hand(sizes, k):
     return lo
 
 
-@pytest.mark.parametrize("n, heavy, k", [(1, 0, 4), (5, 0, 7), (60, 0, 7), (60, 2, 7), (300, 1, 40)])
-def test_capacity_is_the_least(spark, n, heavy, k):
-    rng = np.random.default_rng(n + heavy)
-    sizes = {i: int(x) for i, x in enumerate(rng.integers(1, 100, n))} | {n + j: 4000 + j for j in range(heavy)}
-    found = sharding.shard_of_atoms(spark.createDataFrame(list(sizes.items()), "atom int, size long"), shards=k).collect()
+@pytest.mark.parametrize("n, k, cells, most", [(1, 4, 4, 9), (5, 7, 4, 9), (60, 7, 8, 100), (60, 7, 1 << 16, 100), (3000, 40, 200, 1000), (3000, 40, 256, 60), (100_000, 40, 2000, 5000)])
+def test_capacity_is_the_least(spark, n, k, cells, most):
+    """Against brute force over all groups, with few cells, so that several levels are needed."""
+    rng = np.random.default_rng(n + cells)
+    sizes = rng.integers(1, most, n)
+    ends = np.cumsum(sizes).tolist()
+    frame = spark.createDataFrame([(e,) for e in ends], "end long")
+    capacity, cuts = sharding.shard_ends(frame, ends[-1], int(sizes.max()), shards=k, cells=cells)
+    assert capacity == smallest_by_hand(sizes.tolist(), k)
+    assert len(cuts) == k and cuts[-1] == ends[-1] and set(cuts) <= set(ends)
+    assert max(b - a for a, b in zip([0, *cuts], cuts)) == capacity
+
+
+@pytest.mark.parametrize("heavy, cells", [(0, 1 << 16), (1, 50), (2, 50)])
+def test_huge_groups_stand_alone(spark, heavy, cells):
+    rng = np.random.default_rng(heavy)
+    sizes = [int(x) for x in rng.integers(20, 100, 400)] + [9000 + j for j in range(heavy)]
+    rows = [(int(h), i, s) for i, (h, s) in enumerate(zip(rng.integers(-(2**63), 2**63 - 1, len(sizes)), sizes))]
+    found = sharding.with_shard(spark.createDataFrame(rows, "text_hash long, text_crc32 long, size long"), shards=40, cells=cells).collect()
     total = defaultdict(int)
     for r in found:
-        total[r.shard] += sizes[r.atom]
-    big = lambda i: sizes[i] * 2 * k > sum(sizes.values())
-    order = sorted(sizes, key=lambda i: (not big(i), -sizes[i] if big(i) else 0, i))
-    assert len(found) == len(sizes) and set(total) <= set(range(k)) and max(total.values()) == smallest_by_hand([sizes[i] for i in order], k)
-    if heavy:
-        light = [t for t in total.values() if t < 4000]
-        assert max(light) < 3 * sum(light) / len(light)
+        total[r.shard] += r["size"]
+    order = sorted(rows, key=lambda r: (r[2] < 9000, -r[2] if r[2] >= 9000 else 0, r))
+    assert len(found) == len(rows) and set(total) == set(range(40)) and max(total.values()) == smallest_by_hand([r[2] for r in order], 40)
+    light = [t for t in total.values() if t < 9000]
+    assert len(light) == 40 - heavy and max(light) < 2 * sum(light) / len(light)
+    place = {r[1]: i for i, r in enumerate(order)}
+    shards = [r.shard for r in sorted(found, key=lambda r: place[r.text_crc32])]
+    assert shards == sorted(shards)
 
 
 @pytest.mark.parametrize("name", ["edge", "small", "clashing", "empty"])
 def test_shards(request, name):
     docs = request.getfixturevalue(name)
     rows = Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.select("doc_id", "text").collect())
-    found = sharding.shard_documents(docs).collect()
+    found = sharding.shard_documents(docs, cells=64).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in found) == rows
     slots, by_text = defaultdict(list), defaultdict(set)
     for r in found:
@@ -106,12 +121,11 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_are_the_tokenizers(tokenizer):
-    ids = packing.encoder(packing.token_file())
+    ids = packing.encoder(packing.token_file(), packing.SPECIAL)
     for text in ["", " ", "a  b", " lead", "trail ", "a \n b", "\n\n  x", "a\xa0 b", "<|endoftext|> x", "Ünï cödé's don't", "12 34\r\n"]:
         assert np.frombuffer(ids(text), "<u4").tolist() == tokenizer(text)
 
