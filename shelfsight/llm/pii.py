@@ -1,10 +1,12 @@
 """PII: keyed surrogates of the same type, format, script and gender, in DataFrame expressions only.
 
-One pattern finds all mentions; splitting by it gives the text between them. A mention's entity is its type and its
-value without formatting, so spellings of one number or address share a surrogate everywhere
-(coreference). A candidate surrogate is a keyed hash of entity and attempt, cast into the entity's form.
-It is accepted when no other entity has it and it is no real value found in the corpus; losers try again with the next
-attempt. Given names are exchanged within their gender and script by a keyed cycle, which needs no check.
+One pattern finds the mentions of a text, in one pass. Names found so beside a title or a given name are then looked for in
+the rest of the same text, where they stand alone. A mention's entity is its type and its value without formatting, so
+spellings of one number or address share a surrogate everywhere (coreference). A candidate surrogate is a keyed hash of
+entity and attempt, cast into the entity's form: every letter becomes another letter of its script, every digit another
+digit. It is accepted when no other entity has it and it is no real value found in the corpus; losers try again
+with the next attempt. Hosts of addresses are entities of their own. Given names are exchanged within their gender and
+script by a keyed cycle, which needs no check.
 """
 
 from __future__ import annotations
@@ -18,27 +20,50 @@ from .base import staged, table
 
 # Common given names by (script, gender), and forms of address.
 GIVEN_NAMES = {
-    ("latin", "f"): "Mary Anna Laura Sophie Emma Julia Claudia Sarah Elena Marie Carmen Lucia Ingrid Susan Linda Karen".split(),
-    ("latin", "m"): "John James Robert Michael William David Thomas Peter Paul Hans Jürgen Pierre Carlos José Antonio Martin".split(),
-    ("cyrillic", "f"): "Анна Мария Ольга Елена Наталья Татьяна Ирина Светлана".split(),
-    ("cyrillic", "m"): "Иван Сергей Алексей Дмитрий Андрей Михаил Николай Павел".split(),
-    ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία".split(),
-    ("greek", "m"): "Γιώργος Δημήτρης Νίκος Γιάννης".split(),
+    ("latin", "f"): (
+        "Mary Anna Laura Sophie Emma Julia Claudia Sarah Elena Marie Carmen Lucia Ingrid Susan Linda Karen Emily Olivia Jennifer Jessica"
+        " Elizabeth Patricia Barbara Margaret Catherine Charlotte Isabella Sofia Camille Chloé Françoise Hélène Ana María Pilar Greta Heike"
+        " Ursula Fatima Aisha Priya Ananya Yuki Mei"
+    ).split(),
+    ("latin", "m"): (
+        "John James Robert Michael William David Thomas Peter Paul Hans Jürgen Pierre Carlos José Antonio Martin Richard Charles Joseph"
+        " Christopher Daniel Matthew Anthony Andrew Kevin George Edward Alexander Jean François Louis Juan Luis Miguel Pedro Klaus Wolfgang"
+        " Stefan Andreas Mohammed Ahmed Rahul Arjun Hiroshi"
+    ).split(),
+    ("cyrillic", "f"): "Анна Мария Ольга Елена Наталья Татьяна Ирина Светлана Екатерина Юлия".split(),
+    ("cyrillic", "m"): "Иван Сергей Алексей Дмитрий Андрей Михаил Николай Павел Александр Владимир".split(),
+    ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Βασιλική".split(),
+    ("greek", "m"): "Γιώργος Δημήτρης Νίκος Γιάννης Κώστας".split(),
 }
 ADDRESSED = "Mr Mrs Ms Miss Dr Prof Herr Frau Madame Monsieur Señor Señora".split()
-# Letters by script, vowels first.
+# Letters by script, vowels first; Latin letters with marks; and stretches of letters of other scripts.
 LETTERS = {
-    "latin": ("aeiou", "bcdfghjklmnprstvwxyz"),
-    "cyrillic": ("аеиоуя", "бвгдзклмнпрстхш"),
-    "greek": ("αειου", "βγδκλμνπρστφχ"),
+    "latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"),
+    "cyrillic": ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"),
+    "greek": ("αεηιουω", "βγδζθκλμνξπρσςτφχψ"),
 }
-MARKED = ("àáâãäåèéêëìíîïòóôõöøùúûüýœæ", "çñßš")  # Latin letters with marks, vowels first
+MARKED = ("àáâãäåèéêëìíîïòóôõöøùúûüýœæ", "çñßłńśźżćčšžřďťňğ")
+BLOCKS = {
+    "greek, accented": (0x3AC, 0x3CE), "cyrillic": (0x430, 0x45F), "armenian": (0x561, 0x586), "hebrew": (0x5D0, 0x5EA), "arabic": (0x628, 0x63A),
+    "arabic, second row": (0x641, 0x64A), "devanagari": (0x905, 0x939), "bengali": (0x995, 0x9A8), "thai": (0xE01, 0xE2E), "georgian": (0x10D0, 0x10F0),
+    "hiragana": (0x304B, 0x3082), "katakana": (0x30AB, 0x30E2), "han": (0x4E00, 0x9FA5), "hangul": (0xAC00, 0xD7A3),
+}
 
-_names = "|".join(n for names in GIVEN_NAMES.values() for n in names)
-_sirs = "|".join(ADDRESSED)
+
+def _either(words: list[str]) -> str:
+    """A pattern of the words, as they are or in capitals, tried by first letter."""
+    forms: dict[str, list[str]] = {}
+    for w in sorted({f for w in words for f in (w, w.upper())}, key=lambda w: (-len(w), w)):
+        forms.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(forms.items()))
+
+
+_names = _either([n for names in GIVEN_NAMES.values() for n in names])
+_sirs = _either(ADDRESSED)
+_surname = r"(?:\p{Lu}['’])?\p{Lu}[\p{L}\p{M}]+(?:['’-]\p{Lu}[\p{L}\p{M}]+)*"
 _octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = (
-    r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
+    r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}\p{M}._%+-]*+@(?:[\p{L}\p{N}\p{M}-]+\.)+\p{L}{2,}",
     r"(?<![\w.])" + _octet + r"(?:\." + _octet + r"){3}(?!\w|\.\d)",
     r"(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
     r"(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){3,5}(?!\d)",
@@ -47,14 +72,15 @@ PATTERNS = (
     r"(?<!\w)\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\w)",
     r"(?<!\w)3[47]\d{2}([ -]?)\d{6}\2\d{5}(?!\w)",
     r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    r"(?<!\p{L})(?=\p{Lu})(?:" + _names + r")(?= \p{Lu}\p{L})",
-    r"(?<=(?<!\p{L})(?:" + _names + r") )\p{Lu}\p{L}+",
-    r"(?<=(?<!\p{L})(?:" + _sirs + r")\.? )\p{Lu}\p{L}+",
-    r"(?<=(?<!\p{L})(?:" + _sirs + r")\.? \p{Lu}\p{L}{1,20} )\p{Lu}\p{L}+",
+    r"(?<!\p{L})(?=\p{Lu})(?:" + _names + r")(?= (?:\p{Lu}\. )?(?:\p{Lu}['’])?\p{Lu}\p{L})",
+    r"(?<=(?<!\p{L})(?:" + _names + r") (?:\p{Lu}\. )?)" + _surname,
+    r"(?<=(?<!\p{L})(?:" + _sirs + r")\.? )(?:" + _surname + r"|[\p{Lo}\p{IsGeorgian}][\p{L}\p{M}]+)",
+    r"(?<=(?<!\p{L})(?:" + _sirs + r")\.? \p{Lu}[\p{L}\p{M}]{1,20} )" + _surname,
 )
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS)
 #: A cheaper test that every text with a mention passes.
-HINT = rf"@|\d\.\d|\d[ .)(-]*\d[ .)(-]*\d[ .)(-]*\d|[A-Z]{{2}}\d\d|(?<!\p{{L}})(?=\p{{Lu}})(?:{_names}|(?:{_sirs})\.?) \p{{Lu}}"
+HINT = rf"@|\d\.\d|\d[ .)(-]*\d[ .)(-]*\d[ .)(-]*\d|[A-Z]{{2}}\d\d|(?<!\p{{L}})(?=\p{{Lu}})(?:{_names}|(?:{_sirs})\.?) [\p{{Lu}}\p{{Lo}}\p{{IsGeorgian}}]"
+NAME = r"^[\p{L}\p{M}'’-]+$"
 KEY = "surrogates"
 MAX_ATTEMPTS = 64
 
@@ -67,7 +93,7 @@ def kind_of(mention: Column) -> Column:
         F.when(mention.contains("@"), "email")
         .when(mention.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(given, "given")
-        .when(mention.rlike(r"^\p{L}+$"), "name")
+        .when(mention.rlike(NAME), "name")
         .when(mention.rlike(r"^\p{L}"), "iban")
         .when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(mention.rlike(r"^\d+[ -]?\d+[ -]?\d+[ -]?\d+$") & F.length(digits).isin(15, 16), "card")
@@ -80,8 +106,14 @@ def value_of(mention: Column, kind: Column) -> Column:
     return F.when(kind.isin("email", "name", "given", "ip"), F.lower(mention)).otherwise(F.upper(F.regexp_replace(mention, r"[^\p{L}\d]", "")))
 
 
-def _byte(stream: Column, i: Column) -> Column:
-    return F.conv(F.substring(stream, ((i - 1) * 2 % 126 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+def _with(value: Column, body) -> Column:
+    """body(value), where value is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _bytes(stream: Column) -> Column:
+    """The 64 bytes of a SHA-512 in hex."""
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(stream, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
 
 
 def _chars(text: Column, one) -> Column:
@@ -90,17 +122,34 @@ def _chars(text: Column, one) -> Column:
     return F.when(F.length(text) > 0, F.array_join(each, "")).otherwise("")
 
 
-def _alike(text: Column, stream: Column) -> Column:
-    """Letters for letters (vowels for vowels, of the same script), digits for digits; the rest stays."""
+_known = ["0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", *(letters for pair in LETTERS.values() for letters in pair)]
+_every = "".join(_known)
+_starts = [_every.index(letters) for letters in _known for _ in letters]
+_sizes = [len(letters) for letters in _known for _ in letters]
+
+
+def _alike(text: Column, random: Column) -> Column:
+    """Another letter for every letter, of its script (vowels for vowels where they are known), another digit for every digit.
+
+    Letters of scripts that are not listed become Latin ones. Marks and signs stay. random: array of 64 bytes.
+    """
+    code_point = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+    blocks = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in BLOCKS.values()])
 
     def one(c: Column, i: Column) -> Column:
-        b = _byte(stream, i)
-        pick = lambda letters: F.substring(F.lit(letters), b % len(letters) + 1, F.lit(1))
-        out = F.when(c.rlike(r"\d"), (b % 10).cast("string"))
-        for script, (vowels, others) in LETTERS.items():
-            marked = MARKED if script == "latin" else ("", "")
-            out = out.when(F.lit(vowels + marked[0]).contains(c), pick(vowels)).when(F.lit(others + "q" * (script == "latin") + marked[1]).contains(c), pick(others))
-        return out.when(c.rlike(r"^[A-Z]$"), F.chr(b % 26 + 65)).otherwise(c)
+        b = F.element_at(random, (i - 1) % 64 + 1)
+        at = F.instr(F.lit(_every), c)
+        start, size = F.element_at(F.lit(_starts), at), F.element_at(F.lit(_sizes), at)
+        # from its own place on by 1 to n - 1: never itself
+        other = F.substring(F.lit(_every), start + (at - start + b % (size - 1)) % size + 1, F.lit(1))
+        out = F.when(at > 0, other)
+        for marked, plain in zip(MARKED, LETTERS["latin"]):
+            out = out.when(F.instr(F.lit(marked), c) > 0, F.substring(F.lit(plain), b % len(plain) + 1, F.lit(1)))
+        code = F.ascii(c)
+        block = F.get(F.filter(blocks, lambda x: code.between(x["low"], x["high"])), 0)
+        moved = _with(block, lambda x: code_point(x["low"] + (code - x["low"] + 1 + b * 89 % (x["high"] - x["low"])) % (x["high"] - x["low"] + 1)))
+        out = out.when(block.isNotNull(), moved)
+        return out.when(c.rlike(r"\p{L}"), F.substring(F.lit(LETTERS["latin"][1]), b % 20 + 1, F.lit(1))).when(c.rlike(r"\p{N}"), (b % 10).cast("string")).otherwise(c)
 
     return _chars(text, one)
 
@@ -116,29 +165,46 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
 
 
-def surrogate_value(kind: Column, value: Column, attempt: int, key: str) -> Column:
-    """A candidate for an entity's value, of the same form."""
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of digits and capitals, A as 10 to Z as 35."""
+
+    def add(rest: Column, i: Column) -> Column:
+        code = F.ascii(F.substring(text, i, F.lit(1)))
+        return F.when(code >= 65, rest * 100 + code - 55).otherwise(rest * 10 + code - 48) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
+
+
+def _end(text: Column, first: int) -> Column:
+    return F.substring(text, F.lit(first), F.length(text))
+
+
+def surrogate_value(kind: Column, value: Column, host: Column, attempt: int, key: str) -> Column:
+    """A candidate for an entity's value, of the same form. `host` is the surrogate of an address's host."""
     stream = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, F.lit(str(attempt))), 512)
-    user, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    host_stream = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), host), 512)
-    top = F.regexp_extract(host, r"\.\p{L}+$", 0)
-    reserved = host.rlike(r"(^|\.)example\.(com|net|org)$")
-    new_host = F.when(reserved, host).otherwise(F.concat(_alike(F.substring(host, F.lit(1), F.length(host) - F.length(top)), host_stream), top))
-    ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_byte(stream, i) % 223 + 1).cast("string")), ".")
-    fresh = _alike(value, stream)
+    top = F.when(kind == "host", F.regexp_extract(value, r"\.\p{L}+$", 0)).otherwise("")
+    stem = F.when(kind == "email", F.substring_index(value, "@", 1)).otherwise(F.substring(value, F.lit(1), F.length(value) - F.length(top)))
     # where forms are short and nearly all taken, later attempts are a letter longer every eighth time
-    more = F.concat(*[F.substring(F.lit(LETTERS["latin"][1]), _byte(stream, F.lit(60 - k)) % 20 + 1, F.lit(1)) for k in range(attempt // 8)], F.lit(""))
-    lead = F.when(kind == "iban", 2).when(kind == "card", 1).otherwise(F.greatest(F.length(value) - 10, F.lit(0)))
-    body = F.concat(F.substring(value, F.lit(1), lead), F.substring(fresh, lead + 1, F.length(value)))
-    zero = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit("0"))
-    checked = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), (F.pmod(-_luhn(zero), F.lit(10))).cast("string"))
-    return (
-        F.when(kind == "email", F.concat(_alike(user, stream), more, F.lit("@"), new_host))
-        .when(kind == "ip", ip)
-        .when(kind == "name", F.concat(fresh, more))
-        .when((kind == "card") & (_luhn(value) % 10 == 0), checked)
-        .otherwise(body)
-    )
+    more = F.when(kind.isin("email", "host", "name"), F.left(F.reverse(stem), F.lit(attempt // 8))).otherwise("") if attempt >= 8 else F.lit("")
+
+    def numbered(fresh: Column) -> Column:
+        lead = F.when(kind == "iban", 2).when(kind == "card", 1).otherwise(F.greatest(F.length(value) - 10, F.lit(0)))
+        body = F.concat(F.substring(value, F.lit(1), lead), F.substring(fresh, lead + 1, F.length(value)))
+        stem = F.substring(body, F.lit(1), F.length(body) - 1)
+        luhn = F.concat(stem, F.pmod(-_luhn(F.concat(stem, F.lit("0"))), F.lit(10)).cast("string"))
+        country, account = F.substring(value, 1, 2), _end(body, 5)
+        check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+        is_iban = (kind == "iban") & (_mod97(F.concat(_end(value, 5), F.substring(value, 1, 4))) == 1)
+        return F.when((kind == "card") & (_luhn(value) % 10 == 0), luhn).when(is_iban, F.concat(country, check, account)).otherwise(body)
+
+    def made(random: Column) -> Column:
+        ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (F.element_at(random, i) % 223 + 1).cast("string")), ".")
+        shaped = lambda fresh: (
+            F.when(kind == "email", F.concat(fresh, F.lit("@"), host)).when(kind == "host", F.concat(fresh, top)).when(kind == "name", fresh).otherwise(numbered(fresh))
+        )
+        return F.when(kind == "ip", ip).otherwise(_with(_alike(F.concat(stem, more), random), shaped))
+
+    return _with(_bytes(stream), made)
 
 
 def render(mention: Column, kind: Column, surrogate: Column) -> Column:
@@ -152,7 +218,9 @@ def render(mention: Column, kind: Column, surrogate: Column) -> Column:
         place = F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), r"[^\p{L}\d]", ""))
         return F.when(c.rlike(r"[\p{L}\d]"), F.substring(surrogate, place, F.lit(1))).otherwise(c)
 
-    return F.when(kind == "ip", surrogate).when(kind.isin("email", "name"), _chars(surrogate, cased)).otherwise(_chars(mention, fill))
+    capitals = kind.isin("given", "name") & (mention == F.upper(mention)) & (mention != F.lower(mention))
+    out = F.when(capitals, F.upper(surrogate)).when(kind.isin("ip", "given"), surrogate)
+    return out.when(kind.isin("email", "name"), _chars(surrogate, cased)).otherwise(_chars(mention, fill))
 
 
 def given_names(key: str) -> dict[str, str]:
@@ -164,12 +232,14 @@ def given_names(key: str) -> dict[str, str]:
     return out
 
 
-def surrogates(entities: DataFrame, *, key: str = KEY) -> DataFrame:
-    """kind, value, surrogate for distinct (kind, value): distinct within a kind, and no real value of that kind."""
-    real = staged(entities.select("kind", "value"), "entities")
-    done, pending = None, real
+def _distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """kind, value, surrogate for distinct (kind, value), which have a column host too."""
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # values are few bytes and many steps each, so they are dealt out before they are cast
+    real = staged(entities.select("kind", "value", "host").repartition(parts, "value"), "entities")
+    done, pending = None, real.repartition(parts, "value")
     for attempt in range(MAX_ATTEMPTS):
-        tried = pending.withColumn("surrogate", surrogate_value(F.col("kind"), F.col("value"), attempt, key))
+        tried = pending.withColumn("surrogate", surrogate_value(F.col("kind"), F.col("value"), F.col("host"), attempt, key))
         tried = staged(tried, "tried")
         first = tried.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         free = first.join(real.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
@@ -177,12 +247,47 @@ def surrogates(entities: DataFrame, *, key: str = KEY) -> DataFrame:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         free = free.select("kind", "value", "surrogate")
         done = staged(free if done is None else done.unionByName(free), "surrogates")
-        pending = staged(tried.select("kind", "value").join(done, ["kind", "value"], "left_anti"), "pending")
+        pending = staged(tried.select("kind", "value", "host").join(done, ["kind", "value"], "left_anti"), "pending")
         if pending.limit(1).count() == 0:
             return done
     raise ValueError("values of some kind and form are nearly all taken")
 
 
+def surrogates(entities: DataFrame, *, key: str = KEY) -> DataFrame:
+    """kind, value, surrogate for distinct (kind, value): distinct within a kind, and no real value of that kind.
+
+    Hosts of addresses get surrogates first, distinct too, but for the reserved example.com, .net and .org, which stay.
+    """
+    host = F.when(F.col("kind") == "email", F.substring_index("value", "@", -1))
+    named = staged(entities.select("kind", "value", host.alias("_host")), "values")
+    hosts = named.where(F.col("_host").isNotNull() & ~F.col("_host").rlike(r"(^|\.)example\.(com|net|org)$"))
+    hosts = hosts.select(F.lit("host").alias("kind"), F.col("_host").alias("value"), F.lit(None).cast("string").alias("host")).distinct()
+    hosts = _distinct_surrogates(hosts, key).select(F.col("value").alias("_host"), F.col("surrogate").alias("_new"))
+    return _distinct_surrogates(named.join(hosts, "_host", "left").select("kind", "value", F.coalesce("_new", "_host").alias("host")), key)
+
+
+def mention_pieces(text: Column) -> Column:
+    """`text` cut into what is between mentions (even places, from 0) and mentions (odd places); joined it is the text.
+
+    The first pass is by PATTERN; the second by the names that the first one found, where they begin with a capital.
+    """
+    # a mark that no text holds: it has the hash of the text
+    mark = F.concat(F.lit("\ufdd0"), F.hex(F.xxhash64(text)))
+    around = F.concat(mark, F.lit("$0"), mark)
+    joined = lambda pieces: F.call_function("array_join", pieces, mark)
+
+    def again(pieces: Column) -> Column:
+        names = F.filter(pieces, lambda p, i: (i % 2 == 1) & p.rlike(NAME))
+        longest_first = F.reverse(F.array_sort(F.array_distinct(F.transform(names, lambda n: F.struct(F.length(n), F.lower(n).alias("n"))))))
+        alone = F.concat(
+            F.lit(r"(?<![\p{L}\p{M}])(?=[\p{Lu}\p{Lo}\p{IsGeorgian}])(?iu:"), F.array_join(F.transform(longest_first, lambda s: s["n"]), "|"), F.lit(r")(?![\p{L}\p{M}])")
+        )
+        marked = _with(alone, lambda a: joined(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, a, around)).otherwise(p))))
+        return F.when(F.size(names) > 0, F.split(marked, mark, -1)).otherwise(pieces)
+
+    return _with(F.split(F.regexp_replace(text, F.lit(PATTERN), around), mark, -1), again)
+
+
 def replace_pii(docs: DataFrame, *, key: str = KEY) -> DataFrame:
     """`docs` with the mentions in text replaced, and n_entities, the number of mentions replaced; other columns stay.
 
@@ -193,31 +298,28 @@ def replace_pii(docs: DataFrame, *, key: str = KEY) -> DataFrame:
     names = F.create_map(*[F.lit(x) for pair in given_names(key).items() for x in pair])
     text = F.col("text")
     hinted = F.coalesce(text.rlike(HINT), F.lit(False))
-    mentions = F.when(hinted, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    found = docs.select(F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"), F.explode(mentions).alias("mention"))
-    found = staged(found.distinct(), "mentions")
-    kind = kind_of(F.col("mention"))
-    found = found.withColumn("kind", kind).withColumn("value", value_of(F.col("mention"), F.col("kind")))
+    rest = [F.col(f"`{c}`") for c in columns if c != "text"]
+    cut = docs.where(hinted).select(
+        F.struct(F.lit(0).alias("_"), *rest).alias("row"), F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"), mention_pieces(text).alias("pieces")
+    )
+    cut = staged(cut, "pieces")  # every text is searched once
+    is_mention = lambda _, i: i % 2 == 1
+    found = staged(cut.select("d1", "d2", F.explode(F.filter("pieces", is_mention)).alias("mention")).distinct(), "mentions")
+    found = found.withColumn("kind", kind_of(F.col("mention"))).withColumn("value", value_of(F.col("mention"), F.col("kind")))
     known = surrogates(found.where("kind <> 'given'").select("kind", "value").distinct(), key=key)
     shown = (
         found.join(known, ["kind", "value"], "left")
         .withColumn(
             "shown",
-            F.when(F.col("kind") == "given", F.try_element_at(names, "value")).otherwise(render(F.col("mention"), F.col("kind"), F.col("surrogate"))),
+            render(F.col("mention"), F.col("kind"), F.when(F.col("kind") == "given", F.try_element_at(names, "value")).otherwise(F.col("surrogate"))),
         )
         .groupBy("d1", "d2")
         .agg(F.map_from_entries(F.collect_set(F.struct("mention", "shown"))).alias("shown"))
     )
     shown = staged(shown, "shown")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"))
-    joined = rows.where(hinted).join(shown, ["d1", "d2"], "left")
-    between = F.split(text, PATTERN, -1)
-    within = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.try_element_at("shown", m))
-    swapped = F.array_join(F.zip_with(between, within, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    joined = joined.withColumn("swapped", F.when(F.col("shown").isNull(), text).otherwise(swapped))
-    count = F.when(F.col("shown").isNull(), 0).otherwise(F.size(between) - 1)
-    out = [F.col("swapped").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
-    changed = joined.select(*out, count.cast("long").alias("n_entities"))
+    swapped = F.array_join(F.transform("pieces", lambda p, i: F.when(i % 2 == 1, F.try_element_at("shown", p)).otherwise(p)), "")
+    out = [swapped.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
+    changed = cut.join(shown, ["d1", "d2"], "left").select(*out, F.floor(F.size("pieces") / 2).cast("long").alias("n_entities"))
     same = docs.where(~hinted).select(*[F.col(f"`{c}`") for c in columns], F.lit(0).cast("long").alias("n_entities"))
     return changed.unionByName(same)
 

@@ -11,6 +11,7 @@ are placed at the even share of what is left, moved only as far as the capacity
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 
@@ -104,6 +105,13 @@ def _cell_sums(groups: DataFrame) -> list[tuple[int, int, int]]:
     return [(r["first"], 1, r["cell"]) for r in sums] + [(r["last"], r["n"] - 1, r["cell"]) for r in sums if r["n"] > 1]
 
 
+def _listed(df: DataFrame, names: tuple[str, ...], rows: list[tuple[int, ...]]) -> DataFrame:
+    """A few rows of whole numbers as a table, from one literal."""
+    kind = f"array<struct<{', '.join(f'{n}: long' for n in names)}>>"
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+
+
 def shard_ends(groups: DataFrame, total: int, largest: int, *, shards: int = SHARDS, cells: int = CELLS) -> tuple[int, list[int]]:
     """The least capacity and the prefix sums that end the shards. groups: end, the sum of sizes up to and with the group.
 
@@ -119,8 +127,8 @@ def shard_ends(groups: DataFrame, total: int, largest: int, *, shards: int = SHA
         if not unclear:
             return capacity[0], [end for end, _ in ends]
         parts = max(2, cells // len(unclear))
-        listed = [(known.keys[i], k, known.ends[i], known.ends[i + 1]) for k, i in enumerate(unclear)]
-        bounds = groups.sparkSession.createDataFrame(listed, "cell long, place long, low long, high long")  # fewer than 2 * cells
+        listed = [(known.keys[i], k, known.ends[i], known.ends[i + 1]) for k, i in enumerate(unclear)]  # fewer than 2 * cells
+        bounds = _listed(groups, ("cell", "place", "low", "high"), listed)
         part = F.floor((F.col("end") - 1 - F.col("low")) * parts / (F.col("high") - F.col("low")))
         inside = groups.join(F.broadcast(bounds), "cell").where("end > low and end <= high")
         groups = staged(inside.select("end", (F.col("place") * (parts + 1) + part).alias("cell")), "cells")
@@ -149,7 +157,7 @@ def with_shard(rows: DataFrame, *, shards: int = SHARDS, cells: int = CELLS) ->
         sum_ += r["weight"]
         heavy.append((*(r[k] for k in KEY), sum_))
     light = staged(prefix_sums(groups.where(~is_heavy), n_groups).withColumn("end", F.col("end") + sum_), "sums")
-    ends = light.select("end").unionByName(rows.sparkSession.createDataFrame([(h[-1],) for h in heavy], "end long"))
+    ends = light.select("end").unionByName(_listed(rows, ("end",), [(h[-1],) for h in heavy]))
     _, cuts = shard_ends(ends, total, largest, shards=shards, cells=cells)
     shard_of_end = lambda end: bisect_left(cuts, end)
     key = F.struct(*KEY)

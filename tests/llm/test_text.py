@@ -141,6 +141,71 @@ def test_given_names_cycle():
     assert sorted(n.lower() for n in names.values()) == sorted(names) and all(a != b.lower() for a, b in names.items())
 
 
+def planted_private(n=12):
+    """(kind, text, what must not stay in it): entities of every kind and of several scripts in changing surroundings."""
+    rng = np.random.default_rng(8)
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    word = lambda letters, k: "".join(rng.choice(list(letters), k))
+    scripts = {"latin": "abdeilnorst", "polish": "ąćęłńóśźżow", "cyrillic": "абвгдеж", "armenian": "աբգդեզէ", "greek": "αβγδεζή", "georgian": "აბგდევზ", "han": "王小明李华张伟", "devanagari": "कखगघचछज", "arabic": "بتثجحخد", "hangul": "가나다라마바사"}
+    cased = ("latin", "polish", "cyrillic", "armenian", "greek")
+    frames = ["{} wrote it.", "see {} (again)", "the note\nof {}, as said", "\"{}\" is listed"]
+    out = []
+    for i in range(n):
+        frame = frames[i % 4]
+        for script, letters in scripts.items():
+            user = word(letters, 5)
+            out.append(("email " + script, frame.format(f"{user}{i}@h{digits(4)}.org"), [user]))
+            name = word(letters, 5)
+            title = ("Mr. ", "Dr ", "Frau ", "Prof. ")[i % 4]
+            out.append(("titled " + script, frame.format(title + (name.capitalize() if script in cased else name)), [name.capitalize() if script in cased else name]))
+        surname = word("bcdfgaeiou", 6).capitalize()
+        given = ("Emily", "Priya", "MARY", "Иван")[i % 4]
+        shown = surname.upper() if given.isupper() else surname
+        out.append(("given", frame.format(f"{given} {shown}"), [given + " ", shown]))
+        out.append(("bare", frame.format(f"Mrs {surname}") + f" Later {surname} and {surname}'s son met. {surname.upper()} left.", [surname, surname.upper()]))
+        d = digits(10)
+        out.append(("phone", frame.format(("+1 ({}) {}-{}", "+44 {} {} {}", "{}-{}-{}", "({}) {}-{}")[i % 4].format("7" + d[1:3], d[3:6], d[6:])), [d[3:6] + "-" + d[6:], d[3:6] + " " + d[6:]]))
+        out.append(("ip", frame.format(f"10.{rng.integers(100, 250)}.{rng.integers(100, 250)}.{i}"), ["10."]))
+        out.append(("ssn", frame.format(f"{d[:3]}-{d[3:5]}-{d[5:9]}"), [d[5:9]]))
+        stem = "4" + digits(14)
+        card = stem + str(-luhn(stem + "0") % 10)
+        out.append(("card", frame.format(card if i % 2 else " ".join(card[k : k + 4] for k in (0, 4, 8, 12))), [card[4:8] + card[8:12], f"{card[4:8]} {card[8:12]}"]))
+        account = digits(18)
+        check = f"{98 - int(account + '131400') % 97:02d}"  # DE is 13 14
+        iban = f"DE{check}{account}"
+        out.append(("iban", frame.format(iban if i % 2 else " ".join(iban[k : k + 4] for k in range(0, 22, 4))), [account[:8], account[8:16], f"{account[:4]} {account[4:8]}"]))
+    return out
+
+
+def test_nothing_private_stays(spark):
+    """Recall by kind over planted entities is 1, and no original stretch stays, in any script."""
+    cases = planted_private()
+    docs = spark.createDataFrame([(i, text) for i, (_, text, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.replace_pii(docs).collect()}
+    caught, planted = Counter(), Counter()
+    for i, (kind, text, hidden) in enumerate(cases):
+        planted[kind] += 1
+        caught[kind] += found[i].n_entities > 0 and not any(h in found[i].text for h in hidden)
+        if kind in ("iban", "card"):
+            number = re.sub(r"\W", "", re.search(r"DE\d\d[\d ]{15,24}\d|4\d{3}[\d ]{11,14}\d", found[i].text)[0])
+            assert (int(number[4:] + "1314" + number[2:4]) % 97 == 1) if kind == "iban" else luhn(number) == 0
+        if kind == "bare":
+            shown = re.search(r"Mrs (\w+)", found[i].text)[1]
+            assert f"Later {shown} and {shown}'s son met. {shown.upper()} left." in found[i].text
+    assert {k: caught[k] / planted[k] for k in planted} == {k: 1.0 for k in planted}
+    script_of = lambda text: {__import__("unicodedata").name(c).split()[0] for c in text if c.isalpha()}
+    for i, (kind, text, hidden) in enumerate(cases):
+        if kind.startswith("titled"):
+            assert script_of(found[i].text) <= script_of(text), (text, found[i].text)
+
+
+def test_hosts_stay_apart(spark):
+    """Distinct hosts get distinct surrogates, one host the same everywhere."""
+    docs = spark.createDataFrame([(i, f"u{i}@{a}{b}.co and v{i}@{a}{b}.co") for i, (a, b) in enumerate((a, b) for a in "bcdfg" for b in "hjklm")], "doc_id long, text string")
+    hosts = [re.findall(r"@(\S+\.co)\b", r.text) for r in pii.replace_pii(docs).orderBy("doc_id").collect()]
+    assert all(a == b for a, b in hosts) and len({a for a, _ in hosts}) == 25
+
+
 @pytest.mark.parametrize("name", ["edge", "clashing", "empty"])
 def test_pii_edges(request, name):
     docs = request.getfixturevalue(name)
@@ -148,6 +213,8 @@ def test_pii_edges(request, name):
     assert set(out.columns) == set(docs.columns) | {"n_entities"} and out.count() == docs.count()
     rows = Counter((r.doc_id, r.text) for r in out.where("doc_id is null or doc_id <> 14").select("doc_id", "text").collect())
     assert rows == Counter((r.doc_id, r.text) for r in docs.where("doc_id is null or doc_id <> 14").select("doc_id", "text").collect())
+    for r in out.where("doc_id = 14").select("text", "n_entities").collect():
+        assert re.fullmatch(r"mail [a-z]{2}@[a-z]{4}\.org or call \+1 \(\d{3}\) \d{3}-\d{4}", r.text) and r.n_entities == 2 and "me@site" not in r.text and "555" not in r.text
 
 
 def secret_docs(spark):
