@@ -1,25 +1,32 @@
 """Quality rules: a linear-chain conditional random field labels each line content or boilerplate.
 
-A line's features are a handful of yes/no signs. The field is fitted on a bounded sample of documents
-with a quality label, `max_rows` of each class by hash of doc_id: in a document of low quality every line that shows a sign is
-boilerplate, elsewhere licence lines and repeated lines are; all other lines are content. Viterbi decoding labels
+A line's features are a handful of yes/no signs of the line itself. The labels that the field is fitted on come from elsewhere: the
+quality label of its document, and where else the line occurs. In a document of high quality a line is content, unless the same
+line stands in `LEAST_TEXTS` different texts of two sources or more, counted over all documents. In a document of low quality
+a line is boilerplate, unless it is also a line of a sampled document of high quality. The field is fitted on a bounded
+sample: `max_rows` documents of each quality by hash of doc_id, and of those `max_segments` stretches of `SEGMENT` lines. Viterbi decoding labels
 the lines of every document, and the share of its words that stand in content lines decides.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import staged, table
 
 MAX_ROWS = 2_000
+MAX_SEGMENTS = 20_000
 SEGMENT = 64
+LEAST_TEXTS = 8
+LINE_SEED = 42  # that of Spark's xxhash64
 SYMBOLS = b"#*$%&|<>"
 #: Words of licence, navigation and notice lines.
 NOTICES = frozenset(
@@ -31,8 +38,6 @@ SIGNS = (
     "most words upper case", "a fifth of words follow themselves", "under half of the words differ", "equals an earlier line",
     "notice words", "under 3 words", "3 to 9 words", "ends a sentence", "many digits", "words over 14 letters on average",
 )
-BAD = 0b00_0000_1111_1111  # the first eight point to boilerplate
-NOTICE, REPEATED = 1 << 8, 1 << 7
 
 
 def line_signs(line: bytes, words: list[bytes], repeated: bool) -> int:
@@ -91,43 +96,59 @@ def _bits(signs: np.ndarray) -> np.ndarray:
     return np.concatenate([signs[..., None] >> np.arange(len(SIGNS)) & 1, np.ones((*signs.shape, 1), np.int64)], axis=-1).astype(float)
 
 
-def fit_field(lines: list[list[tuple[int, int]]], *, ridge: float = 1e-3, steps: int = 300) -> Field:
-    """Maximum likelihood, with a small ridge, of sequences of (signs, state), by forward and backward sums."""
-    parts = [s[k : k + SEGMENT] for s in lines for k in range(0, len(s), SEGMENT)]
-    if not parts or len({y for s in parts for _, y in s}) < 2:
+def fit_field(lines: list[list[tuple[int, int]]], *, ridge: float = 1e-3, steps: int = 300, close: float = 2e-4) -> Field:
+    """Maximum likelihood, with a small ridge, of sequences of (signs, state), by forward and backward sums.
+
+    Equal stretches are summed once. Steps end when no slope is above `close`, or after `steps`.
+    """
+    counted = Counter(tuple(s[k : k + SEGMENT]) for s in lines for k in range(0, len(s), SEGMENT))
+    if len({y for s in counted for _, y in s}) < 2:
         return NO_LABELS
-    size = np.array([len(s) for s in parts])
-    signs, y = (np.zeros((len(parts), size.max()), np.int64) for _ in range(2))
-    for i, s in enumerate(parts):
-        signs[i, : len(s)], y[i, : len(s)] = zip(*s)
-    here = np.arange(size.max()) < size[:, None]
-    x, n = _bits(signs), here.sum()
-    both = here[:, 1:]
-    seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)])
+    by_size: dict[int, list[tuple]] = defaultdict(list)
+    for s in sorted(counted):
+        by_size[1 << (len(s) - 1).bit_length()].append(s)
+    groups = []
+    for width, parts in by_size.items():
+        size = np.array([len(s) for s in parts])
+        signs, y = (np.zeros((len(parts), width), np.int64) for _ in range(2))
+        for i, s in enumerate(parts):
+            signs[i, : len(s)], y[i, : len(s)] = zip(*s)
+        groups.append((_bits(signs), y, np.arange(width) < size[:, None], np.array([counted[s] for s in parts], float)))
+    n = sum(len(s) * k for s, k in counted.items())
     u, pair = np.zeros(len(SIGNS) + 1), np.zeros((2, 2))
     speed_u, speed_p = np.zeros_like(u), np.zeros_like(pair)
     for _ in range(steps):
-        on = np.stack([np.zeros(here.shape), x @ u], axis=-1) * here[..., None]
-        ahead, back = np.zeros_like(on), np.zeros_like(on)
-        ahead[:, 0] = on[:, 0]
-        for t in range(1, on.shape[1]):
-            step = np.logaddexp(ahead[:, t - 1, :1] + pair[0], ahead[:, t - 1, 1:] + pair[1]) + on[:, t]
-            ahead[:, t] = np.where(here[:, t, None], step, ahead[:, t - 1])
-        for t in range(on.shape[1] - 2, -1, -1):
-            nxt = on[:, t + 1] + back[:, t + 1]
-            step = np.logaddexp(pair[:, 0] + nxt[:, :1], pair[:, 1] + nxt[:, 1:])
-            back[:, t] = np.where(here[:, t + 1, None], step, 0.0)
-        total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        p = np.exp(ahead + back - total[:, None, None])[..., 1] * here
-        joint = ahead[:, :-1, :, None] + pair + (on + back)[:, 1:, None, :] - total[:, None, None, None]
-        expected = (np.exp(np.minimum(joint, 0)) * both[..., None, None]).sum(axis=(0, 1))
-        gu = np.einsum("ij,ijk->k", (y - p) * here, x) / n - ridge * u
-        gp = (seen - expected) / n - ridge * pair
+        slopes = [_slopes(*g, u, pair) for g in groups]
+        gu = sum(x for x, _ in slopes) / n - ridge * u
+        gp = sum(x for _, x in slopes) / n - ridge * pair
         speed_u, speed_p = 0.9 * speed_u + gu, 0.9 * speed_p + gp
         u, pair = u + speed_u, pair + speed_p
+        if max(np.abs(gu).max(), np.abs(gp).max()) < close:
+            break
     return Field(u, pair)
 
 
+def _slopes(x: np.ndarray, y: np.ndarray, here: np.ndarray, weight: np.ndarray, u: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the log likelihood of one batch of stretches by the unary and the pair weights."""
+    both = here[:, 1:]
+    on = np.stack([np.zeros(here.shape), x @ u], axis=-1) * here[..., None]
+    ahead, back = np.zeros_like(on), np.zeros_like(on)
+    ahead[:, 0] = on[:, 0]
+    for t in range(1, on.shape[1]):
+        step = np.logaddexp(ahead[:, t - 1, :1] + pair[0], ahead[:, t - 1, 1:] + pair[1]) + on[:, t]
+        ahead[:, t] = np.where(here[:, t, None], step, ahead[:, t - 1])
+    for t in range(on.shape[1] - 2, -1, -1):
+        nxt = on[:, t + 1] + back[:, t + 1]
+        step = np.logaddexp(pair[:, 0] + nxt[:, :1], pair[:, 1] + nxt[:, 1:])
+        back[:, t] = np.where(here[:, t + 1, None], step, 0.0)
+    total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
+    p = np.exp(ahead + back - total[:, None, None])[..., 1] * here
+    joint = ahead[:, :-1, :, None] + pair + (on + back)[:, 1:, None, :] - total[:, None, None, None]
+    expected = np.einsum("itab,it,i->ab", np.exp(np.minimum(joint, 0)), both, weight)
+    seen = np.array([[(((y[:, :-1] == a) & (y[:, 1:] == b) & both) * weight[:, None]).sum() for b in (0, 1)] for a in (0, 1)])
+    return np.einsum("ij,ijk,i->k", (y - p) * here, x, weight), seen - expected
+
+
 def viterbi(signs: list[int], unary: np.ndarray, pair: np.ndarray) -> list[bool]:
     """The likeliest labels of a text's lines; True is content."""
     if not signs:
@@ -145,22 +166,52 @@ def viterbi(signs: list[int], unary: np.ndarray, pair: np.ndarray) -> list[bool]
     return states[::-1]
 
 
-def train_field(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Field:
-    """Fit on at most `max_rows` documents of either quality label; without both labels every line is content."""
-    known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").distinct().withColumn("_h", F.xxhash64(F.lit("lines"), "doc_id"))
-    parts = [known.where(F.col("quality") == q).orderBy("_h", "doc_id").limit(max_rows) for q in (0, 1)]
-    ids = parts[0].unionByName(parts[1]).select("doc_id", "quality")
+def recurring_lines(docs: DataFrame, lines: DataFrame, *, least_texts: int = LEAST_TEXTS, least_sources: int = 2) -> DataFrame:
+    """line (its hash) of those in `lines` that stand in `least_texts` different texts and `least_sources` sources of `docs`."""
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    each = F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x))
+    every = docs.select(F.xxhash64("text").alias("text_hash"), F.coalesce(source, F.lit("")).alias("source"), F.explode(F.array_distinct(each)).alias("line"))
+    counted = every.join(lines, "line", "left_semi").groupBy("line").agg(F.countDistinct("text_hash").alias("texts"), F.countDistinct("source").alias("sources"))
+    return counted.where((F.col("texts") >= least_texts) & (F.col("sources") >= least_sources)).select("line")
+
+
+def labelled_lines(docs: DataFrame, ids: DataFrame, *, max_segments: int = MAX_SEGMENTS) -> list[list[tuple[int, int]]]:
+    """Stretches of (signs, state) of the documents in `ids` (doc_id, quality; few), at most `max_segments` of SEGMENT lines by hash."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            signs = [signs_of(raw or b"")[0] for raw in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(signs, pa.list_(pa.int32()))], names=["doc_id", "quality", "signs"])
+            quality, signs, hashes = [], [], []
+            for q, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                raw = raw or b""
+                found = signs_of(raw)[0]
+                named = [xxhash.xxh64_intdigest(x, LINE_SEED) for x in raw.split(b"\n") if x.split()]
+                for k in range(0, len(found), SEGMENT):
+                    quality.append(q), signs.append(found[k : k + SEGMENT])
+                    hashes.append(np.array(named[k : k + SEGMENT], np.uint64).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(quality, pa.int32()), pa.array(signs, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["quality", "signs", "lines"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
+    parts = rows.mapInArrow(lines, "quality int, signs array<int>, lines array<long>")
+    parts = staged(parts.orderBy(F.xxhash64("signs", "lines", "quality")).limit(max_segments), "segments")
+    names = parts.select(F.explode("lines").alias("line")).distinct()
+    elsewhere = {r[0] for r in recurring_lines(docs, names).collect()}  # some of the lines of `max_segments` stretches
+    sample = sorted(tuple(r) for r in parts.collect())
+    good = {x for q, _, lines in sample if q == 1 for x in lines}
+    state = lambda q, x: int(x not in elsewhere if q == 1 else x in good and x not in elsewhere)
+    return [[(s, state(q, x)) for s, x in zip(signs, lines)] for q, signs, lines in sample]
+
+
+def sample_quality(labels: DataFrame, *, max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, quality: at most `max_rows` of each quality, by hash of doc_id. A doc_id with both labels has none."""
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
+    known = known.where("quality = _most").withColumn("_h", F.xxhash64(F.lit("lines"), "doc_id"))
+    parts = [known.where(F.col("quality") == q).orderBy("_h", "doc_id").limit(max_rows) for q in (0, 1)]
+    return parts[0].unionByName(parts[1]).select("doc_id", "quality")
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    sample = rows.mapInArrow(lines, f"doc_id {id_type}, quality int, signs array<int>").collect()
-    state = lambda q, s: int(not (s & (NOTICE | REPEATED) or (q == 0 and s & BAD)))
-    return fit_field([[(s, state(r["quality"], s)) for s in r["signs"]] for r in sorted(sample) if r["signs"]])
+
+def train_field(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Field:
+    """Fit on at most `max_rows` documents of either quality label; without both labels every line is content."""
+    return fit_field(labelled_lines(docs, sample_quality(labels, max_rows=max_rows)))
 
 
 OUT = (

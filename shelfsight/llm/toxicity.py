@@ -1,10 +1,11 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
 A document's features are its distinct lower-case words and their beginnings of 4 to 6 letters, each
-present or absent. Document frequencies by label choose the features; a logistic model is fitted on
-them with a penalty on the squared change of its score when identity terms of a labelled text are swapped
-for other terms of their kind. So a group mention that happens to occur with label 1 gains no weight
-unless the rest of the text carries it.
+present or absent. Document frequencies by label choose the features, and identity terms are always among them; a logistic
+model is fitted on them with a penalty on the squared change of its score when identity terms of a labelled text are swapped
+for other terms of their kind. A labelled text without such a term gets its counterfactual by putting one in, a term chosen by the
+hash of its words: the pair is "as it is" and "with a group mention", for both labels alike. So a group mention that
+happens to occur with label 1 gains no weight unless the rest of the text carries it.
 
 The model is fitted on a bounded sample, `max_rows` labelled rows of each class by hash of doc_id;
 scoring reads every whole text.
@@ -13,6 +14,7 @@ scoring reads every whole text.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -62,10 +64,22 @@ def swapped(words: set[str], kinds=IDENTITY_TERMS) -> set[str]:
     return {turn.get(w, w) for w in words}
 
 
+def counterfactual(words: set[str], kinds=IDENTITY_TERMS) -> set[str]:
+    """The words after the swap; where there is no identity term, with one put in, chosen by the words' hash."""
+    other = swapped(words, kinds)
+    terms = [t for kind in kinds for t in kind]
+    if other != words or not terms:
+        return other
+    return words | {terms[zlib.crc32(" ".join(sorted(words)).encode()) % len(terms)]}
+
+
 @dataclass(frozen=True)
 class Model:
+    """swaps: labelled texts whose counterfactual has other features, so that the penalty reads them."""
+
     bias: float
     weights: dict[str, float]
+    swaps: int = 0
 
 
 def score(text: str, bias: float, weights: dict[str, float]) -> float:
@@ -73,10 +87,10 @@ def score(text: str, bias: float, weights: dict[str, float]) -> float:
     return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def fit_weights(rows: list[tuple[int, Sequence[int], Sequence[int]]], n: int, *, ridge: float = 2.0, counterfactual: float = 4.0, steps: int = 400) -> np.ndarray:
+def fit_weights(rows: list[tuple[int, Sequence[int], Sequence[int]]], n: int, *, ridge: float = 2.0, penalty: float = 4.0, steps: int = 400) -> np.ndarray:
     """Weights (n features, bias last) of (label, active, active after the swap) rows, classes weighing alike.
 
-    Minimises mean log loss + ridge |w|^2 / rows + counterfactual * mean (z(x) - z(swapped x))^2 by
+    Minimises mean log loss + ridge |w|^2 / rows + penalty * mean (z(x) - z(swapped x))^2 by
     gradient descent with a step scaled per feature.
     """
     y = np.array([r[0] for r in rows], float)
@@ -97,7 +111,7 @@ def fit_weights(rows: list[tuple[int, Sequence[int], Sequence[int]]], n: int, *,
     d_at, d_col, d_sign = np.array(d_at, np.int64), np.array(d_col, np.int64), np.array(d_sign)
     scale = np.bincount(col, share[at] * 0.25, n) + 2 * ridge / len(y)
     if len(d_at):
-        scale += 2 * counterfactual * np.bincount(d_col, share[d_at], n)
+        scale += 2 * penalty * np.bincount(d_col, share[d_at], n)
     scale = np.append(scale, 0.25)
     w, speed = np.zeros(n + 1), np.zeros(n + 1)
     rate = 1.0 / max(1.0, np.percentile(np.bincount(at, minlength=len(y)), 90))
@@ -107,13 +121,13 @@ def fit_weights(rows: list[tuple[int, Sequence[int], Sequence[int]]], n: int, *,
         g = np.append(np.bincount(col, off[at], n) + 2 * ridge / len(y) * w[:n], off.sum())
         if len(d_at):
             dz = np.bincount(d_at, d_sign * w[d_col], len(y))
-            g[:n] += 2 * counterfactual * np.bincount(d_col, d_sign * (share * dz)[d_at], n)
+            g[:n] += 2 * penalty * np.bincount(d_col, d_sign * (share * dz)[d_at], n)
         speed = 0.9 * speed - rate * g / scale
         w += speed
     return w
 
 
-def fit(labelled: DataFrame, *, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS, kinds=IDENTITY_TERMS) -> Model:
+def fit(labelled: DataFrame, *, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS, kinds=IDENTITY_TERMS, penalty: float = 4.0) -> Model:
     """A model from (text, toxic) rows; rows with a null label are left out, a null text is empty.
 
     `labelled` has at most 2 * max_rows rows (see `sample_labels`). Feature counts are made by Spark;
@@ -137,34 +151,37 @@ def fit(labelled: DataFrame, *, max_rows: int = MAX_ROWS, max_features: int = MA
     p = (F.col("n0") + F.col("n1") + 1) / (t0 + t1 + 2)
     apart = F.abs(p1 - p0) / F.sqrt(p * (1 - p) * (1 / max(1.0, t0) + 1 / max(1.0, t1)))
     chosen = counts.where((F.col("n0") + F.col("n1") >= min_docs) & (apart > 3)).orderBy(apart.desc(), "feature").limit(max_features)
-    names = sorted(r[0] for r in chosen.select("feature").collect())
+    terms = features({t for kind in kinds for t in kind})
+    names = sorted({r[0] for r in chosen.select("feature").collect()} | terms)
     place = {f: i for i, f in enumerate(names)}
+    number = np.uint16 if len(names) <= 1 << 16 else np.uint32
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             toxic, now, then = [], [], []
-            active = lambda w: np.array(sorted(place[f] for f in place.keys() & features(w)), np.uint16).tobytes()
+            active = lambda w: np.array(sorted(place[f] for f in place.keys() & features(w)), number).tobytes()
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(text or "")
-                other = swapped(words, kinds)
                 toxic.append(y)
                 now.append(active(words))
-                then.append(None if other == words else active(other))
+                other = active(counterfactual(words, kinds))
+                then.append(None if other == now[-1] else other)
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int64()), pa.array(now, pa.binary()), pa.array(then, pa.binary())], names=["toxic", "now", "then"])
 
-    # two bytes a feature: a bounded sample stays small on the driver
+    # two bytes a feature, or four beyond 65,536 features: a bounded sample stays small on the driver
     taken = sorted((r[0], bytes(r[1]), bytes(r[2] or b""), r[2] is not None) for r in rows.mapInArrow(encoded, "toxic long, now binary, then binary").toLocalIterator())
     data = []
     for y, now, then, differs in taken:
-        active = np.frombuffer(now, np.uint16)
-        data.append((y, active, np.frombuffer(then, np.uint16) if differs else active))
-    w = fit_weights(data, len(names))
-    return Model(float(w[-1]), {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-4})
+        active = np.frombuffer(now, number)
+        data.append((y, active, np.frombuffer(then, number) if differs else active))
+    w = fit_weights(data, len(names), penalty=penalty)
+    return Model(float(w[-1]), {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-4}, sum(differs for *_, differs in taken))
 
 
 def sample_labels(labels: DataFrame, *, max_rows: int = MAX_ROWS) -> DataFrame:
-    """At most `max_rows` labelled doc_ids of each class, by hash of doc_id."""
-    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic").distinct()
+    """At most `max_rows` labelled doc_ids of each class, by hash of doc_id. A doc_id with both labels has none."""
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"))
+    known = known.where("toxic = _most").drop("_most")
     by_hash = known.withColumn("_h", F.xxhash64(F.lit("labels"), "doc_id"))
     parts = [by_hash.where(F.col("toxic") == y).orderBy("_h", "doc_id").limit(max_rows) for y in (0, 1)]
     return parts[0].unionByName(parts[1]).drop("_h")
@@ -174,10 +191,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on labelled documents that are not held out. The sampled labels, 2 * max_rows at most, are broadcast."""
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, penalty: float = 4.0) -> Model:
+    """Fit on labelled documents that are not held out. The sampled labels, 2 * max_rows at most, are broadcast.
+
+    Without both labels every text gets the one score of the label that is there, or 0.5."""
     ids = sample_labels(labels.where(~held_out(F.col("doc_id"))), max_rows=max_rows)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"), max_rows=max_rows)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"), penalty=penalty)
 
 
 def toxicity_score(docs: DataFrame, model: Model) -> Column:
