@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import payloads as P
 from ..functions import text as T
 from ..params import FeatureParams
+from ..sources.scratch import written
+from .quantiles import quantile_row
 
 LOGGED = ("size_bytes", "ram_bytes", "early_access_days", "maker_titles", "achievement_count", "addon_count", "language_count")
 FEATURES = (*LOGGED, "simple_label_score", "complex_label_score", "platform_count")
@@ -44,6 +46,8 @@ def normalize_items(catalog: DataFrame, details: DataFrame, reviews: DataFrame,
         P.first_or(x("developers"), F.col("maker")).alias("maker"),
         P.first_or(x("publishers"), F.col("publisher")).alias("publisher"),
         (ok & F.coalesce(x("type") == "game", F.lit(False)) & F.coalesce("labelled", F.lit(False)) & ~P.any_of(genres, params.software_genres)).alias("in_scope"),
+        P.any_of(genres, params.software_genres).alias("is_software"),
+        F.coalesce("labelled", F.lit(False)).alias("is_listed"),
         (x("price_overview.final") / 100).alias("price"),
         x("is_free").alias("is_free"),
         count.alias("review_count"),
@@ -83,10 +87,14 @@ def rank_labels(labels: DataFrame, most: int) -> DataFrame:
     return labels.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def label_scores(labels: DataFrame, vocabularies: dict[str, tuple[str, ...]]) -> DataFrame:
+    """item_id and, for each name, the share of the item's labels that are in its vocabulary, whatever their case; items without labels are absent."""
+    hit = lambda words: F.lower("label").isin([v.lower() for v in words]).cast("double")
+    return labels.groupBy("item_id").agg(*[F.avg(hit(words)).alias(name) for name, words in vocabularies.items()])
+
+
 def label_score(labels: DataFrame, vocabulary: tuple[str, ...], out: str) -> DataFrame:
-    """Share of an item's labels that are in the vocabulary, whatever their case; items without labels are absent."""
-    hit = F.lower("label").isin([v.lower() for v in vocabulary])
-    return labels.groupBy("item_id").agg(F.avg(hit.cast("double")).alias(out))
+    return label_scores(labels, {out: vocabulary})
 
 
 def maker_titles(items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -141,19 +149,20 @@ def complexity(items: DataFrame, labels: DataFrame, params: FeatureParams) -> Da
 
     A normalised feature that is null gets the cohort's median, or 0.5 where all are null, and then is not
     named as imputed. The platform count is never imputed, so without it there is no score; nor is there
-    one when more than `most_missing` of the features were missing. The medians are one row, joined to every item.
+    one when more than `most_missing` of the features were missing. The normalised items are written once, their exact
+    medians are found by ranges, and are one row that is joined to every item.
     """
-    scored = items.join(label_score(labels, params.simple_labels, "simple_label_score"), "item_id", "left")
-    scored = scored.join(label_score(labels, params.complex_labels, "complex_label_score"), "item_id", "left")
+    shares = label_scores(labels, {"simple_label_score": params.simple_labels, "complex_label_score": params.complex_labels})
+    scored = items.join(shares, "item_id", "left")
     normal = {f: log_scaled(_raw(f).cast("double"), *params.bounds[f]) if f in params.bounds else F.lit(None).cast("double") for f in LOGGED}
     normal |= {
         "simple_label_score": 1 - F.col("simple_label_score"),
         "complex_label_score": F.col("complex_label_score"),
         "platform_count": (F.col("platform_count") - 1) / 2,
     }
-    scaled = scored.withColumns({f"_n_{f}": c.cast("double") for f, c in normal.items()})
+    scaled = written(scored.withColumns({f"_n_{f}": c.cast("double") for f, c in normal.items()}), "scaled")
     filled = [f for f in FEATURES if f != "platform_count"]
-    medians = scaled.agg(*[F.median(f"_n_{f}").alias(f"_m_{f}") for f in filled])
+    medians = quantile_row(scaled, {f: F.col(f"_n_{f}") for f in filled}, [0.5]).select(*[F.col(f)[0].alias(f"_m_{f}") for f in filled])
     both = scaled.crossJoin(F.broadcast(medians))  # one row
     value = {f: F.coalesce(f"_n_{f}", f"_m_{f}", F.lit(0.5)) for f in filled} | {"platform_count": F.col("_n_platform_count")}
     part = {f: value[f] * params.weights[f] for f in FEATURES}
@@ -173,14 +182,31 @@ def with_return(items: DataFrame, params: FeatureParams) -> DataFrame:
 
 
 def frozen_bounds(items: DataFrame, *, least_rows: int = 30) -> DataFrame:
-    """feature, low, high: 5th and 95th percentiles of log10(x + 1), of features with enough values and a span."""
+    """feature, low, high, n: 5th and 95th percentiles of log10(x + 1), and the known values of each log feature in `items`.
+
+    A feature without a known value is left out: it stays unfrozen. Fewer than `least_rows` rows, and a feature whose bounds are
+    equal, are errors when the result is read.
+    """
     cols = [c for c in LOGGED if c in items.columns]
-    one = items.agg(
-        *[F.percentile(F.log10(F.when(F.col(c) >= 0, F.col(c)) + 1), [0.05, 0.95]).alias(c) for c in cols],
-        *[F.count(F.when(F.col(c) >= 0, F.col(c))).alias(f"n_{c}") for c in cols],
-    )
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)[0].alias("low"), F.col(c)[1].alias("high"), F.col(f"n_{c}").alias("n")) for c in cols]))
-    return one.select(rows.alias("b")).select("b.*").where(f"n >= {least_rows} and low < high")
+    known = {c: F.when(F.col(c) >= 0, F.col(c)) for c in cols}
+    bounds = quantile_row(items, {c: F.log10(x + 1) for c, x in known.items()}, [0.05, 0.95])
+    sizes = items.agg(F.count("*").alias("n_rows"), *[F.count(x).alias(f"n_{c}") for c, x in known.items()])
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)[0].alias("low"), F.col(c)[1].alias("high"), F.col(f"n_{c}").alias("n")) for c in cols]))
+    rows = bounds.join(sizes).select("n_rows", each).where("n > 0 or n_rows < " + str(least_rows))  # one row beside one row
+    few = F.raise_error(F.concat(F.lit("too few rows to freeze bounds: "), F.col("n_rows").cast("string"))).cast("double")
+    flat = F.raise_error(F.concat(F.lit("no span between the bounds of "), "feature")).cast("double")
+    low = F.when(F.col("n_rows") < least_rows, few).when(F.abs(F.col("high") - F.col("low")) <= 1e-8 + 1e-5 * F.abs("high"), flat).otherwise(F.col("low"))
+    return rows.select("feature", low.alias("low"), "high", "n")
+
+
+def drop_reasons(normal: DataFrame) -> DataFrame:
+    """One row: kept, software_genre, other_type - why normalised items are out of scope.
+
+    Software: typed as a game and listed in the label source, but with a software genre; all others that are out count as of another type.
+    """
+    software = F.col("is_software") & F.coalesce(F.col("item_type") == "game", F.lit(False)) & F.col("is_listed")
+    out = ~F.col("in_scope")
+    return normal.agg(F.count_if("in_scope").alias("kept"), F.count_if(out & software).alias("software_genre"), F.count_if(out & ~software).alias("other_type"))
 
 
 def enrichment_report(items: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +111,13 @@ def funnel_summary(coarse: DataFrame, released: DataFrame) -> DataFrame:
     return first.join(second)  # one row beside one row
 
 
+def with_criteria(summary: DataFrame, params: FilterParams) -> DataFrame:
+    """The one-row summary with criteria, the filter's parameters as a struct."""
+    values = {k: F.array(*[F.lit(x) for x in v]) if isinstance(v, tuple) else F.lit(v) for k, v in dataclasses.asdict(params).items()}
+    kinds = {"min_reviews": "long", "max_reviews": "long", "include_free": "boolean", "max_price": "double", "blocked_publishers": "array<string>"}
+    return summary.withColumn("criteria", F.struct(*[c.cast(kinds.get(k, "string")).alias(k) for k, c in values.items()]))
+
+
 def with_simple_size(funnel: DataFrame, simple_size: DataFrame) -> DataFrame:
     """The one-row funnel with simple_size from a one-row frame; its other columns stay."""
     return funnel.drop("simple_size").join(simple_size.select("simple_size"))

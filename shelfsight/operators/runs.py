@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..params import STAGES
 from ..sources.scratch import written
+from ..sources.tables import LEVELS, valid_events  # noqa: F401
 
-LEVELS = ("debug", "info", "warning", "error")
 SOURCES = ("catalog", "details", "reviews", "labels")
 
 
@@ -63,11 +63,6 @@ def run_seconds(runs: DataFrame, stages: DataFrame) -> DataFrame:
     return joined.select("run_id", (F.coalesce(at("finished_at") - at("started_at"), at("_to") - at("_from")) / 1e6).alias("seconds"))
 
 
-def valid_events(events: DataFrame) -> DataFrame:
-    progress = F.col("progress")
-    return events.where(F.col("level").isin(*LEVELS) & (progress.isNull() | progress.between(0, 1)))
-
-
 def events_after(events: DataFrame, run_id, since: int = 0) -> DataFrame:
     return events.where((F.col("run_id") == run_id) & (F.col("event_id") > since)).orderBy("event_id")
 
@@ -130,6 +125,18 @@ def _reached(steps: DataFrame, first: DataFrame) -> DataFrame:
     return reached
 
 
+def run_summary(runs: DataFrame, stages: DataFrame, order: tuple[str, ...] = STAGES) -> DataFrame:
+    """run_id, status, seconds, missing (stages not succeeded, in order), is_partial and, for a partial run, a notice; a row for every run.
+
+    A run without any stage lacks all of them."""
+    every = F.array(*[F.lit(s) for s in order])
+    joined = runs.join(run_seconds(runs, stages), "run_id", "left").join(partial_runs(stages, order), "run_id", "left")
+    missing = F.coalesce("missing", every)
+    notice = F.concat(F.lit("This run is partial. Missing: "), F.array_join("missing", ", "), F.lit(". Results are those of the stages that ended."))
+    told = joined.select("run_id", "status", "seconds", missing.alias("missing"), (F.size(missing) > 0).alias("is_partial"))
+    return told.withColumn("notice", F.when(F.col("is_partial"), notice))
+
+
 def usage(payloads: DataFrame, sources: tuple[str, ...] = SOURCES[1:]) -> DataFrame:
     """run_id, requests: distinct (source, item) of the sources that cost a request each."""
     counted = payloads.where(F.col("source").isin(*sources)).select("run_id", "source", "item_id").distinct()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import MONTH_DAYS, PLAY_MODES, AnalysisParams
+from .quantiles import quantile_row, smallest
 
 
 def micros(c: Column) -> Column:
@@ -23,14 +24,16 @@ def trailing(items: DataFrame, as_of: str, months: int) -> DataFrame:
 
 
 def simple_cut(items: DataFrame, quantile: float, *, approximate: bool = False) -> DataFrame:
-    """Rows whose complexity is at most the quantile of the run. `approximate` for very many rows."""
-    edge = F.percentile_approx("complexity", quantile, 100_000) if approximate else F.percentile("complexity", quantile)
-    cut = items.agg(edge.alias("_cut"))
+    """Rows whose complexity is at most the quantile of the run; found by ranges, or by a sketch if `approximate`."""
+    if approximate:
+        cut = items.agg(F.percentile_approx("complexity", quantile, 100_000).alias("_cut"))
+    else:
+        cut = quantile_row(items, {"_cut": F.col("complexity")}, [quantile]).select(F.col("_cut")[0].alias("_cut"))
     return items.crossJoin(F.broadcast(cut)).where("complexity <= _cut").drop("_cut")  # one row
 
 
 def simple_tally(items: DataFrame, quantile: float) -> DataFrame:
-    cut = items.agg(F.percentile("complexity", quantile).alias("cut"))
+    cut = quantile_row(items, {"cut": F.col("complexity")}, [quantile]).select(F.col("cut")[0].alias("cut"))
     return items.crossJoin(F.broadcast(cut)).agg(
         F.count_if(F.col("complexity") <= F.col("cut")).alias("simple_size"),
         F.count_if(F.col("complexity") > F.col("cut")).alias("above"),
@@ -40,49 +43,62 @@ def simple_tally(items: DataFrame, quantile: float) -> DataFrame:
 
 def simple_from_size(items: DataFrame, size: int) -> DataFrame:
     """The subset of a known size again: rows up to the size-th smallest score, ties kept."""
-    cut = items.where("complexity is not null").orderBy("complexity").limit(size).agg(F.max("complexity").alias("_cut"))
-    return items.crossJoin(F.broadcast(cut)).where("complexity <= _cut").drop("_cut")
+    cut = smallest(items, F.col("complexity"), size).withColumnRenamed("cut", "_cut")
+    return items.crossJoin(F.broadcast(cut)).where("complexity <= _cut").drop("_cut")  # one row
 
 
-def demand(items: DataFrame) -> DataFrame:
-    """cluster_id, n_items, median sales and reviews, sales quartiles; a cluster without known sales drops."""
+def archetype_metrics(items: DataFrame) -> DataFrame:
+    """A row for every cluster with the columns of demand, competition and simplicity, and _known, from one pass over `items`."""
     sales = F.col("sales_mid")
     grouped = items.groupBy("cluster_id").agg(
         F.count("*").alias("n_items"), F.median(sales).alias("median_sales"), F.median("review_count").alias("median_reviews"),
         F.percentile(sales, 0.25).alias("sales_q1"), F.percentile(sales, 0.75).alias("sales_q3"), F.count(sales).alias("_known"),
+        F.count("*").alias("releases"), F.median("complexity").alias("median_complexity"),
     )
-    return grouped.where("_known > 0").drop("_known")
+    return grouped.withColumn("share", F.col("releases") / F.sum("releases").over(Window.partitionBy()))  # one row a cluster
+
+
+def demand(items: DataFrame) -> DataFrame:
+    """cluster_id, n_items, median sales and reviews, sales quartiles; a cluster without known sales drops."""
+    return archetype_metrics(items).where("_known > 0").select("cluster_id", "n_items", "median_sales", "median_reviews", "sales_q1", "sales_q3")
 
 
 def competition(items: DataFrame) -> DataFrame:
     """cluster_id, releases, share of all rows; shares sum to 1."""
-    total = items.agg(F.count("*").alias("_all"))
-    grouped = items.groupBy("cluster_id").agg(F.count("*").alias("releases")).crossJoin(F.broadcast(total))
-    return grouped.select("cluster_id", "releases", (F.col("releases") / F.col("_all")).alias("share"))
+    return archetype_metrics(items).select("cluster_id", "releases", "share")
 
 
 def simplicity(items: DataFrame) -> DataFrame:
-    return items.groupBy("cluster_id").agg(F.median("complexity").alias("median_complexity")).where("median_complexity is not null")
+    return archetype_metrics(items).select("cluster_id", "median_complexity").where("median_complexity is not null")
 
 
 def with_z(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """`frame` with the named z-scores: population deviation over all rows, 0 where there is none."""
+    """`frame`, one row a cluster, with the named z-scores: population deviation over all rows, 0 where there is none."""
+    every = Window.partitionBy()
     named = frame.withColumns({f"_x_{k}": c for k, c in columns.items()})
-    stats = named.agg(
-        *[F.avg(f"_x_{k}").alias(f"_a_{k}") for k in columns], *[F.stddev_pop(f"_x_{k}").alias(f"_s_{k}") for k in columns]
-    )
-    z = {k: F.when(F.col(f"_s_{k}") == 0, 0.0).otherwise((F.col(f"_x_{k}") - F.col(f"_a_{k}")) / F.col(f"_s_{k}")) for k in columns}
-    return named.crossJoin(F.broadcast(stats)).select(*frame.columns, *[c.alias(k) for k, c in z.items()])
+    z = {k: (F.col(f"_x_{k}") - F.avg(f"_x_{k}").over(every)) / F.nullif(F.stddev_pop(f"_x_{k}").over(every), F.lit(0.0)) for k in columns}
+    scored = named.withColumns({k: F.when(F.col(f"_x_{k}").isNotNull(), F.coalesce(c, F.lit(0.0))) for k, c in z.items()})
+    return scored.select(*frame.columns, *columns)
 
 
-def opportunities(demand_: DataFrame, competition_: DataFrame, simplicity_: DataFrame, params: AnalysisParams) -> DataFrame:
-    """Archetypes of enough items with their z-scores and opportunity, best first."""
-    joined = demand_.join(competition_, "cluster_id").join(simplicity_, "cluster_id").where(F.col("n_items") >= params.min_cluster_size)
-    scored = with_z(joined, {"demand_z": F.col("median_sales"), "competition_z": F.col("share"), "simplicity_z": 1 - F.col("median_complexity")})
+def ranked(metrics: DataFrame, params: AnalysisParams) -> DataFrame:
+    """Archetypes of enough items with their z-scores and opportunity, best first. metrics: see `archetype_metrics`."""
+    enough = metrics.where(F.col("n_items") >= params.min_cluster_size)
+    scored = with_z(enough, {"demand_z": F.col("median_sales"), "competition_z": F.col("share"), "simplicity_z": 1 - F.col("median_complexity")})
     total = params.demand * F.col("demand_z") - params.competition * F.col("competition_z") + params.simplicity * F.col("simplicity_z")
     return scored.withColumn("opportunity", total).orderBy(F.col("opportunity").desc(), "cluster_id")
 
 
+def opportunities(demand_: DataFrame, competition_: DataFrame, simplicity_: DataFrame, params: AnalysisParams) -> DataFrame:
+    """`ranked` of metrics that are kept in three tables."""
+    return ranked(demand_.join(competition_, "cluster_id").join(simplicity_, "cluster_id"), params)
+
+
+def opportunity_matrix(items: DataFrame, params: AnalysisParams) -> DataFrame:
+    """`ranked` of the clusters of `items` with known sales and a known complexity, in one pass over them."""
+    return ranked(archetype_metrics(items).where("_known > 0 and median_complexity is not null").drop("_known"), params)
+
+
 def label_summary(items: DataFrame, labels: DataFrame, *, min_votes: int = 0) -> DataFrame:
     """label, n_items and medians of complexity, sales, positive share and price; null votes drop."""
     joined = labels.where(F.col("votes") >= min_votes).select("item_id", "label").distinct().join(items, "item_id")

@@ -13,13 +13,16 @@ def diverse_top(items: DataFrame, *, top_n: int = 15, per_cluster: int = 2, per_
 
     When that gives fewer than top_n, relaxed is true and a second pass with one more a cluster adds to the end. Makers that are
     null count as one. items: item_id, cluster_id, maker, effort_return. Windows first drop what no pass can pick: below
-    the best `per_maker` of a (cluster, maker), and below the best top_n + per_cluster + 1 of a cluster. What is
-    left, bounded by the number of clusters, is folded in one array.
+    the best `per_maker` of a (cluster, maker), below the best top_n + per_cluster + 1 of a cluster, and below the best
+    (top_n + 1) * per_maker of a maker, as at most top_n clusters are full before the list is. Of what is left a pass skips only rows of full
+    clusters and makers, of which there are at most top_n each, so it ends within a known number of rows: these are folded in one array.
     """
     ranked = items.where("effort_return is not null and cluster_id is not null")
     order = [F.col("effort_return").desc(), F.col("item_id")]
     ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id", "maker").orderBy(*order))).where(F.col("_r") <= per_maker)
     ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(*order))).where(F.col("_r") <= top_n + per_cluster + 1)
+    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("maker").orderBy(*order))).where(F.col("_r") <= (top_n + 1) * per_maker)
+    ranked = ranked.orderBy(*order).limit(top_n * (1 + (top_n + 1) * per_maker + top_n + per_cluster + 1))
     row = F.struct((-F.col("effort_return")).alias("key"), "item_id", "cluster_id", "maker")
     one = ranked.agg(F.array_sort(F.collect_list(row)).alias("rows"))
 

@@ -12,6 +12,7 @@ from ..operators import trends as T
 from ..operators.affinity import jaccard, clustering_labels
 from ..operators.archetypes import cluster_labels, linkage, search_threshold
 from ..operators.report import headline, label_view, matrix_view
+from ..operators.runs import run_summary
 from ..operators.select import case_rows, diverse_top
 from ..params import AnalysisParams, FeatureParams, FilterParams
 from ..sources.scratch import written
@@ -35,7 +36,7 @@ def funnel(payload_rows: DataFrame, details: DataFrame, params: FilterParams) ->
     coarse = U.coarse_filter(U.build_catalog(payload_rows), params)
     released = U.release_filter(coarse.where("reject_reason is null").drop("reject_reason"), details, params)
     reasons = U.tally(coarse, U.COARSE_REASONS).unionByName(U.tally(released, U.RELEASE_REASONS))
-    return {"coarse": coarse, "released": released, "tally": reasons, "summary": U.funnel_summary(coarse, released)}
+    return {"coarse": coarse, "released": released, "tally": reasons, "summary": U.with_criteria(U.funnel_summary(coarse, released), params)}
 
 
 def analyse(items: DataFrame, labels: DataFrame, as_of: str, params: AnalysisParams) -> dict[str, DataFrame]:
@@ -43,9 +44,12 @@ def analyse(items: DataFrame, labels: DataFrame, as_of: str, params: AnalysisPar
     simple = written(S.simple_cut(items, params.simple_quantile), "simple")
     found = cluster_labels(labels, simple, params)
     placed = simple.join(found.assignments, "item_id")
+    placed = written(placed, "placed")
     recent = S.trailing(placed, as_of, params.window_months)
-    demand, competition, simplicity = S.demand(recent), S.competition(recent), S.simplicity(recent)
-    matrix = S.opportunities(demand, competition, simplicity, params)
+    metrics = written(S.archetype_metrics(recent), "metrics")  # one row a cluster
+    demand = metrics.where("_known > 0").select("cluster_id", "n_items", "median_sales", "median_reviews", "sales_q1", "sales_q3")
+    competition, simplicity = metrics.select("cluster_id", "releases", "share"), metrics.select("cluster_id", "median_complexity").where("median_complexity is not null")
+    matrix = S.ranked(metrics.where("_known > 0 and median_complexity is not null").drop("_known"), params)
     named = matrix.join(found.names.select("cluster_id", "name"), "cluster_id", "left").join(found.shares, "cluster_id", "left")
     windows = T.trend_windows(placed, months=params.window_months)
     slopes = T.trend_slopes(windows)
@@ -64,13 +68,14 @@ def analysis_report(items: DataFrame, simple: DataFrame, assignments: DataFrame,
     return sizes.join(assignments.agg(F.countDistinct("cluster_id").alias("clusters"))).join(scored)  # one row each
 
 
-def report(found: dict[str, DataFrame], items: DataFrame, labels: DataFrame, summary: DataFrame) -> dict[str, DataFrame]:
+def report(found: dict[str, DataFrame], items: DataFrame, labels: DataFrame, summary: DataFrame, *, run: DataFrame | None = None, stages: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The views of a run's analysis; with `run` and `stages`, also its duration, missing stages and notice."""
     picked = diverse_top(found["simple"].join(found["assignments"], "item_id").drop("contributions"))
     cases = case_rows(picked, found["simple"].join(found["assignments"], "item_id"), found["names"], labels)
     return {
         "matrix": matrix_view(found["matrix"]), "labels": label_view(found["labels"]), "cases": cases.orderBy("place"),
-        "headline": headline(found["matrix"], found["names"], summary),
-    }
+        "headline": headline(found["matrix"], found["names"], summary), "trends": found["trends"],
+    } | ({} if run is None else {"run": run_summary(run, stages)})
 
 
 def freeze(items: DataFrame, labels: DataFrame, params: AnalysisParams) -> tuple[DataFrame, float | None, str]:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import payloads as P
@@ -19,6 +22,7 @@ from ..operators.select import case_rows, diverse_top
 from ..params import AnalysisParams, FeatureParams, FilterParams, canonical
 from ..sources import driver_tables as D
 from ..sources import tables as B
+from ..sources.scratch import scratch_dir, written
 from ..streaming import streams as Z
 from . import composites as Q
 
@@ -107,8 +111,7 @@ def recent(spark, d):
 
 
 def matrix(spark, d) -> DataFrame:
-    now = recent(spark, d)
-    return S.opportunities(S.demand(now), S.competition(now), S.simplicity(now), AN)
+    return S.opportunity_matrix(recent(spark, d), AN)
 
 
 @query(f"WITH {MATRIX} SELECT cluster_id, n_items, releases, {', '.join(f'round({c}, 6) AS {c}' for c in MATRIX_COLUMNS)} FROM matrix")
@@ -184,14 +187,17 @@ def trend_slope(spark, d):
 
 @query(f"WITH {TRENDS} SELECT cluster_id, sub_window, n_items, median_sales, NULL::DOUBLE AS slope, NULL::BIGINT AS n_points FROM windows UNION ALL SELECT cluster_id, NULL, NULL, NULL, slope, n_points FROM slopes")
 def trend_union(spark, d):
-    found = windows(spark, d)
+    found = written(windows(spark, d), "windows")
     return r6(W.trend_rows(found, W.trend_slopes(found)).drop("starts", "ends"), "slope")
 
 
-@query(f"WITH {TRENDS} SELECT epoch(ends)::BIGINT AS ends, {', '.join(f'max(CASE WHEN cluster_id = {k} THEN median_sales END) AS c{k}' for k in (1, 2, 3))} FROM windows GROUP BY ends")
+BRANDS = tuple(range(1, 26))  # brands of parts are numbered 1 to 25
+
+
+@query(f"WITH {TRENDS} SELECT epoch(ends)::BIGINT AS ends, {', '.join(f'max(CASE WHEN cluster_id = {k} THEN median_sales END) AS c{k}' for k in BRANDS)} FROM windows GROUP BY ends")
 def trend_pivot(spark, d):
-    wide = W.trend_pivot(windows(spark, d), [1, 2, 3])
-    return wide.select(F.floor(F.unix_micros("ends") / 1_000_000).cast("long").alias("ends"), *[F.col(str(k)).alias(f"c{k}") for k in (1, 2, 3)])
+    wide = W.trend_pivot(windows(spark, d), list(BRANDS))
+    return wide.select(F.floor(F.unix_micros("ends") / 1_000_000).cast("long").alias("ends"), *[F.col(str(k)).alias(f"c{k}") for k in BRANDS])
 
 
 @query()
@@ -300,7 +306,15 @@ def funnel_reasons(spark, d):
 
 @query(f"WITH {COARSE} SELECT (SELECT count(*) FROM coarse) AS catalog, (SELECT count(*) FROM kept) AS candidates, count(*) FILTER (reject_reason IS DISTINCT FROM 'detail_failed') AS detail_ok, count(*) FILTER (reject_reason = 'detail_failed') AS detail_failed, count(*) FILTER (reject_reason IS NULL) AS in_window FROM timed")
 def funnel_summary(spark, d):
-    return both_filters(spark, d)["summary"]
+    return both_filters(spark, d)["summary"].drop("criteria")
+
+
+@query("SELECT 50::BIGINT AS min_reviews, 14000000::BIGINT AS max_reviews, false AS include_free, 4000.0::DOUBLE AS max_price, 'o' AS blocked, '1996-01-01' AS released_from, '2000-12-31' AS released_to, count(DISTINCT o_custkey) AS catalog FROM orders")
+def funnel_criteria(spark, d):
+    """The criteria that the summary carries."""
+    c = "criteria."
+    row = both_filters(spark, d)["summary"]
+    return row.select(c + "min_reviews", c + "max_reviews", c + "include_free", c + "max_price", F.array_join(c + "blocked_publishers", ",").alias("blocked"), c + "released_from", c + "released_to", "catalog")
 
 
 @query("""WITH p AS (SELECT o_custkey % 200 AS run_id, year(o_orderdate) AS page, list_sort(list_distinct(list(o_orderkey % 3 + 3 * (year(o_orderdate) % 5)))) AS ids FROM orders GROUP BY 1, 2),
@@ -369,6 +383,12 @@ def item_features(spark, d):
     return r6(normal_items(spark, d).select("item_id", "name", "maker", "in_scope", "price", "review_count", "positive_share", "size_bytes", "ram_bytes", "achievement_count", "language_count", "platform_count", "is_early_access", "released"), "price", "positive_share")
 
 
+@query("""WITH p AS (SELECT *, p_partkey % 5 <> 0 AS ok, p_partkey % 10 <> 0 AS game, p_partkey % 6 <> 0 AS listed, p_type = 'PROMO' AS software FROM part)
+SELECT count(*) FILTER (ok AND game AND listed AND NOT software) AS kept, count(*) FILTER (ok AND game AND listed AND software) AS software_genre, count(*) FILTER (NOT (ok AND game AND listed)) AS other_type FROM p""")
+def drop_reasons(spark, d):
+    return X.drop_reasons(normal_items(spark, d))
+
+
 @query("SELECT p_partkey AS item_id, CASE WHEN p_partkey % 5 = 0 THEN 'price,size_bytes,ram_bytes,achievement_count,language_count,platform_count' ELSE '' END AS missing FROM part")
 def missing_fields(spark, d):
     return normal_items(spark, d).select("item_id", F.array_join("missing", ",").alias("missing"))
@@ -572,14 +592,23 @@ def enrich_report(spark, d):
 # ---- selection and views ----
 
 
-@query()
+DIVERSE = f"""RECURSIVE {SCORED}, ordered AS (SELECT item_id, cluster_id, maker, row_number() OVER (ORDER BY round(revenue_net / (complexity + 0.05), 6) DESC, item_id) AS r FROM finished WHERE revenue_net / (complexity + 0.05) IS NOT NULL AND cluster_id IS NOT NULL),
+walk(r, items, clusters, makers) AS (SELECT 0::BIGINT, []::BIGINT[], []::INT[], []::VARCHAR[] UNION ALL
+  SELECT x.r, CASE WHEN fits THEN list_append(items, x.item_id) ELSE items END, CASE WHEN fits THEN list_append(clusters, x.cluster_id) ELSE clusters END, CASE WHEN fits THEN list_append(makers, x.maker) ELSE makers END
+  FROM (SELECT w.*, o.r AS r1, o.item_id, o.cluster_id, o.maker, len(w.items) < 15 AND len([c FOR c IN w.clusters IF c = o.cluster_id]) < 2 AND NOT list_contains(w.makers, o.maker) AS fits FROM walk w JOIN ordered o ON o.r = w.r + 1) AS x(r0, items, clusters, makers, r, item_id, cluster_id, maker, fits)),
+picked AS (SELECT items FROM walk ORDER BY r DESC LIMIT 1)
+SELECT unnest(items)::BIGINT AS item_id, unnest(range(1, len(items) + 1))::INT AS place, len(items) < 15 AS relaxed FROM picked"""
+
+
+@query(f"WITH {DIVERSE}")
 def diverse_topn(spark, d):
-    return diverse_top(scored(spark, d))
+    """Returns to six places, so that the order does not hang on the last bit. The SQL has the first pass only: every maker is one cluster here, so a second adds nothing."""
+    return diverse_top(scored(spark, d).withColumn("effort_return", F.round("effort_return", 6)))
 
 
 @query()
 def case_studies(spark, d):
-    items = scored(spark, d)
+    items = written(scored(spark, d), "scored")
     picked = diverse_top(items)
     names = items.select("cluster_id", "maker").distinct().withColumnRenamed("maker", "name")
     return case_rows(picked, items, names, X.rank_labels(D.labels(spark, d), 20), link="item")
@@ -606,9 +635,10 @@ def top_archetypes(spark, d):
 
 @query(f"WITH {MATRIX} SELECT (SELECT count(*) FROM finished) AS catalog, cluster_id, round(opportunity, 6) AS opportunity, 'Brand#' || cluster_id AS name FROM matrix ORDER BY matrix.opportunity DESC, cluster_id LIMIT 1")
 def headline(spark, d):
-    items = scored(spark, d)
+    items = written(scored(spark, d), "scored")
     names = items.select("cluster_id", F.col("maker").alias("name")).distinct()
-    return r6(R.headline(matrix(spark, d), names, items.agg(F.count("*").alias("catalog"))), "opportunity")
+    best = S.opportunity_matrix(S.trailing(items, D.AS_OF, MONTHS), AN)
+    return r6(R.headline(best, names, items.agg(F.count("*").alias("catalog"))), "opportunity")
 
 
 @query(f"WITH {D.ITEMS} SELECT item_id, size_bytes FROM items")
@@ -617,12 +647,13 @@ def all_null_columns(spark, d):
     return R.without_empty(items)
 
 
-@query(f"WITH {D.ITEMS} SELECT item_id, 'In ' || maker || ': ' || review_count || ' reviews (' || printf('%.0f', positive_share * 100) || '% positive), $' || printf('%.2f', price) || CASE WHEN size_bytes >= 1000000000 THEN ', ' || printf('%.1f', size_bytes / 1e9) || 'GB on disk' ELSE '' END || ', which may point to a small scope.' AS sentence, 'item/' || item_id AS link FROM items WHERE review_count IS NOT NULL AND review_count % 8 <> 0")
+@query(f"WITH {D.ITEMS} SELECT item_id, concat_ws(', ', 'In ' || maker || ': ' || review_count || ' reviews' || coalesce(' (' || printf('%.0f', positive_share * 100) || '% positive)', ''), '$' || printf('%.2f', price), CASE WHEN size_bytes >= 1000000000 THEN printf('%.1f', size_bytes / 1e9) || 'GB on disk' WHEN size_bytes >= 0 THEN printf('%.0f', size_bytes / 1e6) || 'MB on disk' END, CASE WHEN titles = 1 THEN 'one earlier title' ELSE titles || ' earlier titles' END, 'which may point to a small scope.') AS sentence, 'item/' || item_id AS link FROM (SELECT *, count(*) OVER (PARTITION BY maker) - 1 AS titles FROM items)")
 def rationale_text(spark, d):
+    """Sentence and link of every item, with its maker's other titles."""
     c = F.col
-    items = D.items(spark, d).where("review_count % 8 <> 0")  # eighths of a percent end in ties that languages round differently
-    none = F.lit(None).cast("int")
-    return items.select("item_id", T.rationale(c("review_count"), c("positive_share"), c("price"), c("size_bytes"), none, c("maker")).alias("sentence"), T.item_link("item", c("item_id")).alias("link"))
+    found = D.items(spark, d)
+    items = X.maker_titles(found, D.table(spark, d, "part").select(F.col("p_brand").alias("maker")))
+    return items.select("item_id", T.rationale(c("review_count"), c("positive_share"), c("price"), c("size_bytes"), c("maker_titles"), c("maker")).alias("sentence"), T.item_link("item", c("item_id")).alias("link"))
 
 
 @query(f"WITH {D.ITEMS} SELECT item_id, concat_ws(', ', 'In ' || maker || ': ' || review_count || ' reviews' || coalesce(' (' || printf('%.0f', positive_share * 100) || '% positive)', ''), '$' || printf('%.2f', price), CASE WHEN size_bytes >= 1000000000 THEN printf('%.1f', size_bytes / 1e9) || 'GB on disk' WHEN size_bytes >= 0 THEN printf('%.0f', size_bytes / 1e6) || 'MB on disk' END, 'which may point to a small scope.') AS sentence FROM items")
@@ -691,6 +722,17 @@ def run_duration(spark, d):
     return N.run_seconds(ids, N.stage_state(log)).withColumn("seconds", F.round("seconds", 3))
 
 
+@query(f"""WITH {STATE}, spans AS (SELECT run_id, min(started_at) AS a, max(CASE WHEN status <> 'running' THEN last END) AS b, list(stage) FILTER (status = 'succeeded') AS done FROM state GROUP BY 1),
+m AS (SELECT c_custkey AS run_id, lower(c_mktsegment) AS status, round(epoch(b) - epoch(a), 3) AS seconds, array_to_string([s FOR s IN ['view', 'click', 'purchase'] IF NOT coalesce(list_contains(done, s), false)], ', ') AS missing FROM customer LEFT JOIN spans ON run_id = c_custkey)
+SELECT *, missing <> '' AS is_partial, CASE WHEN missing <> '' THEN 'This run is partial. Missing: ' || missing || '. Results are those of the stages that ended.' END AS notice FROM m""")
+def run_summaries(spark, d):
+    """Duration, missing stages and notice of every run; customers are runs, many without a stage."""
+    none = F.lit(None).cast("timestamp")
+    runs = D.table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), F.lower("c_mktsegment").alias("status"), none.alias("started_at"), none.alias("finished_at"))
+    found = N.run_summary(runs, N.stage_state(D.stage_log(spark, d)), ("view", "click", "purchase"))
+    return found.withColumn("seconds", F.round("seconds", 3)).withColumn("missing", F.array_join("missing", ", "))
+
+
 @query("SELECT event_id, user_id AS run_id FROM events WHERE user_id = 7 AND event_id > 500")
 def event_tail(spark, d):
     return N.events_after(D.event_log(spark, d), 7, 500).select("event_id", "run_id")
@@ -703,9 +745,15 @@ def event_validity(spark, d):
     return N.valid_events(log).select("event_id")
 
 
-@query()
+THROTTLED = """RECURSIVE info AS (SELECT event_id, user_id AS run_id, epoch_us(ts) AS t FROM events WHERE event_type <> 'error'),
+firsts AS (SELECT run_id, t, min(event_id) AS event_id FROM info GROUP BY 1, 2),
+kept(run_id, t) AS (SELECT run_id, min(t) FROM firsts GROUP BY 1 UNION ALL SELECT k.run_id, min(f.t) FROM kept k JOIN firsts f ON f.run_id = k.run_id AND f.t >= k.t + 36000000000 GROUP BY 1)
+SELECT event_id, user_id AS run_id FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, run_id FROM firsts JOIN kept USING (run_id, t)"""
+
+
+@query(f"WITH {THROTTLED}")
 def info_throttle(spark, d):
-    return N.throttle_info(D.event_log(spark, d), gap_seconds=36_000)
+    return N.throttle_info(D.event_log(spark, d), gap_seconds=36_000).select("event_id", "run_id")
 
 
 # ---- composites ----
@@ -756,16 +804,16 @@ def event_stream(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)  # a stream reads folders
 
 
-@query("SELECT event_id, user_id AS run_id FROM events WHERE event_type = 'error'")
+@query("SELECT event_id, user_id AS run_id FROM events")
 def event_tail_stream(spark, d):
-    return Z.settled(event_stream(spark, d).where("event_type = 'error'").select("event_id", F.col("user_id").alias("run_id")), "tail")
+    return Z.settled(event_stream(spark, d).select("event_id", F.col("user_id").alias("run_id")), "tail")
 
 
-@query()
+@query(f"WITH {THROTTLED}")
 def info_throttle_stream(spark, d):
     level = F.when(F.col("event_type") == "error", "error").otherwise("info")
     log = event_stream(spark, d).select("event_id", F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), level.alias("level"))
-    return Z.settled(Z.throttled(log, gap_seconds=36_000), "throttle")
+    return Z.settled(Z.throttled(log, gap_seconds=36_000), "throttle").select("event_id", "run_id")
 
 
 @query(f"WITH {STATE} SELECT run_id, stage, status, attempt FROM state")
@@ -773,3 +821,111 @@ def stage_state_stream(spark, d):
     status = F.when(F.col("value") < 10, "running").when(F.col("value") < 25, "succeeded").otherwise("failed")
     log = event_stream(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), status.alias("status"), "ts", F.col("event_id").alias("seq"))
     return Z.settled(Z.stage_states(log).select("run_id", "stage", "status", "attempt"), "states", mode="complete")
+
+
+# ---- scans and sinks: written to the scratch folder and read back ----
+
+
+def fresh(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/shelfsight/{name}-{uuid.uuid4().hex}"
+
+
+def stored_payloads(spark, d) -> str:
+    path = fresh(spark, "payloads")
+    rows = landed(spark, d).drop("order_key")
+    B.append_payloads(spark, path, rows.where("http_status = 500"))
+    B.append_payloads(spark, path, rows)
+    return path
+
+
+STORED = f"""{LANDED}, body AS (SELECT *, CASE WHEN k % 4 = 2 THEN '{{"success":' || (k % 3) || '}}' ELSE '{{"success":' || (st = 'F') || '}}' END AS payload FROM landed),
+stored AS (SELECT *, sha256(payload) AS payload_sha256 FROM body QUALIFY row_number() OVER (PARTITION BY run_id, item_id, source ORDER BY k % 5 <> 0, k) = 1)"""
+
+
+@query(f"WITH {STORED} SELECT item_id, payload, payload_sha256 FROM stored WHERE run_id = '3' AND source = 'details'")
+def payload_scan(spark, d):
+    """Two appends, the first wins; a run and source read back with the hashes that landing made."""
+    return B.scan_payloads(spark, stored_payloads(spark, d), "3", "details").select("item_id", "payload", "payload_sha256")
+
+
+@query(f"WITH {STORED} SELECT source, count(*) AS n FROM stored WHERE run_id = '5' GROUP BY 1")
+def bundle_scan(spark, d):
+    parts = B.bundle(spark, stored_payloads(spark, d), "5")
+    both = [frame.agg(F.lit(source).alias("source"), F.count("*").alias("n")) for source, frame in parts.items()]
+    return reduce(DataFrame.unionByName, both)
+
+
+@query(f"WITH {STORED} SELECT DISTINCT item_id FROM stored WHERE run_id = '2' AND source = 'reviews'")
+def fetched_ids(spark, d):
+    return B.fetched_ids(spark, stored_payloads(spark, d), "2", "reviews")
+
+
+@query(f"WITH {D.ITEMS} SELECT item_id, price, CASE WHEN item_id % 7 = 0 THEN NULL ELSE positive_share END AS positive_share FROM items")
+def replace_items(spark, d):
+    """A run's items written twice: the second write replaces the first, NaN becomes null."""
+    path = fresh(spark, "items")
+    items = D.items(spark, d).select("item_id", "price", F.when(F.col("item_id") % 7 == 0, float("nan")).otherwise(F.col("positive_share")).alias("positive_share"))
+    for frame in (items.withColumn("price", F.lit(0.0)), items):
+        B.replace_run(frame, path, "r", keys=["item_id"], required=["price"])
+    return B.scan_items(B.read_table(spark, path, "run_id string, item_id long, price double, positive_share double"), "r", columns=["item_id", "price", "positive_share"])
+
+
+@query(f"WITH {D.LABELS} SELECT item_id, label, votes FROM labels_ WHERE votes >= 6")
+def replace_labels(spark, d):
+    path = fresh(spark, "item-labels")
+    B.replace_run(D.labels(spark, d), path, "r", keys=["item_id", "label"])
+    return B.scan_labels(B.read_table(spark, path, "run_id string, item_id long, label string, votes long"), "r", min_votes=6).drop("run_id")
+
+
+@query(f"WITH {GIVEN} SELECT cluster_id, count(*) AS n_items, NULL::DOUBLE AS opportunity FROM placed GROUP BY 1")
+def result_store(spark, d):
+    """A result written twice and read back typed, with a column that was never written."""
+    path = fresh(spark, "results")
+    frame = C.vote(*given(spark, d)).groupBy("cluster_id").agg(F.count("*").alias("n_items"))
+    for version in ("a", "b"):
+        B.write_result(frame, path, "r", "demand", version)
+    back = B.read_result(spark, path, "r", "demand", "cluster_id int, n_items long, version string").where("version = 'b'").drop("version")
+    absent = B.read_result(spark, path, "r", "matrix", "cluster_id int, n_items long, opportunity double")
+    return R.typed(back, absent)
+
+
+@query("SELECT (user_id % 5)::VARCHAR AS run_id, count(*) AS n FROM events WHERE user_id % 5 <> 2 GROUP BY 1")
+def run_delete(spark, d):
+    """Events appended to their runs; one run is deleted from every table."""
+    path = fresh(spark, "events")
+    level = F.when(F.col("event_type") == "error", "error").otherwise("info")
+    events = D.table(spark, d, "events").select("event_id", (F.col("user_id") % 5).cast("string").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), level.alias("level"), F.col("props").alias("message"), F.lit(None).cast("double").alias("progress"))
+    B.append_events(path, events)
+    B.delete_run(spark, [path], "2")
+    return B.read_table(spark, path, B.EVENT).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {STATE} SELECT stage, status, list_position(['view', 'click', 'purchase', 'signup', 'error'], stage)::INT AS place FROM state WHERE run_id = 11")
+def stage_scan(spark, d):
+    """A run's stages, in their order."""
+    order = ("view", "click", "purchase", "signup", "error")
+    stages = N.in_stage_order(N.stage_state(D.stage_log(spark, d)).where("run_id = 11"), order)
+    return stages.select("stage", "status", F.array_position(F.array(*[F.lit(s) for s in order]), F.col("stage")).cast("int").alias("place"))
+
+
+@query("SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'pending' ELSE 'succeeded' END AS status FROM orders WHERE o_orderkey = 33")
+def run_lookup(spark, d):
+    return B.find_run(runs(spark, d), 33).select("run_id", "status")
+
+
+@query(f"WITH {LANDED} SELECT run_id, source, count(DISTINCT item_id) AS n FROM landed GROUP BY 1, 2")
+def landing_stream(spark, d):
+    """Payloads as JSON files, landed by a stream in two starts; the second finds nothing new."""
+    inbox, path, seen = (fresh(spark, x) for x in ("inbox", "landed", "checkpoint"))
+    landed(spark, d).drop("order_key").write.json(inbox)
+    for _ in range(2):
+        Z.land_payloads(spark, inbox, path, seen).awaitTermination()
+    return B.read_table(spark, path, B.PAYLOAD).groupBy("run_id", "source").agg(F.count("*").alias("n"))
+
+
+@query()
+def bounds_and_threshold(spark, d):
+    """What a freeze finds: bounds of the log features, and the searched distance threshold."""
+    params = AnalysisParams(generic_share=0.3, min_votes=-100, max_cluster_share=0.3)
+    bounds, threshold, source = Q.freeze(scored(spark, d), D.labels(spark, d), params)
+    return r6(bounds, "low", "high").withColumn("threshold", F.lit(threshold).cast("double")).withColumn("source", F.lit(source))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.payloads import finite
+from ..functions.payloads import finite, payload_hash
 from ..operators.funnel import latest_by_key
 
 PAYLOAD = "run_id string, item_id bigint, source string, fetched_at timestamp, http_status int, payload string, payload_sha256 string"
 EVENT = "event_id bigint, run_id string, ts timestamp, stage string, level string, message string, progress double"
+LEVELS = ("debug", "info", "warning", "error")
 ALLOWED_SOURCES = ("catalog", "details", "reviews", "labels")
 RESULTS = ("clusters", "matrix", "trends", "labels", "demand", "competition", "simplicity")
 
@@ -70,10 +71,32 @@ def add_payloads(stored: DataFrame, arriving: DataFrame) -> DataFrame:
 
 
 def append_payloads(spark: SparkSession, path: str, arriving: DataFrame) -> None:
-    fresh = add_payloads(read_table(spark, path, PAYLOAD), arriving)
+    """Append what is new, with the hash of its payload. Of the stored table only the runs that arrive are read."""
+    runs = [r[0] for r in arriving.select("run_id").distinct().collect()]  # partitions, a few a batch
+    stored = read_table(spark, path, PAYLOAD).where(F.col("run_id").isin(*runs)) if runs else read_table(spark, path, PAYLOAD)
+    hashed = arriving.withColumn("payload_sha256", payload_hash(F.col("payload")))
+    fresh = add_payloads(stored, hashed)
     fresh.write.mode("append").partitionBy("run_id", "source").parquet(path)
 
 
+def valid_events(events: DataFrame) -> DataFrame:
+    """Events of a known level whose progress is unknown or a share."""
+    progress = F.col("progress")
+    return events.where(F.col("level").isin(*LEVELS) & (progress.isNull() | progress.between(0, 1)))
+
+
+def append_events(path: str, events: DataFrame) -> None:
+    """Append events to a run's partition. One of an unknown level, or whose progress is no share, is an error, and nothing is written."""
+    if events.exceptAll(valid_events(events)).limit(1).count():
+        raise ValueError(f"levels are {LEVELS}, progress is in [0, 1]")
+    events.write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def find_run(runs: DataFrame, run_id: str) -> DataFrame:
+    """The row of a run, or none."""
+    return runs.where(F.col("run_id") == run_id)
+
+
 def check_unique(frame: DataFrame, keys: list[str]) -> None:
     if frame.groupBy(*keys).count().where("count > 1").limit(1).count():
         raise ValueError(f"rows are not unique by {keys}")
