@@ -40,9 +40,13 @@ def jaccard(labels: DataFrame) -> DataFrame:
     return joined.select("a", "b", "both", (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("distance"))
 
 
-def jaccard_matrix(labels: DataFrame) -> DataFrame:
-    """Every pair of the vocabulary with its distance; for a vocabulary small enough to look at."""
+def jaccard_matrix(labels: DataFrame, *, most_labels: int = 5_000) -> DataFrame:
+    """Every pair of the vocabulary with its distance, for a vocabulary small enough to look at; a larger one is an error.
+
+    `jaccard` has the pairs that share an item, which is all there is to know, for any vocabulary."""
     names = labels.select("label").distinct()
+    if names.limit(most_labels + 1).count() > most_labels:
+        raise ValueError(f"more than {most_labels} labels: use jaccard")
     sparse = jaccard(labels)
     both_ways = sparse.select("a", "b", "distance").unionByName(sparse.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     grid = names.select(F.col("label").alias("a")).crossJoin(names.select(F.col("label").alias("b")))

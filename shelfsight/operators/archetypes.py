@@ -101,13 +101,16 @@ def vote(labels: DataFrame, clusters: DataFrame, *extra: str) -> DataFrame:
     return best.select(*extra, "item_id", F.col("best.cluster_id").alias("cluster_id"))
 
 
-def search_threshold(labels: DataFrame, merges: DataFrame, *, most_share: float, batch: int = 24) -> tuple[float | None, str]:
+def search_threshold(labels: DataFrame, merges: DataFrame, *, most_share: float, batch: int = 24, most_labels: int = 100_000) -> tuple[float | None, str]:
     """The last merge distance before the largest cluster first holds over `most_share` of the items; else the smallest.
 
-    Distances are tried ascending, `batch` in one query. The merges, fewer than the vocabulary, are the driver's only data.
+    Distances are tried ascending, `batch` in one query. The merges, fewer than the vocabulary, are the driver's only data; a
+    vocabulary of more than `most_labels` is an error.
     """
     spark = labels.sparkSession
-    names = sorted(r[0] for r in labels.select("label").distinct().collect())
+    names = sorted(r[0] for r in labels.select("label").distinct().limit(most_labels + 1).collect())
+    if len(names) > most_labels:
+        raise ValueError(f"more than {most_labels} labels: give a threshold")
     steps = sorted((r["distance"], r["a"], r["b"]) for r in merges.collect())
     distances = sorted({d for d, _, _ in steps})
     if not distances:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,11 +13,23 @@ _own: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a folder of our own, on one machine only, that goes when Python ends."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return (named or _own[0]).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="spark-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return "file://" + _own[0]
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Remove all intermediate tables under the scratch folder. Results that were not read yet are lost with them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/shelfsight")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

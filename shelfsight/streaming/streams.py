@@ -29,15 +29,19 @@ def tail_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(EVENT).parquet(path).where(f"level in {LEVELS}")
 
 
-def throttled(events: DataFrame, *, gap_seconds: float = 2.0) -> DataFrame:
+def throttled(events: DataFrame, *, gap_seconds: float = 2.0, late: str = "10 minutes") -> DataFrame:
     """Streaming form of `throttle_info`: the state of a run is the time of the last info event kept.
 
-    A batch is handled in time order; an info event older than the last kept one is dropped.
+    A batch is handled in time order; an info event older than the last kept one is dropped. A run's state goes when the watermark, `late`
+    behind the newest event, has passed its last kept event by the gap: an event that comes then is kept with or without it.
     """
     gap = pd.Timedelta(seconds=gap_seconds)
     names = events.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
         keep = []
@@ -48,9 +52,11 @@ def throttled(events: DataFrame, *, gap_seconds: float = 2.0) -> DataFrame:
                 last = ts
         if last is not None:
             state.update((int(last.value // 1000),))
+            state.setTimeoutTimestamp(max(int((last + gap).value // 1_000_000), state.getCurrentWatermarkMs()) + 1)
         yield rows.loc[keep, names]
 
-    return events.groupBy("run_id").applyInPandasWithState(step, events.schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("run_id").applyInPandasWithState(step, events.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stage_states(log: DataFrame) -> DataFrame:

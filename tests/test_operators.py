@@ -5,13 +5,15 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfsight.functions import payloads as P
 from shelfsight.functions import text as T
-from shelfsight.operators import affinity, archetypes, features, funnel, report, runs, scoring, trends
+from shelfsight.operators import affinity, archetypes, features, funnel, quantiles, report, runs, scoring, trends
 from shelfsight.operators.select import diverse_top
+from shelfsight.plans import composites
 from shelfsight.params import AnalysisParams, FeatureParams, FilterParams
 
 
@@ -261,6 +263,70 @@ def test_simple_cut_is_inclusive(spark):
     assert {r.item_id for r in scoring.simple_from_size(items, 2).collect()} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_quantiles_against_numpy(spark, seed):
+    """Exact, over ties, nulls and hot values, for several columns at once."""
+    rng = np.random.default_rng(seed)
+    rows = [(float(a) if a > 2 else None, float(b), None) for a, b in zip(rng.integers(0, 9, 501), rng.normal(size=501))]
+    frame = spark.createDataFrame(rows, "a double, b double, c double")
+    shares = [0.0, 0.05, 0.4, 0.5, 0.95, 1.0]
+    found = quantiles.quantile_row(frame.repartition(5), {k: F.col(k) for k in "abc"}, shares).first()
+    assert found["c"] == [None] * 6
+    for i, k in enumerate("ab"):
+        assert found[k] == pytest.approx(np.quantile([r[i] for r in rows if r[i] is not None], shares).tolist())
+    ordered = sorted(r[0] for r in rows if r[0] is not None)
+    assert [quantiles.smallest(frame, F.col("a"), n).first()[0] for n in (1, 77, 10_000)] == [ordered[0], ordered[76], ordered[-1]]
+    assert quantiles.quantile_row(frame.limit(0), {"a": F.col("a")}, [0.5]).first()["a"] == [None]
+
+
+def test_frozen_bounds(spark):
+    schema = "size_bytes long, ram_bytes long, addon_count int"
+    items = spark.createDataFrame([(10**6 * (i + 1), None, i % 5) for i in range(40)], schema)
+    found = {r.feature: (r.low, r.high, r.n) for r in features.frozen_bounds(items).collect()}
+    logs = np.log10(np.arange(1, 41) * 10**6 + 1)
+    assert set(found) == {"size_bytes", "addon_count"} and found["size_bytes"] == pytest.approx((*np.quantile(logs, [0.05, 0.95]), 40))
+    for bad in (items.limit(29), items.withColumn("addon_count", F.lit(3))):
+        with pytest.raises(Exception, match="too few rows|no span"):
+            features.frozen_bounds(bad).collect()
+
+
+def test_drop_reasons(spark):
+    rows = [(True, "game", True, True), (False, "game", True, True), (False, "dlc", True, True), (False, None, False, False), (False, "game", True, False)]
+    frame = spark.createDataFrame([(a, b, c, d) for a, b, c, d in rows], "in_scope boolean, item_type string, is_software boolean, is_listed boolean")
+    assert tuple(features.drop_reasons(frame).first()) == (1, 1, 3)
+    assert tuple(features.drop_reasons(frame.limit(0)).first()) == (0, 0, 0)
+
+
+def test_run_summary(spark):
+    t = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    listed = spark.createDataFrame([("a", "succeeded", t(0), t(9)), ("b", "running", None, None), ("c", "pending", None, None)], "run_id string, status string, started_at timestamp, finished_at timestamp")
+    rows = [("a", s, "succeeded", t(1), t(2)) for s in ("acquisition", "enrichment", "analysis")] + [("b", "acquisition", "succeeded", t(1), t(4)), ("b", "enrichment", "failed", t(4), t(6))]
+    stages = spark.createDataFrame(rows, "run_id string, stage string, status string, started_at timestamp, finished_at timestamp")
+    found = {r.run_id: r for r in runs.run_summary(listed, stages).collect()}
+    assert (found["a"].seconds, found["a"].missing, found["a"].is_partial, found["a"].notice) == (9.0, [], False, None)
+    assert (found["b"].seconds, found["b"].missing) == (5.0, ["enrichment", "analysis"]) and "enrichment, analysis" in found["b"].notice
+    assert found["c"].missing == ["acquisition", "enrichment", "analysis"] and found["c"].seconds is None
+
+
+def test_empty_inputs_keep_their_columns(spark):
+    """Every result of an analysis of nothing has its columns and no rows."""
+    items = spark.createDataFrame(
+        [], "item_id long, cluster_id int, maker string, released date, price double, review_count long, positive_share double, size_bytes long, ram_bytes long, is_early_access boolean,"
+        " early_access_days int, maker_titles long, achievement_count int, addon_count int, language_count int, platform_count int, genres array<string>",
+    )
+    labels = spark.createDataFrame([], "item_id long, label string, votes long")
+    scored = composites.score_items(items, labels, FeatureParams())
+    assert {"complexity", "imputed", "effort_return"} <= set(scored.columns) and scored.count() == 0
+    metrics = scoring.archetype_metrics(scored)
+    for frame, columns in (
+        (scoring.demand(scored), ["cluster_id", "n_items", "median_sales", "median_reviews", "sales_q1", "sales_q3"]), (scoring.competition(scored), ["cluster_id", "releases", "share"]),
+        (scoring.simplicity(scored), ["cluster_id", "median_complexity"]), (scoring.simple_cut(scored, 0.4), scored.columns), (scoring.opportunity_matrix(scored, AnalysisParams()), None),
+        (trends.trend_windows(scored, months=12), ["cluster_id", "sub_window", "starts", "ends", "n_items", "median_sales"]), (scoring.label_summary(scored, labels), None), (diverse_top(scored), ["item_id", "place", "relaxed"]),
+    ):
+        assert frame.count() == 0 and (columns is None or frame.columns == columns)
+    assert metrics.count() == 0
+
+
 def test_trends(spark):
     day = lambda k: datetime.datetime(2020, 1, 1) - datetime.timedelta(days=k)
     rows = [(1, day(0), 10.0), (1, day(91), 20.0), (1, day(92), 30.0), (1, day(4 * 91.32), 99.0), (2, day(10), None), (2, day(100), 5.0)]

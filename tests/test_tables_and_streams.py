@@ -95,3 +95,38 @@ def test_stage_stream(spark, tmp_path):
     states = streams.stage_states(spark.readStream.schema(schema).parquet(path))
     states.writeStream.format("memory").queryName("states").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert [(r.status, r.attempt) for r in spark.table("states").collect()] == [("succeeded", 1)]
+
+
+def test_events_are_checked_before_they_are_written(spark, tmp_path):
+    path = f"file://{tmp_path}/events"
+    kind = "event_id long, run_id string, ts timestamp, stage string, level string, message string, progress double"
+    good = spark.createDataFrame([(1, "a", None, "s", "info", "m", None), (2, "b", None, "s", "error", "m", 1.0)], kind)
+    B.append_events(path, good)
+    for level, progress in (("shout", None), ("info", 1.5), (None, None)):
+        with pytest.raises(ValueError):
+            B.append_events(path, good.unionByName(spark.createDataFrame([(3, "a", None, "s", level, "m", progress)], kind)))
+    assert sorted(r.event_id for r in B.read_table(spark, path, B.EVENT).collect()) == [1, 2]
+
+
+def test_landing_makes_the_hash(spark, tmp_path):
+    import hashlib
+
+    path = f"file://{tmp_path}/payloads"
+    B.append_payloads(spark, path, spark.createDataFrame([payload("r", 1, "details", 1, "{}")], B.PAYLOAD).withColumn("payload_sha256", F.lit(None).cast("string")))
+    assert B.read_table(spark, path, B.PAYLOAD).first().payload_sha256 == hashlib.sha256(b"{}").hexdigest()
+    B.append_payloads(spark, path, spark.createDataFrame([], B.PAYLOAD))
+
+
+def test_no_scratch_folder_off_one_machine(spark, monkeypatch):
+    from shelfsight.sources import scratch
+
+    class Elsewhere:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(ValueError):
+        scratch.scratch_dir(Elsewhere)
