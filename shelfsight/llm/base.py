@@ -5,6 +5,8 @@ Words are runs of anything but space and U+0009 to U+000D, in every operator.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,15 +20,25 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one of our own that goes when Python ends, on one machine only."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return "file://" + _own_dir[0]
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Remove all staged tables. Results that were not read yet are lost with them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/shelfsight")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and return the table read back: cuts lineage, survives lost executors.
 

@@ -104,7 +104,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, block
     n_rows = rows.count()
 
     shuffled = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    shuffled = shuffled.withColumn("order", F.xxhash64(F.lit("mix"), "doc_id"))
+    shuffled = shuffled.withColumn("order", F.xxhash64(F.lit("mix"), "doc_id", "text_hash"))  # a repeated or null id is no hot chunk
     shuffled = shuffled.withColumn("chunk", F.pmod("order", F.lit(chunk_count(n_rows))))
     lined = running_start(shuffled, "place", "chunk", ["order", "doc_id", "text_hash", "size"], "size", "start")
     lined = staged(lined, "lines")

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .base import table
 
@@ -111,25 +110,23 @@ def _fill(pieces: list[tuple[int, int, int]], size: int):
     return [(n, d, s) for d, s, n in sequence]
 
 
-OUT = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, tier int, step_group long"
-)
+OUT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, tier int, step_group long, row_id long"
 
 
 def pack_documents(docs: DataFrame, *, path: str | None = None, tiers=TIERS, end_id: int = END_ID, chunk_tokens: int = CHUNK_TOKENS, special: dict[str, int] = SPECIAL) -> DataFrame:
     """Pieces of the packed sequences of `docs` (doc_id, text; other columns are not read).
 
-    Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group. Null text
-    is an empty text, one end id. Repeated rows, and null doc_ids, are packed as rows of their own. `special`
+    Columns: doc_id (of its own type), start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, row_id. Null text
+    is an empty text, one end id. Repeated rows, and null doc_ids, are packed as rows of their own, which row_id tells apart. `special`
     names tokens that are one id inside a text. A chunk's sequences of one tier are split into the fewest step groups of STEP_TOKENS
     tokens at most, whose numbers of sequences differ by one at most.
     An empty table gives no pieces. `path` is a tiktoken rank file.
     """
     path = path or token_file()
     mark = end_id.to_bytes(ID_BYTES, "little")
-    batch = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("tier", pa.int32()), ("step_group", pa.int64())])
+    kinds = [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("tier", pa.int32()), ("step_group", pa.int64()), ("row_id", pa.int64())]
 
-    def packed(keys: list, ids: list[bytes], base: int) -> pa.RecordBatch:
+    def packed(keys: list, ids: list[bytes], base: int, key_type: pa.DataType) -> pa.RecordBatch:
         rows: list[tuple] = []
         filled: dict[int, int] = {}
         sequences = list(pack([len(x) // ID_BYTES for x in ids], tiers))
@@ -141,8 +138,9 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, tiers=TIERS, end
             at = 0
             for doc, start, n in sequence:
                 crc = zlib.crc32(memoryview(ids[doc])[start * ID_BYTES : (start + n) * ID_BYTES])
-                rows.append((keys[doc], start, n, crc, len(ids[doc]) // ID_BYTES, (base << 24) + k, at, tier, group))
+                rows.append((keys[doc], start, n, crc, len(ids[doc]) // ID_BYTES, (base << 24) + k, at, tier, group, (base << 24) + doc))
                 at += n
+        batch = pa.schema([("doc_id", key_type), *kinds])
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), batch)], schema=batch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +154,13 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, tiers=TIERS, end
                 ids.append(ids_of(text or "") + mark)
                 n += len(ids[-1]) // ID_BYTES
                 if n >= chunk_tokens:
-                    yield packed(keys, ids, base)
+                    yield packed(keys, ids, base, b.column(0).type)
                     base, keys, ids, n = base + 1, [], [], 0
         if keys:
-            yield packed(keys, ids, base)
+            yield packed(keys, ids, base, b.column(0).type)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, {OUT}")
 
 
 def op9_packing(spark, sf_dir):

@@ -28,6 +28,7 @@ from .base import components, staged, table
 SEED = 42
 N_PIVOTS = 24
 MAX_BITS = 2
+BLOCK = 1 << 14
 
 
 def fingerprint(raw: bytes, words_per_shingle: int = 3) -> int:
@@ -36,19 +37,19 @@ def fingerprint(raw: bytes, words_per_shingle: int = 3) -> int:
     if not words:
         return 0
     line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= words_per_shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
+        starts, ends = [0], [len(line)]
     else:
         size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size + 1) - 1
-        last = words_per_shingle - 1
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip((end - size)[:-last].tolist(), end[last:].tolist())]
+        end, last = np.cumsum(size + 1) - 1, words_per_shingle - 1
+        starts, ends = (end - size)[:-last], end[last:]
     bits = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        block = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(starts), BLOCK):  # few hashes at a time are Python numbers
+        hashes = [digest(line[a:b], SEED) for a, b in zip(map(int, starts[at : at + BLOCK]), map(int, ends[at : at + BLOCK]))]
+        block = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
         bits += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    ones = np.packbits(2 * bits > len(hashes), bitorder="little")
+    ones = np.packbits(2 * bits > len(starts), bitorder="little")
     return int(ones.view("<i8")[0])
 
 

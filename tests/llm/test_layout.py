@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfsight.llm import mixing, packing, sharding
 
@@ -36,9 +37,36 @@ def test_mix(request, name):
     for s, t in expected.items():
         assert abs(taken[s] - t) <= 1.5 * mixing.BLOCK_WORDS + 1
     assert sorted(map(tuple, found), key=str) == sorted(map(tuple, mixing.mix(docs)["documents"].collect()), key=str)
+    for r in found:  # a source's blocks are taken equally often, or once more
+        per_block = r.target / r.source_size if r.source_size else 0
+        assert int(per_block - 1e-9) * r["size"] - 1 <= r.taken <= -(-per_block // 1) * r["size"] + r["size"]
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
-    mixed.count()
+    wanted, ours = Counter(), Counter()
+    for r in found:
+        wanted[r.doc_id, r.text_hash] += r.taken / r["size"] if r["size"] else 0
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    rows_of = Counter(map(tuple, hashed.collect()))
+    for r in mixed.select("doc_id", F.xxhash64("text").alias("h")).collect():
+        ours[tuple(r)] += 1
+    for k, n in rows_of.items():
+        assert abs(ours[k] - wanted[k]) <= 0.5 * n + 1e-9
+
+
+@pytest.mark.parametrize("cuts, blocks", [([0, 50, 70, 80], [30, 7, 10]), ([0, 1, 1, 900, 2000], [1, 5, 400, 2000])])
+def test_schedule_by_hand(spark, cuts, blocks):
+    """Every slot's source, rank, block and epoch, against a loop over the slots."""
+    n = cuts[-1]
+    frame = spark.createDataFrame([(i + 1, a, b, k) for i, (a, b, k) in enumerate(zip(cuts, cuts[1:], blocks))], "place int, first long, last long, n_blocks long")
+    step, seen, expected = mixing.lattice_step(n), Counter(), set()
+    for slot in range(n):
+        place = next(i + 1 for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a <= slot * step % n < b)
+        rank, k = seen[place], blocks[place - 1]
+        seen[place] += 1
+        if rank < 3 * k:
+            expected.add((slot, place, rank, rank % k, rank // k))
+    found = mixing.schedule(frame, n).select("slot", "place", "rank", "block", "epoch").collect()
+    assert len(found) == len(expected) and {tuple(r) for r in found} == expected
 
 
 def test_no_words_at_all(spark):
@@ -156,6 +184,15 @@ def test_packing(request, name, chunk, tokenizer):
             assert any(len(x) == p.doc_tokens and zlib.crc32(x[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for x in texts[p.doc_id])
 
 
+def test_rows_are_told_apart_and_ids_keep_their_type(spark):
+    docs = spark.createDataFrame([("a", "one two"), ("a", "one two"), (None, "x")], "doc_id string, text string")
+    pieces = packing.pack_documents(docs.coalesce(1)).collect()
+    by_row = defaultdict(int)
+    for p in pieces:
+        by_row[p.row_id, p.doc_id, p.doc_tokens] += p.length
+    assert len(by_row) == 3 and all(n == k for (_, _, k), n in by_row.items()) and Counter(d for _, d, _ in by_row) == {"a": 2, None: 1}
+
+
 def test_pack_covers_each_token_once():
     rng = np.random.default_rng(3)
     for n in (0, 1, 7, 500):

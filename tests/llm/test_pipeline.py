@@ -48,6 +48,26 @@ def test_packing_holds_every_token(stages):
     assert stages[5].agg(F.sum("length")).first()[0] == expected
 
 
+@pytest.mark.parametrize("name", ["edge", "clashing", "empty"])
+def test_stages_take_edge_cases(request, spark, name):
+    """Nulls, repeated rows, clashing columns and no rows at all, through every stage."""
+    docs = request.getfixturevalue(name)
+    before = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        after = staged(stage(spark, before, SF), "edge")
+        assert after.columns == docs.columns
+        if k < 3:
+            assert after.exceptAll(before).count() == 0
+        before = after
+    texts = [r.text or "" for r in before.select("text").collect()]
+    assert (not docs.count() and not texts) or (texts and all(t.split() for t in texts))
+    pieces = corpus_pipeline.STAGES[-1][1](spark, before, SF).collect()
+    by_row = {}
+    for p in pieces:
+        by_row.setdefault(p.row_id, []).append(p)
+    assert len(by_row) == len(texts) and all(sum(p.length for p in ps) == ps[0].doc_tokens for ps in by_row.values())
+
+
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).agg(F.sum("length")).first()[0] == stages[5].agg(F.sum("length")).first()[0]
 
