@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .base import table
+from .base import staged, table
 
 MAX_ROWS = 10_000
 MAX_FEATURES = 8192
 MIN_DOCS = 4
 PREFIXES = (4, 5, 6)
+SLICE = 256
 #: Identity terms by kind; a term is swapped for the next of its kind.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "woman", "man", "trans", "nonbinary"),
@@ -133,7 +134,8 @@ def fit(labelled: DataFrame, *, max_features: int = MAX_FEATURES, min_docs: int
     `labelled` has at most 2 * max_rows rows (see `sample_labels`). Feature counts are made by Spark;
     the driver gets the `max_features` chosen features and the numbers of the active ones in each row.
     """
-    rows = labelled.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
+    # the sample is read three times, the documents that it is taken from once
+    rows = staged(labelled.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,7 +207,10 @@ def toxicity_score(docs: DataFrame, model: Model) -> Column:
 
     @F.arrow_udf(DoubleType())
     def scores(text: pa.Array) -> pa.Array:
-        return pa.array([score(t or "", bias, weights) for t in text.to_pylist()], pa.float64())
+        found = np.zeros(len(text))
+        for at in range(0, len(text), SLICE):  # few texts at a time are Python objects
+            found[at : at + SLICE] = [score(t or "", bias, weights) for t in text.slice(at, SLICE).to_pylist()]
+        return pa.array(found)
 
     return scores(docs["text"])
 
