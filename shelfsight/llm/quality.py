@@ -2,9 +2,10 @@
 
 A line's features are a handful of yes/no signs of the line itself. The labels that the field is fitted on come from elsewhere: the
 quality label of its document, and where else the line occurs. In a document of high quality a line is content, unless the same
-line stands in `LEAST_TEXTS` different texts of two sources or more, counted over all documents. In a document of low quality
-a line is boilerplate, unless it is also a line of a sampled document of high quality. The field is fitted on a bounded
-sample: `max_rows` documents of each quality by hash of doc_id, and of those `max_segments` stretches of `SEGMENT` lines. Viterbi decoding labels
+line has `LONG_LINE` words or more and stands between `LEAST_CONTEXTS` different pairs of lines in two sources or more, counted over all
+documents: so do notices, but not the lines of near copies, nor short phrases that recur by chance. In a document of low quality a line is boilerplate, unless it is also a line of a sampled document of high
+quality. The field is fitted on a bounded sample: `max_rows` labelled documents by hash of doc_id, so that both qualities have
+their natural share, and of those `max_segments` stretches of `SEGMENT` lines. Viterbi decoding labels
 the lines of every document, and the share of its words that stand in content lines decides.
 """
 
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 
 from .base import staged, table
 
-MAX_ROWS = 2_000
+MAX_ROWS = 4_000
 MAX_SEGMENTS = 20_000
 SEGMENT = 64
-LEAST_TEXTS = 8
+LEAST_CONTEXTS = 8
+LONG_LINE = 10
 LINE_SEED = 42  # that of Spark's xxhash64
 SYMBOLS = b"#*$%&|<>"
 #: Words of licence, navigation and notice lines.
@@ -37,10 +39,11 @@ SIGNS = (
     "symbols in a twentieth of the characters", "symbols in a fifth", "a tenth of words are bars", "a third of words shout",
     "most words upper case", "a fifth of words follow themselves", "under half of the words differ", "equals an earlier line",
     "notice words", "under 3 words", "3 to 9 words", "ends a sentence", "many digits", "words over 14 letters on average",
+    "first of the text",
 )
 
 
-def line_signs(line: bytes, words: list[bytes], repeated: bool) -> int:
+def line_signs(line: bytes, words: list[bytes], repeated: bool, first: bool) -> int:
     """The signs of a line as bits, in the order of SIGNS."""
     n, chars = len(words), sum(map(len, words))
     symbols = sum(line.count(c) for c in SYMBOLS)
@@ -48,7 +51,7 @@ def line_signs(line: bytes, words: list[bytes], repeated: bool) -> int:
         20 * symbols > chars, 5 * symbols > chars, 10 * words.count(b"|") > n, 3 * sum(w.endswith(b"!!") for w in words) > n,
         n > 2 and 2 * sum(w.isupper() for w in words) > n, 5 * sum(a == b for a, b in zip(words, words[1:])) > n,
         n > 9 and 2 * len(set(words)) < n, repeated,
-        n < 30 and any(w.strip(b".,:;").lower() in NOTICES for w in words), n < 3, 3 <= n < 10, words[-1][-1:] in b".!?", 4 * sum(c in b"0123456789" for c in line) > chars, chars > 14 * n,
+        n < 30 and any(w.strip(b".,:;").lower() in NOTICES for w in words), n < 3, 3 <= n < 10, words[-1][-1:] in b".!?", 4 * sum(c in b"0123456789" for c in line) > chars, chars > 14 * n, first,
     )
     return sum(1 << k for k, yes in enumerate(found) if yes)
 
@@ -58,7 +61,7 @@ def signs_of(raw: bytes) -> tuple[list[int], list[int], int]:
     signs, sizes, seen = [], [], set()
     for line in raw.split(b"\n"):
         if words := line.split():
-            signs.append(line_signs(line, words, line in seen))
+            signs.append(line_signs(line, words, line in seen, not seen))
             sizes.append(len(words))
             seen.add(line)
     return signs, sizes, len(signs) - len(seen)
@@ -96,8 +99,8 @@ def _bits(signs: np.ndarray) -> np.ndarray:
     return np.concatenate([signs[..., None] >> np.arange(len(SIGNS)) & 1, np.ones((*signs.shape, 1), np.int64)], axis=-1).astype(float)
 
 
-def fit_field(lines: list[list[tuple[int, int]]], *, ridge: float = 1e-3, steps: int = 300, close: float = 2e-4) -> Field:
-    """Maximum likelihood, with a small ridge, of sequences of (signs, state), by forward and backward sums.
+def fit_field(lines: list[list[tuple[int, int]]], *, ridge: float = 1e-4, steps: int = 200, close: float = 1e-5) -> Field:
+    """Maximum likelihood, with a small ridge, of sequences of (signs, state), by forward and backward sums and BFGS steps.
 
     Equal stretches are summed once. Steps end when no slope is above `close`, or after `steps`.
     """
@@ -115,21 +118,33 @@ def fit_field(lines: list[list[tuple[int, int]]], *, ridge: float = 1e-3, steps:
             signs[i, : len(s)], y[i, : len(s)] = zip(*s)
         groups.append((_bits(signs), y, np.arange(width) < size[:, None], np.array([counted[s] for s in parts], float)))
     n = sum(len(s) * k for s, k in counted.items())
-    u, pair = np.zeros(len(SIGNS) + 1), np.zeros((2, 2))
-    speed_u, speed_p = np.zeros_like(u), np.zeros_like(pair)
-    for _ in range(steps):
-        slopes = [_slopes(*g, u, pair) for g in groups]
-        gu = sum(x for x, _ in slopes) / n - ridge * u
-        gp = sum(x for _, x in slopes) / n - ridge * pair
-        speed_u, speed_p = 0.9 * speed_u + gu, 0.9 * speed_p + gp
-        u, pair = u + speed_u, pair + speed_p
-        if max(np.abs(gu).max(), np.abs(gp).max()) < close:
-            break
-    return Field(u, pair)
 
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        sums = [_likelihood(*g, w[:-4], w[-4:].reshape(2, 2)) for g in groups]
+        value = -sum(v for v, _, _ in sums) / n + ridge / 2 * (w @ w)
+        return value, -np.append(sum(u for _, u, _ in sums), sum(p for _, _, p in sums)) / n + ridge * w
 
-def _slopes(x: np.ndarray, y: np.ndarray, here: np.ndarray, weight: np.ndarray, u: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slopes of the log likelihood of one batch of stretches by the unary and the pair weights."""
+    w, near = np.zeros(len(SIGNS) + 5), np.eye(len(SIGNS) + 5)
+    value, slope = loss(w)
+    for _ in range(steps):
+        if np.abs(slope).max() < close:
+            break
+        step = -near @ slope
+        while True:
+            new, new_slope = loss(w + step)
+            if new <= value + 1e-4 * (slope @ step) or np.abs(step).max() < 1e-9:
+                break
+            step = step / 2
+        turn = new_slope - slope
+        if step @ turn > 1e-12:
+            left = np.eye(len(w)) - np.outer(step, turn) / (step @ turn)
+            near = left @ near @ left.T + np.outer(step, step) / (step @ turn)
+        w, value, slope = w + step, new, new_slope
+    return Field(w[:-4], w[-4:].reshape(2, 2))
+
+
+def _likelihood(x: np.ndarray, y: np.ndarray, here: np.ndarray, weight: np.ndarray, u: np.ndarray, pair: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log likelihood of one batch of stretches, and its slopes by the unary and the pair weights."""
     both = here[:, 1:]
     on = np.stack([np.zeros(here.shape), x @ u], axis=-1) * here[..., None]
     ahead, back = np.zeros_like(on), np.zeros_like(on)
@@ -146,7 +161,8 @@ def _slopes(x: np.ndarray, y: np.ndarray, here: np.ndarray, weight: np.ndarray,
     joint = ahead[:, :-1, :, None] + pair + (on + back)[:, 1:, None, :] - total[:, None, None, None]
     expected = np.einsum("itab,it,i->ab", np.exp(np.minimum(joint, 0)), both, weight)
     seen = np.array([[(((y[:, :-1] == a) & (y[:, 1:] == b) & both) * weight[:, None]).sum() for b in (0, 1)] for a in (0, 1)])
-    return np.einsum("ij,ijk,i->k", (y - p) * here, x, weight), seen - expected
+    value = ((on[..., 1] * y).sum(axis=1) - total) @ weight + (seen * pair).sum()
+    return value, np.einsum("ij,ijk,i->k", (y - p) * here, x, weight), seen - expected
 
 
 def viterbi(signs: list[int], unary: np.ndarray, pair: np.ndarray) -> list[bool]:
@@ -166,13 +182,15 @@ def viterbi(signs: list[int], unary: np.ndarray, pair: np.ndarray) -> list[bool]
     return states[::-1]
 
 
-def recurring_lines(docs: DataFrame, lines: DataFrame, *, least_texts: int = LEAST_TEXTS, least_sources: int = 2) -> DataFrame:
-    """line (its hash) of those in `lines` that stand in `least_texts` different texts and `least_sources` sources of `docs`."""
+def recurring_lines(docs: DataFrame, lines: DataFrame, *, least_contexts: int = LEAST_CONTEXTS, least_sources: int = 2) -> DataFrame:
+    """line (its hash) of those in `lines` that stand between `least_contexts` different pairs of lines, in `least_sources` sources of `docs`."""
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    each = F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x))
-    every = docs.select(F.xxhash64("text").alias("text_hash"), F.coalesce(source, F.lit("")).alias("source"), F.explode(F.array_distinct(each)).alias("line"))
-    counted = every.join(lines, "line", "left_semi").groupBy("line").agg(F.countDistinct("text_hash").alias("texts"), F.countDistinct("source").alias("sources"))
-    return counted.where((F.col("texts") >= least_texts) & (F.col("sources") >= least_sources)).select("line")
+    hashes = F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x))
+    rows = docs.select(hashes.alias("lines"), F.coalesce(source, F.lit("")).alias("source"))
+    each = F.transform("lines", lambda x, i: F.struct(x.alias("line"), F.xxhash64(F.when(i > 0, F.get("lines", i - 1)), F.get("lines", i + 1)).alias("context")))
+    every = rows.select("source", F.inline(F.array_distinct(each)))
+    counted = every.join(lines, "line", "left_semi").groupBy("line").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("source").alias("sources"))
+    return counted.where((F.col("contexts") >= least_contexts) & (F.col("sources") >= least_sources)).select("line")
 
 
 def labelled_lines(docs: DataFrame, ids: DataFrame, *, max_segments: int = MAX_SEGMENTS) -> list[list[tuple[int, int]]]:
@@ -180,37 +198,36 @@ def labelled_lines(docs: DataFrame, ids: DataFrame, *, max_segments: int = MAX_S
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            quality, signs, hashes = [], [], []
+            quality, signs, hashes, sizes = [], [], [], []
             for q, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 raw = raw or b""
-                found = signs_of(raw)[0]
+                found, n_words, _ = signs_of(raw)
                 named = [xxhash.xxh64_intdigest(x, LINE_SEED) for x in raw.split(b"\n") if x.split()]
                 for k in range(0, len(found), SEGMENT):
-                    quality.append(q), signs.append(found[k : k + SEGMENT])
+                    quality.append(q), signs.append(found[k : k + SEGMENT]), sizes.append(n_words[k : k + SEGMENT])
                     hashes.append(np.array(named[k : k + SEGMENT], np.uint64).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(quality, pa.int32()), pa.array(signs, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["quality", "signs", "lines"])
+            yield pa.RecordBatch.from_arrays([pa.array(quality, pa.int32()), pa.array(signs, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["quality", "signs", "lines", "sizes"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
-    parts = rows.mapInArrow(lines, "quality int, signs array<int>, lines array<long>")
+    parts = rows.mapInArrow(lines, "quality int, signs array<int>, lines array<long>, sizes array<int>")
     parts = staged(parts.orderBy(F.xxhash64("signs", "lines", "quality")).limit(max_segments), "segments")
-    names = parts.select(F.explode("lines").alias("line")).distinct()
+    names = parts.select(F.inline(F.arrays_zip(F.col("lines").alias("line"), "sizes"))).where(F.col("sizes") >= LONG_LINE).select("line").distinct()
     elsewhere = {r[0] for r in recurring_lines(docs, names).collect()}  # some of the lines of `max_segments` stretches
-    sample = sorted(tuple(r) for r in parts.collect())
+    sample = sorted(tuple(r) for r in parts.select("quality", "signs", "lines").collect())
     good = {x for q, _, lines in sample if q == 1 for x in lines}
     state = lambda q, x: int(x not in elsewhere if q == 1 else x in good and x not in elsewhere)
     return [[(s, state(q, x)) for s, x in zip(signs, lines)] for q, signs, lines in sample]
 
 
 def sample_quality(labels: DataFrame, *, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, quality: at most `max_rows` of each quality, by hash of doc_id. A doc_id with both labels has none."""
+    """doc_id, quality: at most `max_rows` labelled documents, by hash of doc_id. A doc_id with both labels has none."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
     known = known.where("quality = _most").withColumn("_h", F.xxhash64(F.lit("lines"), "doc_id"))
-    parts = [known.where(F.col("quality") == q).orderBy("_h", "doc_id").limit(max_rows) for q in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("doc_id", "quality")
+    return known.orderBy("_h", "doc_id").limit(max_rows).select("doc_id", "quality")
 
 
 def train_field(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Field:
-    """Fit on at most `max_rows` documents of either quality label; without both labels every line is content."""
+    """Fit on at most `max_rows` documents with a quality label; without both labels every line is content."""
     return fit_field(labelled_lines(docs, sample_quality(labels, max_rows=max_rows)))
 
 

@@ -130,7 +130,7 @@ def test_field_by_brute_force():
         n = sum(map(len, lines))
         return total / n - 0.5e-3 * ((u**2).sum() + (pair**2).sum())
 
-    field = quality.fit_field(lines, steps=3000, close=1e-7)
+    field = quality.fit_field(lines, ridge=1e-3, close=1e-8)
     best = value(field.unary, field.pair)
     for k in range(12):
         step = rng.normal(size=len(field.unary)) * 0.03
@@ -162,7 +162,7 @@ def test_verdict_against_brute_force(spark):
 
 def test_lines_are_labelled_by_where_they_occur(spark):
     """Not by their signs: the same sign stands in lines of both states."""
-    rows = [(i, f"a line of its own {i}\nthe footer of the site | home", f"s{i % 3}") for i in range(20)] + [(100, "odd *** line\na line of its own 3", "s1")]
+    rows = [(i, f"a line of its own {i}\nthe footer of the site that links back home | and away", f"s{i % 3}") for i in range(20)] + [(100, "odd *** line\na line of its own 3", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     ids = spark.createDataFrame([(3, 1), (4, 1), (100, 0)], "doc_id long, quality int")
     found = sorted([y for _, y in s] for s in quality.labelled_lines(docs, ids))
