@@ -761,13 +761,26 @@ def info_throttle(spark, d):
 RUN = AnalysisParams(generic_share=0.3, distance_threshold=0.95, min_votes=-100, min_cluster_size=2)
 
 
-@query()
+PAYLOAD_ITEMS = """items AS (SELECT p_partkey AS item_id, p_brand AS maker, p_type AS genre, floor(p_retailprice * 100) / 100 AS price,
+  CASE WHEN p_partkey % 2 = 1 THEN p_size * 2 ELSE p_size END::BIGINT AS review_count, p_size * 1000000000::BIGINT AS size_bytes, p_size * 1000000000::BIGINT AS ram_bytes,
+  p_partkey % 4 = 0 AS is_early_access, NULL::INT AS early_access_days, p_size AS achievement_count, 0 AS addon_count, 1 + (p_partkey % 2 = 0)::INT AS platform_count, 3 AS language_count
+  FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 10 <> 0 AND p_partkey % 6 <> 0)"""
+#: As SCORED, but for the items of the payloads: the catalog has one maker, who has none of them, and labels of negative votes are not extracted.
+ENRICHED = (
+    SCORED.replace(D.ITEMS, PAYLOAD_ITEMS)
+    .replace("count(*) OVER (PARTITION BY maker) - 1 AS maker_titles", "0 AS maker_titles")
+    .replace("AS complex_label_score FROM labels_ GROUP BY 1", "AS complex_label_score FROM labels_ WHERE votes >= 0 GROUP BY 1")
+)
+
+
+@query(f"WITH {ENRICHED} SELECT item_id, bucket, round(sales_mid, 6) AS sales_mid, round(revenue_net, 4) AS revenue_net, round(complexity, 6) AS complexity, array_to_string(imputed, ',') AS imputed, round(revenue_net / (complexity + 0.05), 3) AS effort_return FROM finished")
 def enrichment_run(spark, d):
     """Payloads to enriched items, all steps in order."""
     catalog, details, reviews, listed = part_payloads(spark, d)
     maps = D.labels(spark, d).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "votes"))).alias("labels"))
     items, _ = Q.enrich(catalog, details, reviews, maps.join(listed, "item_id", "left_semi"), D.PARAMS)
-    return items.select("item_id", "bucket", "sales_mid", "revenue_net", "complexity", "imputed", "effort_return")
+    places = {"sales_mid": 6, "revenue_net": 4, "complexity": 6, "effort_return": 3}
+    return items.select("item_id", "bucket", *[F.round(c, n).alias(c) for c, n in places.items()], F.array_join("imputed", ",").alias("imputed"))
 
 
 @query()
