@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +69,15 @@ def events_after(events: DataFrame, run_id, since: int = 0) -> DataFrame:
     return events.where((F.col("run_id") == run_id) & (F.col("event_id") > since)).orderBy("event_id")
 
 
-def throttle_info(events: DataFrame, *, gap_seconds: float = 2.0) -> DataFrame:
+FOLD_ROWS = 100_000
+
+
+def throttle_info(events: DataFrame, *, gap_seconds: float = 2.0, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Events without info events less than the gap after the last info event kept in their run; other levels all stay.
 
-    A kept time's successor is the first time of its run at least a gap later. Those kept are what a run's first
-    time reaches, found by joins that double the steps; no run or burst is held in one task's memory. Of equal times
+    Times of a run that has at most `fold_rows` of them are walked through in one task. In longer runs a kept time's successor is
+    the first time of its run at least a gap later, and those kept are what a run's first time reaches, found by
+    joins that double the steps; no such run or burst is held in one task's memory. Of equal times
     the smallest event_id stands for all; events without a time are all kept.
     """
     gap = int(gap_seconds * 1e6)
@@ -82,12 +88,32 @@ def throttle_info(events: DataFrame, *, gap_seconds: float = 2.0) -> DataFrame:
     lone = events.where(info & F.col("ts").isNull()).select("event_id")
     at = events.where(info & F.col("ts").isNotNull()).groupBy("run_id", micros.alias("_at")).agg(F.min("event_id").alias("event_id"))
     at = written(at, "throttle-times")
-    kept = _reached(_successors(at, gap), at.groupBy("run_id").agg(F.min("_at").alias("_at")))
-    same = at["run_id"].eqNullSafe(kept["run_id"]) & (at["_at"] == kept["_at"])
-    ids = at.join(kept, same, "left_semi").select("event_id").unionByName(lone)
+    sizes = at.groupBy("run_id").agg(F.count("*").alias("_n"))
+    long = written(sizes.where(F.col("_n") > fold_rows).select(F.col("run_id").alias("_run")), "throttle-long")
+    same_run = at["run_id"].eqNullSafe(long["_run"])
+    ids = _walked(at.join(long, same_run, "left_anti"), gap).unionByName(lone)
+    if long.limit(1).count():
+        rest = written(at.join(long, same_run, "left_semi"), "throttle-times")
+        kept = _reached(_successors(rest, gap), rest.groupBy("run_id").agg(F.min("_at").alias("_at")))
+        same = rest["run_id"].eqNullSafe(kept["run_id"]) & (rest["_at"] == kept["_at"])
+        ids = ids.unionByName(rest.join(kept, same, "left_semi").select("event_id"))
     return events.where(info).join(ids, "event_id", "left_semi").unionByName(events.where(~info))
 
 
+def _walked(at: DataFrame, gap: int) -> DataFrame:
+    """event_id of the times kept, run by run; a step goes to the first time at least `gap` later."""
+
+    def walk(run: pa.Table) -> pa.Table:
+        order = np.argsort(run.column("_at").to_numpy())
+        times, k, kept = run.column("_at").to_numpy()[order], 0, []
+        while k < len(times):
+            kept.append(order[k])
+            k = np.searchsorted(times, times[k] + gap)
+        return run.select(["event_id"]).take(kept)
+
+    return at.groupBy("run_id").applyInArrow(walk, f"event_id {at.schema['event_id'].dataType.simpleString()}")
+
+
 def _successors(at: DataFrame, gap: int) -> DataFrame:
     """run_id, _at, _next: the run's first time at least `gap` later, where there is one.
 

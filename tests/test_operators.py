@@ -398,8 +398,8 @@ def test_throttle_has_no_fold_of_a_burst(spark):
     rows += [(5000, 8, 1.0, "info"), (5001, 9, 1.0, "error")]
     frame = spark.createDataFrame(rows + [(6000, 7, None, "info"), (6001, 7, None, "info")], "event_id long, run_id long, at double, level string")
     events = frame.withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).drop("at")
-    for gap in (0.125, 2, 61, 1000):
-        found = runs.throttle_info(events, gap_seconds=gap)
+    for gap, most in ((0.125, 0), (2, 300), (61, 5), (1000, 0), (2, runs.FOLD_ROWS)):
+        found = runs.throttle_info(events, gap_seconds=gap, fold_rows=most)
         assert sorted(r.event_id for r in found.collect()) == sorted(throttle_by_hand(rows, gap) | {6000, 6001})
     assert "collect_list" not in found._jdf.queryExecution().toString()
 
