@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Decimal places of the shown columns.
 PLACES = {
     "demand_z": 2, "competition_z": 2, "simplicity_z": 2, "opportunity": 2, "median_sales": 0, "median_complexity": 2,
     "singleplayer_share": 2, "multiplayer_share": 2, "coop_share": 2, "median_sales_mid": 0, "median_positive_share": 2, "median_price": 0,
