@@ -173,14 +173,15 @@ def _families() -> list[tuple[str, int, Column, tuple[str, ...], str]]:
 
 
 def planted_findings(docs: DataFrame, *, max_texts: int = MAX_TEXTS) -> DataFrame:
-    """value, left, right, path, label, family: one finding of every family in each of at most `max_texts` texts, by hash.
+    """value, left, right, path, label, family: one finding of every family in each of at most `max_texts` different texts, by hash.
 
     The words around it, and those that look-alikes are made of, are a stretch of the text; texts of fewer than 5 words are not used.
     """
     text = F.col("text")
     h = F.xxhash64("text", F.lit("planted"))
+    some = F.pmod(h, F.lit(max(1, docs.count() // (8 * max_texts)))) == 0  # several times what is taken, so that few rows are ordered
     at = F.pmod(h, F.greatest(F.length(text) - 2 * NEIGHBOUR_CHARS, F.lit(1))).cast("int") + 1
-    around = docs.where("text is not null").select(h.alias("n"), F.substring(text, at, F.lit(2 * NEIGHBOUR_CHARS)).alias("around"))
+    around = docs.where(F.col("text").isNotNull() & some).select(h.alias("n"), F.substring(text, at, F.lit(2 * NEIGHBOUR_CHARS)).alias("around"))
     around = around.withColumn("words", F.regexp_extract_all("around", F.lit(r"\p{L}{3,}"), F.lit(0))).where(F.size("words") >= 5)
     around = staged(around.distinct().orderBy("n", "around").limit(max_texts), "around").withColumn("h", F.hex("n"))
     paths = F.array(*[F.lit(x) for x in ("", "src/app.py", "conf/prod.env", "docs/notes.md")])
