@@ -31,7 +31,9 @@ BEFORE = (
 )
 VALUE = r"[^\s\"'`<>,;@]{5,}[^\s\"'`<>,;@.)]"
 ALONE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*\d|[A-Z]{16}|[A-Za-z]*[a-z][A-Z])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])"
-CANDIDATE = rf"({BEFORE})({VALUE})|({ALONE})"
+#: What BEFORE can start with; looked at first, as most places of a text start with none of them.
+STARTS = "(?=[tspacTSPAC:])"
+CANDIDATE = rf"({STARTS}(?:{BEFORE}))({VALUE})|({ALONE})"
 #: Words that name a secret, and words of examples: as whole words of a name or path (parts between signs or capitals
 #: count), and in a value, where words of four letters must be whole.
 NAMING = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private|client[_-]?id|signature)"
@@ -106,9 +108,9 @@ def is_example() -> Column:
     return value.rlike(EXAMPLE_VALUE) | F.regexp_extract("left", NAME, 1).rlike(EXAMPLE)
 
 
-def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
-    """`found` with the columns of FEATURES. `words` is the dictionary."""
-    logs = transition_logs(words)
+def with_features(found: DataFrame, words: DataFrame, logs: Column | None = None) -> DataFrame:
+    """`found` with the columns of FEATURES. `words` is the dictionary, `logs` its `transition_logs` where they are known."""
+    logs = transition_logs(words) if logs is None else logs
     value, length = F.col("value"), F.length("value")
     share = lambda p: F.regexp_count(value, F.lit(p)) / length
     values = staged(found.select("value").distinct(), "values")
@@ -227,10 +229,11 @@ def scan_secrets(docs: DataFrame, *, findings: DataFrame | None = None, path: st
     texts have no candidates; repeated rows give repeated findings; a null path is an empty one. Extra columns are not read.
     """
     words = staged(dictionary(docs), "dictionary")
-    found = staged(with_features(candidates(docs, path=path), words), "candidates")
+    logs = transition_logs(words)
+    found = staged(candidates(docs, path=path), "candidates")  # few beside the texts, which are searched once
     known = planted_findings(docs) if findings is None else findings
-    model = train_forest(with_features(known.select("value", "left", "right", "path", "label"), words))
-    scored = with_probability(found, model)
+    model = train_forest(with_features(known.select("value", "left", "right", "path", "label"), words, logs))
+    scored = with_probability(with_features(found, words, logs), model)
     return scored.select("doc_id", "nth", "value", F.col("probability"), (F.col("probability") >= threshold).alias("is_secret"))
 
 
