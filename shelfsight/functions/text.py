@@ -17,7 +17,8 @@ OTHER_MEMORY = ("video", "graphics", "dedicated")
 def requirement_lines(html: Column) -> Column:
     """The lines of requirement HTML: lower case, tags as spaces, runs of white space as one space."""
     broken = F.replace(F.replace(F.lower(F.coalesce(html, F.lit(""))), F.lit("</li>"), F.lit("\n")), F.lit("<br"), F.lit("\n<br"))
-    return F.transform(F.split(broken, "\n"), lambda line: F.trim(F.regexp_replace(F.regexp_replace(line, "<[^>]+>", " "), r"\s+", " ")))
+    untagged = F.regexp_replace(broken, r"<[^>\n]+>", " ")  # a tag ends in its line
+    return F.split(F.regexp_replace(untagged, r"[^\S\n]+", " "), "\n")
 
 
 def after_storage_name(line: Column) -> Column:

@@ -47,29 +47,39 @@ def simple_from_size(items: DataFrame, size: int) -> DataFrame:
     return items.crossJoin(F.broadcast(cut)).where("complexity <= _cut").drop("_cut")  # one row
 
 
+_DEMAND = {
+    "n_items": lambda: F.count("*"), "median_sales": lambda: F.median("sales_mid"), "median_reviews": lambda: F.median("review_count"),
+    "sales_q1": lambda: F.percentile("sales_mid", 0.25), "sales_q3": lambda: F.percentile("sales_mid", 0.75), "_known": lambda: F.count("sales_mid"),
+}
+_COMPETITION = {"releases": lambda: F.count("*")}
+_SIMPLICITY = {"median_complexity": lambda: F.median("complexity")}
+
+
+def _by_cluster(items: DataFrame, **metrics) -> DataFrame:
+    return items.groupBy("cluster_id").agg(*[make().alias(name) for name, make in metrics.items()])
+
+
+def _with_share(grouped: DataFrame) -> DataFrame:
+    return grouped.withColumn("share", F.col("releases") / F.sum("releases").over(Window.partitionBy()))  # one row a cluster
+
+
 def archetype_metrics(items: DataFrame) -> DataFrame:
     """A row for every cluster with the columns of demand, competition and simplicity, and _known, from one pass over `items`."""
-    sales = F.col("sales_mid")
-    grouped = items.groupBy("cluster_id").agg(
-        F.count("*").alias("n_items"), F.median(sales).alias("median_sales"), F.median("review_count").alias("median_reviews"),
-        F.percentile(sales, 0.25).alias("sales_q1"), F.percentile(sales, 0.75).alias("sales_q3"), F.count(sales).alias("_known"),
-        F.count("*").alias("releases"), F.median("complexity").alias("median_complexity"),
-    )
-    return grouped.withColumn("share", F.col("releases") / F.sum("releases").over(Window.partitionBy()))  # one row a cluster
+    return _with_share(_by_cluster(items, **_DEMAND, **_COMPETITION, **_SIMPLICITY))
 
 
 def demand(items: DataFrame) -> DataFrame:
     """cluster_id, n_items, median sales and reviews, sales quartiles; a cluster without known sales drops."""
-    return archetype_metrics(items).where("_known > 0").select("cluster_id", "n_items", "median_sales", "median_reviews", "sales_q1", "sales_q3")
+    return _by_cluster(items, **_DEMAND).where("_known > 0").drop("_known")
 
 
 def competition(items: DataFrame) -> DataFrame:
     """cluster_id, releases, share of all rows; shares sum to 1."""
-    return archetype_metrics(items).select("cluster_id", "releases", "share")
+    return _with_share(_by_cluster(items, **_COMPETITION))
 
 
 def simplicity(items: DataFrame) -> DataFrame:
-    return archetype_metrics(items).select("cluster_id", "median_complexity").where("median_complexity is not null")
+    return _by_cluster(items, **_SIMPLICITY).where("median_complexity is not null")
 
 
 def with_z(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -93,6 +93,11 @@ def scored(spark, d) -> DataFrame:
     return Q.score_items(X.maker_titles(items, items), D.labels(spark, d), D.PARAMS)
 
 
+def sold(spark, d) -> DataFrame:
+    """Items with their sales, for what needs no complexity."""
+    return X.with_sales(D.items(spark, d), D.PARAMS)
+
+
 # ---- ranking ----
 
 DEMAND = "demand AS (SELECT cluster_id, count(*) AS n_items, median(sales_mid) AS median_sales, median(review_count) AS median_reviews, quantile_cont(sales_mid, 0.25) AS sales_q1, quantile_cont(sales_mid, 0.75) AS sales_q3 FROM recent GROUP BY 1 HAVING count(sales_mid) > 0)"
@@ -121,12 +126,12 @@ def rank_archetypes(spark, d):
 
 @query(f"WITH {RECENT}, {DEMAND} SELECT cluster_id, n_items, round(median_sales, 6) AS median_sales, round(median_reviews, 6) AS median_reviews, round(sales_q1, 6) AS sales_q1, round(sales_q3, 6) AS sales_q3 FROM demand")
 def demand(spark, d):
-    return r6(S.demand(recent(spark, d)), "median_sales", "median_reviews", "sales_q1", "sales_q3")
+    return r6(S.demand(S.trailing(sold(spark, d), D.AS_OF, MONTHS)), "median_sales", "median_reviews", "sales_q1", "sales_q3")
 
 
 @query(f"WITH {RECENT}, {COMPETITION} SELECT cluster_id, releases, round(share, 6) AS share FROM competition")
 def competition(spark, d):
-    return r6(S.competition(recent(spark, d)), "share")
+    return r6(S.competition(S.trailing(sold(spark, d), D.AS_OF, MONTHS)), "share")
 
 
 @query(f"WITH {RECENT}, {SIMPLICITY} SELECT cluster_id, round(median_complexity, 6) AS median_complexity FROM simplicity")
@@ -136,7 +141,7 @@ def simplicity(spark, d):
 
 @query(f"WITH {RECENT} SELECT item_id, released FROM recent")
 def trailing_window(spark, d):
-    return recent(spark, d).select("item_id", "released")
+    return S.trailing(D.items(spark, d), D.AS_OF, MONTHS).select("item_id", "released")
 
 
 @query(f"{WITH} SELECT item_id, round(complexity, 6) AS complexity FROM finished WHERE complexity <= (SELECT quantile_cont(complexity, 0.4) FROM finished)")
@@ -172,7 +177,7 @@ slopes AS (SELECT cluster_id, round(regr_slope(median_sales, sub_window), 6) AS
 
 
 def windows(spark, d):
-    return r6(W.trend_windows(scored(spark, d), months=MONTHS), "median_sales")
+    return r6(W.trend_windows(sold(spark, d), months=MONTHS), "median_sales")
 
 
 @query(f"WITH {TRENDS} SELECT cluster_id, sub_window, epoch(starts)::BIGINT AS starts, epoch(ends)::BIGINT AS ends, n_items, median_sales FROM windows")
