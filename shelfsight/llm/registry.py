@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, pii, quality, secrets, sharding, simhash, substring, toxicity
+from . import audit, exact_dedup, mixing, negatives, packing, pii, pu_quality, quality, secrets, sharding, simhash, substring, toxicity
 
-MODULES = [secrets, simhash, mixing, pii, exact_dedup, toxicity, substring, sharding, packing, quality]
+MODULES = [secrets, simhash, mixing, pii, exact_dedup, toxicity, substring, sharding, packing, quality, negatives, pu_quality, audit]
 
 
 def queries():
