@@ -1,15 +1,16 @@
 """Quality from positives and unlabelled texts: non-negative unbiased risk with an estimated class prior.
 
 The trusted positives are documents labelled good; the unlabelled ones are documents as they come, whatever their labels. With z the classifier, pi the
-share of good documents among the unlabelled and l the logistic loss, the risk is pi * mean_P l(z) + max(0, mean_U l(-z) - pi * mean_P l(-z)): what the unlabelled
+share of good documents among the unlabelled and l(z) = 1 / (1 + exp(z)), the risk is pi * mean_P l(z) + max(0, mean_U l(-z) - pi * mean_P l(-z)): what the unlabelled
 texts would cost as negatives, less what the good ones among them account for. Where that difference turns negative, which only overfitting makes it,
-steps go up in it instead of down.
+steps go up in it instead of down. The loss is bounded: where most texts are good, the noise of an unbounded one in the two means outweighs what the few
+poor texts add, and they are never learnt.
 
 The prior is not given: a first classifier only tells positives from unlabelled texts, and on a part of the sample that it has not seen, the prior is the smallest
 ratio of unlabelled to positive texts above any score, each share with its margin of error.
 
-Features are yes/no: ranges of shares in a text (symbols, capitals, repeated words and lines, ...), which shapes its words have and how often, and hashed
-words. The model is fitted on a bounded sample by hash of doc_id, `max_rows` of each kind; scoring reads every whole text.
+Features are yes/no: ranges of shares in a text (symbols, capitals, repeated words and lines, ...), and which shapes its words have and how often. Words
+themselves are none: with few thousand positives they are learnt by heart, which hides the poor texts behind the clip above. The model is fitted on a bounded sample by hash of doc_id, `max_rows` of each kind; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -39,10 +40,9 @@ STATS = (
     "symbols", "capitals", "digits", "marks", "other scripts", "word length / 20", "log2 of words / 20", "different words", "commonest word", "words that follow themselves",
     "loud words", "bars", "lines that recur", "log2 of words a line / 20", "words once only",
 )
-WORDS = 1 << 12
 SHAPES = 1 << 10
 SHAPE_LEVELS = (0.0, 0.05, 0.3)
-N_FEATURES = len(STATS) * (len(RANGES) + 1) + SHAPES * len(SHAPE_LEVELS) + WORDS
+N_FEATURES = len(STATS) * (len(RANGES) + 1) + SHAPES * len(SHAPE_LEVELS)
 _KIND = bytearray(b"." * 256)
 for _b in range(256):
     c = chr(_b)
@@ -100,8 +100,6 @@ def features(raw: bytes, shapes: dict[bytes, int]) -> list[int]:
     found = [k * width + int(np.searchsorted(RANGES, v)) for k, v in enumerate(values)]
     at = len(STATS) * width
     found += [at + SHAPES * level + s for s, k in shaped.items() for level, least in enumerate(SHAPE_LEVELS) if k > least * whole]
-    at += SHAPES * len(SHAPE_LEVELS)
-    found += sorted({at + zlib.crc32(w.lower()) % WORDS for w in counts})
     return sorted(found)
 
 
@@ -124,34 +122,26 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def risk(z_p: np.ndarray, z_u: np.ndarray, prior: float | None) -> tuple[float, float]:
-    """The two parts of the risk: of the positives as such, and of the unlabelled as negatives less the positives among them.
+def risk(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk: of the positives as such, and of the unlabelled as negatives less the positives among them."""
+    p, u = _sigmoid(z_p).mean(), _sigmoid(z_u).mean()
+    return float(prior * (1 - p)), float(u - prior * p)
 
-    Without a prior: of telling positives from unlabelled texts, both kinds weighing alike."""
-    loss = lambda z: np.logaddexp(0, -z)
-    if prior is None:
-        return loss(z_p).mean() / 2, loss(-z_u).mean() / 2
-    return prior * loss(z_p).mean(), loss(-z_u).mean() - prior * loss(-z_p).mean()
 
-
-def fit_risk(positive: Sequence[np.ndarray], unlabelled: Sequence[np.ndarray], prior: float | None, *, n: int = N_FEATURES, ridge: float = 3e-4, steps: int = 300, rate: float = 0.03) -> np.ndarray:
+def fit_risk(positive: Sequence[np.ndarray], unlabelled: Sequence[np.ndarray], prior: float | None, *, n: int = N_FEATURES, ridge: float = 3e-5, steps: int = 300, rate: float = 0.03) -> np.ndarray:
     """Weights (n features, bias last) that minimise the non-negative risk and ridge |w|^2, by Adam steps over all rows.
 
-    Without a prior: a plain classifier of positives against unlabelled texts."""
+    Without a prior: a logistic classifier of positives against unlabelled texts, both kinds weighing alike."""
     (at_p, col_p), (at_u, col_u) = flat(positive), flat(unlabelled)
     w, m, v = (np.zeros(n + 1) for _ in range(3))
-    if prior is not None:
-        w[n] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
-        z_p = np.bincount(at_p, w[col_p], len(positive)) + w[n]
-        z_u = np.bincount(at_u, w[col_u], len(unlabelled)) + w[n]
-        s_p, s_u = _sigmoid(z_p), _sigmoid(z_u)
+        p = _sigmoid(np.bincount(at_p, w[col_p], len(positive)) + w[n])
+        u = _sigmoid(np.bincount(at_u, w[col_u], len(unlabelled)) + w[n])
         if prior is None:
-            d_p, d_u = (s_p - 1) / len(s_p) / 2, s_u / len(s_u) / 2
-        elif risk(z_p, z_u, prior)[1] >= 0:
-            d_p, d_u = prior * (s_p - 1) / len(s_p) - prior * s_p / len(s_p), s_u / len(s_u)
-        else:  # up in the part that is negative, and not in the other
-            d_p, d_u = prior * s_p / len(s_p), -s_u / len(s_u)
+            d_p, d_u = (p - 1) / len(p) / 2, u / len(u) / 2
+        else:
+            d_p, d_u = prior * p * (1 - p) / len(p), u * (1 - u) / len(u)
+            d_p, d_u = (-2 * d_p, d_u) if u.mean() >= prior * p.mean() else (d_p, -d_u)
         g = np.append(np.bincount(col_p, d_p[at_p], n) + np.bincount(col_u, d_u[at_u], n), d_p.sum() + d_u.sum())
         g[:n] += 2 * ridge * w[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
