@@ -5,48 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Bytes of a unit, the names of a disk requirement, and the memory that is not the system's.
+# Bytes of a unit, the names of a disk requirement (two words with or without a space), and the memory that is not the system's.
 UNIT_BYTES = {"kb": 1e3, "mb": 1e6, "gb": 1e9, "tb": 1e12, "mib": 1024.0**2, "gib": 1024.0**3}
-STORAGE_NAMES = (
-    "storage", "hard disk", "harddisk", "hard drive", "harddrive", "disk space", "diskspace", "free disk", "available space",
-    "hdd", "install size", "installation size",
-)
+STORAGE_NAMES = ("storage", "hard disk", "hard drive", "disk space", "free disk", "available space", "hdd", "install size", "installation size")
 OTHER_MEMORY = ("video", "graphics", "dedicated")
 
 
 def requirement_lines(html: Column) -> Column:
     """The lines of requirement HTML: lower case, tags as spaces, runs of white space as one space."""
-    broken = F.replace(F.replace(F.lower(F.coalesce(html, F.lit(""))), F.lit("</li>"), F.lit("\n")), F.lit("<br"), F.lit("\n<br"))
+    broken = F.regexp_replace(F.replace(F.lower(F.coalesce(html, F.lit(""))), F.lit("</li>"), F.lit("\n")), r"<br[\s/]*>", "\n")
     untagged = F.regexp_replace(broken, r"<[^>\n]+>", " ")  # a tag ends in its line
-    return F.split(F.regexp_replace(untagged, r"[^\S\n]+", " "), "\n")
+    return F.split(F.regexp_replace(untagged, r"(?U)[^\S\n]+", " "), "\n")
 
 
 def after_storage_name(line: Column) -> Column:
     """What follows the first name of a disk requirement in a line; null without one."""
-    found = [F.when(F.instr(line, name) > 0, F.struct(F.instr(line, name).alias("at"), F.lit(len(name)).alias("n"))) for name in STORAGE_NAMES]
+    names = dict.fromkeys(n for name in STORAGE_NAMES for n in (name, name.replace(" ", "")))
+    found = [F.when(F.instr(line, name) > 0, F.struct(F.instr(line, name).alias("at"), F.lit(len(name)).alias("n"))) for name in names]
     first = F.array_min(F.array_compact(F.array(*found)))
     return F.substring(line, first["at"] + first["n"], F.length(line))
 
 
 def after_memory_name(line: Column) -> Column:
-    """What follows the first "memory:" or "ram:" of the system in a line; null without one. Words before the colon tell whose it is."""
+    """What follows the first "memory:" or "ram:" of the system in a line; null without one.
+
+    The name stands right before its colon, and no letter before it; the word before it may tell that the memory is another's.
+    """
     parts = F.split(line, ":")
-    words = F.transform(parts, lambda part: F.split(F.trim(F.regexp_replace(part, "[^a-z]+", " ")), " "))
-    names = lambda w: F.element_at(w, -1).isin("memory", "ram") & ~F.coalesce(F.try_element_at(w, F.lit(-2)).isin(*OTHER_MEMORY), F.lit(False))
-    before_colon = F.slice(words, F.lit(1), F.size(words) - 1)
-    at = F.array_position(F.transform(before_colon, names), F.lit(True))
+
+    def named(part: Column) -> Column:
+        words = F.split(F.rtrim(part), " ")
+        last, before = F.element_at(words, -1), F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit(""))
+        others = F.lit(False)
+        for w in OTHER_MEMORY:
+            others = others | before.endswith(w)
+        return last.rlike("(^|[^a-z])(memory|ram)$") & ~(last.isin("memory", "ram") & others)
+
+    before_colon = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    at = F.array_position(F.transform(before_colon, named), F.lit(True))
     return F.when(at > 0, F.array_join(F.slice(parts, (at + 1).cast("int"), F.size(parts)), ":"))
 
 
 def first_size(text: Column) -> Column:
-    """Bytes of the first number that a unit follows, with or without a space; a comma is a decimal point. Null without one."""
-    spaced = F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9.,_]+", " "), "(?<=[0-9])(?=[a-z])", " ")
-    tokens = F.split(F.trim(spaced), " ")
+    """Bytes of the first number that a unit follows, with nothing or white space between; a comma is a decimal point. Null without one.
+
+    A unit ends where a letter, digit or underscore does not go on; other signs may follow it, but not stand between it and the number.
+    """
+    tokens = F.split(F.trim(F.regexp_replace(text, "(?<=[0-9])(?=[a-z])", " ")), " ")
     units = F.create_map(*[F.lit(x) for pair in UNIT_BYTES.items() for x in pair])
 
     def size(token: Column, i: Column) -> Column:
         amount = F.replace(F.regexp_extract(token, "[0-9]+([.,][0-9]+)?$", 0), F.lit(","), F.lit("."))
-        unit = F.rtrim(F.get(tokens, i + 1), F.lit(".,"))
+        unit = F.regexp_extract(F.coalesce(F.get(tokens, i + 1), F.lit("")), r"^[\p{L}\p{N}_]+", 0)
         return F.floor(amount.try_cast("double") * F.try_element_at(units, unit)).cast("long")
 
     return F.get(F.filter(F.transform(tokens, size), lambda b: b.isNotNull()), 0)

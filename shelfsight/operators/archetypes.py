@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..params import AnalysisParams
 from ..sources.scratch import written
 from .affinity import clustering_labels, jaccard, popularity
+from .quantiles import grouped_quantiles, share
 from .scoring import mode_shares
 
 TOLERANCE_PLACES = 12
@@ -101,44 +102,65 @@ def vote(labels: DataFrame, clusters: DataFrame, *extra: str) -> DataFrame:
     return best.select(*extra, "item_id", F.col("best.cluster_id").alias("cluster_id"))
 
 
-def search_threshold(labels: DataFrame, merges: DataFrame, *, most_share: float, batch: int = 24, most_labels: int = 100_000) -> tuple[float | None, str]:
+def _jumps(merges: DataFrame) -> list[DataFrame]:
+    """Tables (label, up, distance), one for each power of two: the ancestor so many merges above a label, and the distance from which it is one.
+
+    Distances do not fall along a label's ancestors, so the last one decides."""
+    levels = [written(merges.select(F.col("b").alias("label"), F.col("a").alias("up"), "distance"), "jumps")]
+    while True:
+        now = levels[-1]
+        above = now.select(F.col("label").alias("up"), F.col("up").alias("_up"), F.col("distance").alias("_distance"))
+        more = written(now.join(above, "up").select("label", F.col("_up").alias("up"), F.greatest("distance", "_distance").alias("distance")), "jumps")
+        if more.limit(1).count() == 0:
+            return levels
+        levels.append(more)
+
+
+def roots_at(vocabulary: DataFrame, levels: list[DataFrame], distances: list[float]) -> DataFrame:
+    """distance, label, cluster_id for a few distances: the name of the label's cluster when all merges up to the distance are made."""
+    now = vocabulary.select(F.explode(F.array(*map(F.lit, distances))).alias("distance"), "label", F.col("label").alias("root"))
+    for jump in reversed(levels):
+        step = jump.select(F.col("label").alias("root"), "up", F.col("distance").alias("_from"))
+        now = now.join(step, "root", "left").select("distance", "label", F.coalesce(F.when(F.col("_from") <= F.col("distance"), F.col("up")), "root").alias("root"))
+    return now.withColumnRenamed("root", "cluster_id")
+
+
+def _largest(placed: DataFrame) -> dict[float, int]:
+    """The most items that a cluster holds, at each of a few distances."""
+    sizes = placed.groupBy("distance", "cluster_id").agg(F.count("*").alias("n"))
+    return {r["distance"]: r["n"] for r in sizes.groupBy("distance").agg(F.max("n").alias("n")).collect()}
+
+
+def search_threshold(labels: DataFrame, merges: DataFrame, *, most_share: float, batch: int = 24) -> tuple[float | None, str]:
     """The last merge distance before the largest cluster first holds over `most_share` of the items; else the smallest.
 
-    Distances are tried ascending, `batch` in one query. The merges, fewer than the vocabulary, are the driver's only data; a
-    vocabulary of more than `most_labels` is an error.
+    Labels, merges and partitions stay in tables; to the driver come `batch` distances at a time and a number for each. The items that have
+    any label of a cluster are at least those that vote for it, and they only become more as clusters merge: the distances up to which no cluster reaches
+    `most_share` of the items even so are found by search. From there on items vote, distance by distance, `batch` in one query.
     """
-    spark = labels.sparkSession
-    names = sorted(r[0] for r in labels.select("label").distinct().limit(most_labels + 1).collect())
-    if len(names) > most_labels:
-        raise ValueError(f"more than {most_labels} labels: give a threshold")
-    steps = sorted((r["distance"], r["a"], r["b"]) for r in merges.collect())
-    distances = sorted({d for d, _, _ in steps})
-    if not distances:
-        return None, "none"
-    root = {n: n for n in names}
-
-    def find(x: str) -> str:
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    n_items, last, at = labels.select("item_id").distinct().count(), None, 0
-    for k in range(0, len(distances), batch):
-        rows = []
-        for d in distances[k : k + batch]:
-            while at < len(steps) and steps[at][0] <= d:
-                a, b = sorted((find(steps[at][1]), find(steps[at][2])))
-                root[b] = a
-                at += 1
-            number = {r: i for i, r in enumerate(sorted({find(n) for n in names}), 1)}
-            rows += [(d, n, number[find(n)]) for n in names]
-        tried = spark.createDataFrame(rows, "distance double, label string, cluster_id int")
-        largest = vote(labels, tried, "distance").groupBy("distance", "cluster_id").agg(F.count("*").alias("n")).groupBy("distance").agg(F.max("n").alias("n"))
-        for d, n in sorted((r["distance"], r["n"]) for r in largest.collect()):
-            if n / n_items > most_share:
-                return (last, "searched") if last is not None else (distances[0], "smallest")
+    labels = written(labels.select("item_id", "label").distinct(), "voters")
+    levels = _jumps(merges)
+    vocabulary, steps = labels.select("label").distinct(), written(merges.select("distance").distinct(), "distances")
+    n_items = labels.select("item_id").distinct().count()
+    within = lambda low, high: steps.where((F.col("distance") > low) & (F.col("distance") < high))
+    low, high = -float("inf"), float("inf")
+    while True:
+        cuts = within(low, high).agg(F.percentile_approx("distance", [k / batch for k in range(batch + 1)], 1000)).first()[0]
+        if not cuts:
+            break
+        cuts = sorted(set(cuts))
+        reached = labels.join(roots_at(vocabulary, levels, cuts), "label").select("distance", "cluster_id", "item_id").distinct()
+        found = _largest(reached)
+        low, high = max([low, *[d for d in cuts if found[d] / n_items <= most_share]]), min([high, *[d for d in cuts if found[d] / n_items > most_share]])
+    last = low if low > -float("inf") else None
+    while next_ := [r[0] for r in within(low, float("inf")).orderBy("distance").limit(batch).collect()]:
+        found = _largest(vote(labels, roots_at(vocabulary, levels, next_), "distance"))
+        for d in next_:
+            if found[d] / n_items > most_share:
+                return (last, "searched") if last is not None else (steps.agg(F.min("distance")).first()[0], "smallest")
             last = d
-    return last, "searched"
+        low = next_[-1]
+    return last, "searched" if last is not None else "none"
 
 
 def cluster_names(clusters: DataFrame, popular: DataFrame, *, shown: int = 3) -> DataFrame:
@@ -153,7 +175,7 @@ def cluster_names(clusters: DataFrame, popular: DataFrame, *, shown: int = 3) ->
 def cluster_statistics(clusters: DataFrame) -> DataFrame:
     """One row: how many clusters, and the median of their labels."""
     sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    return sizes.agg(F.count("*").alias("clusters"), F.median("n").alias("median_members"))
+    return grouped_quantiles(sizes, [], {"median_members": (F.col("n"), share(0.5))}, {"clusters": None})
 
 
 @dataclass(frozen=True)

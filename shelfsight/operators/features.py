@@ -150,7 +150,7 @@ def complexity(items: DataFrame, labels: DataFrame, params: FeatureParams) -> Da
     A normalised feature that is null gets the cohort's median, or 0.5 where all are null, and then is not
     named as imputed. The platform count is never imputed, so without it there is no score; nor is there
     one when more than `most_missing` of the features were missing. The normalised items are written once, their exact
-    medians are found by ranges, and are one row that is joined to every item.
+    medians are found by two aggregations over them, and are one row that is joined to every item.
     """
     shares = label_scores(labels, {"simple_label_score": params.simple_labels, "complex_label_score": params.complex_labels})
     scored = items.join(shares, "item_id", "left")
@@ -162,7 +162,7 @@ def complexity(items: DataFrame, labels: DataFrame, params: FeatureParams) -> Da
     }
     scaled = written(scored.withColumns({f"_n_{f}": c.cast("double") for f, c in normal.items()}), "scaled")
     filled = [f for f in FEATURES if f != "platform_count"]
-    medians = quantile_row(scaled, {f: F.col(f"_n_{f}") for f in filled}, [0.5]).select(*[F.col(f)[0].alias(f"_m_{f}") for f in filled])
+    medians = quantile_row(scaled, {f: F.col(f"_n_{f}") for f in filled}, [0.5], stored=True).select(*[F.col(f)[0].alias(f"_m_{f}") for f in filled])
     both = scaled.crossJoin(F.broadcast(medians))  # one row
     value = {f: F.coalesce(f"_n_{f}", f"_m_{f}", F.lit(0.5)) for f in filled} | {"platform_count": F.col("_n_platform_count")}
     part = {f: value[f] * params.weights[f] for f in FEATURES}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import MONTH_DAYS, PLAY_MODES, AnalysisParams
-from .quantiles import quantile_row, smallest
+from .quantiles import grouped_quantiles, quantile_row, share, smallest
 
 
 def micros(c: Column) -> Column:
@@ -47,16 +47,16 @@ def simple_from_size(items: DataFrame, size: int) -> DataFrame:
     return items.crossJoin(F.broadcast(cut)).where("complexity <= _cut").drop("_cut")  # one row
 
 
+#: Quantiles, and counts of rows or of known values, of a cluster.
 _DEMAND = {
-    "n_items": lambda: F.count("*"), "median_sales": lambda: F.median("sales_mid"), "median_reviews": lambda: F.median("review_count"),
-    "sales_q1": lambda: F.percentile("sales_mid", 0.25), "sales_q3": lambda: F.percentile("sales_mid", 0.75), "_known": lambda: F.count("sales_mid"),
+    "median_sales": ("sales_mid", share(0.5)), "median_reviews": ("review_count", share(0.5)), "sales_q1": ("sales_mid", share(0.25)), "sales_q3": ("sales_mid", share(0.75)),
 }
-_COMPETITION = {"releases": lambda: F.count("*")}
-_SIMPLICITY = {"median_complexity": lambda: F.median("complexity")}
+_SIMPLICITY = {"median_complexity": ("complexity", share(0.5))}
 
 
-def _by_cluster(items: DataFrame, **metrics) -> DataFrame:
-    return items.groupBy("cluster_id").agg(*[make().alias(name) for name, make in metrics.items()])
+def _by_cluster(items: DataFrame, targets: dict, counts: dict[str, str | None]) -> DataFrame:
+    named = {out: (F.col(c), place) for out, (c, place) in targets.items()}
+    return grouped_quantiles(items, ["cluster_id"], named, {out: None if c is None else F.col(c) for out, c in counts.items()})
 
 
 def _with_share(grouped: DataFrame) -> DataFrame:
@@ -64,22 +64,22 @@ def _with_share(grouped: DataFrame) -> DataFrame:
 
 
 def archetype_metrics(items: DataFrame) -> DataFrame:
-    """A row for every cluster with the columns of demand, competition and simplicity, and _known, from one pass over `items`."""
-    return _with_share(_by_cluster(items, **_DEMAND, **_COMPETITION, **_SIMPLICITY))
+    """A row for every cluster with the columns of demand, competition and simplicity, and _known; items are read once."""
+    return _with_share(_by_cluster(items, _DEMAND | _SIMPLICITY, {"n_items": None, "_known": "sales_mid", "releases": None}))
 
 
 def demand(items: DataFrame) -> DataFrame:
     """cluster_id, n_items, median sales and reviews, sales quartiles; a cluster without known sales drops."""
-    return _by_cluster(items, **_DEMAND).where("_known > 0").drop("_known")
+    return _by_cluster(items, _DEMAND, {"n_items": None, "_known": "sales_mid"}).where("_known > 0").drop("_known")
 
 
 def competition(items: DataFrame) -> DataFrame:
     """cluster_id, releases, share of all rows; shares sum to 1."""
-    return _with_share(_by_cluster(items, **_COMPETITION))
+    return _with_share(items.groupBy("cluster_id").agg(F.count("*").alias("releases")))
 
 
 def simplicity(items: DataFrame) -> DataFrame:
-    return _by_cluster(items, **_SIMPLICITY).where("median_complexity is not null")
+    return _by_cluster(items, _SIMPLICITY, {}).where("median_complexity is not null")
 
 
 def with_z(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -112,8 +112,8 @@ def opportunity_matrix(items: DataFrame, params: AnalysisParams) -> DataFrame:
 def label_summary(items: DataFrame, labels: DataFrame, *, min_votes: int = 0) -> DataFrame:
     """label, n_items and medians of complexity, sales, positive share and price; null votes drop."""
     joined = labels.where(F.col("votes") >= min_votes).select("item_id", "label").distinct().join(items, "item_id")
-    medians = [F.median(c).alias(f"median_{c}") for c in ("complexity", "sales_mid", "positive_share", "price")]
-    return joined.groupBy("label").agg(F.count("*").alias("n_items"), *medians)
+    medians = {f"median_{c}": (F.col(c), share(0.5)) for c in ("complexity", "sales_mid", "positive_share", "price")}
+    return grouped_quantiles(joined, ["label"], medians, {"n_items": None})
 
 
 def mode_shares(assignments: DataFrame, labels: DataFrame, modes: dict[str, str] = PLAY_MODES) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import grouped_quantiles, share
 from .scoring import micros, span_micros
 
 SUB_WINDOWS = 4
@@ -25,7 +26,7 @@ def trend_windows(items: DataFrame, *, months: int, as_of: str | None = None, pa
         end = items.sparkSession.range(1).select(micros(F.lit(as_of)).alias("_end"))
     at = items.crossJoin(F.broadcast(end)).withColumn("sub_window", F.floor((F.col("_end") - micros(F.col("released"))) / width).cast("int"))
     kept = at.where((F.col("sub_window") >= 0) & (F.col("sub_window") < parts))
-    grouped = kept.groupBy("cluster_id", "sub_window", "_end").agg(F.count("*").alias("n_items"), F.median("sales_mid").alias("median_sales")).where("median_sales is not null")
+    grouped = grouped_quantiles(kept, ["cluster_id", "sub_window", "_end"], {"median_sales": (F.col("sales_mid"), share(0.5))}, {"n_items": None}).where("median_sales is not null")
     edge = lambda k: F.timestamp_micros(F.col("_end") - (F.col("sub_window") + k) * F.lit(width).cast("long"))
     return grouped.select("cluster_id", "sub_window", edge(1).alias("starts"), edge(0).alias("ends"), "n_items", "median_sales")
 

@@ -411,19 +411,35 @@ def json_props(spark, d):
     return D.table(spark, d, "events").groupBy(parsed["k"].alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey AS item_id, CASE p_partkey % 4 WHEN 0 THEN p_size * 1000000000::BIGINT WHEN 1 THEN p_size * 1048576::BIGINT WHEN 2 THEN p_size * 1500000::BIGINT END::BIGINT AS bytes FROM part")
+@query("""SELECT p_partkey AS item_id, CASE p_partkey % 8 WHEN 0 THEN p_size * 1000000000::BIGINT WHEN 1 THEN p_size * 1048576::BIGINT WHEN 2 THEN p_size * 1500000::BIGINT
+ WHEN 4 THEN 7000000000 WHEN 6 THEN p_size * 1000000000::BIGINT WHEN 7 THEN p_size * 1000::BIGINT END::BIGINT AS bytes FROM part""")
 def size_text(spark, d):
-    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 4
-    html = F.when(k == 0, F.concat(F.lit("<b>OS:</b> 64 GB<br/><b>Hard Drive:</b> "), size, F.lit(" GB"))).when(k == 1, F.concat(F.lit("Storage: "), size, F.lit(" MiB space")))
-    html = html.when(k == 2, F.concat(F.lit("<li>Install size "), (F.col("p_size") * 3 / 2).cast("decimal(10,1)").cast("string"), F.lit(" mb</li>"))).otherwise(F.lit("Memory: 8 GB"))
-    html = F.when(k == 2, F.replace(html, F.lit("."), F.lit(","))).otherwise(html)
+    """Sizes in eight forms; a sign between number and unit, or a unit that goes on, is no size, and the next line counts."""
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 8
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    tenths = F.replace((F.col("p_size") * 3 / 2).cast("decimal(10,1)").cast("string"), F.lit("."), F.lit(","))
+    forms = (
+        say("<b>OS:</b> 64 GB<br/><b>Hard Drive:</b> ", size, " GB"), say("Storage: ", size, " MiB space"), say("<li>Install size ", tenths, " mb</li>"), say("Memory: 8 GB"),
+        say("Storage: ", size, "-GB<br>HDD: 7GB, or more"), say("Storage: ", size, " (GB)\nHard disk: ", size, " gbx"), say("DiskSpace (", size, "\tGB)"), say("storage: 1.2.", size, "KB/s"),
+    )
+    html = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        html = F.when(k == i, form).otherwise(html)
     return D.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), T.storage_bytes(html, F.lit(None).cast("string")).alias("bytes"))
 
 
-@query("SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 <> 0 THEN p_size * 1000000000::BIGINT END AS bytes FROM part")
+@query("SELECT p_partkey AS item_id, CASE p_partkey % 6 WHEN 1 THEN p_size * 1000000000::BIGINT WHEN 3 THEN 3000000 WHEN 4 THEN p_size * 1000000::BIGINT END::BIGINT AS bytes FROM part")
 def ram_text(spark, d):
-    size = F.col("p_size").cast("string")
-    html = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Video Memory: "), size, F.lit(" GB"))).otherwise(F.concat(F.lit("Dedicated Memory: 2 GB\n<strong>Memory:</strong> "), size, F.lit(" GB RAM")))
+    """Memory in six forms: another's, the system's, a name that a number or sign parts from its colon, one behind a sign, and one inside a word."""
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    forms = (
+        say("Video Memory: ", size, " GB"), say("Dedicated Memory: 2 GB\n<strong>Memory:</strong> ", size, " GB RAM"), say("RAM 2: ", size, " GB; Memory-: 1 GB"),
+        say("RAM 2: ", size, " GB<br />System RAM : 3 MB"), say("(memory: ", size, "mb)"), say("Program: ", size, " GB<br/>Graphics RAM: 1 GB"),
+    )
+    html = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        html = F.when(k == i, form).otherwise(html)
     return D.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), T.memory_bytes(F.lit(""), html).alias("bytes"))
 
 
@@ -822,16 +838,18 @@ def event_stream(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)  # a stream reads folders
 
 
-@query("SELECT event_id, user_id AS run_id FROM events")
+@query("SELECT event_id, user_id AS run_id FROM events WHERE event_id > 500")
 def event_tail_stream(spark, d):
-    return Z.settled(event_stream(spark, d).select("event_id", F.col("user_id").alias("run_id")), "tail")
+    """Events newer than the last id seen."""
+    tail = Z.tail_events(spark, f"{d}/events.parquet", since=500, schema="event_id bigint, user_id bigint", ids=50_000)
+    return Z.settled(tail.select("event_id", F.col("user_id").alias("run_id")), "tail")
 
 
 @query(f"WITH {THROTTLED}")
 def info_throttle_stream(spark, d):
     level = F.when(F.col("event_type") == "error", "error").otherwise("info")
     log = event_stream(spark, d).select("event_id", F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), level.alias("level"))
-    return Z.settled(Z.throttled(log, gap_seconds=36_000), "throttle").select("event_id", "run_id")
+    return Z.settled(Z.throttled(Z.with_end(log, spark), gap_seconds=36_000), "throttle").select("event_id", "run_id")
 
 
 @query(f"WITH {STATE} SELECT run_id, stage, status, attempt FROM state")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.payloads import finite, payload_hash
 from ..operators.funnel import latest_by_key
+from .scratch import written
 
 PAYLOAD = "run_id string, item_id bigint, source string, fetched_at timestamp, http_status int, payload string, payload_sha256 string"
 EVENT = "event_id bigint, run_id string, ts timestamp, stage string, level string, message string, progress double"
 LEVELS = ("debug", "info", "warning", "error")
 ALLOWED_SOURCES = ("catalog", "details", "reviews", "labels")
+PAYLOAD_KEY, ARRIVAL = ["run_id", "item_id", "source"], ["fetched_at", "payload_sha256"]
+BUCKETS = 16
 RESULTS = ("clusters", "matrix", "trends", "labels", "demand", "competition", "simplicity")
 
 
@@ -31,9 +36,10 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def scan_payloads(spark: SparkSession, path: str, run_id: str, source: str) -> DataFrame:
-    """Payloads of a run and source, by item; both are partition columns."""
+    """Payloads of a run and source, by item; both are partition columns. Of an item that two writers stored, the first to be fetched."""
     _known_source(source)
-    return read_table(spark, path, PAYLOAD).where((F.col("run_id") == run_id) & (F.col("source") == source)).orderBy("item_id")
+    own = read_table(spark, path, PAYLOAD).where((F.col("run_id") == run_id) & (F.col("source") == source))
+    return latest_by_key(own, ["item_id"], ARRIVAL, keep="first").orderBy("item_id")
 
 
 def bundle(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
@@ -65,29 +71,50 @@ def scan_labels(labels: DataFrame, run_id: str, *, min_votes: int = 0) -> DataFr
 
 def add_payloads(stored: DataFrame, arriving: DataFrame) -> DataFrame:
     """The rows of `arriving` to append: per run, item and source the first to arrive, unless one is stored already."""
-    keys = ["run_id", "item_id", "source"]
-    known = arriving.where(F.col("source").isin(*ALLOWED_SOURCES)).join(stored.select(*keys).distinct(), keys, "left_anti")
-    return latest_by_key(known, keys, ["fetched_at", "payload_sha256"], keep="first")
+    known = arriving.where(F.col("source").isin(*ALLOWED_SOURCES)).join(stored.select(*PAYLOAD_KEY), PAYLOAD_KEY, "left_anti")
+    return latest_by_key(known, PAYLOAD_KEY, ARRIVAL, keep="first")
+
+
+def _key_table(path: str) -> str:
+    return f"stored_keys_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
 
+def stored_keys(spark: SparkSession, path: str, *, buckets: int = BUCKETS) -> DataFrame:
+    """run_id, item_id, source of all payloads stored under `path`: a table of its own beside them, in buckets by these columns."""
+    name, columns = _key_table(path), ", ".join(PAYLOAD_KEY)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (run_id STRING, item_id BIGINT, source STRING) USING parquet CLUSTERED BY ({columns}) INTO {buckets} BUCKETS LOCATION '{path}_keys'")
+    return spark.table(name)
 
-def append_payloads(spark: SparkSession, path: str, arriving: DataFrame) -> None:
-    """Append what is new, with the hash of its payload. Of the stored table only the runs that arrive are read."""
-    runs = [r[0] for r in arriving.select("run_id").distinct().collect()]  # partitions, a few a batch
-    stored = read_table(spark, path, PAYLOAD).where(F.col("run_id").isin(*runs)) if runs else read_table(spark, path, PAYLOAD)
+
+def fresh_payloads(spark: SparkSession, path: str, arriving: DataFrame, *, buckets: int = BUCKETS) -> DataFrame:
+    """What is new in `arriving`, with the hash of its payload. It is dealt out like the stored keys, so that these are joined where they
+    lie: only what arrives is shuffled, however many keys are stored."""
     hashed = arriving.withColumn("payload_sha256", payload_hash(F.col("payload")))
-    fresh = add_payloads(stored, hashed)
+    return add_payloads(stored_keys(spark, path, buckets=buckets), hashed.repartition(buckets, *PAYLOAD_KEY))
+
+
+def append_payloads(spark: SparkSession, path: str, arriving: DataFrame, *, buckets: int = BUCKETS) -> None:
+    """Append what is new: payloads first, then their keys. A batch that is broken off between the two, and writers at the same time, can store a key twice; readers
+    take the first of it."""
+    fresh = written(fresh_payloads(spark, path, arriving, buckets=buckets), "fresh")
     fresh.write.mode("append").partitionBy("run_id", "source").parquet(path)
+    keys = stored_keys(spark, path, buckets=buckets)
+    fresh.select(*keys.columns).repartition(buckets, *PAYLOAD_KEY).write.insertInto(_key_table(path))
+
+
+def _valid_event() -> Column:
+    progress = F.col("progress")
+    return F.coalesce(F.col("level").isin(*LEVELS) & (progress.isNull() | progress.between(0, 1)), F.lit(False))
 
 
 def valid_events(events: DataFrame) -> DataFrame:
     """Events of a known level whose progress is unknown or a share."""
-    progress = F.col("progress")
-    return events.where(F.col("level").isin(*LEVELS) & (progress.isNull() | progress.between(0, 1)))
+    return events.where(_valid_event())
 
 
 def append_events(path: str, events: DataFrame) -> None:
     """Append events to a run's partition. One of an unknown level, or whose progress is no share, is an error, and nothing is written."""
-    if events.exceptAll(valid_events(events)).limit(1).count():
+    if events.where(~_valid_event()).limit(1).count():
         raise ValueError(f"levels are {LEVELS}, progress is in [0, 1]")
     events.write.mode("append").partitionBy("run_id").parquet(path)
 
@@ -112,6 +139,16 @@ def replace_run(frame: DataFrame, path: str, run_id: str, *, keys: list[str], re
     clean.drop("run_id").write.mode("overwrite").parquet(target)
 
 
+def replace_runs(frame: DataFrame, path: str, *, keys: list[str], required: list[str] = ()) -> None:
+    """Replace the partitions of all runs in `frame` in one write, checked as by `replace_run`; other runs stay as they are."""
+    if lacking := {"run_id", *required} - set(frame.columns):
+        raise ValueError(f"columns lacking: {sorted(lacking)}")
+    if frame.where(F.col("run_id").isNull()).limit(1).count():
+        raise ValueError("a row without a run")
+    check_unique(frame, ["run_id", *keys])
+    json_safe(frame).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
 def json_safe(frame: DataFrame) -> DataFrame:
     """Doubles and floats that are NaN or infinite become null."""
     return frame.withColumns({c: finite(F.col(c)) for c, kind in frame.dtypes if kind in ("double", "float")})

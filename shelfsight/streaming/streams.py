@@ -1,17 +1,16 @@
-"""Landing, tailing, throttling and stage state as streams."""
+"""Landing, tailing and stage state as streams; see also `throttle`."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.runs import LEVELS, stage_state
+from ..sources.event_source import EventTail
 from ..sources.scratch import scratch_dir
 from ..sources.tables import EVENT, PAYLOAD, append_payloads
+from .throttle import throttled, with_end  # noqa: F401
 
 
 def land_payloads(spark: SparkSession, inbox: str, path: str, checkpoint: str):
@@ -24,39 +23,14 @@ def land_payloads(spark: SparkSession, inbox: str, path: str, checkpoint: str):
     return arriving.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def tail_events(spark: SparkSession, path: str) -> DataFrame:
-    """New rows of an event folder; the query's checkpoint remembers which were seen."""
-    return spark.readStream.schema(EVENT).parquet(path).where(f"level in {LEVELS}")
+def tail_events(spark: SparkSession, path: str, *, since: int = 0, schema: str = EVENT, ids: int = 1_000_000) -> DataFrame:
+    """A stream of the rows under `path` with an event_id above `since`, of known levels where there is a level.
 
-
-def throttled(events: DataFrame, *, gap_seconds: float = 2.0, late: str = "10 minutes") -> DataFrame:
-    """Streaming form of `throttle_info`: the state of a run is the time of the last info event kept.
-
-    A batch is handled in time order; an info event older than the last kept one is dropped. A run's state goes when the watermark, `late`
-    behind the newest event, has passed its last kept event by the gap: an event that comes then is kept with or without it.
+    A batch has the ids above the last one's largest, `ids` of them a task; a restarted query goes on from the id in its checkpoint.
     """
-    gap = pd.Timedelta(seconds=gap_seconds)
-    names = events.columns
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        keep = []
-        for ts, level in zip(rows["ts"], rows["level"]):
-            free = level != "info" or last is None or ts - last >= gap
-            keep.append(free)
-            if free and level == "info":
-                last = ts
-        if last is not None:
-            state.update((int(last.value // 1000),))
-            state.setTimeoutTimestamp(max(int((last + gap).value // 1_000_000), state.getCurrentWatermarkMs()) + 1)
-        yield rows.loc[keep, names]
-
-    timed = events.withWatermark("ts", late)
-    return timed.groupBy("run_id").applyInPandasWithState(step, events.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    spark.dataSource.register(EventTail)
+    rows = spark.readStream.format("event_tail").schema(schema).option("path", path).option("since", since).option("ids", ids).load()
+    return rows.where(f"level in {LEVELS}") if "level" in rows.columns else rows
 
 
 def stage_states(log: DataFrame) -> DataFrame:

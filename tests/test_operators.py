@@ -36,6 +36,13 @@ def one(spark, column):
         ("HARDDISK : 16gb/32gb", 16 * 10**9),
         ("DirectX 11 (Storage)\t3\u00a0 x 40 GB.", 40 * 10**9),
         ("Storage: 4 gbit<BR />Install   size: 5 MiB", 5 * 1024**2),
+        ("Storage: 8-GB", None),
+        ("Storage: 10 (GB)\nStorage: 12\tGB", 12 * 10**9),
+        ("Storage: (4 GB)", 4 * 10**9),
+        ("Storage: 5 GB-6 GB", 5 * 10**9),
+        ("Storage: 7 GB_x", None),
+        ("AvailableSpace 1.2.5 kb", 2_500),
+        ("Storage: 8<i> GB</i><br clear=all>HDD 9 GB", 8 * 10**9),
     ],
 )
 def test_storage(spark, html, expected):
@@ -47,7 +54,8 @@ def test_storage(spark, html, expected):
 @pytest.mark.parametrize(
     "html, expected",
     [("<b>Memory:</b> 8 GB RAM", 8 * 10**9), ("Video Memory: 2 GB", None), ("System RAM: 512 MB", 512 * 10**6), ("Dedicated Memory: 1 GB<br>RAM: 4 GB", 4 * 10**9),
-        ("Video Memory: 2 GB, Memory: 6 GB", 6 * 10**9), ("program: 4 GB", None), ("Graphics: 2 GB Memory", None), ("DDR4-RAM : 8gb", 8 * 10**9), ("Storage: 9 GB", None)],
+        ("Video Memory: 2 GB, Memory: 6 GB", 6 * 10**9), ("program: 4 GB", None), ("Graphics: 2 GB Memory", None), ("DDR4-RAM : 8gb", 8 * 10**9), ("Storage: 9 GB", None),
+        ("RAM 2: 4 GB", None), ("RAM-: 4 GB", None), ("(memory : 4 GB", 4 * 10**9), ("Program: 4 GB", None), ("Video System Memory: 4 GB", 4 * 10**9), ("2RAM: 4 GB", 4 * 10**9), ("Memory: 8-GB<br>RAM: 3 GB", 3 * 10**9)],
 )
 def test_memory(spark, html, expected):
     assert one(spark, T.memory_bytes(F.lit(None).cast("string"), F.lit(html))) == expected
@@ -239,6 +247,39 @@ def test_vote_names_and_search(spark):
     assert tight.source == "smallest"
 
 
+def threshold_by_hand(rows, merges, most_share):
+    """Every distance in turn: merge, let items vote, stop at the first whose largest cluster holds too many."""
+    items = sorted({i for i, _ in rows})
+    last = None
+    distances = sorted({d for d, *_ in merges})
+    for d in distances:
+        root = {label: label for _, label in rows}
+        for _, a, b in sorted(m for m in merges if m[0] <= d):
+            ends = sorted({root[a], root[b]})
+            root = {x: ends[0] if r in ends else r for x, r in root.items()}
+        sizes = Counter()
+        for i in items:
+            votes = Counter(root[x] for j, x in rows if j == i)
+            sizes[min(votes, key=lambda r: (-votes[r], r))] += 1
+        if max(sizes.values()) / len(items) > most_share:
+            return (last, "searched") if last is not None else (distances[0], "smallest")
+        last = d
+    return last, "searched"
+
+
+@pytest.mark.parametrize("method, batch", [("average", 24), ("single", 3), ("complete", 2)])
+def test_threshold_search_by_brute_force(spark, method, batch):
+    rng = random.Random(len(method))
+    rows = sorted({(i, f"t{(i % 3) * 4 + rng.randrange(6):02}") for i in range(60) for _ in range(4)})
+    labels = spark.createDataFrame(rows, "item_id long, label string").withColumn("votes", F.lit(1))
+    _, merges = archetypes.linkage(labels.select("label").distinct(), affinity.jaccard(labels).select("a", "b", "distance"), method=method)
+    steps = [tuple(r) for r in merges.select("distance", "a", "b").collect()]
+    assert len({d for d, *_ in steps}) > 6
+    for most_share in (0.02, 0.3, 0.5, 0.7, 1.0):
+        assert archetypes.search_threshold(labels, merges, most_share=most_share, batch=batch) == threshold_by_hand(rows, steps, most_share)
+    assert archetypes.search_threshold(labels, merges.limit(0), most_share=0.5) == (None, "none")
+
+
 def test_clusters_of_nothing_and_of_one(spark):
     labels = spark.createDataFrame([(1, "a", 1)], "item_id long, label string, votes long")
     single = archetypes.cluster_labels(labels, labels, AnalysisParams(generic_share=1.0))

@@ -2,10 +2,13 @@
 
 import datetime
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from shelfsight.operators.runs import throttle_info
 from shelfsight.sources import tables as B
 from shelfsight.streaming import streams
 
@@ -29,6 +32,51 @@ def test_first_payload_wins(spark, tmp_path):
     assert "PartitionFilters" in plan and "run_id" in plan
 
 
+def test_stored_keys_are_not_shuffled(spark, tmp_path):
+    """However many keys are stored, only what arrives is dealt out."""
+    path = f"file://{tmp_path}/payloads"
+    B.append_payloads(spark, path, spark.createDataFrame([payload("r", i, "details", i) for i in range(300)], B.PAYLOAD))
+    arriving = spark.createDataFrame([payload("r", i, "details", i) for i in range(290, 310)], B.PAYLOAD)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = B.fresh_payloads(spark, path, arriving)
+        assert sorted(r.item_id for r in fresh.collect()) == list(range(300, 310))
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "SelectedBucketsCount" in plan
+
+
+def test_two_writers_and_a_broken_batch(spark, tmp_path):
+    """A key that is stored twice is read once: the first that was fetched."""
+    path = f"file://{tmp_path}/payloads"
+    batches = [spark.createDataFrame([payload("r", 1, "details", s, b), payload("r", k, "details", 0)], B.PAYLOAD) for k, (s, b) in enumerate(((5, "b"), (1, "a")), 2)]
+    fresh = [B.fresh_payloads(spark, path, b).collect() for b in batches]  # both look before either writes
+    for rows in fresh:
+        spark.createDataFrame(rows, spark.createDataFrame([], B.PAYLOAD).schema).write.mode("append").partitionBy("run_id", "source").parquet(path)
+    B.append_payloads(spark, path, batches[0])  # its keys were never written: the batch comes again
+    assert [(r.item_id, r.payload) for r in B.scan_payloads(spark, path, "r", "details").collect()] == [(1, "a"), (2, "{}"), (3, "{}")]
+    spark.sql(f"DROP TABLE {B._key_table(path)}")  # as in a new session: the files stay
+    assert B.fresh_payloads(spark, path, batches[0]).count() == 0
+
+
+def test_replace_several_runs(spark, tmp_path):
+    path = f"file://{tmp_path}/items"
+    kind = "run_id string, item_id long, x double"
+    read = lambda: {(r.run_id, r.item_id, r.x) for r in B.read_table(spark, path, kind).collect()}
+    B.replace_runs(spark.createDataFrame([(r, i, 0.0) for r in "abc" for i in (1, 2)], kind), path, keys=["item_id"])
+    B.replace_runs(spark.createDataFrame([("a", 1, 5.0), ("c", 7, float("nan"))], kind), path, keys=["item_id"], required=["x"])
+    assert read() == {("a", 1, 5.0), ("b", 1, 0.0), ("b", 2, 0.0), ("c", 7, None)}
+    for wrong in ([("a", 1, 1.0), ("a", 1, 2.0)], [(None, 1, 1.0)]):
+        with pytest.raises(ValueError):
+            B.replace_runs(spark.createDataFrame(wrong, kind), path, keys=["item_id"])
+    other = f"file://{tmp_path}/labels"
+    B.replace_runs(spark.createDataFrame([("a", 1, 1.0), ("b", 1, 1.0)], kind), other, keys=["item_id"])
+    B.delete_run(spark, [path, other], "a")
+    assert {r for r, *_ in read()} == {"b", "c"} and {r.run_id for r in B.read_table(spark, other, kind).collect()} == {"b"}
+
+
 def test_replace_run(spark, tmp_path):
     path = f"file://{tmp_path}/items"
     rows = spark.createDataFrame([("r", 1, 1.0), ("r", 2, float("nan"))], "run_id string, item_id long, x double")
@@ -78,14 +126,64 @@ def test_landing_stream(spark, tmp_path):
     assert {(r.item_id, r.payload) for r in B.scan_payloads(spark, path, "r", "details").collect()} == {(1, "a"), (2, "b"), (3, "c")}
 
 
-def test_event_streams(spark, tmp_path):
-    path = f"file://{tmp_path}/events"
-    rows = [(1, 0.0, "info"), (2, 1.0, "info"), (3, 1.5, "error"), (4, 2.0, "info"), (5, 3.0, "info"), (6, 4.5, "info")]
-    frame = spark.createDataFrame([(i, "r", T0 + datetime.timedelta(seconds=s), "s", level, "m", None) for i, s, level in rows], B.EVENT)
-    frame.coalesce(1).write.parquet(path)
-    query = streams.throttled(streams.tail_events(spark, path)).writeStream.format("memory").queryName("kept").outputMode("append").trigger(availableNow=True).start()
+def drained(spark, stream, checkpoint, path):
+    """What a stream gives with a checkpoint of its own; another call goes on from there."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    assert {r.event_id for r in spark.table("kept").collect()} == {1, 3, 4, 6}
+    return spark.read.parquet(path)
+
+
+def put_events(spark, path, ids, mode="append"):
+    rows = [(i, "r", T0 + datetime.timedelta(seconds=i), "s", "shout" if i == 4 else "info", "m", None) for i in ids]
+    spark.createDataFrame(rows, B.EVENT).coalesce(1).write.mode(mode).parquet(path)
+
+
+def test_tail_starts_from_an_id_and_goes_on(spark, tmp_path):
+    """Ids, not files, are the offset: rows of a file that was read before and came again are not given twice."""
+    path, out, seen = (f"file://{tmp_path}/{n}" for n in ("events", "out", "seen"))
+    put_events(spark, path, range(1, 8))
+    tail = lambda: streams.tail_events(spark, path, since=2, ids=3).select("event_id")
+    assert sorted(r[0] for r in drained(spark, tail(), seen, out).collect()) == [3, 5, 6, 7]  # 4 is of no known level
+    assert sorted(r[0] for r in drained(spark, tail(), seen, out).collect()) == [3, 5, 6, 7]
+    put_events(spark, path, [7, 8, 9, 12])
+    put_events(spark, path, [10])
+    assert sorted(r[0] for r in drained(spark, tail(), seen, out).collect()) == [3, 5, 6, 7, 8, 9, 10, 12]
+    batch = spark.read.format("event_tail").schema(B.EVENT).option("path", path).option("since", 8).load()
+    assert sorted(r.event_id for r in batch.collect()) == [9, 10, 12]
+
+
+def throttle_rows():
+    rng = random.Random(3)
+    rows, t = [], {"hot": 0.0, "b": 5.0, "c": 9.0}
+    for i in range(600):
+        run = rng.choice(("hot",) * 8 + ("b", "c"))
+        t[run] += rng.choice((0.0, 0.1, 0.7, 3.0, 40.0))
+        rows.append((i, run, T0 + datetime.timedelta(seconds=t[run]), rng.choice(("info",) * 9 + ("error",)), f"m{i}"))
+    rows += [(900, None, T0, "info", "no run"), (901, "b", None, "info", "no time"), (902, "b", None, "error", None), (903, "b", T0, None, None)]
+    return rows
+
+
+KIND = "event_id long, run_id string, ts timestamp, level string, message string"
+
+
+def test_throttled_stream_is_the_batch_one(spark, tmp_path):
+    """Files out of order within the lateness, batch by batch and over a restart, with one run that has most events."""
+    rows = throttle_rows()
+    expected = sorted(r.event_id for r in throttle_info(spark.createDataFrame(rows, KIND), gap_seconds=2.0).collect())
+    rng = random.Random(4)
+    late = [r for r in rows if r[2] is not None]
+    order = sorted(late, key=lambda r: r[2] + datetime.timedelta(seconds=rng.uniform(0, 500))) + [r for r in rows if r[2] is None]
+    path, out, seen = (f"file://{tmp_path}/{n}" for n in ("events", "out", "seen"))
+    step = len(order) // 4
+    files = [order[:step], order[step : 2 * step], order[2 * step : 3 * step], order[3 * step :], [(None, None, datetime.datetime(9999, 1, 1), "end", None)]]
+    for rows_of in files[:2], files[2:]:
+        for part in rows_of:
+            spark.createDataFrame(part, KIND).coalesce(1).write.mode("append").parquet(path)
+            time.sleep(1.1)  # files are read in the order of their times
+        source = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(path)
+        found = drained(spark, streams.throttled(source, gap_seconds=2.0), seen, out)
+    assert sorted(r.event_id for r in found.collect()) == expected
+    assert found.columns == ["event_id", "run_id", "ts", "level", "message"]
 
 
 def test_stage_stream(spark, tmp_path):
