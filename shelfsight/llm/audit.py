@@ -4,15 +4,18 @@ Texts are read once, into shards of a compressed sparse row matrix: for every do
 each occurs. A shard numbers words by itself and carries the list of them; lists of all shards together give the dictionary, where a word has one number in the whole
 corpus, and the shards are rewritten with these numbers. Row sums and numbers of nonzero entries decide the filters on words; what a text alone
 tells (capitals, symbols, a digest) is noted beside its row. Only a shard's distinct words, not the words of each document, are shuffled to
-number them, so a word that every document has costs a row a shard.
+number them: they are split into slots by hash, as many as keep a slot small, and a word that every document has is in its slot once a shard.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import permutations
 
 import numpy as np
@@ -20,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import chunk_count, staged, table
+from .base import staged, table
 
 SHARD_ENTRIES = 1 << 18
+SHARD_ROWS = 1 << 16
+SLOT_WORDS = 1 << 18
 SLICE = 64
 PIECE = 1 << 20
 FILTERS = "ABCDE"
@@ -47,13 +52,25 @@ def term_counts(raw: bytes) -> Counter:
     return found
 
 
-def _ints(values, kind: str) -> bytes:
-    return np.array(values, kind).tobytes()
+def packed(values) -> bytes:
+    """Whole numbers from 0 in as many bytes each as the largest needs, all lowest bytes first, then all second ones, and so on: most of the higher ones are 0 and compress well."""
+    a = np.asarray(values, "<u4")
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    """The `n` numbers of `packed`."""
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, n) if n else np.zeros((0, 0), np.uint8)
+    out = np.zeros(n, np.int64)
+    for k, plane in enumerate(planes):
+        out |= plane.astype(np.int64) << (8 * k)
+    return out
 
 
 def local_shards(docs: DataFrame, *, entries: int = SHARD_ENTRIES) -> DataFrame:
-    """shard, doc_ids, parts, digests, capitals, symbols (a list each, one entry a document), starts, terms, counts (the matrix, little-endian
-    binary), words (the shard's own dictionary): `docs` (doc_id, part, text) cut where they are read into shards of about `entries` nonzero entries."""
+    """shard, doc_ids, parts, digests, capitals, symbols (a list each, one entry a document), starts (64-bit, binary), terms, counts (see `packed`), words
+    (the shard's own dictionary): the matrix of `docs` (doc_id, part, text), cut where they are read into shards of about `entries` nonzero entries."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"shard long, doc_ids array<{id_type}>, parts array<string>, digests array<binary>, capitals array<boolean>, symbols array<boolean>, starts binary, terms binary, counts binary, words array<string>"
 
@@ -64,14 +81,14 @@ def local_shards(docs: DataFrame, *, entries: int = SHARD_ENTRIES) -> DataFrame:
         key_type = pa.int64()
 
         def fresh():
-            return [], [], [], [], [], [0], [], [], {}
+            return [], [], [], [], [], [0], array("I"), array("I"), {}
 
         held = fresh()
 
         def batch() -> pa.RecordBatch:
             ids, parts, digests, capitals, symbols, starts, terms, counts, words = held
             lists = (pa.array([ids], pa.list_(key_type)), pa.array([parts], pa.list_(pa.string())), pa.array([digests], pa.list_(pa.binary())), pa.array([capitals], pa.list_(pa.bool_())), pa.array([symbols], pa.list_(pa.bool_())))
-            numbers = (pa.array([_ints(starts, "<i8")]), pa.array([_ints(terms, "<i4")]), pa.array([_ints(counts, "<i4")]))
+            numbers = (pa.array([np.array(starts, "<i8").tobytes()]), pa.array([packed(terms)]), pa.array([packed(counts)]))
             names = ["shard", "doc_ids", "parts", "digests", "capitals", "symbols", "starts", "terms", "counts", "words"]
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *numbers, pa.array([list(words)], pa.list_(pa.string()))], names=names)
 
@@ -86,10 +103,10 @@ def local_shards(docs: DataFrame, *, entries: int = SHARD_ENTRIES) -> DataFrame:
                     points = len(raw.translate(None, CONTINUED))
                     capitals.append(100 * len(raw.translate(None, NOT_CAPITALS)) > 10 * points)
                     symbols.append(SYMBOLS.search(raw) is not None)
-                    terms += [words.setdefault(w, len(words)) for w in found]
-                    counts += found.values()
+                    terms.extend(words.setdefault(w, len(words)) for w in found)
+                    counts.extend(found.values())
                     starts.append(len(terms))
-                    if len(terms) >= entries:
+                    if len(terms) >= entries or len(ids) >= SHARD_ROWS:
                         yield batch()
                         number, held = number + 1, fresh()
         if held[0]:
@@ -98,64 +115,112 @@ def local_shards(docs: DataFrame, *, entries: int = SHARD_ENTRIES) -> DataFrame:
     return docs.select("doc_id", "part", "text").mapInArrow(run, schema)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """word, term: numbers from 0 without a gap, one for every word of the shards."""
-    words = shards.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n_shards"))
-    words = staged(words, "vocabulary")
-    slots = chunk_count(words.count())
-    placed = words.select("word", F.pmod(F.xxhash64("word"), F.lit(slots)).cast("int").alias("slot"))
-    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # a row for about 20,000 words
-    bases = placed.groupBy("slot").agg(F.count("*").alias("n")).select("slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("slot").orderBy("word")
-    return placed.join(bases, "slot").select("word", (F.col("base") + F.row_number().over(inside) - 1).alias("term"))
-
-
-def csr_shards(docs: DataFrame, *, entries: int = SHARD_ENTRIES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The matrix of `docs` (doc_id, part, text), its dictionary (word, term), and the shards as they were read (see `local_shards`).
-
-    Matrix: as `local_shards`, without words; terms are 64-bit numbers of the dictionary, in order within a row.
-    """
-    shards = staged(local_shards(docs, entries=entries), "shards")
-    numbers = staged(dictionary(shards), "dictionary")
-    own = shards.select("shard", F.posexplode("words").alias("local", "word"))
-    mapped = own.join(numbers, "word").groupBy("shard").agg(F.collect_list(F.struct("local", "term")).alias("numbers"))  # as many as the shard has words
-    body = shards.drop("words").join(mapped, "shard", "left")
-    places = [body.columns.index(c) for c in ("starts", "terms", "numbers")]
+def word_slots(shards: DataFrame) -> DataFrame:
+    """shard, slot, local (places in the shard's list, packed), words: the words of every shard, split by hash into slots of about SLOT_WORDS of all shards together."""
+    pairs = shards.agg(F.sum(F.size("words"))).first()[0] or 0
+    slots = max(8, -(-pairs // SLOT_WORDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                row = b.slice(k, 1)
-                starts, terms, pairs = (row.column(i) for i in places)
-                known = pairs.flatten()
-                local, term = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in known.flatten())
-                to = np.empty(len(term), np.int64)
-                to[local] = term
-                starts, terms = np.frombuffer(starts[0].as_py(), "<i8"), to[np.frombuffer(terms[0].as_py(), "<i4")]
-                order = np.lexsort((terms, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
-                counts = np.frombuffer(row.column("counts")[0].as_py(), "<i4")[order]
-                made = {"terms": pa.array([terms[order].tobytes()]), "counts": pa.array([counts.tobytes()])}
-                names = [n for n in row.schema.names if n != "numbers"]
-                yield pa.RecordBatch.from_arrays([made.get(n, row.column(n)) for n in names], names=names)
-
-    return body.mapInArrow(run, shards.drop("words").schema), numbers, shards
-
-
-def row_totals(matrix: DataFrame) -> DataFrame:
-    """doc_id, part, digest, capitals, symbols, n_words (row sum), n_distinct (nonzero entries): a row for every document."""
-    id_type = matrix.schema["doc_ids"].dataType.elementType.simpleString()
-    names = ["doc_id", "part", "digest", "capitals", "symbols"]
+                words = b.column(1).slice(k, 1).flatten()
+                of = np.fromiter((zlib.crc32(w) for w in words.cast(pa.binary()).to_pylist()), np.int64, len(words)) % slots
+                order = np.argsort(of, kind="stable")
+                found, starts = np.unique(of[order], return_index=True)
+                ends = np.append(starts[1:], len(order))
+                local = [packed(order[x:y]) for x, y in zip(starts, ends)]
+                listed = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), words.take(pa.array(order)))
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * len(found), pa.int64()), pa.array(found, pa.int32()), pa.array(local, pa.binary()), listed], names=["shard", "slot", "local", "words"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                row = b.slice(k, 1)
-                starts, counts = np.frombuffer(row.column("starts")[0].as_py(), "<i8"), np.frombuffer(row.column("counts")[0].as_py(), "<i4")
-                sums = np.append(0, np.cumsum(counts, dtype=np.int64))
-                lists = [row.column(c).flatten() for c in ("doc_ids", "parts", "digests", "capitals", "symbols")]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array(sums[starts[1:]] - sums[starts[:-1]]), pa.array(np.diff(starts))], names=[*names, "n_words", "n_distinct"])
+    return shards.select("shard", "words").mapInArrow(run, "shard long, slot int, local binary, words array<string>")
+
+
+def numbered_slots(slots: DataFrame) -> DataFrame:
+    """shard, slot, n (words of the shard in the slot), local, inside (their numbers in the slot, from 0, packed), size (words of the slot) and, in one row a slot, its dictionary.
+
+    A slot is numbered in one task. It has about SLOT_WORDS words of all shards, and no word more than once a shard."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        words = t.column("words").chunk(0) if t.num_rows else pa.array([], pa.list_(pa.string()))
+        coded = words.flatten().dictionary_encode()
+        numbers, ends = coded.indices.to_numpy(zero_copy_only=False).astype("<u4"), np.cumsum(np.append(0, words.value_lengths().to_numpy(zero_copy_only=False)))
+        inside = [packed(numbers[x:y]) for x, y in zip(ends, ends[1:])]
+        first = [coded.dictionary.to_pylist(), *[None] * (t.num_rows - 1)]
+        size = pa.array([len(coded.dictionary)] * t.num_rows, pa.int64())
+        return pa.table([t.column("shard"), t.column("slot"), pa.array(np.diff(ends), pa.int64()), t.column("local"), pa.array(inside, pa.binary()), size, pa.array(first, pa.list_(pa.string()))], names=["shard", "slot", "n", "local", "inside", "size", "dictionary"])
+
+    return slots.groupBy("slot").applyInArrow(run, "shard long, slot int, n long, local binary, inside binary, size long, dictionary array<string>")
+
+
+@dataclass(frozen=True)
+class Rows:
+    """A shard with the corpus's numbers of words: where each row starts, its terms in order, and their counts."""
+
+    starts: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+
+
+def renumbered(own: pa.Table, numbers: pa.Table) -> Rows:
+    """The one shard in `own`, its words numbered as the rows of `numbers` (n, local, inside, base) say."""
+    pairs = list(zip(*(numbers.column(c).to_pylist() for c in ("n", "local", "inside", "base"))))
+    to = np.empty(sum(n for n, *_ in pairs), np.int64)
+    for n, local, inside, base in pairs:
+        to[unpacked(local, n)] = unpacked(inside, n) + base
+    starts = np.frombuffer(own.column("starts")[0].as_py(), "<i8")
+    terms, counts = (unpacked(own.column(c)[0].as_py(), int(starts[-1])) for c in ("terms", "counts"))
+    terms = to[terms]
+    order = np.argsort((np.repeat(np.arange(len(starts) - 1), np.diff(starts)) << 43) | terms)
+    return Rows(starts, terms[order], counts[order])
+
+
+class Matrix:
+    """The sparse matrix of `docs` (doc_id, part, text), in shards."""
+
+    def __init__(self, docs: DataFrame, *, entries: int = SHARD_ENTRIES):
+        self.shards = staged(local_shards(docs, entries=entries), "shards")
+        numbered = staged(numbered_slots(word_slots(self.shards)), "numbers")
+        before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # a row a slot
+        bases = numbered.groupBy("slot").agg(F.max("size").alias("size")).select("slot", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+        self.numbers = numbered.join(bases, "slot")
+
+    def dictionary(self) -> DataFrame:
+        """word, term: numbers from 0 without a gap."""
+        words = self.numbers.where("dictionary is not null").select("base", F.posexplode("dictionary").alias("at", "word"))
+        return words.select("word", (F.col("base") + F.col("at")).alias("term"))
+
+    def _each(self, columns: list[str], make: Callable[[pa.Table, Rows], pa.Table], schema: str) -> DataFrame:
+        """What `make` gives of every shard: its columns, and its rows in the numbers of the dictionary."""
+        body = self.shards.select("shard", *columns, "starts", "terms", "counts")
+        numbers = self.numbers.select("shard", "n", "local", "inside", "base")
+
+        def run(own: pa.Table, numbers: pa.Table) -> pa.Table:
+            return make(own, renumbered(own, numbers)) if own.num_rows else pa.table([])
+
+        return body.groupBy("shard").cogroup(numbers.groupBy("shard")).applyInArrow(run, schema)
+
+    def csr(self) -> DataFrame:
+        """shard, doc_ids, starts, terms (64-bit each), counts (32-bit): little-endian binary; row k of a shard is from starts[k] to starts[k + 1], its terms in order."""
+        key = self.shards.schema["doc_ids"].dataType.simpleString()
+
+        def make(own: pa.Table, rows: Rows) -> pa.Table:
+            made = [pa.array([a.astype(k).tobytes()]) for a, k in ((rows.starts, "<i8"), (rows.terms, "<i8"), (rows.counts, "<u4"))]
+            return pa.table([own.column("shard"), own.column("doc_ids"), *made], names=["shard", "doc_ids", "starts", "terms", "counts"])
+
+        return self._each(["doc_ids"], make, f"shard long, doc_ids {key}, starts binary, terms binary, counts binary")
+
+    def totals(self) -> DataFrame:
+        """doc_id, part, digest, capitals, symbols, n_words (row sum), n_distinct (nonzero entries): a row for every document."""
+        key = self.shards.schema["doc_ids"].dataType.elementType.simpleString()
+        lists = ["doc_ids", "parts", "digests", "capitals", "symbols"]
+
+        def make(own: pa.Table, rows: Rows) -> pa.Table:
+            sums = np.append(0, np.cumsum(rows.counts, dtype=np.int64))
+            noted = [own.column(c).combine_chunks().flatten() for c in lists]
+            return pa.table([*noted, pa.array(sums[rows.starts[1:]] - sums[rows.starts[:-1]]), pa.array(np.diff(rows.starts))], names=["doc_id", "part", "digest", "capitals", "symbols", "n_words", "n_distinct"])
 
-    return matrix.mapInArrow(run, f"doc_id {id_type}, part string, digest binary, capitals boolean, symbols boolean, n_words long, n_distinct long")
+        return self._each(lists, make, f"doc_id {key}, part string, digest binary, capitals boolean, symbols boolean, n_words long, n_distinct long")
 
 
 def failed_filters(docs: DataFrame, *, least_words: int = 100, least_distinct: int = 80, entries: int = SHARD_ENTRIES) -> DataFrame:
@@ -167,10 +232,10 @@ def failed_filters(docs: DataFrame, *, least_words: int = 100, least_distinct: i
     text is a shard of its own. Extra columns are not read; an empty table gives no rows.
     """
     named = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    matrix, _, shards = csr_shards(named, entries=entries)
-    texts = shards.select(F.inline(F.arrays_zip(F.col("digests").alias("digest"), F.col("doc_ids").alias("doc_id"))))
+    matrix = Matrix(named, entries=entries)
+    texts = matrix.shards.select(F.inline(F.arrays_zip(F.col("digests").alias("digest"), F.col("doc_ids").alias("doc_id"))))
     firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = row_totals(matrix).join(staged(firsts, "firsts"), "digest", "left")
+    rows = matrix.totals().join(staged(firsts, "firsts"), "digest", "left")
     fails = {
         "A": F.col("n_words") < least_words,
         "B": 100 * F.col("n_distinct") < least_distinct * F.col("n_words"),

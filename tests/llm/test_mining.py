@@ -243,15 +243,16 @@ def test_audit_by_hand(request, spark, name):
     assert Counter(map(tuple, found.select(*columns).collect())) == audit_by_hand(by_hand, labels)
 
 
-def test_matrix_by_hand(spark, small):
-    """The shards together hold how often each word of the dictionary occurs in each document."""
+def test_matrix_by_hand(spark, small, monkeypatch):
+    """The shards together hold how often each word of the dictionary occurs in each document, however many slots number the words."""
+    monkeypatch.setattr(audit, "SLOT_WORDS", 100)
     docs = small.select("doc_id", F.lit("p").alias("part"), "text")
-    matrix, numbers, _ = audit.csr_shards(docs.repartition(3), entries=300)
-    word = {r.term: r.word for r in numbers.collect()}
+    matrix = audit.Matrix(docs.repartition(3), entries=300)
+    word = {r.term: r.word for r in matrix.dictionary().collect()}
     assert sorted(word) == list(range(len(word)))
     found = {}
-    for r in matrix.collect():
-        starts, terms, counts = (np.frombuffer(bytes(r[c]), k) for c, k in (("starts", "<i8"), ("terms", "<i8"), ("counts", "<i4")))
+    for r in matrix.csr().collect():
+        starts, terms, counts = (np.frombuffer(bytes(r[c]), k) for c, k in (("starts", "<i8"), ("terms", "<i8"), ("counts", "<u4")))
         for doc_id, a, b in zip(r.doc_ids, starts, starts[1:]):
             assert list(terms[a:b]) == sorted(terms[a:b])
             found[doc_id] = Counter({word[t]: int(c) for t, c in zip(terms[a:b], counts[a:b])})
