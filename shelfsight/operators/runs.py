@@ -77,31 +77,32 @@ def throttle_info(events: DataFrame, *, gap_seconds: float = 2.0, fold_rows: int
 
     Times of a run that has at most `fold_rows` of them are walked through in one task. In longer runs a kept time's successor is
     the first time of its run at least a gap later, and those kept are what a run's first time reaches, found by
-    joins that double the steps; no such run or burst is held in one task's memory. Of equal times
-    the smallest event_id stands for all; events without a time are all kept.
+    joins that double the steps; no such run or burst is held in one task's memory. Of equal times of a run
+    the smallest event_id stands for all; events without a time are all kept, and a repeated row is kept or dropped as one. A null run or id is one as any other.
     """
     gap = int(gap_seconds * 1e6)
     if gap <= 0:
         return events.where(F.col("level").isNotNull())
-    info = F.col("level") == "info"
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    lone = events.where(info & F.col("ts").isNull()).select("event_id")
-    at = events.where(info & F.col("ts").isNotNull()).groupBy("run_id", micros.alias("_at")).agg(F.min("event_id").alias("event_id"))
-    at = written(at, "throttle-times")
-    sizes = at.groupBy("run_id").agg(F.count("*").alias("_n"))
-    long = written(sizes.where(F.col("_n") > fold_rows).select(F.col("run_id").alias("_run")), "throttle-long")
-    same_run = at["run_id"].eqNullSafe(long["_run"])
-    ids = _walked(at.join(long, same_run, "left_anti"), gap).unionByName(lone)
-    if long.limit(1).count():
+    timed = F.coalesce((F.col("level") == "info") & F.col("ts").isNotNull(), F.lit(False))
+    info = events.where(timed).withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    at = info.groupBy("run_id", "_at").agg(F.min("event_id").alias("event_id"))
+    long = at.groupBy("run_id").agg(F.count("*").alias("_n")).where(F.col("_n") > fold_rows).select(F.col("run_id").alias("_run"))
+    if long.limit(1).count() == 0:
+        kept = _walked(at, gap)
+    else:
+        at, long = written(at, "throttle-times"), written(long, "throttle-long")
+        same_run = at["run_id"].eqNullSafe(long["_run"])
         rest = written(at.join(long, same_run, "left_semi"), "throttle-times")
-        kept = _reached(_successors(rest, gap), rest.groupBy("run_id").agg(F.min("_at").alias("_at")))
-        same = rest["run_id"].eqNullSafe(kept["run_id"]) & (rest["_at"] == kept["_at"])
-        ids = ids.unionByName(rest.join(kept, same, "left_semi").select("event_id"))
-    return events.where(info).join(ids, "event_id", "left_semi").unionByName(events.where(~info))
+        reached = _reached(_successors(rest, gap), rest.groupBy("run_id").agg(F.min("_at").alias("_at")))
+        same = rest["run_id"].eqNullSafe(reached["run_id"]) & (rest["_at"] == reached["_at"])
+        kept = _walked(at.join(long, same_run, "left_anti"), gap).unionByName(rest.join(reached, same, "left_semi"))
+    one = kept.select(F.col("run_id").alias("_run"), F.col("_at").alias("_time"), F.col("event_id").alias("_id"))
+    same = info["run_id"].eqNullSafe(one["_run"]) & (info["_at"] == one["_time"]) & info["event_id"].eqNullSafe(one["_id"])
+    return info.join(one, same, "left_semi").drop("_at").unionByName(events.where(F.col("level").isNotNull() & ~timed))
 
 
 def _walked(at: DataFrame, gap: int) -> DataFrame:
-    """event_id of the times kept, run by run; a step goes to the first time at least `gap` later."""
+    """The rows of the times kept, run by run; a step goes to the first time at least `gap` later."""
 
     def walk(run: pa.Table) -> pa.Table:
         order = np.argsort(run.column("_at").to_numpy())
@@ -109,9 +110,9 @@ def _walked(at: DataFrame, gap: int) -> DataFrame:
         while k < len(times):
             kept.append(order[k])
             k = np.searchsorted(times, times[k] + gap)
-        return run.select(["event_id"]).take(kept)
+        return run.take(kept)
 
-    return at.groupBy("run_id").applyInArrow(walk, f"event_id {at.schema['event_id'].dataType.simpleString()}")
+    return at.groupBy("run_id").applyInArrow(walk, at.schema)
 
 
 def _successors(at: DataFrame, gap: int) -> DataFrame:

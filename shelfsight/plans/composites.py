@@ -14,7 +14,7 @@ from ..operators.archetypes import cluster_labels, linkage, search_threshold
 from ..operators.report import headline, label_view, matrix_view
 from ..operators.runs import run_summary
 from ..operators.select import case_rows, diverse_top
-from ..params import AnalysisParams, FeatureParams, FilterParams
+from ..params import STAGES, AnalysisParams, FeatureParams, FilterParams
 from ..sources.scratch import written
 
 
@@ -54,7 +54,7 @@ def analyse(items: DataFrame, labels: DataFrame, as_of: str, params: AnalysisPar
     windows = T.trend_windows(placed, months=params.window_months)
     slopes = T.trend_slopes(windows)
     return {
-        "simple": simple, "assignments": found.assignments, "names": found.names, "demand": demand, "competition": competition,
+        "simple": simple, "placed": placed, "assignments": found.assignments, "names": found.names, "demand": demand, "competition": competition,
         "simplicity": simplicity, "matrix": named, "trends": T.trend_rows(windows, slopes),
         "labels": S.label_summary(simple, labels, min_votes=params.min_votes),
     }
@@ -68,21 +68,21 @@ def analysis_report(items: DataFrame, simple: DataFrame, assignments: DataFrame,
     return sizes.join(assignments.agg(F.countDistinct("cluster_id").alias("clusters"))).join(scored)  # one row each
 
 
-def report(found: dict[str, DataFrame], items: DataFrame, labels: DataFrame, summary: DataFrame, *, run: DataFrame | None = None, stages: DataFrame | None = None) -> dict[str, DataFrame]:
+def report(found: dict[str, DataFrame], items: DataFrame, labels: DataFrame, summary: DataFrame, *, run: DataFrame | None = None, stages: DataFrame | None = None, stage_order: tuple[str, ...] = STAGES) -> dict[str, DataFrame]:
     """The views of a run's analysis; with `run` and `stages`, also its duration, missing stages and notice."""
-    picked = diverse_top(found["simple"].join(found["assignments"], "item_id").drop("contributions"))
-    cases = case_rows(picked, found["simple"].join(found["assignments"], "item_id"), found["names"], labels)
+    placed = found["placed"]
+    cases = case_rows(diverse_top(placed), placed, found["names"], labels)
     return {
         "matrix": matrix_view(found["matrix"]), "labels": label_view(found["labels"]), "cases": cases.orderBy("place"),
         "headline": headline(found["matrix"], found["names"], summary), "trends": found["trends"],
-    } | ({} if run is None else {"run": run_summary(run, stages)})
+    } | ({} if run is None else {"run": run_summary(run, stages, stage_order)})
 
 
-def freeze(items: DataFrame, labels: DataFrame, params: AnalysisParams) -> tuple[DataFrame, float | None, str]:
-    """Bounds of the log features, and the distance threshold searched on the simple subset."""
+def freeze(items: DataFrame, labels: DataFrame, params: AnalysisParams, *, upto: float = 1.0) -> tuple[DataFrame, float | None, str]:
+    """Bounds of the log features, and the distance threshold searched on the simple subset, among distances up to `upto`."""
     bounds = X.frozen_bounds(items)
     simple = S.simple_cut(items, params.simple_quantile)
     own = labels.join(simple.select("item_id"), "item_id", "left_semi")
     seen = written(clustering_labels(own, min_votes=params.min_votes, generic_share=params.generic_share, most=params.max_labels), "labels")
-    _, merges = linkage(seen.select("label").distinct(), jaccard(seen), method=params.linkage)
+    _, merges = linkage(seen.select("label").distinct(), jaccard(seen), method=params.linkage, threshold=upto)
     return bounds, *search_threshold(seen, merges, most_share=params.max_cluster_share)

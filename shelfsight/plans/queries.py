@@ -296,6 +296,16 @@ def coarse_filter(spark, d):
     return U.coarse_filter(U.build_catalog(order_payloads(spark, d)), FILTER).select("item_id", "reject_reason")
 
 
+_KEYLESS = CATALOG.replace("o_custkey AS item_id", "CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS item_id").replace("PARTITION BY o_custkey", "PARTITION BY CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END")
+
+
+@query(f"WITH {COARSE.replace(CATALOG, _KEYLESS).replace('CASE WHEN positive < 50', 'CASE WHEN item_id IS NULL THEN ' + repr('missing_key') + ' WHEN positive < 50')} SELECT item_id, reject_reason FROM coarse")
+def coarse_missing_key(spark, d):
+    """Payloads of every tenth customer lack their key: one catalog row, rejected first of all."""
+    rows = order_payloads(spark, d).withColumn("item_id", F.when(F.col("item_id") % 10 != 0, F.col("item_id")))
+    return U.coarse_filter(U.build_catalog(rows), FILTER).select("item_id", "reject_reason")
+
+
 @query(f"WITH {COARSE} SELECT item_id, reject_reason FROM timed")
 def release_filter(spark, d):
     return both_filters(spark, d)["released"].select("item_id", "reject_reason")
@@ -358,16 +368,18 @@ def page_flatten(spark, d):
 
 def part_payloads(spark, d):
     part = D.table(spark, d, "part").withColumnRenamed("p_partkey", "item_id")
-    size = F.col("p_size").cast("string")
+    size, k = F.col("p_size").cast("string"), F.col("item_id").cast("int")
     need = F.concat(F.lit("<li><strong>Memory:</strong> "), size, F.lit(" GB RAM<br></li><li><strong>Storage:</strong> "), size, F.lit(" GB available space</li>"))
     data = F.struct(
         F.when(F.col("item_id") % 10 == 0, "dlc").otherwise("game").alias("type"), F.when(F.col("item_id") % 3 == 0, "").otherwise(F.col("p_name")).alias("name"),
         F.struct(need.alias("minimum")).alias("pc_requirements"), F.array("p_brand").alias("developers"),
         F.struct(F.floor(F.col("p_retailprice") * 100).cast("long").alias("final")).alias("price_overview"),
-        F.struct(F.col("p_size").alias("total")).alias("achievements"), F.lit("English<strong>*</strong>, French,  , German").alias("supported_languages"),
+        F.struct(F.col("p_size").alias("total")).alias("achievements"), F.get(F.array(*map(F.lit, ("English<strong>*</strong>, French,  , German", "English", " , ", "German<strong>*</strong>,Korean"))), k % 4).alias("supported_languages"),
+        F.slice(F.array(*map(F.lit, ("x", "y", "z"))), F.lit(1), k % 3).alias("dlc"), F.array(F.struct(F.lit("2").alias("id"), F.col("p_brand").alias("description")), F.struct(F.lit("9").alias("id"), F.lit(None).cast("string").alias("description"))).alias("categories"),
+        F.when(k % 7 != 0, F.struct((F.col("p_size") % 4).cast("string").alias("compat_category"))).alias("a_deck_compat"),
         F.create_map(F.lit("windows"), F.lit(True), F.lit("mac"), F.col("item_id") % 2 == 0).alias("platforms"),
         F.array(F.struct(F.lit("1").alias("id"), F.col("p_type").alias("description")), F.struct(F.when(F.col("item_id") % 4 == 0, "70").otherwise("23").alias("id"), F.lit("x").alias("description"))).alias("genres"),
-        F.struct(F.lit("Q2 1999").alias("date")).alias("release_date"),
+        F.struct(F.get(F.array(*map(F.lit, ("Q2 1999", "5 Jan, 2001", "Mar 7, 2000"))), k % 3).alias("date")).alias("release_date"),
     )
     inner = F.struct((F.col("item_id") % 5 != 0).alias("success"), data.alias("data"))
     details = part.select("item_id", F.to_json(F.create_map(F.col("item_id").cast("string"), inner)).alias("payload"))
@@ -382,10 +394,12 @@ def normal_items(spark, d):
 
 @query("""SELECT p_partkey AS item_id, p_name AS name, CASE WHEN ok THEN p_brand ELSE 'M' END AS maker, ok AND p_partkey % 10 <> 0 AND p_partkey % 6 <> 0 AND p_type <> 'PROMO' AS in_scope,
  CASE WHEN ok THEN round(floor(p_retailprice * 100) / 100, 6) END AS price, CASE WHEN p_partkey % 2 = 1 THEN p_size * 2 ELSE p_size END::BIGINT AS review_count, CASE WHEN p_partkey % 2 = 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS positive_share,
- CASE WHEN ok THEN p_size * 1000000000::BIGINT END AS size_bytes, CASE WHEN ok THEN p_size * 1000000000::BIGINT END AS ram_bytes, CASE WHEN ok THEN p_size END AS achievement_count, CASE WHEN ok THEN 3 END AS language_count,
- CASE WHEN ok THEN 1 + (p_partkey % 2 = 0)::INT END AS platform_count, ok AND p_partkey % 4 = 0 AS is_early_access, CASE WHEN ok THEN DATE '1999-04-01' END AS released FROM (SELECT *, p_partkey % 5 <> 0 AS ok FROM part)""")
+ CASE WHEN ok THEN p_size * 1000000000::BIGINT END AS size_bytes, CASE WHEN ok THEN p_size * 1000000000::BIGINT END AS ram_bytes, CASE WHEN ok THEN p_size END AS achievement_count, CASE WHEN ok THEN [3, 1, NULL, 2][p_partkey % 4 + 1] END AS language_count,
+ CASE WHEN ok THEN 1 + (p_partkey % 2 = 0)::INT END AS platform_count, ok AND p_partkey % 4 = 0 AS is_early_access, CASE WHEN ok THEN [DATE '1999-04-01', NULL, DATE '2000-03-07'][p_partkey % 3 + 1] END AS released,
+ CASE WHEN p_partkey % 2 = 1 THEN 'reviews' ELSE 'catalog' END AS review_source, CASE WHEN ok THEN p_partkey % 3 END::INT AS addon_count, CASE WHEN ok AND p_partkey % 7 <> 0 THEN (p_size % 4)::VARCHAR END AS handheld,
+ coalesce(CASE WHEN ok THEN p_type || '/x' END, '') AS genres, coalesce(CASE WHEN ok THEN p_brand || '/' END, '') AS categories FROM (SELECT *, p_partkey % 5 <> 0 AS ok FROM part)""")
 def item_features(spark, d):
-    return r6(normal_items(spark, d).select("item_id", "name", "maker", "in_scope", "price", "review_count", "positive_share", "size_bytes", "ram_bytes", "achievement_count", "language_count", "platform_count", "is_early_access", "released"), "price", "positive_share")
+    return r6(normal_items(spark, d).select("item_id", "name", "maker", "in_scope", "price", "review_count", "positive_share", "size_bytes", "ram_bytes", "achievement_count", "language_count", "platform_count", "is_early_access", "released", "review_source", "addon_count", "handheld", *[F.coalesce(F.array_join(c, "/"), F.lit("")).alias(c) for c in ("genres", "categories")]), "price", "positive_share")
 
 
 @query("""WITH p AS (SELECT *, p_partkey % 5 <> 0 AS ok, p_partkey % 10 <> 0 AS game, p_partkey % 6 <> 0 AS listed, p_type = 'PROMO' AS software FROM part)
@@ -394,7 +408,7 @@ def drop_reasons(spark, d):
     return X.drop_reasons(normal_items(spark, d))
 
 
-@query("SELECT p_partkey AS item_id, CASE WHEN p_partkey % 5 = 0 THEN 'price,size_bytes,ram_bytes,achievement_count,language_count,platform_count' ELSE '' END AS missing FROM part")
+@query("SELECT p_partkey AS item_id, CASE WHEN p_partkey % 5 = 0 THEN 'price,size_bytes,ram_bytes,achievement_count,language_count,platform_count' WHEN p_partkey % 4 = 2 THEN 'language_count' ELSE '' END AS missing FROM part")
 def missing_fields(spark, d):
     return normal_items(spark, d).select("item_id", F.array_join("missing", ",").alias("missing"))
 
@@ -420,7 +434,7 @@ def size_text(spark, d):
     tenths = F.replace((F.col("p_size") * 3 / 2).cast("decimal(10,1)").cast("string"), F.lit("."), F.lit(","))
     forms = (
         say("<b>OS:</b> 64 GB<br/><b>Hard Drive:</b> ", size, " GB"), say("Storage: ", size, " MiB space"), say("<li>Install size ", tenths, " mb</li>"), say("Memory: 8 GB"),
-        say("Storage: ", size, "-GB<br>HDD: 7GB, or more"), say("Storage: ", size, " (GB)\nHard disk: ", size, " gbx"), say("DiskSpace (", size, "\tGB)"), say("storage: 1.2.", size, "KB/s"),
+        say("Storage: ", size, "-GB<br>HDD: 7GB, or more"), say("Storage: ", size, " (GB)\nHard disk: ", size, " gbx"), say("DiskSpace (", size, "\tGB)"), say("storage: v.", size, "KB/s"),
     )
     html = F.lit(None).cast("string")
     for i, form in enumerate(forms):
@@ -529,6 +543,30 @@ def threshold_search(spark, d):
     return merges.select("distance", "a", "b", (F.col("distance") <= F.lit(threshold)).alias("within"), F.lit(source).alias("source"))
 
 
+UPTO = 0.88  # no distance beyond is tried: single linkage makes a chain of the labels, a merge a round
+
+
+def threshold_sql(most_share: float) -> str:
+    """found (threshold, source) over seen, n and jac: partitions of single linkage at every distance up to UPTO, votes at those where clusters merge."""
+    return f"""ed AS (SELECT a AS x, b AS y, round(distance, 12) AS d FROM jac UNION ALL SELECT b, a, round(distance, 12) FROM jac), ds AS (SELECT DISTINCT d FROM ed WHERE d <= {UPTO}),
+tw(d, label, root) AS (SELECT d, label, label FROM ds, n UNION SELECT w.d, e.y, w.root FROM tw w JOIN ed e ON e.x = w.label AND e.d <= w.d),
+parts AS (SELECT d, label, min(root) AS root FROM tw GROUP BY 1, 2),
+merged AS (SELECT d FROM (SELECT d, k, lag(k, 1, (SELECT count(*) FROM n)) OVER (ORDER BY d) AS before FROM (SELECT d, count(DISTINCT root) AS k FROM parts GROUP BY 1)) WHERE k < before),
+votes AS (SELECT d, item_id, root, count(*) AS c FROM seen JOIN parts USING (label) WHERE d IN (SELECT d FROM merged) GROUP BY 1, 2, 3),
+won AS (SELECT d, root FROM votes QUALIFY row_number() OVER (PARTITION BY d, item_id ORDER BY c DESC, root) = 1),
+largest AS (SELECT d, max(m) / (SELECT count(DISTINCT item_id) FROM seen) AS share FROM (SELECT d, root, count(*) AS m FROM won GROUP BY 1, 2) GROUP BY 1),
+good AS (SELECT max(d) AS d FROM largest WHERE d < coalesce((SELECT min(d) FROM largest WHERE share > {most_share}), 2)),
+found AS (SELECT coalesce((SELECT d FROM good), (SELECT min(d) FROM largest)) AS threshold, CASE WHEN (SELECT d FROM good) IS NULL THEN 'smallest' ELSE 'searched' END AS source)"""
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {threshold_sql(0.3)} SELECT round(threshold, 9) AS threshold, source FROM found")
+def threshold_search_single(spark, d):
+    labels = seen(spark, d)
+    _, merges = C.linkage(labels.select("label").distinct(), A.jaccard(labels).select("a", "b", "distance"), method="single", threshold=UPTO)
+    threshold, source = C.search_threshold(labels, merges, most_share=0.3)
+    return spark.range(1).select(F.round(F.lit(threshold).cast("double"), 9).alias("threshold"), F.lit(source).alias("source"))
+
+
 GIVEN = f"{SEEN}, given AS (SELECT DISTINCT label, length(label)::INT AS cluster_id FROM seen), counted AS (SELECT item_id, cluster_id, count(*) AS n FROM seen JOIN given USING (label) GROUP BY 1, 2), placed AS (SELECT item_id, cluster_id FROM counted QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, cluster_id) = 1)"
 
 
@@ -554,8 +592,40 @@ def archetype_label(spark, d):
     return C.cluster_names(clusters, A.popularity(labels)).select("cluster_id", "name", F.size("members").cast("long").alias("n_members"))
 
 
-@query()
+RUN = AnalysisParams(generic_share=0.3, distance_threshold=0.85, linkage="single", min_votes=-100, min_cluster_size=2)
+#: The steps of an analysis: simple items, their labels, clusters of these, votes, names, shares of modes.
+ANALYSIS = f"""{SCORED}, simple AS (SELECT * EXCLUDE (cluster_id) FROM finished WHERE complexity <= (SELECT quantile_cont(complexity, 0.4) FROM finished)),
+own AS (SELECT l.* FROM labels_ l SEMI JOIN simple USING (item_id)),
+seen AS (SELECT item_id, label, votes FROM own WHERE label NOT IN (SELECT label FROM own GROUP BY 1 HAVING count(DISTINCT item_id) > 0.3 * (SELECT count(DISTINCT item_id) FROM own)) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY votes DESC, label) <= 20),
+n AS (SELECT label, count(DISTINCT item_id) AS n FROM seen GROUP BY 1), pairs AS (SELECT x.label AS a, y.label AS b, count(*) AS "both" FROM seen x JOIN seen y ON x.item_id = y.item_id AND x.label < y.label GROUP BY 1, 2),
+jac AS (SELECT a, b, 1 - "both" / (p.n + q.n - "both") AS distance FROM pairs JOIN n p ON p.label = a JOIN n q ON q.label = b),
+e AS (SELECT a AS x, b AS y FROM jac WHERE round(distance, 12) <= {RUN.distance_threshold} UNION SELECT b, a FROM jac WHERE round(distance, 12) <= {RUN.distance_threshold}),
+walk(label, root) AS (SELECT label, label FROM n UNION SELECT e.y, w.root FROM walk w JOIN e ON e.x = w.label),
+clusters AS (SELECT label, dense_rank() OVER (ORDER BY root)::INT AS cluster_id FROM (SELECT label, min(root) AS root FROM walk GROUP BY 1)),
+assigned AS (SELECT item_id, cluster_id FROM (SELECT item_id, cluster_id, count(*) AS n FROM seen JOIN clusters USING (label) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, cluster_id) = 1),
+pop AS (SELECT label, sum(m) AS p FROM seen JOIN (SELECT item_id, count(*) AS m FROM seen GROUP BY 1) USING (item_id) GROUP BY 1),
+names AS (SELECT cluster_id, array_to_string(list(label ORDER BY p DESC, label)[1:3], ' / ') AS name FROM clusters JOIN pop USING (label) GROUP BY 1),
+placed AS (SELECT s.*, a.cluster_id FROM simple s JOIN assigned a USING (item_id)), recent AS (SELECT * FROM placed WHERE epoch_us(released) >= {WINDOW_FROM}), {DEMAND}, {COMPETITION}, {SIMPLICITY},
+zs AS (SELECT *, {_z("median_sales")} AS demand_z, {_z("share")} AS competition_z, {_z("(1 - median_complexity)")} AS simplicity_z
+  FROM demand JOIN competition USING (cluster_id) JOIN simplicity USING (cluster_id) WHERE n_items >= 2),
+matrix AS (SELECT *, 0.4 * demand_z - 0.3 * competition_z + 0.3 * simplicity_z AS opportunity FROM zs),
+modes AS (SELECT cluster_id, {", ".join(f"avg((item_id IN (SELECT item_id FROM own WHERE label = '{v}'))::INT) AS {k}" for k, v in S.PLAY_MODES.items())} FROM assigned GROUP BY 1)"""
+
+
+def analysed(spark, d) -> tuple[DataFrame, dict]:
+    items = written(scored(spark, d).drop("cluster_id").withColumn("effort_return", F.round("effort_return", 6)), "items")
+    return items, Q.analyse(items, D.labels(spark, d), D.AS_OF, RUN)
+
+
+@query(f"WITH RECURSIVE {ANALYSIS} SELECT cluster_id, n_items, releases, name, {', '.join(f'round({c}, 6) AS {c}' for c in (*MATRIX_COLUMNS, *S.PLAY_MODES))} FROM matrix LEFT JOIN names USING (cluster_id) LEFT JOIN modes USING (cluster_id)")
 def analysis_run(spark, d):
+    """Archetypes of the simple items, ranked, with names and shares of modes."""
+    return r6(analysed(spark, d)[1]["matrix"], *MATRIX_COLUMNS, *S.PLAY_MODES)
+
+
+@query()
+def analysis_average(spark, d):
+    """The same with average linkage, which has no SQL."""
     params = AnalysisParams(generic_share=0.3, distance_threshold=0.95, min_votes=-100, min_cluster_size=2)
     return Q.analyse(scored(spark, d).drop("cluster_id"), D.labels(spark, d), D.AS_OF, params)["matrix"]
 
@@ -613,26 +683,50 @@ def enrich_report(spark, d):
 # ---- selection and views ----
 
 
-DIVERSE = f"""RECURSIVE {SCORED}, ordered AS (SELECT item_id, cluster_id, maker, row_number() OVER (ORDER BY round(revenue_net / (complexity + 0.05), 6) DESC, item_id) AS r FROM finished WHERE revenue_net / (complexity + 0.05) IS NOT NULL AND cluster_id IS NOT NULL),
-walk(r, items, clusters, makers) AS (SELECT 0::BIGINT, []::BIGINT[], []::INT[], []::VARCHAR[] UNION ALL
+def diverse_sql(source: str) -> str:
+    """The choice from `source` (item_id, cluster_id, maker, effort_return) row by row: at most 2 a cluster and 1 a maker, then, if that is under 15, 3 a cluster."""
+
+    def walk(name: str, start: str, cap: int) -> str:
+        return f"""{name}(r, items, clusters, makers) AS (SELECT 0::BIGINT, {start} UNION ALL
   SELECT x.r, CASE WHEN fits THEN list_append(items, x.item_id) ELSE items END, CASE WHEN fits THEN list_append(clusters, x.cluster_id) ELSE clusters END, CASE WHEN fits THEN list_append(makers, x.maker) ELSE makers END
-  FROM (SELECT w.*, o.r AS r1, o.item_id, o.cluster_id, o.maker, len(w.items) < 15 AND len([c FOR c IN w.clusters IF c = o.cluster_id]) < 2 AND NOT list_contains(w.makers, o.maker) AS fits FROM walk w JOIN ordered o ON o.r = w.r + 1) AS x(r0, items, clusters, makers, r, item_id, cluster_id, maker, fits)),
-picked AS (SELECT items FROM walk ORDER BY r DESC LIMIT 1)
-SELECT unnest(items)::BIGINT AS item_id, unnest(range(1, len(items) + 1))::INT AS place, len(items) < 15 AS relaxed FROM picked"""
+  FROM (SELECT w.*, o.r AS r1, o.item_id, o.cluster_id, o.maker, len(w.items) < 15 AND len([c FOR c IN w.clusters IF c = o.cluster_id]) < {cap} AND NOT list_contains(w.makers, o.maker) AS fits FROM {name} w JOIN ordered o ON o.r = w.r + 1) AS x(r0, items, clusters, makers, r, item_id, cluster_id, maker, fits))"""
+
+    return f"""ordered AS (SELECT item_id, cluster_id, maker, row_number() OVER (ORDER BY effort_return DESC, item_id) AS r FROM {source} WHERE effort_return IS NOT NULL AND cluster_id IS NOT NULL),
+{walk("pass1", "[]::BIGINT[], []::INT[], []::VARCHAR[]", 2)}, first AS (SELECT * FROM pass1 ORDER BY r DESC LIMIT 1),
+{walk("pass2", "(SELECT items FROM first), (SELECT clusters FROM first), (SELECT makers FROM first)", 3)},
+picked AS (SELECT items, (SELECT len(items) < 15 FROM first) AS relaxed FROM pass2 ORDER BY r DESC LIMIT 1),
+chosen AS (SELECT unnest(items)::BIGINT AS item_id, unnest(range(1, len(items) + 1))::INT AS place, relaxed FROM picked)"""
+
+
+DIVERSE = f"RECURSIVE {SCORED}, returns AS (SELECT *, round(revenue_net / (complexity + 0.05), 6) AS effort_return FROM finished), {diverse_sql('returns')} SELECT * FROM chosen"
+_SENTENCE = """concat_ws(', ', 'In ' || archetype || ': ' || review_count || ' reviews' || coalesce(' (' || printf('%.0f', positive_share * 100) || '% positive)', ''), '$' || printf('%.2f', price),
+  CASE WHEN size_bytes >= 1000000000 THEN printf('%.1f', size_bytes / 1e9) || 'GB on disk' WHEN size_bytes >= 0 THEN printf('%.0f', size_bytes / 1e6) || 'MB on disk' END,
+  CASE WHEN maker_titles = 1 THEN 'one earlier title' ELSE maker_titles || ' earlier titles' END, 'which may point to a small scope.')"""
+_CASES = f"""SELECT place, item_id, maker, cluster_id, archetype, price, review_count, effort_return, relaxed, sales_low, sales_mid, sales_high,
+  (SELECT array_to_string(list(label ORDER BY k), ' / ') FROM (SELECT label, row_number() OVER (ORDER BY votes DESC, label) AS k FROM labels_ l WHERE l.item_id = c.item_id) WHERE k <= 3) AS top_labels,
+  (SELECT array_to_string(list(f ORDER BY v DESC, f)[1:5], ' / ') FROM (SELECT unnest([{", ".join(f"coalesce(part_{f}, 0)" for f in X.FEATURES)}]) AS v, unnest([{", ".join(f"'{f}'" for f in X.FEATURES)}]) AS f)) AS drivers,
+  {_SENTENCE} AS rationale, '{{link}}/' || item_id AS link FROM cases c"""
+
+
+def flat_cases(cases: DataFrame) -> DataFrame:
+    """Case rows without lists or structs, as the oracle has them."""
+    plain = ("place", "item_id", "maker", "cluster_id", "archetype", "price", "review_count", "effort_return", "relaxed")
+    return cases.select(*plain, *[F.col(f"sales.{k}").alias(f"sales_{k}") for k in ("low", "mid", "high")], *[F.array_join(c, " / ").alias(c) for c in ("top_labels", "drivers")], "rationale", "link")
 
 
 @query(f"WITH {DIVERSE}")
 def diverse_topn(spark, d):
-    """Returns to six places, so that the order does not hang on the last bit. The SQL has the first pass only: every maker is one cluster here, so a second adds nothing."""
+    """Returns to six places, so that the order does not hang on the last bit."""
     return diverse_top(scored(spark, d).withColumn("effort_return", F.round("effort_return", 6)))
 
 
-@query()
+@query(DIVERSE.replace(" SELECT * FROM chosen", f", cases AS (SELECT *, maker AS archetype FROM chosen JOIN returns USING (item_id)) {_CASES.format(link='item')}").replace("RECURSIVE", "WITH RECURSIVE", 1))
 def case_studies(spark, d):
-    items = written(scored(spark, d), "scored")
+    """The chosen items with bands, labels, drivers, sentence and link."""
+    items = written(scored(spark, d).withColumn("effort_return", F.round("effort_return", 6)), "scored")
     picked = diverse_top(items)
     names = items.select("cluster_id", "maker").distinct().withColumnRenamed("maker", "name")
-    return case_rows(picked, items, names, X.rank_labels(D.labels(spark, d), 20), link="item")
+    return flat_cases(case_rows(picked, items, names, X.rank_labels(D.labels(spark, d), 20), link="item"))
 
 
 _VIEW = ("demand_z", "competition_z", "simplicity_z", "opportunity", "median_complexity")
@@ -779,12 +873,9 @@ def info_throttle(spark, d):
 
 # ---- composites ----
 
-RUN = AnalysisParams(generic_share=0.3, distance_threshold=0.95, min_votes=-100, min_cluster_size=2)
-
-
 PAYLOAD_ITEMS = """items AS (SELECT p_partkey AS item_id, p_brand AS maker, p_type AS genre, floor(p_retailprice * 100) / 100 AS price,
   CASE WHEN p_partkey % 2 = 1 THEN p_size * 2 ELSE p_size END::BIGINT AS review_count, p_size * 1000000000::BIGINT AS size_bytes, p_size * 1000000000::BIGINT AS ram_bytes,
-  p_partkey % 4 = 0 AS is_early_access, NULL::INT AS early_access_days, p_size AS achievement_count, 0 AS addon_count, 1 + (p_partkey % 2 = 0)::INT AS platform_count, 3 AS language_count
+  p_partkey % 4 = 0 AS is_early_access, NULL::INT AS early_access_days, p_size AS achievement_count, p_partkey % 3 AS addon_count, 1 + (p_partkey % 2 = 0)::INT AS platform_count, [3, 1, NULL, 2][p_partkey % 4 + 1] AS language_count
   FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 10 <> 0 AND p_partkey % 6 <> 0)"""
 #: As SCORED, but for the items of the payloads: the catalog has one maker, who has none of them, and labels of negative votes are not extracted.
 ENRICHED = (
@@ -804,18 +895,42 @@ def enrichment_run(spark, d):
     return items.select("item_id", "bucket", *[F.round(c, n).alias(c) for c, n in places.items()], F.array_join("imputed", ",").alias("imputed"))
 
 
-@query()
-def report_run(spark, d):
-    """Analysis and report: the example items."""
-    items = scored(spark, d)
-    found = Q.analyse(items.drop("cluster_id"), D.labels(spark, d), D.AS_OF, RUN)
-    return Q.report(found, items, X.rank_labels(D.labels(spark, d), 20), items.agg(F.count("*").alias("catalog")))["cases"]
+def reported(spark, d) -> dict[str, DataFrame]:
+    """All views of a report: the analysis of the items, and the run of user 11 with its stages."""
+    items, found = analysed(spark, d)
+    log = D.stage_log(spark, d).where("run_id = 11")
+    run = log.select("run_id").distinct().select("run_id", F.lit("succeeded").alias("status"), *[F.lit(None).cast("timestamp").alias(c) for c in ("started_at", "finished_at")])
+    return Q.report(found, items, X.rank_labels(D.labels(spark, d), 20), items.agg(F.count("*").alias("catalog")), run=run, stages=N.stage_state(log), stage_order=("view", "click", "purchase"))
 
 
-@query()
+CHOSEN = f"{ANALYSIS}, returns AS (SELECT *, round(revenue_net / (complexity + 0.05), 6) AS effort_return FROM placed), {diverse_sql('returns')}, cases AS (SELECT chosen.*, returns.* EXCLUDE (item_id, name), names.name AS archetype FROM chosen JOIN returns USING (item_id) LEFT JOIN names USING (cluster_id))"
+
+
+@query(f"WITH RECURSIVE {CHOSEN} {_CASES.format(link='')}")
+def report_run(spark, d):
+    """Analysis and report: the example items."""
+    return flat_cases(reported(spark, d)["cases"])
+
+
+@query(f"""WITH RECURSIVE {CHOSEN}, {D.STAGE_LOG}, state AS (SELECT stage, arg_max(status, seq) AS status, max(ts) FILTER (status = 'running') AS started_at, arg_max(ts, seq) AS last FROM stage_log WHERE run_id = 11 GROUP BY 1),
+spans AS (SELECT epoch(max(CASE WHEN status <> 'running' THEN last END)) - epoch(min(started_at)) AS seconds, list(stage) FILTER (status = 'succeeded') AS done FROM state),
+told AS (SELECT round(seconds, 3) AS seconds, array_to_string([s FOR s IN ['view', 'click', 'purchase'] IF NOT coalesce(list_contains(done, s), false)], ', ') AS missing FROM spans)
+SELECT 11::BIGINT AS run_id, 'succeeded' AS status, seconds, missing, missing <> '' AS is_partial, CASE WHEN missing <> '' THEN 'This run is partial. Missing: ' || missing || '. Results are those of the stages that ended.' END AS notice,
+  (SELECT count(*) FROM finished) AS catalog, cluster_id, round(opportunity, 6) AS opportunity, name, (SELECT count(*) FROM matrix) AS n_matrix, (SELECT count(*) FROM chosen) AS n_cases,
+  least(100, (SELECT count(DISTINCT label) FROM labels_ SEMI JOIN simple USING (item_id))) AS n_labels
+FROM told LEFT JOIN (SELECT * FROM matrix LEFT JOIN names USING (cluster_id) ORDER BY matrix.opportunity DESC, cluster_id LIMIT 1) ON true""")
+def report_overview(spark, d):
+    """A report's first lines: duration, missing stages and notice of the run, the headline, and how many rows its tables have."""
+    found = reported(spark, d)
+    sizes = [found[k].agg(F.count("*").alias(f"n_{k}")) for k in ("matrix", "cases", "labels")]
+    row = reduce(DataFrame.join, [found["run"], found["headline"], *sizes])  # one row each
+    return r6(row, "opportunity").withColumn("seconds", F.round("seconds", 3)).withColumn("missing", F.array_join("missing", ", "))
+
+
+@query(f"""WITH RECURSIVE {ANALYSIS} SELECT (SELECT count(*) FROM finished) AS candidates, (SELECT count(*) FROM simple) AS simple_size, (SELECT count(DISTINCT cluster_id) FROM assigned) AS clusters,
+count(*) FILTER (n_items >= 2) AS scored, count(*) FILTER (n_items < 2) AS below_minimum FROM demand""")
 def analysis_counts(spark, d):
-    items = scored(spark, d).drop("cluster_id")
-    found = Q.analyse(items, D.labels(spark, d), D.AS_OF, RUN)
+    items, found = analysed(spark, d)
     return Q.analysis_report(items, found["simple"], found["assignments"], found["demand"], RUN)
 
 
@@ -959,9 +1074,12 @@ def landing_stream(spark, d):
     return B.read_table(spark, path, B.PAYLOAD).groupBy("run_id", "source").agg(F.count("*").alias("n"))
 
 
-@query()
+_BOUNDS = " UNION ALL ".join(f"SELECT '{c}' AS feature, quantile_cont(log10({c} + 1), 0.05) AS low, quantile_cont(log10({c} + 1), 0.95) AS high, count({c}) AS n FROM finished WHERE {c} >= 0" for c in X.LOGGED)
+
+
+@query(f"WITH RECURSIVE {ANALYSIS}, {threshold_sql(0.3)} SELECT feature, round(low, 6) AS low, round(high, 6) AS high, n, round(threshold, 9) AS threshold, source FROM ({_BOUNDS}), found")
 def bounds_and_threshold(spark, d):
     """What a freeze finds: bounds of the log features, and the searched distance threshold."""
-    params = AnalysisParams(generic_share=0.3, min_votes=-100, max_cluster_share=0.3)
-    bounds, threshold, source = Q.freeze(scored(spark, d), D.labels(spark, d), params)
-    return r6(bounds, "low", "high").withColumn("threshold", F.lit(threshold).cast("double")).withColumn("source", F.lit(source))
+    params = AnalysisParams(generic_share=0.3, min_votes=-100, max_cluster_share=0.3, linkage="single")
+    bounds, threshold, source = Q.freeze(scored(spark, d), D.labels(spark, d), params, upto=UPTO)
+    return r6(bounds, "low", "high").withColumn("threshold", F.round(F.lit(threshold).cast("double"), 9)).withColumn("source", F.lit(source))

@@ -13,7 +13,8 @@ CHECKED = (
     "rank_archetypes simple_cut label_summary trend_windows trend_slope catalog_dedup first_wins_upsert resume_keys funnel_reasons page_trim page_flatten item_features"
     " size_text ram_text lenient_dates label_rank generic_labels label_jaccard plurality_vote complexity complexity_imputed bounds_freeze matrix_view"
     " stage_state partial_runs run_duration event_tail_stream param_version enrichment_run diverse_topn info_throttle drop_reasons run_summaries"
-    " payload_scan bundle_scan replace_items result_store run_delete landing_stream trend_pivot rationale_text funnel_criteria"
+    " payload_scan bundle_scan replace_items result_store run_delete landing_stream trend_pivot rationale_text funnel_criteria coarse_missing_key missing_fields"
+    " demand simplicity info_throttle_stream case_studies analysis_run analysis_counts report_run report_overview threshold_search_single bounds_and_threshold"
 ).split()
 
 
