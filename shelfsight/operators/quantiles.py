@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import written
 
 #: Steps of a sketch's cut points, and the share of a group's rows that a sketch's rank may be off by: far less than a step.
-STEPS = 256
+STEPS = 64
 ACCURACY = 10_000
 MOST = 1_000_000
 
@@ -46,8 +46,9 @@ def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(renamed, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def _cuts(value: Column) -> Column:
-    return F.percentile_approx(value, [k / STEPS for k in range(STEPS + 1)], ACCURACY)
+def _cuts(value: str) -> Column:
+    """STEPS + 1 cut points of the values of an SQL expression, the least and the largest among them."""
+    return F.expr(f"percentile_approx({value}, array({', '.join(f'{k / STEPS!r}D' for k in range(STEPS + 1))}), {ACCURACY})")
 
 
 def _bracket(cuts: Column, rank: Column, n: Column) -> tuple[Column, Column]:
@@ -72,13 +73,15 @@ def grouped_quantiles(frame: DataFrame, keys: list[str], targets: dict[str, tupl
     frame = frame if stored else written(frame, "values")
     sizes = [(F.count("*") if c is None else F.count(names[str(c)])).alias(out) for out, c in counts.items()]
     aimed = dict.fromkeys(values)
-    groups = frame.groupBy(*keys).agg(*sizes, *[F.count(v).alias(f"_n{v}") for v in aimed], *[_cuts(F.col(v)).alias(f"_c{v}") for v in aimed])
+    groups = frame.groupBy(*keys).agg(*sizes, *[F.count(v).alias(f"_n{v}") for v in aimed], *[_cuts(v).alias(f"_c{v}") for v in aimed])
+    edges = {}
     for t, (v, (_, place)) in enumerate(zip(values, targets.values())):
         n = F.nullif(F.col(f"_n{v}"), F.lit(0))
         at = place(n).cast("double")
         low, high = _bracket(F.col(f"_c{v}"), F.floor(at), n)
-        groups = groups.withColumns({f"_at{t}": at, f"_low{t}": low, f"_high{t}": high})
-    groups = written(groups.drop(*[f"_c{v}" for v in aimed]), "brackets")  # a row a group, read twice
+        edges |= {f"_at{t}": at, f"_low{t}": low, f"_high{t}": high}
+    groups = groups.select(*keys, *counts, *[f"_n{v}" for v in aimed], *[c.alias(k) for k, c in edges.items()])
+    groups = written(groups, "brackets")  # a row a group, read twice
     if frame.count() > MOST * STEPS // 16:  # else no bracket can hold more; counted in the files' footers
         groups = _narrowed(frame, groups, keys, values)
     found = _refined(frame, groups, keys, values)
@@ -109,8 +112,8 @@ def _narrowed(frame: DataFrame, groups: DataFrame, keys: list[str], values: list
         near = _beside(frame.select(*keys, *dict.fromkeys(values)), groups.select(*keys, *[f"_{c}{t}" for t in range(len(values)) for c in ("low", "high")]), keys)
         aggs = []
         for t, v in enumerate(values):
-            inside = F.when(F.col(v).between(F.col(f"_low{t}"), F.col(f"_high{t}")), F.col(v))
-            aggs += [F.count_if(F.col(v) < F.col(f"_low{t}")).alias(f"_below{t}"), F.count(inside).alias(f"_inside{t}"), _cuts(inside).alias(f"_cuts{t}")]
+            inside = f"CASE WHEN {v} BETWEEN _low{t} AND _high{t} THEN {v} END"
+            aggs += [F.count_if(F.col(v) < F.col(f"_low{t}")).alias(f"_below{t}"), F.count(F.expr(inside)).alias(f"_inside{t}"), _cuts(inside).alias(f"_cuts{t}")]
         seen = written(near.groupBy(*keys).agg(*aggs), "brackets")
         wide = [(F.col(f"_inside{t}") > MOST) & (F.get(f"_cuts{t}", F.lit(0)) < F.get(f"_cuts{t}", F.lit(STEPS))) for t in range(len(values))]
         both = _beside(groups, seen, keys, "left")
