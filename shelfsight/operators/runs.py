@@ -4,21 +4,52 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import STAGES
 from ..sources.scratch import written
 from ..sources.tables import LEVELS, valid_events  # noqa: F401
+from .quantiles import grouped_quantiles
 
 SOURCES = ("catalog", "details", "reviews", "labels")
 
 
+def _newest() -> list[Column]:
+    return [F.col("started_at").desc_nulls_last(), F.col("run_id").desc_nulls_last()]
+
+
+def _with_counts(page: DataFrame, items: DataFrame) -> DataFrame:
+    """A page of runs with their item counts, in order; only items of these runs are counted."""
+    counts = items.join(F.broadcast(page.select("run_id")), "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("n_items"))  # a page of ids
+    joined = page.join(counts, "run_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)).cast("long"))
+    return joined.orderBy(*_newest())
+
+
 def list_runs(runs: DataFrame, items: DataFrame, *, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Runs with their item count, newest first, ties by run_id descending, one page."""
-    counts = items.groupBy("run_id").agg(F.count("*").alias("n_items"))
-    joined = runs.join(counts, "run_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)).cast("long"))
-    return joined.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).offset(offset).limit(limit)
+    """Runs with their item count, newest first, ties by run_id descending, one page. A far page is better asked for by `runs_page` or `runs_after`."""
+    return _with_counts(runs.orderBy(*_newest()).offset(offset).limit(limit), items)
+
+
+def runs_after(runs: DataFrame, items: DataFrame, started_at, run_id, *, limit: int = 50) -> DataFrame:
+    """The page of `list_runs` behind a run: the last one of the page before. No task keeps more than a page, however deep it lies."""
+    at, known = F.lit(started_at).cast(runs.schema["started_at"].dataType), F.col("started_at").isNotNull()
+    older = F.col("started_at") < at if started_at is not None else F.lit(False)
+    tie = F.col("started_at").eqNullSafe(at) & (F.col("run_id") < F.lit(run_id))
+    behind = runs.where(F.coalesce(older, F.lit(False)) | tie | (~known if started_at is not None else F.lit(False)))
+    return _with_counts(behind.orderBy(*_newest()).limit(limit), items)
+
+
+def runs_page(runs: DataFrame, items: DataFrame, page: int, *, limit: int = 50) -> DataFrame:
+    """Page number `page`, from 0: the time it starts at is found by rank, and only runs from there on are ordered."""
+    micros = F.unix_micros(F.col("started_at").cast("timestamp"))
+    skipped = page * limit
+    first = grouped_quantiles(runs, [], {"at": (micros, lambda n: F.greatest(n - 1 - skipped, F.lit(0)))}).first()["at"]
+    if first is None:
+        return list_runs(runs, items, limit=limit, offset=skipped)
+    newer = runs.where(micros > int(first)).count()
+    rest = runs.where(micros.isNull() | (micros <= int(first)))
+    return list_runs(rest, items, limit=limit, offset=skipped - newer)
 
 
 def stage_state(log: DataFrame) -> DataFrame:

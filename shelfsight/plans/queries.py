@@ -786,8 +786,12 @@ def param_version(spark, d):
 
 @query(f"{WITH} SELECT item_id, price FROM finished WHERE price > 900.5 AND maker = 'Brand#3'")
 def item_scan(spark, d):
-    items = D.items(spark, d).withColumn("run_id", F.lit("r"))
-    return B.scan_items(items, "r", columns=["item_id", "price"], where="price > 900.5 and maker = 'Brand#3'")
+    """Over a stored table of several runs, in the order of prices, with bloom filters for makers."""
+    items = D.items(spark, d).select("item_id", "price", "maker", F.explode(F.array(F.lit("r"), F.lit("s"))).alias("run_id"))
+    path = fresh(spark, "stored-items")
+    B.store_items(items, path, order=["price"], blooms=["maker"])
+    stored = B.read_table(spark, path, "item_id long, price double, maker string, run_id string")
+    return B.scan_items(stored, "r", columns=["item_id", "price"], where="price > 900.5 and maker = 'Brand#3'")
 
 
 @query("SELECT l_orderkey, CASE WHEN l_discount <> 0 THEN round(l_tax / l_discount, 6) END AS x FROM lineitem")
@@ -810,6 +814,13 @@ def run_listing(spark, d):
     return N.list_runs(runs(spark, d), items, limit=50, offset=20).select("run_id", "n_items")
 
 
+@query("SELECT o_orderkey AS run_id, coalesce(n, 0)::BIGINT AS n_items FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 350")
+def run_page(spark, d):
+    """The eighth page of the listing, found by rank."""
+    items = D.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"))
+    return N.runs_page(runs(spark, d), items, 7, limit=50).select("run_id", "n_items")
+
+
 @query("SELECT o_orderkey AS run_id FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)")
 def orphan_runs(spark, d):
     live = D.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("run_id")).distinct()

@@ -63,6 +63,17 @@ def scan_items(items: DataFrame, run_id: str, *, columns: list[str] | None = Non
     return out.select(*columns) if columns else out
 
 
+def store_items(frame: DataFrame, path: str, *, order: list[str] = ("item_id",), blooms: list[str] = ()) -> None:
+    """Replace the runs in `frame`, each in files sorted by `order`, with a bloom filter for each column in `blooms`.
+
+    Scans of such a table skip runs by their folders, files and row groups by the least and largest values of `order`, and row groups that lack a looked-up value."""
+    sorted_ = json_safe(frame).repartitionByRange("run_id", *order).sortWithinPartitions("run_id", *order)
+    out = sorted_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
+    for c in blooms:
+        out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    out.parquet(path)
+
+
 def scan_labels(labels: DataFrame, run_id: str, *, min_votes: int = 0) -> DataFrame:
     """Labels of a run; null votes stay when min_votes is 0 and drop above."""
     out = labels.where(F.col("run_id") == run_id)

@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from shelfsight.operators.runs import throttle_info
+from shelfsight.operators.runs import list_runs, runs_after, runs_page, throttle_info
 from shelfsight.sources import tables as B
 from shelfsight.streaming import streams
 
@@ -77,6 +77,41 @@ def test_replace_several_runs(spark, tmp_path):
     assert {r for r, *_ in read()} == {"b", "c"} and {r.run_id for r in B.read_table(spark, other, kind).collect()} == {"b"}
 
 
+def test_scans_of_a_stored_table_skip(spark, tmp_path):
+    """Run, range and value reach the files: one folder is listed, row groups are skipped, and two columns are read."""
+    path = f"file://{tmp_path}/items"
+    kind = "run_id string, item_id long, x double, maker string, other string"
+    B.store_items(spark.createDataFrame([(r, i, i / 10, f"m{i % 50}", "o") for r in "ab" for i in range(2000)], kind), path, order=["x"], blooms=["maker"])
+    found = B.scan_items(B.read_table(spark, path, kind), "a", columns=["item_id"], where="x >= 199 and maker = 'm7'")
+    assert [r.item_id for r in found.collect()] == []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(x,199.0)" in plan and "EqualTo(maker,m7)" in plan and "PartitionFilters: [isnotnull(run_id" in plan
+    assert "ReadSchema: struct<item_id:bigint,x:double,maker:string>" in plan
+    import pyarrow.parquet as pq
+
+    files = sorted((tmp_path / "items" / "run_id=a").glob("*.parquet"))
+    spans = sorted((pq.ParquetFile(f).metadata.row_group(0).column(1).statistics.min, pq.ParquetFile(f).metadata.row_group(0).column(1).statistics.max) for f in files)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))  # no two files overlap
+    B.store_items(spark.createDataFrame([("a", 1, 1.0, "m", "o")], kind), path)
+    assert B.read_table(spark, path, kind).groupBy("run_id").count().where("run_id = 'b'").first()["count"] == 2000
+
+
+def test_pages_are_those_of_the_offset_form(spark):
+    rows = [(i, None if i % 9 == 0 else datetime.date(2020, 1, 1 + i % 5)) for i in range(47)]
+    runs = spark.createDataFrame(rows, "run_id long, started_at date")
+    items = spark.createDataFrame([(i,) for i in range(47) for _ in range(i % 4)], "run_id long")
+    last = None
+    for page in range(7):
+        expected = [tuple(r) for r in list_runs(runs, items, limit=10, offset=10 * page).collect()]
+        assert [tuple(r) for r in runs_page(runs, items, page, limit=10).collect()] == expected
+        if last:
+            assert [tuple(r) for r in runs_after(runs, items, last[1], last[0], limit=10).collect()] == expected
+        last = expected[-1] if expected else last
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or datetime.date(1, 1, 1)).toordinal(), -r[0]))
+    assert [r.run_id for r in list_runs(runs, items, limit=47).collect()] == [i for i, _ in order]
+    assert runs_page(runs.limit(0), items, 2).count() == 0
+
+
 def test_replace_run(spark, tmp_path):
     path = f"file://{tmp_path}/items"
     rows = spark.createDataFrame([("r", 1, 1.0), ("r", 2, float("nan"))], "run_id string, item_id long, x double")
