@@ -82,9 +82,8 @@ def coarse_filter(catalog: DataFrame, params: FilterParams) -> DataFrame:
     return catalog.withColumn("reject_reason", coarse_reason(params))
 
 
-def release_filter(candidates: DataFrame, details: DataFrame, params: FilterParams) -> DataFrame:
-    """Candidates joined to details (item_id, success, released date) with reject_reason; bounds are inclusive."""
-    joined = candidates.join(details, "item_id", "left")
+def release_reason(params: FilterParams) -> Column:
+    """The first rule that a candidate's details (success, released) fail, null for a survivor; bounds are inclusive."""
     reason = F.when(~F.coalesce("success", F.lit(False)), "detail_failed")
     if params.released_from or params.released_to:
         reason = reason.when(F.col("released").isNull(), "release_date_unknown")
@@ -92,23 +91,43 @@ def release_filter(candidates: DataFrame, details: DataFrame, params: FilterPara
         reason = reason.when(F.col("released") < F.lit(params.released_from).cast("date"), "outside_release_window")
     if params.released_to:
         reason = reason.when(F.col("released") > F.lit(params.released_to).cast("date"), "outside_release_window")
-    return joined.withColumn("reject_reason", reason)
+    return reason
+
+
+def release_filter(candidates: DataFrame, details: DataFrame, params: FilterParams) -> DataFrame:
+    """Candidates joined to details (item_id, success, released date) with reject_reason."""
+    return candidates.join(details, "item_id", "left").withColumn("reject_reason", release_reason(params))
+
+
+def judged(coarse: DataFrame, details: DataFrame, params: FilterParams) -> DataFrame:
+    """Both filters in one pass: `coarse` (see `coarse_filter`) with its details, and with the reason of the release filter where the coarse one has none.
+
+    details: one row an item. Only candidates are given theirs."""
+    of = details.withColumnRenamed("item_id", "_detail_id")
+    joined = coarse.join(of, (F.col("item_id") == F.col("_detail_id")) & F.col("reject_reason").isNull(), "left").drop("_detail_id")
+    return joined.withColumn("reject_reason", F.coalesce("reject_reason", release_reason(params)))
 
 
 def tally(filtered: DataFrame, reasons: tuple[str, ...]) -> DataFrame:
     """reject_reason, n for every reason in `reasons`, 0 where none was rejected."""
-    listed = filtered.sparkSession.createDataFrame([(r,) for r in reasons], "reject_reason string")
-    counts = filtered.where("reject_reason is not null").groupBy("reject_reason").agg(F.count("*").alias("n"))
-    return listed.join(counts, "reject_reason", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
-
-
-def funnel_summary(coarse: DataFrame, released: DataFrame) -> DataFrame:
-    """One row: catalog, candidates, detail_ok, detail_failed, in_window."""
-    reason = F.col("reject_reason")
-    first = coarse.agg(F.count("*").alias("catalog"), F.count_if(reason.isNull()).alias("candidates"))
-    failed = reason.eqNullSafe(F.lit("detail_failed"))
-    second = released.agg(F.count_if(~failed).alias("detail_ok"), F.count_if(failed).alias("detail_failed"), F.count_if(reason.isNull()).alias("in_window"))
-    return first.join(second)  # one row beside one row
+    return counts_of(reason_counts(filtered, reasons), reasons)
+
+
+def reason_counts(filtered: DataFrame, reasons: tuple[str, ...] = COARSE_REASONS + RELEASE_REASONS) -> DataFrame:
+    """One row: n_rows, and for every reason how many rows it rejects. One aggregation, from which tally and summary are read."""
+    return filtered.agg(F.count("*").alias("n_rows"), *[F.count_if(F.col("reject_reason") == r).alias(r) for r in reasons])
+
+
+def counts_of(counts: DataFrame, reasons: tuple[str, ...] = COARSE_REASONS + RELEASE_REASONS) -> DataFrame:
+    """reject_reason, n: the one row of `reason_counts` as a row a reason."""
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(r).alias("reject_reason"), F.col(r).alias("n")) for r in reasons])))
+
+
+def funnel_summary(counts: DataFrame) -> DataFrame:
+    """One row: catalog, candidates, detail_ok, detail_failed, in_window, of the one row of `reason_counts` over `judged`."""
+    less = lambda c, reasons: sum((-F.col(r) for r in reasons), F.col(c))
+    passed = counts.withColumn("candidates", less("n_rows", COARSE_REASONS)).withColumn("detail_ok", less("candidates", RELEASE_REASONS[:1]))
+    return passed.select(F.col("n_rows").alias("catalog"), "candidates", "detail_ok", "detail_failed", less("detail_ok", RELEASE_REASONS[1:]).alias("in_window"))
 
 
 def with_criteria(summary: DataFrame, params: FilterParams) -> DataFrame:

@@ -32,11 +32,11 @@ def enrich(catalog: DataFrame, details: DataFrame, reviews: DataFrame, label_sou
 
 
 def funnel(payload_rows: DataFrame, details: DataFrame, params: FilterParams) -> dict[str, DataFrame]:
-    """Catalog, both filters, the merged tally and the summary. details: item_id, success, released."""
+    """Catalog, both filters, the merged tally and the summary; these two are read from one pass over the payloads. details: item_id, success, released, one row an item."""
     coarse = U.coarse_filter(U.build_catalog(payload_rows), params)
     released = U.release_filter(coarse.where("reject_reason is null").drop("reject_reason"), details, params)
-    reasons = U.tally(coarse, U.COARSE_REASONS).unionByName(U.tally(released, U.RELEASE_REASONS))
-    return {"coarse": coarse, "released": released, "tally": reasons, "summary": U.with_criteria(U.funnel_summary(coarse, released), params)}
+    counts = U.reason_counts(U.judged(coarse, details, params))
+    return {"coarse": coarse, "released": released, "tally": U.counts_of(counts), "summary": U.with_criteria(U.funnel_summary(counts), params)}
 
 
 def analyse(items: DataFrame, labels: DataFrame, as_of: str, params: AnalysisParams) -> dict[str, DataFrame]:

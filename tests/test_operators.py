@@ -106,6 +106,26 @@ def test_release_window(spark):
     assert found == {1: None, 2: "outside_release_window", 3: "release_date_unknown", 4: "detail_failed", 5: "detail_failed"}
 
 
+def test_funnel_is_one_pass(spark):
+    """Tally and summary of the funnel agree with the filters one by one, and read the payloads once."""
+    payload = lambda n, price="500": json.dumps({"positive": n, "price": price})
+    rows = [(k, i, payload(n, p)) for k, (i, n, p) in enumerate([(None, 90, "1"), (1, 3, "1"), (2, 90, "0"), (3, 90, "1"), (4, 90, "1"), (5, 90, "1"), (6, 90, "1"), (7, 90, "1"), (3, 80, "2")])]
+    day = datetime.date
+    details = [(1, True, day(2020, 1, 1)), (3, True, day(2020, 1, 1)), (4, False, None), (5, True, None), (6, True, day(2010, 1, 1))]
+    landed = spark.createDataFrame(rows, "arrival long, item_id long, payload string")
+    known = spark.createDataFrame(details, "item_id long, success boolean, released date")
+    params = FilterParams(min_reviews=10, include_free=False, released_from="2015-01-01", released_to="2022-01-01")
+    found = composites.funnel(landed, known, params)
+    one_by_one = {r.reject_reason: r.n for name, reasons in (("coarse", funnel.COARSE_REASONS), ("released", funnel.RELEASE_REASONS)) for r in funnel.tally(found[name], reasons).collect()}
+    assert {r.reject_reason: r.n for r in found["tally"].collect()} == one_by_one
+    assert one_by_one["detail_failed"] == 2 and one_by_one["release_date_unknown"] == 1 and one_by_one["outside_release_window"] == 1 and one_by_one["missing_key"] == 1
+    assert tuple(found["summary"].drop("criteria").first()) == (8, 5, 3, 2, 1)
+    for name in ("tally", "summary"):
+        assert found[name]._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2  # payloads and details, once each
+    none = composites.funnel(landed.limit(0), known, params)
+    assert tuple(none["summary"].drop("criteria").first()) == (0, 0, 0, 0, 0) and none["tally"].agg(F.sum("n")).first()[0] == 0
+
+
 def test_pages_stop(spark):
     rows = [("a", 0, [1, 2]), ("a", 1, [3]), ("a", 2, [3]), ("a", 3, [9]), ("b", 0, [1]), ("b", 1, []), ("b", 2, [4]), ("c", 0, [2, 1]), ("c", 1, [5]), ("c", 2, [6])]
     pages = spark.createDataFrame(rows, "run_id string, page int, ids array<bigint>")
