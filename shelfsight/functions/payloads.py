@@ -5,36 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 CATALOG_ITEM = (
     "item_id string, name string, developer string, publisher string, positive string, negative string, owners_low string,"
     " owners_high string, price string, initialprice string, discount string, tags map<string,bigint>"
 )
 DETAIL = (
-    "success boolean, data struct<type:string, name:string, is_free:boolean, dlc:array<string>, supported_languages:string,"
+    "success:boolean, data:struct<type:string, name:string, is_free:boolean, dlc:array<string>, supported_languages:string,"
     " pc_requirements:struct<minimum:string,recommended:string>, developers:array<string>, publishers:array<string>,"
     " price_overview:struct<currency:string,initial:bigint,final:bigint>, platforms:map<string,boolean>,"
     " categories:array<struct<id:string,description:string>>, genres:array<struct<id:string,description:string>>,"
     " achievements:struct<total:string>, release_date:struct<coming_soon:boolean,date:string>>"
 )
-REVIEWS = "success int, query_summary struct<total_positive:bigint,total_negative:bigint,total_reviews:bigint>"
+REVIEWS = "success:int, query_summary:struct<total_positive:bigint,total_negative:bigint,total_reviews:bigint>"
 LABEL_SOURCE = "tags map<string,bigint>"
 
 
 def inner_object(payload: Column, item_id: Column) -> Column:
-    """A payload keyed by its item's id gives the inner object, any other is taken as it is; as JSON text."""
-    inner = F.try_element_at(F.from_json(payload, "map<string,string>"), item_id.cast("string"))
-    return F.coalesce(inner, payload)
+    """The object of a payload as a variant, parsed once: of one keyed by its item's id the inner object, any other as it is; null for text that is no JSON.
+
+    Give it a column of its own where several fields are read from it. An object that names a key twice is no JSON here."""
+    inner = lambda v: F.coalesce(F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), item_id.cast("string")), v)
+    return bound(F.try_parse_json(payload), inner)
 
 
-def unwrap(payload: Column, item_id: Column, schema: str) -> Column:
-    return F.from_json(inner_object(payload, item_id), schema)
+def typed(inner: Column, schema: str) -> Column:
+    """An object as a struct; fields that are lacking or of another kind are null."""
+    return F.try_variant_get(inner, "$", f"struct<{schema}>")
 
 
-def handheld_category(payload: Column, item_id: Column, key_ending: str) -> Column:
-    """compat_category of the block of a detail payload's data whose key ends in `key_ending`; null without one."""
-    data = F.from_json(F.get_json_object(inner_object(payload, item_id), "$.data"), "map<string,string>")
+def handheld_category(inner: Column, key_ending: str) -> Column:
+    """compat_category of the block of a detail object's data whose key ends in `key_ending`; null without one."""
+    data = F.try_variant_get(inner, "$.data", "map<string,variant>")
     blocks = F.map_values(F.map_filter(data, lambda k, _: k.endswith(key_ending)))
-    return F.get_json_object(F.get(blocks, 0), "$.compat_category")
+    return F.try_variant_get(F.get(blocks, 0), "$.compat_category", "string")
 
 
 def payload_hash(payload: Column) -> Column:

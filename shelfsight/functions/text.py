@@ -11,6 +11,11 @@ STORAGE_NAMES = ("storage", "hard disk", "hard drive", "disk space", "free disk"
 OTHER_MEMORY = ("video", "graphics", "dedicated")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), where value is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def requirement_lines(html: Column) -> Column:
     """The lines of requirement HTML: lower case, tags as spaces, runs of white space as one space."""
     broken = F.regexp_replace(F.replace(F.lower(F.coalesce(html, F.lit(""))), F.lit("</li>"), F.lit("\n")), r"<br[\s/]*>", "\n")
@@ -22,8 +27,7 @@ def after_storage_name(line: Column) -> Column:
     """What follows the first name of a disk requirement in a line; null without one."""
     names = dict.fromkeys(n for name in STORAGE_NAMES for n in (name, name.replace(" ", "")))
     found = [F.when(F.instr(line, name) > 0, F.struct(F.instr(line, name).alias("at"), F.lit(len(name)).alias("n"))) for name in names]
-    first = F.array_min(F.array_compact(F.array(*found)))
-    return F.substring(line, first["at"] + first["n"], F.length(line))
+    return bound(F.array_min(F.array_compact(F.array(*found))), lambda first: F.substring(line, first["at"] + first["n"], F.length(line)))
 
 
 def after_memory_name(line: Column) -> Column:
@@ -51,20 +55,24 @@ def first_size(text: Column) -> Column:
 
     A unit ends where a letter, digit or underscore does not go on; other signs may follow it, but not stand between it and the number.
     """
-    tokens = F.split(F.trim(F.regexp_replace(text, "(?<=[0-9])(?=[a-z])", " ")), " ")
+    words = F.split(F.trim(F.regexp_replace(text, "(?<=[0-9])(?=[a-z])", " ")), " ")
     units = F.create_map(*[F.lit(x) for pair in UNIT_BYTES.items() for x in pair])
 
-    def size(token: Column, i: Column) -> Column:
-        amount = F.replace(F.regexp_extract(token, "[0-9]+([.,][0-9]+)?$", 0), F.lit(","), F.lit("."))
-        unit = F.regexp_extract(F.coalesce(F.get(tokens, i + 1), F.lit("")), r"^[\p{L}\p{N}_]+", 0)
+    def size(pair: Column) -> Column:
+        amount = F.replace(F.regexp_extract(pair["token"], "[0-9]+([.,][0-9]+)?$", 0), F.lit(","), F.lit("."))
+        unit = F.regexp_extract(F.coalesce(pair["next"], F.lit("")), r"^[\p{L}\p{N}_]+", 0)
         return F.floor(amount.try_cast("double") * F.try_element_at(units, unit)).cast("long")
 
-    return F.get(F.filter(F.transform(tokens, size), lambda b: b.isNotNull()), 0)
+    def sizes(tokens: Column) -> Column:
+        pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda t, n: F.struct(t.alias("token"), n.alias("next")))
+        return F.get(F.filter(F.transform(pairs, size), lambda b: b.isNotNull()), 0)
+
+    return bound(words, sizes)
 
 
 def _first_above_zero(html: Column, after) -> Column:
-    sizes = F.transform(requirement_lines(html), lambda line: first_size(after(line)))
-    return F.get(F.filter(sizes, lambda b: b > 0), 0)
+    named = F.filter(F.transform(requirement_lines(html), after), lambda rest: rest.isNotNull())
+    return F.get(F.filter(F.transform(named, first_size), lambda b: b > 0), 0)
 
 
 def storage_bytes(minimum: Column, recommended: Column) -> Column:

@@ -21,12 +21,9 @@ def normalize_items(catalog: DataFrame, details: DataFrame, reviews: DataFrame,
     catalog: see `build_catalog`; the others: item_id, payload. An item is in scope when its details succeeded,
     it is a game, it is in the label source and none of its genres is software.
     """
-    d = details.select(
-        "item_id",
-        P.unwrap(F.col("payload"), F.col("item_id"), P.DETAIL).alias("d"),
-        P.handheld_category(F.col("payload"), F.col("item_id"), params.handheld_key_ending).alias("_handheld"),
-    )
-    r = reviews.select("item_id", F.from_json("payload", P.REVIEWS).alias("r"))
+    inner = details.select("item_id", P.inner_object(F.col("payload"), F.col("item_id")).alias("_inner"))
+    d = inner.select("item_id", P.typed(F.col("_inner"), P.DETAIL).alias("d"), P.handheld_category(F.col("_inner"), params.handheld_key_ending).alias("_handheld"))
+    r = reviews.select("item_id", P.typed(F.try_parse_json("payload"), P.REVIEWS).alias("r"))
     known = label_source.select("item_id").distinct().withColumn("labelled", F.lit(True))
     joined = catalog.join(d, "item_id", "left").join(r, "item_id", "left").join(known, "item_id", "left")
     ok = F.coalesce(F.col("d.success"), F.lit(False))

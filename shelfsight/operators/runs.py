@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.payloads import inner_object
 from ..params import STAGES
 from ..sources.scratch import written
 from ..sources.tables import LEVELS, valid_events  # noqa: F401
@@ -203,8 +204,7 @@ def usage(payloads: DataFrame, sources: tuple[str, ...] = SOURCES[1:]) -> DataFr
 
 def source_outcomes(payloads: DataFrame) -> DataFrame:
     """source, ok, failed: details by their success flag, reviews by success 1, the others by status 200."""
-    inner = F.try_element_at(F.from_json("payload", "map<string,string>"), F.col("item_id").cast("string"))
-    flag = F.get_json_object(F.coalesce(inner, "payload"), "$.success")
+    flag = F.try_variant_get(inner_object(F.col("payload"), F.col("item_id")), "$.success", "string")
     ok = F.when(F.col("source") == "details", flag == "true").when(F.col("source") == "reviews", flag == "1").otherwise(F.col("http_status") == 200)
     ok = F.coalesce(ok, F.lit(False))
     return payloads.groupBy("source").agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"))

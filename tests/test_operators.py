@@ -133,6 +133,22 @@ def test_pages_stop(spark):
     assert kept == {("a", 0), ("a", 1), ("b", 0), ("c", 0), ("c", 1)}
 
 
+def test_payload_is_parsed_once(spark):
+    """Wrapped, bare, foreign, broken, listed and null payloads; fields of another kind are null and the others stay."""
+    body = {"success": True, "data": {"name": "x", "pc_requirements": [], "dlc": [1, 2], "price_overview": {"final": "no"}, "platforms": {"windows": True}, "a_deck_compat": {"compat_category": 3}}}
+    texts = [json.dumps({"1": body}), json.dumps(body), json.dumps({"9": body}), "{broken", "[1]", None, json.dumps({"7": None}), json.dumps({"8": {"success": "maybe", "data": 4}})]
+    frame = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "item_id long, payload string")
+    inner = frame.select("item_id", P.inner_object(F.col("payload"), F.col("item_id")).alias("v"))
+    out = inner.select("item_id", P.typed(F.col("v"), P.DETAIL).alias("d"), P.handheld_category(F.col("v"), "deck_compat").alias("h"))
+    found = {r.item_id: r for r in out.collect()}
+    for k in (1, 2):
+        d = found[k].d
+        assert d.success and d.data.name == "x" and d.data.pc_requirements is None and d.data.dlc == ["1", "2"] and d.data.price_overview.final is None and d.data.platforms == {"windows": True}
+        assert found[k].h == "3"
+    assert all((found[k].d is None or (found[k].d.success is None and found[k].d.data is None)) and found[k].h is None for k in (3, 4, 5, 6, 7, 8))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
+
+
 def test_normalized_items(spark):
     catalog = spark.createDataFrame([(1, "cat", "M", "P", 3, 1, None, None), (2, "two", "M", "P", 0, 0, None, None)], "item_id long, name string, maker string, publisher string, positive long, negative long, owners_low long, owners_high long")
     data = {
