@@ -1,8 +1,9 @@
 """PII: keyed surrogates of the same type, format, script and gender, in DataFrame expressions only.
 
 One pattern finds the mentions of a text, in one pass. Names found so beside a title or a given name are then looked for in
-the rest of the same text, where they stand alone. A mention's entity is its type and its value without formatting, so
-spellings of one number or address share a surrogate everywhere (coreference). A candidate surrogate is a keyed hash of
+the rest of the same text, where they stand alone, unless they are common words too: words that more documents have in lower
+case than have them as such a name ("Dr House" does not make "the White House" a person). These are replaced only where they
+speak or own something. A mention's entity is its type and its value without formatting, so spellings of one number or address share a surrogate everywhere (coreference). A candidate surrogate is a keyed hash of
 entity and attempt, cast into the entity's form: every letter becomes another letter of its script, every digit another
 digit. It is accepted when no other entity has it and it is no real value found in the corpus; losers try again
 with the next attempt. Hosts of addresses are entities of their own. Given names are exchanged within their gender and
@@ -80,6 +81,9 @@ PATTERNS = (
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS)
 #: A cheaper test that every text with a mention passes.
 HINT = rf"@|\d\.\d|\d[ .)(-]*\d[ .)(-]*\d[ .)(-]*\d|[A-Z]{{2}}\d\d|(?<!\p{{L}})(?=\p{{Lu}})(?:{_names}|(?:{_sirs})\.?) [\p{{Lu}}\p{{Lo}}\p{{IsGeorgian}}]"
+#: Marks before a name that stands alone, and before one that speaks or owns something; they are no characters of text.
+ALONE, PERSON = "\ufdd1", "\ufdd2"
+SPEAKS = "said says asked answered replied told wrote writes explained added sagte sagt fragte schrieb dit demanda répondit écrit dijo dice preguntó escribió".split()
 NAME = r"^[\p{L}\p{M}'’-]+$"
 KEY = "surrogates"
 MAX_ATTEMPTS = 64
@@ -269,23 +273,38 @@ def surrogates(entities: DataFrame, *, key: str = KEY) -> DataFrame:
 def mention_pieces(text: Column) -> Column:
     """`text` cut into what is between mentions (even places, from 0) and mentions (odd places); joined it is the text.
 
-    The first pass is by PATTERN; the second by the names that the first one found, where they begin with a capital.
+    The first pass is by PATTERN; the second by the names that the first one found, where they begin with a capital; such
+    a mention has ALONE or PERSON before it.
     """
     # a mark that no text holds: it has the hash of the text
     mark = F.concat(F.lit("\ufdd0"), F.hex(F.xxhash64(text)))
-    around = F.concat(mark, F.lit("$0"), mark)
+    around = lambda sign: F.concat(mark, F.lit(sign + "$0"), mark)
     joined = lambda pieces: F.call_function("array_join", pieces, mark)
 
     def again(pieces: Column) -> Column:
         names = F.filter(pieces, lambda p, i: (i % 2 == 1) & p.rlike(NAME))
         longest_first = F.reverse(F.array_sort(F.array_distinct(F.transform(names, lambda n: F.struct(F.length(n), F.lower(n).alias("n"))))))
-        alone = F.concat(
-            F.lit(r"(?<![\p{L}\p{M}])(?=[\p{Lu}\p{Lo}\p{IsGeorgian}])(?iu:"), F.array_join(F.transform(longest_first, lambda s: s["n"]), "|"), F.lit(r")(?![\p{L}\p{M}])")
-        )
-        marked = _with(alone, lambda a: joined(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, a, around)).otherwise(p))))
+        either = F.concat(F.lit(r"(?=[\p{Lu}\p{Lo}\p{IsGeorgian}])(?iu:"), F.array_join(F.transform(longest_first, lambda s: s["n"]), "|"), F.lit(r")(?![\p{L}\p{M}])"))
+        # no capital or article right before it, a possessive or a verb of speech right after it
+        person = lambda e: F.concat(F.lit(r"(?<![\p{L}\p{M}])(?<!\p{Lu}[\p{L}\p{M}]{0,20} )(?<!\b(?:the|a|an) )"), e, F.lit(rf"(?=['’]s\b| (?:{'|'.join(SPEAKS)})\b)"))
+        alone = lambda e: F.concat(F.lit(rf"(?<![\p{{L}}\p{{M}}{PERSON}])"), e)
+        both = lambda p, e: F.regexp_replace(F.regexp_replace(p, person(e), around(PERSON)), alone(e), around(ALONE))
+        marked = _with(either, lambda e: joined(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, both(p, e)).otherwise(p))))
         return F.when(F.size(names) > 0, F.split(marked, mark, -1)).otherwise(pieces)
 
-    return _with(F.split(F.regexp_replace(text, F.lit(PATTERN), around), mark, -1), again)
+    return _with(F.split(F.regexp_replace(text, F.lit(PATTERN), around("")), mark, -1), again)
+
+
+def common_words(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """value: names of `found` (d1, d2, mention, value, kind) that more documents have in lower case than have as a name beside a title or a given name.
+
+    Counted over all of `docs`, once a document. Words are shuffled as counts, and names that are never written in lower case are no words.
+    """
+    named = found.where((F.col("kind") == "name") & ~F.col("mention").rlike(f"^[{ALONE}{PERSON}]")).select("value", "d1", "d2").distinct()
+    named = named.groupBy("value").agg(F.count("*").alias("named"))
+    lower = F.filter(F.array_distinct(F.split("text", r"[^\p{L}\p{M}'’-]+")), lambda w: w.rlike(r"^\p{Ll}"))
+    words = docs.select(F.explode(lower).alias("value")).groupBy("value").agg(F.count("*").alias("written"))
+    return words.join(named, "value").where("written > named").select("value")
 
 
 def replace_pii(docs: DataFrame, *, key: str = KEY) -> DataFrame:
@@ -305,21 +324,26 @@ def replace_pii(docs: DataFrame, *, key: str = KEY) -> DataFrame:
     cut = staged(cut, "pieces")  # every text is searched once
     is_mention = lambda _, i: i % 2 == 1
     found = staged(cut.select("d1", "d2", F.explode(F.filter("pieces", is_mention)).alias("mention")).distinct(), "mentions")
-    found = found.withColumn("kind", kind_of(F.col("mention"))).withColumn("value", value_of(F.col("mention"), F.col("kind")))
+    bare = F.ltrim(F.col("mention"), F.lit(ALONE + PERSON))
+    found = found.withColumn("bare", bare).withColumn("kind", kind_of(bare)).withColumn("value", value_of(F.col("bare"), F.col("kind")))
+    words = staged(common_words(docs, found), "words").withColumn("_alone", F.lit(True))
+    found = found.withColumn("_alone", F.startswith("mention", F.lit(ALONE))).join(words, ["value", "_alone"], "left_anti")
     known = surrogates(found.where("kind <> 'given'").select("kind", "value").distinct(), key=key)
     shown = (
         found.join(known, ["kind", "value"], "left")
         .withColumn(
             "shown",
-            render(F.col("mention"), F.col("kind"), F.when(F.col("kind") == "given", F.try_element_at(names, "value")).otherwise(F.col("surrogate"))),
+            render(F.col("bare"), F.col("kind"), F.when(F.col("kind") == "given", F.try_element_at(names, "value")).otherwise(F.col("surrogate"))),
         )
         .groupBy("d1", "d2")
         .agg(F.map_from_entries(F.collect_set(F.struct("mention", "shown"))).alias("shown"))
     )
     shown = staged(shown, "shown")
-    swapped = F.array_join(F.transform("pieces", lambda p, i: F.when(i % 2 == 1, F.try_element_at("shown", p)).otherwise(p)), "")
-    out = [swapped.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
-    changed = cut.join(shown, ["d1", "d2"], "left").select(*out, F.floor(F.size("pieces") / 2).cast("long").alias("n_entities"))
+    swapped = F.array_join(F.transform("pieces", lambda p, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at("shown", p), F.ltrim(p, F.lit(ALONE + PERSON)))).otherwise(p)), "")
+    replaced = F.size(F.filter("pieces", lambda p, i: (i % 2 == 1) & F.try_element_at("shown", p).isNotNull())).cast("long")
+    made = cut.join(shown, ["d1", "d2"], "left").select("row", swapped.alias("swapped"), F.coalesce(replaced, F.lit(0)).cast("long").alias("replaced"))
+    out = [F.col("made").getField("swapped").alias("text") if c == "text" else F.col("made").getField("row").getField(c).alias(c) for c in columns]
+    changed = made.select(F.struct("row", "swapped", "replaced").alias("made")).select(*out, F.col("made").getField("replaced").alias("n_entities"))
     same = docs.where(~hinted).select(*[F.col(f"`{c}`") for c in columns], F.lit(0).cast("long").alias("n_entities"))
     return changed.unionByName(same)
 

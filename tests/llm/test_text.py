@@ -308,6 +308,20 @@ def test_nothing_private_stays(spark):
             assert script_of(found[i].text) <= script_of(text), (text, found[i].text)
 
 
+def test_common_words_are_no_names(spark):
+    """A name that is a common word over all documents is replaced beside a title and where it speaks, and nowhere else."""
+    texts = ["Dr House met Ann. The White House and House of Cards; House prices rose. The White House said no. House said so, and House's car left."]
+    texts += [f"a house and the house number {i}" for i in range(3)] + ["Mrs Smith came. Smith left.", "Mr Smith and Prof Smith: Smith's smith", "Mrs Brown left.", "brown bread", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace_pii(docs).collect()}
+    new = re.match(r"Dr (\w+) met", out[0].text)[1]
+    assert new != "House" and out[0].text == f"Dr {new} met Ann. The White House and House of Cards; House prices rose. The White House said no. {new} said so, and {new}'s car left."
+    assert out[0].n_entities == 3 and all(out[i].text == texts[i] and out[i].n_entities == 0 for i in (1, 2, 3, 7, 8, 9))
+    smith = re.match(r"Mrs (\w+) came", out[4].text)[1]  # one document has it in lower case, two as a name
+    assert out[4].text == f"Mrs {smith} came. {smith} left." and out[4].n_entities == 2 and "Smith" not in out[5].text
+    assert not any(sign in (r.text or "") for r in out.values() for sign in (pii.ALONE, pii.PERSON))
+
+
 def test_hosts_stay_apart(spark):
     """Distinct hosts get distinct surrogates, one host the same everywhere."""
     docs = spark.createDataFrame([(i, f"u{i}@{a}{b}.co and v{i}@{a}{b}.co") for i, (a, b) in enumerate((a, b) for a in "bcdfg" for b in "hjklm")], "doc_id long, text string")
