@@ -1,16 +1,20 @@
 """Sinks, scans and streams on folders of their own."""
 
 import datetime
+import itertools
 import json
 import random
 import time
+import types
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from shelfsight.operators.runs import list_runs, runs_after, runs_page, throttle_info
 from shelfsight.sources import tables as B
-from shelfsight.streaming import streams
+from shelfsight.streaming import streams, throttle
 
 T0 = datetime.datetime(2020, 1, 1)
 
@@ -263,3 +267,66 @@ def test_no_scratch_folder_off_one_machine(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         scratch.scratch_dir(Elsewhere)
+
+
+class CountedState:
+    """A run's state as the throttle sees it, in memory, with the number of calls to the store."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = {}, {}, set(), 0
+
+    def getValueState(self, name, _):
+        return self._counted(exists=lambda: name in self.value, get=lambda: self.value.get(name), update=lambda v: self.value.update({name: v}), clear=lambda: self.value.pop(name, None))
+
+    def getMapState(self, name, *_):
+        m = self.map
+        return self._counted(containsKey=lambda k: k in m, getValue=lambda k: m[k], updateValue=lambda k, v: m.update({k: v}), removeKey=lambda k: m.pop(k))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def _counted(self, **methods):
+        def counted(f):
+            def call(*args):
+                self.calls += 1
+                return f(*args)
+
+            return call
+
+        return types.SimpleNamespace(**{k: counted(f) for k, f in methods.items()})
+
+
+@pytest.mark.parametrize("page, held, most_calls", [(2, 5, None), (1, 1, None), (1000, 10_000, 60)])
+def test_throttle_state_takes_calls_by_pages_not_by_events(spark, page, held, most_calls):
+    """Batches out of order in random sizes, the watermark behind the newest by the lateness; many events cost few calls."""
+    rng = random.Random(page)
+    names = ["event_id", "run_id", "ts", "level", "message", "at"]
+    schema = StructType([StructField(n, LongType()) for n in names])
+    rows = [Row(*names)(i, 1, None, "info" if i % 10 else "error", f"m{i}", rng.choice((0, 3)) + 700_000 * rng.randrange(0, 900)) for i in range(600)]
+    gap, late, state = 2_000_000, 60_000_000, CountedState()
+    keeper = throttle.Throttle(schema, gap, 3_750_000, page, held)
+    keeper.init(state)
+    order = sorted(rows, key=lambda r: r.at + rng.uniform(0, 0.9 * late))
+    found, newest, sizes, passed = [], 0, itertools.cycle((7, 1, 300, 40)), 0
+    while order or state.timers:
+        n = next(sizes)
+        batch, order = order[:n], order[n:]
+        passed = max(passed, (newest - late) // 1000 if newest else 0) if batch else 10**15
+        newest = max([newest, *[r.at for r in batch]])
+        times = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: passed)
+        found += keeper.handleInputRows((1,), iter(batch), times)
+        for t in sorted(x for x in state.timers if x <= passed):
+            found += keeper.handleExpiredTimer((1,), times, types.SimpleNamespace(getExpiryTimeInMs=lambda: t))
+            state.timers.discard(t)
+    first, last, kept = {}, None, {r.event_id for r in rows if r.level == "error"}
+    for r in rows:
+        if r.level == "info":
+            first[r.at] = min(first.get(r.at, r.event_id), r.event_id)
+    for at in sorted(first):
+        if last is None or at >= last + gap:
+            last = at
+            kept.add(first[at])
+    assert sorted(r.event_id for r in found) == sorted(kept) and not state.value and not state.map
+    assert all(r == rows[r.event_id] for r in found)
+    assert most_calls is None or state.calls <= most_calls
