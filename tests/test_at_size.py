@@ -45,3 +45,11 @@ def test_payloads_are_spread_before_they_are_parsed(spark):
 def test_words_of_labels_are_unfolded_after_their_lines_are_joined(spark):
     found = plan(D.labels(spark, SF))
     assert found.index("Generate posexplode") < found.index("Join LeftOuter")
+
+
+def test_analysis_reads_all_lines_for_labels_once_and_for_items_once(spark, plans, monkeypatch):
+    monkeypatch.setattr(market, "written", composites.written)
+    items, labels, found = market.analysed(spark, SF)
+    lines = {label: sum(p.count("l_partkey") > 0 for p in ps) for label, ps in plans.items()}
+    assert {k for k, n in lines.items() if n} == {"labels", "parts"} and lines["labels"] == lines["parts"] == 1
+    assert not any("l_partkey" in plan(x) for x in (labels, items, *found.values()))
