@@ -53,3 +53,8 @@ def test_analysis_reads_all_lines_for_labels_once_and_for_items_once(spark, plan
     lines = {label: sum(p.count("l_partkey") > 0 for p in ps) for label, ps in plans.items()}
     assert {k for k, n in lines.items() if n} == {"labels", "parts"} and lines["labels"] == lines["parts"] == 1
     assert not any("l_partkey" in plan(x) for x in (labels, items, *found.values()))
+
+
+def test_only_labels_of_picked_items_are_ranked(spark):
+    found = plan(market.case_studies(spark, SF))
+    assert found.index("Window") < found.index("Join LeftSemi")
